@@ -6,7 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core.session import table
-from . import bpe, consolidate, packing, survivor
+from . import bpe, consolidate, encoding, lookalike, names, packing, survivor
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_pairs(names.same_names(table(spark, d, "tracks")))
+
+
+def p2_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every name with its entity's number of spellings."""
+    e = names.same_names(table(spark, d, "tracks"))
+    n = e.groupBy("entity").agg(F.count("*").alias("spellings"), F.min("name").alias("first_spelling"))
+    return e.join(n, "entity").select("name", "first_spelling", "spellings")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +31,24 @@ def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(rows).join(several, "group_id")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled_values(table(spark, d, "tracks")).select("track_id", "field").distinct()
+
+
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled values with the original where it can be had."""
+    return encoding.garbled_values(table(spark, d, "tracks"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.consistent_forms(table(spark, d, "tracks")).where("changed").select("track_id", "field").distinct()
+
+
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every title and artist in its one form."""
+    return lookalike.consistent_forms(table(spark, d, "tracks"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return consolidate.track_groups(table(spark, d, "duplicate_members"), table(spark, d, "clusters"), table(spark, d, "tracks"))
 
@@ -53,7 +82,7 @@ t AS (SELECT DISTINCT id, tag_completeness, CAST(CAST(lossless AS INT) AS DOUBLE
 m AS (SELECT group_id, track_id, {", ".join(f"round(CASE WHEN top > 1 THEN score_breakdown.{s} / 100 ELSE score_breakdown.{s} END, 3) AS s_{s}" for s in _S)}, t.* EXCLUDE (id) FROM m0 JOIN t ON t.id = track_id)"""
 _F = (*(f"s_{s}" for s in _S), "tag_completeness", "lossless")
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_survivors, p7_found, p8_ids, p9_containers, p9_fill)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p4_found, p4_restored, p5_found, p5_forms, p3_found, p3_survivors, p7_found, p8_ids, p9_containers, p9_fill)}
 ORACLES = {
     "p3_found": f"""
 WITH {_MEMBERS}, pairs AS (
