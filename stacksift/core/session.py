@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +28,23 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per context, so that executors need no copy of it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_stacksift_sent", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="stacksift")) / "stacksift.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._stacksift_sent = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` under `sf_dir`; Catalyst prunes columns and pushes filters."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
