@@ -6,7 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core.session import table
-from . import bpe, consolidate, encoding, lookalike, names, packing, survivor
+from . import bpe, consolidate, encoding, lookalike, matching, names, packing, survivor
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_matches(spark, d).select("track_id", "candidate_id").distinct()
+
+
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks and candidates of one recording, with a confidence."""
+    return matching.match_candidates(table(spark, d, "tracks"), table(spark, d, "candidates"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +91,7 @@ t AS (SELECT DISTINCT id, tag_completeness, CAST(CAST(lossless AS INT) AS DOUBLE
 m AS (SELECT group_id, track_id, {", ".join(f"round(CASE WHEN top > 1 THEN score_breakdown.{s} / 100 ELSE score_breakdown.{s} END, 3) AS s_{s}" for s in _S)}, t.* EXCLUDE (id) FROM m0 JOIN t ON t.id = track_id)"""
 _F = (*(f"s_{s}" for s in _S), "tag_completeness", "lossless")
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p4_found, p4_restored, p5_found, p5_forms, p3_found, p3_survivors, p7_found, p8_ids, p9_containers, p9_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_entities, p4_found, p4_restored, p5_found, p5_forms, p3_found, p3_survivors, p7_found, p8_ids, p9_containers, p9_fill)}
 ORACLES = {
     "p3_found": f"""
 WITH {_MEMBERS}, pairs AS (
