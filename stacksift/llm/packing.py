@@ -28,40 +28,36 @@ SEARCH_NODES = 20_000
 def complete(room: int, sizes: list[int], count: dict[int, int], nodes: int = SEARCH_NODES) -> list[int]:
     """The sizes (ascending list, counts > 0) that fill `room` with the least waste, largest first.
 
-    A branch takes the largest size that fits, then smaller ones: any filling that could exchange an item
-    for a larger fitting one is dominated and comes after its dominator, which the bound then prunes.
+    Branches take sizes in falling order, the best-fit filling first. A filling that could exchange an item
+    for a larger one that still fits is dominated and comes after its dominator; a branch whose remaining
+    items, all taken, could not waste less than the best filling so far is cut.
     """
+    reach = [0]
+    for s in sizes:
+        reach.append(min(room + 1, reach[-1] + s * count[s]))
     best: list[int] = []
-    waste = room + 1
-    left = nodes
-    least = sizes[0] if sizes else room + 1
+    waste, left = room + 1, nodes
 
-    def go(room_: int, top: int, chosen: list[int]) -> bool:
+    def go(rest: int, top: int, used: int, chosen: list[int]) -> bool:
+        """Fills `rest` with sizes up to index `top`, of which `used` items are chosen; True ends the search."""
         nonlocal best, waste, left
         left -= 1
-        if room_ < waste:
-            best, waste = list(chosen), room_
-            if not room_:
-                return True
-        if room_ < least or left <= 0:
-            return False
-        i = min(top, bisect_right(sizes, room_) - 1)
-        while i >= 0:
-            s = sizes[i]
-            used = sum(1 for c in chosen if c == s)
-            if used < count[s]:
-                chosen.append(s)
-                if go(room_ - s, i, chosen):
+        if rest < waste:
+            best, waste = list(chosen), rest
+        if not waste or left <= 0:
+            return True
+        i = min(top, bisect_right(sizes, rest) - 1)
+        while i >= 0 and rest - reach[i + 1] < waste:
+            taken = used if i == top else 0
+            if taken < count[sizes[i]]:
+                chosen.append(sizes[i])
+                if go(rest - sizes[i], i, taken + 1, chosen):
                     return True
                 chosen.pop()
-                if left <= 0:
-                    return False
-            # every item from here on is smaller than s; a filling without room for s wastes less than s only if
-            # its items sum to more than room_ - s, which the smaller ones must still reach
             i -= 1
         return False
 
-    go(room, len(sizes) - 1, [])
+    go(room, len(sizes) - 1, 0, [])
     return best
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core.session import table
-from . import bpe, consolidate, encoding, lookalike, matching, names, packing, survivor
+from . import bpe, consolidate, encoding, lookalike, matching, names, packing, personal, survivor
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -82,6 +82,15 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.document_items(table(spark, d, "documents"), table(spark, d, "tracks")).select("doc_id", "kind", "found_text").distinct()
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """All texts with typed placeholders in place of personal information."""
+    return personal.redacted_documents(table(spark, d, "documents"), table(spark, d, "tracks"))
+
+
 _S = ("format", "bitrate", "resolution", "tags", "artwork", "lyrics", "duration", "path")
 _TOP = "greatest(" + ", ".join(f"coalesce(score_breakdown.{s}, 0)" for s in _S) + ")"
 _MEMBERS = f"""
@@ -91,7 +100,7 @@ t AS (SELECT DISTINCT id, tag_completeness, CAST(CAST(lossless AS INT) AS DOUBLE
 m AS (SELECT group_id, track_id, {", ".join(f"round(CASE WHEN top > 1 THEN score_breakdown.{s} / 100 ELSE score_breakdown.{s} END, 3) AS s_{s}" for s in _S)}, t.* EXCLUDE (id) FROM m0 JOIN t ON t.id = track_id)"""
 _F = (*(f"s_{s}" for s in _S), "tag_completeness", "lossless")
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_entities, p4_found, p4_restored, p5_found, p5_forms, p3_found, p3_survivors, p7_found, p8_ids, p9_containers, p9_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_entities, p4_found, p4_restored, p5_found, p5_forms, p3_found, p3_survivors, p7_found, p8_ids, p9_containers, p9_fill, p10_found, p10_redacted)}
 ORACLES = {
     "p3_found": f"""
 WITH {_MEMBERS}, pairs AS (
