@@ -106,6 +106,7 @@ class PairModel:
         self.kinds = len(self.right) + 200
         self._log: dict[str, float] = {}
         self._info: dict[str, float] = {}
+        self.scores: dict[str, float] = {}
 
     def log(self, pair: str) -> float:
         """log P(second | first), interpolated with the second's own share."""

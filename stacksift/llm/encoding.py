@@ -95,11 +95,17 @@ def segments(text: str, model: PairModel) -> list[tuple[int, int]]:
     Ruzzo and Tompa's linear pass finds all disjoint maximal segments.
     """
     s = START + text + END
-    scores = []
+    scores, known, some = [], model.scores, False
     for i in range(len(s) - 1):
         p = s[i : i + 2]
-        x = max(-3.0, min(3.0, math.log2(NEUTRAL / max(model.info(p), 1e-12))))
-        scores.append(min(x, 0.0) if p.isascii() else x)
+        x = known.get(p)
+        if x is None:
+            x = max(-3.0, min(3.0, math.log2(NEUTRAL / max(model.info(p), 1e-12))))
+            x = known[p] = min(x, 0.0) if p.isascii() else x
+        scores.append(x)
+        some = some or x > 0
+    if not some:
+        return []
     kept: list[list[float]] = []  # left sum, right sum, from, to
     total = 0.0
     for i, x in enumerate(scores):
@@ -141,19 +147,28 @@ def strictly_misread(text: str) -> bool:
 
 
 def _spans(text: str, model: PairModel) -> list[tuple[int, int]]:
-    """Where mappings are tried: each segment widened by the non-ASCII characters it touches, and the hull of all."""
+    """Where mappings are tried: each segment widened to the words it touches, and the hull of all."""
     out = []
     for a, b in segments(text, model):
         while a > 0 and not text[a - 1].isascii():
             a -= 1
         while b < len(text) and not text[b].isascii():
             b += 1
+        while a > 0 and text[a - 1].isalpha():
+            a -= 1
+        while b < len(text) and text[b].isalpha():
+            b += 1
         out.append((a, b))
     if len(out) > 1:
         out.insert(0, (out[0][0], out[-1][1]))
     return list(dict.fromkeys(out))
 
 
+#: Encodings whose letters are not Latin (fixed values).
+OTHER_SCRIPTS = {"cp1251", "cp1256", "cp1253", "koi8-r", "iso8859-5", "cp866", "mac_cyrillic"}
+_TOUCHING = re.compile(r"[A-Za-z][^\x00-\xbf]|[^\x00-\xbf][A-Za-z]")
+
+
 def _maps(run: str, single: bool) -> Iterator[tuple[str, str, bool]]:
     """(name, restored run, from UTF-8) by every inverse mapping that applies to a run; text misread twice is undone twice."""
     for codec in MISREAD:
@@ -169,7 +184,10 @@ def _maps(run: str, single: bool) -> Iterator[tuple[str, str, bool]]:
             if m > n > 0:
                 yield f"utf-8 as {codec}", got, True
     if single:
+        touching = _TOUCHING.search(run) is not None
         for wrong, right in SINGLE:
+            if touching and right in OTHER_SCRIPTS:
+                continue  # letters of another script inside a Latin word
             raw = _encode(run.replace("\xa0", " "), wrong)
             if raw is not None:
                 try:
@@ -184,15 +202,19 @@ def repair(text: str, model: PairModel) -> tuple[str, str] | None:
         return None
     text = "".join([c for c in text if c == "\xad" or not is_ignorable(c)])
     best, gained = None, 0.0
-    at = model.of(plain(text))
-    for a, b in _spans(text, model):
+    spans = _spans(text, model)
+    odd = plain(text) != text  # else a restored text has no characters to normalise either, but for those it brings
+    at = model.of(plain(text)) if spans else 0.0
+    for a, b in spans:
         run = text[a:b]
         high = sum(not c.isascii() for c in run)
         for how, new, multi in _maps(run, high > 1):
-            if new == run or not _sane(new.replace("�", "")) and multi and not any(0x80 <= ord(c) < 0xA0 for c in run):
+            if new == run or not multi and not all(c.isalpha() for c in new if not c.isascii()):
+                continue
+            if not _sane(new.replace("�", "")) and multi and not any(0x80 <= ord(c) < 0xA0 for c in run):
                 continue
             whole = text[:a] + new + text[b:]
-            gain = model.of(plain(whole)) - at
+            gain = model.of(plain(whole) if odd else whole) - at
             if not multi and (gain < GAIN or gain < GAIN_EACH * high):
                 continue
             if multi and gain > 0:

@@ -20,9 +20,8 @@ from .charmodel import END, START, PairModel, plain
 from .encoding import clean_model, judge, non_ascii
 
 #: Latin letters and what looks like them in Cyrillic, Greek and Armenian (fixed values).
-LATIN = "ABCEHIJKMNOPSTXYZaceghijklnopsuvwxyéëïóíöü"
 CYRILLIC = {"A": "А", "B": "В", "C": "С", "E": "Е", "H": "Н", "I": "І", "J": "Ј", "K": "К", "M": "М", "O": "О", "P": "Р", "S": "Ѕ", "T": "Т", "X": "Х", "Y": "У", "a": "а", "c": "с", "e": "е", "h": "һ", "i": "і", "j": "ј", "k": "к", "l": "ӏ", "o": "о", "p": "р", "s": "ѕ", "x": "х", "y": "у", "d": "ԁ", "q": "ԛ", "w": "ԝ", "ë": "ё", "Ë": "Ё", "ï": "ї", "Ï": "Ї"}
-GREEK = {"A": "Α", "B": "Β", "E": "Ε", "H": "Η", "I": "Ι", "K": "Κ", "M": "Μ", "N": "Ν", "O": "Ο", "P": "Ρ", "T": "Τ", "X": "Χ", "Y": "Υ", "Z": "Ζ", "i": "ι", "k": "κ", "o": "ο", "p": "ρ", "u": "υ", "v": "ν", "a": "α", "x": "χ", "y": "γ", "w": "ω", "ó": "ό", "í": "ί", "n": "η"}
+GREEK = {"A": "Α", "B": "Β", "E": "Ε", "H": "Η", "I": "Ι", "K": "Κ", "M": "Μ", "N": "Ν", "O": "Ο", "P": "Ρ", "T": "Τ", "X": "Χ", "Y": "Υ", "Z": "Ζ", "i": "ι", "k": "κ", "o": "ο", "p": "ρ", "u": "υ", "v": "ν", "a": "α", "ó": "ό", "í": "ί"}
 ARMENIAN = {"o": "օ", "n": "ո", "u": "ս", "h": "հ", "g": "ց"}
 OTHER = {"i": "ı", "a": "ɑ", "g": "ɡ", "e": "ҽ"}
 #: Arabic letters of other languages that look like an Arabic one (fixed values).
@@ -61,14 +60,16 @@ def lattice(text: str) -> list[tuple[str, ...]]:
 def resolve(text: str, model: PairModel) -> str:
     """The best path through the look-alike lattice of a normalised text.
 
-    A state is the last character and the script last written; the script carries over spaces at half the
-    price, so words made of look-alikes only follow their neighbours. Texts in which no word could be mixed
+    A state is the last character and the script last written, at first that of the first letter without
+    look-alikes; the script carries over spaces at an eighth of the price, so words made of look-alikes only
+    follow their neighbours. Texts in which no word could be mixed
     or read in another script keep their characters.
     """
     if text.isascii():
         return text
     log = model.log
-    states: dict[tuple[str, str], tuple[float, tuple | None]] = {(START, ""): (0.0, None)}
+    first = next((script(c) for c in text if script(c) and c not in _classes()), "")
+    states: dict[tuple[str, str], tuple[float, tuple | None]] = {(START, first): (0.0, None)}
     for options in lattice(text):
         nxt: dict[tuple[str, str], tuple[float, tuple | None]] = {}
         for k, c in enumerate(options):

@@ -133,38 +133,33 @@ def attributes(p: DataFrame, spread: bool) -> DataFrame:
     """
     slot = F.floor(F.col("sec") / TOLERANCE).cast("int")
     slots = F.when(F.col("sec").isNull(), F.array().cast("array<int>")).otherwise(F.array(slot - 1, slot, slot + 1) if spread else F.array(slot))
-    words = F.slice(F.split("artist", " "), 1, 2)
-    words = F.when(F.col("artist") == "", F.array().cast("array<string>")).otherwise(words)
-    has = lambda c: F.col(c) != ""
+    words = F.when(F.col("artist") == "", F.array().cast("array<string>")).otherwise(F.slice(F.split("artist", " "), 1, 1))
     key = lambda tag, *c: F.xxhash64(F.lit(tag), *c)
-    none = F.array().cast("array<bigint>")
+    album = lambda *k: F.when(F.col("album") != "", F.array(*k)).otherwise(F.array().cast("array<bigint>"))
     attrs = F.concat(
-        F.when(has("album"), F.array(key("ta", "title", "album"))).otherwise(none),
-        F.when(has("album"), F.transform(slots, lambda s: key("as", F.col("album"), s))).otherwise(none),
+        album(key("ta", "title", "album"), key("ah", "album", F.substring("title", 1, 6)), key("at", "album", F.substring("title", -6, 6))),
+        F.when(F.col("album") != "", F.transform(slots, lambda s: key("as", F.col("album"), s))).otherwise(F.array().cast("array<bigint>")),
         F.transform(slots, lambda s: key("ts", F.col("title"), s)),
         F.transform(words, lambda w: key("tw", F.col("title"), w)),
-        F.flatten(F.transform(words, lambda w: F.transform(slots, lambda s: key("ws", w, s)))),
-        F.when(has("album"), F.transform(words, lambda w: key("aw", F.col("album"), w, F.substring("title", 1, 4)))).otherwise(none),
-        F.when(has("album"), F.array(key("at", F.substring("title", -5, 5), F.col("album")))).otherwise(none),
+        F.flatten(F.transform(words, lambda w: F.transform(slots, lambda s: key("ws", w, s, F.substring("title", 1, 2))))),
     )
     return p.select("id", F.explode(F.array_distinct(attrs)).alias("attr"))
 
 
 def candidate_graph(left: DataFrame, right: DataFrame, prune: float = PRUNE) -> DataFrame:
-    """(l, r, weight): pairs of profiles sharing attributes; an attribute weighs log(profiles / those that bear it).
+    """(l, r, weight): pairs of profiles sharing attributes; an attribute weighs log(right profiles / those that bear it).
 
-    Attributes on both sides only are counted. Of each right profile's edges, those lighter than `prune`
-    times its heaviest one are cut (meta-blocking by weight); no number of edges is capped. Attributes are
-    already pairs of fields, hence rare; what remains common (a hot recording) is one profile, not its copies.
+    Of each right profile's edges, those lighter than `prune` times its heaviest one are cut (meta-blocking
+    by weight); no number of edges is capped. Attributes are pairs of fields, hence rare, and a hot recording
+    is a few profiles, not its copies. The smaller, right side spreads over neighbouring duration slots. All
+    that follows the join is partitioned by the right profile, so the edges are shuffled once.
     """
-    a, b = attributes(left, True), attributes(right, False)
-    na, nb = a.groupBy("attr").agg(F.count("*").alias("na")), b.groupBy("attr").agg(F.count("*").alias("nb"))
-    n = F.lit(float(max(2, left.count() + right.count())))
-    weight = na.join(nb, "attr").select("attr", F.log(n / (F.col("na") + F.col("nb"))).alias("w"))
-    e = b.join(weight, "attr").withColumnRenamed("id", "r").join(a.withColumnRenamed("id", "l"), "attr").groupBy("l", "r").agg(F.sum("w").alias("weight"))
-    e = cut(e)
-    top = e.groupBy("r").agg(F.max("weight").alias("top"))
-    return e.join(top, "r").where(F.col("weight") >= prune * F.col("top")).select("l", "r", "weight")
+    a, b = attributes(left, False), attributes(right, True)
+    n = F.lit(float(max(2, right.count())))
+    weight = b.groupBy("attr").agg(F.count("*").alias("n")).select("attr", (F.log(n / F.col("n")) + 0.1).alias("w"))
+    shared = b.join(weight, "attr").withColumnRenamed("id", "r").join(a.withColumnRenamed("id", "l"), "attr").select("r", "l", "w")
+    e = shared.repartition("r").groupBy("r", "l").agg(F.sum("w").alias("weight"))
+    return e.join(e.groupBy("r").agg(F.max("weight").alias("top")), "r").where(F.col("weight") >= prune * F.col("top")).select("l", "r", "weight")
 
 
 def _similarities():
@@ -200,7 +195,7 @@ def _similarities():
 
 
 def score_pairs(graph: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l, r, la, ra, own, sure): a pair's own confidence from its attributes, and whether it may match at all.
+    """(l, r, la, ra, rt, own): the pairs that may match at all, with their own confidence from their attributes.
 
     Versions must agree and known lengths lie within TOLERANCE. Where an album is missing the artist stands
     in for it, at a discount; what neither side knows counts as half known.
@@ -215,7 +210,7 @@ def score_pairs(graph: DataFrame, left: DataFrame, right: DataFrame) -> DataFram
     own = own * F.when(w.isNull(), 0.98).otherwise(0.8 + 0.2 * w)
     # without both albums a pair needs its length and a title as good as equal
     sure = (t >= 0.72) & F.when(a.isNotNull(), a >= 0.7).otherwise((t >= 0.9) & F.col("lsec").isNotNull() & F.col("rsec").isNotNull() & F.coalesce(w >= 0.75, F.lit(False)))
-    return p.select("l", "r", F.col("lalbum").alias("la"), F.when(F.col("ralbum") != "", F.col("ralbum")).otherwise(F.concat(F.lit("~"), "rartist")).alias("ra"), F.col("rtitle").alias("rt"), own.alias("own"), sure.alias("sure"), F.col("s.album").isNull().alias("loose"), near.alias("near")).where("sure")
+    return p.select("l", "r", F.col("lalbum").alias("la"), F.when(F.col("ralbum") != "", F.col("ralbum")).otherwise(F.concat(F.lit("~"), "rartist")).alias("ra"), F.col("rtitle").alias("rt"), own.alias("own"), sure.alias("sure")).where("sure").drop("sure")
 
 
 def propagate(pairs: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
@@ -225,17 +220,22 @@ def propagate(pairs: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
     right album match into the left one, the likelier each is. Two such titles are full support.
     """
     p = cut(pairs)
-    before = None
-    conf = p.withColumn("confidence", F.col("own"))
+    support, before = None, None
     for _ in range(rounds):
-        good = conf.where(F.col("confidence") >= ACCEPT)
-        support = good.groupBy("la", "ra").agg(F.approx_count_distinct("rt", 0.02).alias("titles"))
-        conf = cut(p.join(support, ["la", "ra"], "left").withColumn("confidence", F.col("own") * (1 - NEIGHBOUR) + NEIGHBOUR * F.least(F.lit(1.0), F.coalesce("titles", F.lit(0)) / 2)).drop("titles"))
-        now = conf.where(F.col("confidence") >= ACCEPT).agg(F.count("*"), F.sum(F.xxhash64("l", "r").cast("decimal(38,0)"))).first()
+        conf = _with_support(p, support)
+        support = cut(conf.where(F.col("confidence") >= ACCEPT).groupBy("la", "ra").agg(F.approx_count_distinct("rt", 0.02).alias("titles"), F.count("*").alias("pairs")))
+        now = support.agg(F.sum("pairs"), F.sum(F.xxhash64("la", "ra", "titles", "pairs").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    return conf.select("l", "r", "confidence", "own", "loose", "near", "ra")
+    return _with_support(p, support).select("l", "r", "confidence")
+
+
+def _with_support(p: DataFrame, support: DataFrame | None) -> DataFrame:
+    if support is None:
+        return p.withColumn("confidence", F.col("own"))
+    near = F.least(F.lit(1.0), F.coalesce("titles", F.lit(0)) / 2)
+    return p.join(support.select("la", "ra", "titles"), ["la", "ra"], "left").withColumn("confidence", F.col("own") * (1 - NEIGHBOUR) + NEIGHBOUR * near)
 
 
 def match_candidates(tracks: DataFrame, candidates: DataFrame, model: PairModel | None = None) -> DataFrame:
