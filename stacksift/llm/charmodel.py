@@ -93,6 +93,15 @@ def values_of(df: DataFrame, *columns: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.select(F.col(c).alias("value")) for c in columns])
 
 
+def gathered(rows: DataFrame, *columns: str, rows_a_task: int = 25_000) -> DataFrame:
+    """`rows` in ranges of the columns, so that equal values reach one worker and are worked on once.
+
+    The last column should tell rows apart: ranges then cut a hot value's rows into several tasks.
+    """
+    n = max(1, min(20_000, -(-rows.count() // rows_a_task)))
+    return rows.repartitionByRange(n, *columns)
+
+
 class PairModel:
     """Log-likelihoods and mutual information of adjacent characters."""
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core.session import cut
-from .charmodel import PairModel
+from .charmodel import PairModel, gathered
 from .encoding import clean_model, judge
 from .lookalike import consistent
 from .names import FILLERS, TITLES, fold, ratio
@@ -119,7 +119,8 @@ def _cleaned(spark, model: PairModel):
 def profiles(rows: DataFrame, key: str, seconds_: Column, model: PairModel) -> tuple[DataFrame, DataFrame]:
     """(profiles (id, title, version, album, artist, sec), members (id, key)): rows alike in all cleaned fields are one profile."""
     clean = _cleaned(rows.sparkSession, model)
-    read = rows.select(F.col(key).cast("bigint").alias("key"), clean("title", "album", F.coalesce(F.nullif("artist", F.lit("")), F.col("albumartist"))).alias("c"), F.round(seconds_, 1).alias("sec")).where("key is not null").select("key", "c.*", "sec").where("title <> ''")
+    slim = rows.select(F.col(key).cast("bigint").alias("key"), "title", "album", F.coalesce(F.nullif("artist", F.lit("")), F.col("albumartist")).alias("artist"), F.round(seconds_, 1).alias("sec")).where("key is not null and title is not null")
+    read = gathered(slim, "album", "title", "key").select("key", clean("title", "album", "artist").alias("c"), "sec").select("key", "c.*", "sec").where("title <> ''")
     sec = F.when(F.col("sec") > 0, F.col("sec"))
     read = cut(read.withColumn("sec", sec).withColumn("id", F.xxhash64("title", "version", "album", "artist", F.coalesce("sec", F.lit(-1.0)))))
     return read.drop("key").dropDuplicates(["id"]), read.select("id", "key").distinct()
