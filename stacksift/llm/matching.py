@@ -120,9 +120,9 @@ def profiles(rows: DataFrame, key: str, seconds_: Column, model: PairModel) -> t
     """(profiles (id, title, version, album, artist, sec), members (id, key)): rows alike in all cleaned fields are one profile."""
     clean = _cleaned(rows.sparkSession, model)
     slim = rows.select(F.col(key).cast("bigint").alias("key"), "title", "album", F.coalesce(F.nullif("artist", F.lit("")), F.col("albumartist")).alias("artist"), F.round(seconds_, 1).alias("sec")).where("key is not null and title is not null")
-    read = gathered(slim, "album", "title", "key").select("key", clean("title", "album", "artist").alias("c"), "sec").select("key", "c.*", "sec").where("title <> ''")
-    sec = F.when(F.col("sec") > 0, F.col("sec"))
-    read = cut(read.withColumn("sec", sec).withColumn("id", F.xxhash64("title", "version", "album", "artist", F.coalesce("sec", F.lit(-1.0)))))
+    read = gathered(slim, "album", "title", "key").select("key", clean("title", "album", "artist").alias("c"), F.when(F.col("sec") > 0, F.col("sec")).alias("sec"))
+    # filters wait for the checkpoint: before it, Spark would push them, and the cleaning, below the exchange
+    read = cut(read).select("key", "c.*", "sec").where("title <> ''").withColumn("id", F.xxhash64("title", "version", "album", "artist", F.coalesce("sec", F.lit(-1.0))))
     return read.drop("key").dropDuplicates(["id"]), read.select("id", "key").distinct()
 
 
