@@ -94,7 +94,8 @@ def suggestion() -> Column:
 
 def unsafe_replaced(text: Column, longest: int = 120) -> Column:
     """A path component without characters some file systems refuse, reserved names marked, cut at `longest`; '' becomes Unknown."""
-    out = F.regexp_replace(F.trim(F.regexp_replace(text, r'[<>:"/\\|?*\x00-\x1f]', "_")), r"[ .]+$", "")
-    out = F.when(F.lower(out).rlike(r"^(con|prn|aux|nul|com[1-9]|lpt[1-9])$"), F.concat(F.lit("_"), out)).otherwise(out)
-    out = F.when(F.length(out) > longest, F.regexp_replace(F.substring(out, 1, longest), r"[ ._-]+$", "")).otherwise(out)
-    return F.coalesce(F.nullif(out, F.lit("")), F.lit("Unknown"))
+    out = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r'[<>:"/\\|?*\x00-\x1f]', "_")), r"[ .]+$", "")
+    out = F.regexp_replace(out, r"^((?i)con|prn|aux|nul|com[1-9]|lpt[1-9])$", "_$1")
+    # replacements rather than conditions: a condition would repeat the whole expression in each branch
+    out = F.regexp_replace(out, rf"^([\s\S]{{0,{longest - 1}}}[^ ._-])[ ._-]*(?<=^[\s\S]{{{longest}}})[\s\S]+$", "$1")
+    return F.regexp_replace(F.substring(out, 1, longest), "^$", "Unknown")
