@@ -293,8 +293,8 @@ q("jn_16", "SELECT t.id, coalesce(nullif(t.apple_id, ''), CAST(b.c AS VARCHAR))
 
 # ---------------------------------------------------------------- aggregates
 _N = lambda c: F.count_if(c)
-q("agg_01", "SELECT count(*) AS tracks, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes, round(coalesce(sum(duration), 0), 2) AS seconds, count(DISTINCT artist) AS artists, count(DISTINCT album) AS albums, count_if(lossless) AS lossless, count_if(has_artwork) AS artwork, count_if(has_lyrics) AS lyrics FROM t WHERE status = 'active'", T)(
-    lambda s, d: lib(s, d, "status", "size_bytes", "duration", "artist", "album", "lossless", "has_artwork", "has_lyrics").where("status = 'active'").agg(F.count("*").alias("tracks"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"), F.round(F.coalesce(F.sum("duration"), F.lit(0.0)), 2).alias("seconds"), F.count_distinct("artist").alias("artists"), F.count_distinct("album").alias("albums"), _N(F.col("lossless")).alias("lossless"), _N(F.col("has_artwork")).alias("artwork"), _N(F.col("has_lyrics")).alias("lyrics")))
+q("agg_01", "SELECT count(*) AS tracks, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes, coalesce(CAST(sum(CAST(round(duration * 1000) AS BIGINT)) AS DOUBLE), 0) / 1000 AS seconds, count(DISTINCT artist) AS artists, count(DISTINCT album) AS albums, count_if(lossless) AS lossless, count_if(has_artwork) AS artwork, count_if(has_lyrics) AS lyrics FROM t WHERE status = 'active'", T)(
+    lambda s, d: lib(s, d, "status", "size_bytes", "duration", "artist", "album", "lossless", "has_artwork", "has_lyrics").where("status = 'active'").agg(F.count("*").alias("tracks"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"), (F.coalesce(F.sum(F.round(F.col("duration") * 1000).cast("bigint")).cast("double"), F.lit(0.0)) / 1000).alias("seconds"), F.count_distinct("artist").alias("artists"), F.count_distinct("album").alias("albums"), _N(F.col("lossless")).alias("lossless"), _N(F.col("has_artwork")).alias("artwork"), _N(F.col("has_lyrics")).alias("lyrics")))
 q("agg_02", "SELECT o_orderpriority AS kind, o_orderstatus AS state, count(*) AS n FROM orders GROUP BY ALL ORDER BY n DESC, kind, state")(lambda s, d: table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("state")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind", "state"))
 q("agg_03", "SELECT event_type AS action, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, action LIMIT 20")(lambda s, d: table(s, d, "events").groupBy(F.col("event_type").alias("action")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "action").limit(20))
 
@@ -334,7 +334,7 @@ q("agg_24", "SELECT count(apple_id) AS matched FROM t", T)(lambda s, d: lib(s, d
 q("agg_25", "SELECT round(100.0 * count_if(has_artwork) / nullif(count(*), 0), 2) AS artwork_share, round(100.0 * count_if(lossless) / nullif(count(*), 0), 2) AS lossless_share FROM t", T)(lambda s, d: lib(s, d, "has_artwork", "lossless").agg(*[F.round(F.try_divide(100.0 * _N(F.col(c)), F.count("*")), 2).alias(n) for c, n in (("has_artwork", "artwork_share"), ("lossless", "lossless_share"))]))
 q("agg_26", "SELECT folder, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM (SELECT size_bytes, unnest([array_to_string(p[1:k], '/') for k in range(1, len(p))]) AS folder FROM (SELECT size_bytes, string_split(path, '/') AS p FROM t)) GROUP BY folder", T)(lambda s, d: lib(s, d, "path", "size_bytes").select("size_bytes", F.explode(cleanup.ancestors(F.col("path"))).alias("folder")).groupBy("folder").agg(F.sum("size_bytes").alias("bytes")))
 q("agg_27", "SELECT day, greatest(2.0, round(100.0 * coalesce(n, 0) / max(n) OVER (), 4)) AS height FROM dd LEFT JOIN dn USING (day)", _DAYS)(
-    lambda s, d: (lambda x: x.join(F.broadcast(x.agg(F.max("n").alias("peak"))), F.lit(True)).select("day", F.greatest(F.lit(2.0), F.round(100.0 * F.col("n") / F.col("peak"), 4)).alias("height")))(daily_filled(table(s, d, "events"), "2024-01-01", "2024-02-15")))
+    lambda s, d: (lambda x: x.withColumn("one", F.lit(1)).join(x.agg(F.max("n").alias("peak")).withColumn("one", F.lit(1)), "one").select("day", F.greatest(F.lit(2.0), F.round(100.0 * F.col("n") / F.col("peak"), 4)).alias("height")))(daily_filled(table(s, d, "events"), "2024-01-01", "2024-02-15")))
 q("agg_28", "SELECT count(*) AS n, CAST(sum(t.size_bytes) AS BIGINT) AS bytes FROM m JOIN t ON t.id = m.track_id WHERE m.proposed_action = 'quarantine'", T, M)(lambda s, d: members(s, d).where("proposed_action = 'quarantine'").join(lib(s, d, "size_bytes").withColumnRenamed("id", "track_id"), "track_id").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes")))
 
 
