@@ -26,9 +26,9 @@ VERSIONS = ("live", "remix", "acoustic", "instrumental", "demo", "karaoke", "rad
 #: Seconds within which two copies of one recording lie, and the width of a duration slot.
 TOLERANCE = 3.6
 #: An edge is kept if its weight is at least this share of its candidate's heaviest edge.
-PRUNE = 0.35
+PRUNE = 0.12
 #: Confidence from which a pair is a match; share of a pair's confidence that comes from its neighbours.
-ACCEPT, NEIGHBOUR = 0.8, 0.15
+ACCEPT, NEIGHBOUR = 0.8, 0.1
 MOST_ROUNDS = 10
 
 _NUMBER = re.compile(r"^\s*(?:\d{1,3}\s*[-.)]+\s*|0\d\s+)")
@@ -56,8 +56,23 @@ def clean_title(value: str | None, model: PairModel | None = None) -> tuple[str,
     for inner in _BRACKET.findall(t):
         words = inner.strip()
         version = version or next((v for v in VERSIONS if words == v or words.endswith(" " + v) or words.startswith(v + " ") or len(words) >= 3 and v.startswith(words) or len(words) >= 4 and ratio(words, v) >= 0.8), "")
-    core = re.sub(r"\W+", "", _BRACKET.sub(" ", t))
-    return core or re.sub(r"\W+", "", t), version
+    return _words(_BRACKET.sub(" ", t)) or _words(t), version
+
+
+def _words(text: str) -> str:
+    """Words of letters and digits with single spaces; apostrophes join."""
+    return " ".join(re.findall(r"\w+", re.sub("['’`´]", "", text)))
+
+
+def title_ratio(a: str, b: str) -> float:
+    """LCS ratio of two titles; half of it where one word for word of them is another one rather than mistyped."""
+    if a == b:
+        return 1.0
+    r = ratio(a, b)
+    x, y = a.split(), b.split()
+    if len(x) == len(y) and any(p != q and max(len(p), len(q)) > 3 and ratio(p, q) < 0.6 for p, q in zip(x, y, strict=True)):
+        return r / 2
+    return r
 
 
 def clean_album(value: str | None, model: PairModel | None = None) -> str:
@@ -190,7 +205,7 @@ def _similarities():
                 return s
             return max([s] + [r(v, w) for v in p.split()[:2] for w in q.split()[:2] if len(v) > 3 and len(w) > 3])
 
-        return pd.DataFrame({"title": [r(p, q) for p, q in zip(t, u, strict=True)], "album": [vol(p, q) for p, q in zip(a, b, strict=True)], "artist": [who(p, q) for p, q in zip(x, y, strict=True)]}, dtype="float64")
+        return pd.DataFrame({"title": [title_ratio(p, q) for p, q in zip(t, u, strict=True)], "album": [vol(p, q) for p, q in zip(a, b, strict=True)], "artist": [who(p, q) for p, q in zip(x, y, strict=True)]}, dtype="float64")
 
     return similar
 
@@ -211,7 +226,7 @@ def score_pairs(graph: DataFrame, left: DataFrame, right: DataFrame) -> DataFram
     own = own * F.when(w.isNull(), 0.98).otherwise(0.8 + 0.2 * w)
     # without both albums a pair needs its length and a title as good as equal
     sure = (t >= 0.72) & F.when(a.isNotNull(), a >= 0.7).otherwise((t >= 0.9) & F.col("lsec").isNotNull() & F.col("rsec").isNotNull() & F.coalesce(w >= 0.75, F.lit(False)))
-    return p.select("l", "r", F.col("lalbum").alias("la"), F.when(F.col("ralbum") != "", F.col("ralbum")).otherwise(F.concat(F.lit("~"), "rartist")).alias("ra"), F.col("rtitle").alias("rt"), own.alias("own"), sure.alias("sure")).where("sure").drop("sure")
+    return p.select("l", "r", F.col("lalbum").alias("la"), F.when(F.col("ralbum") != "", F.col("ralbum")).otherwise(F.concat(F.lit("~"), "rartist")).alias("ra"), F.col("rtitle").alias("rt"), own.alias("own"), a.isNull().alias("loose"), sure.alias("sure")).where("sure").drop("sure")
 
 
 def propagate(pairs: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
@@ -236,7 +251,8 @@ def _with_support(p: DataFrame, support: DataFrame | None) -> DataFrame:
     if support is None:
         return p.withColumn("confidence", F.col("own"))
     near = F.least(F.lit(1.0), F.coalesce("titles", F.lit(0)) / 2)
-    return p.join(support.select("la", "ra", "titles"), ["la", "ra"], "left").withColumn("confidence", F.col("own") * (1 - NEIGHBOUR) + NEIGHBOUR * near)
+    refined = F.when(F.col("loose"), F.col("own")).otherwise(F.col("own") * (1 - NEIGHBOUR) + NEIGHBOUR * near)  # without both albums there are no neighbours
+    return p.join(support.select("la", "ra", "titles"), ["la", "ra"], "left").withColumn("confidence", refined)
 
 
 def match_candidates(tracks: DataFrame, candidates: DataFrame, model: PairModel | None = None) -> DataFrame:

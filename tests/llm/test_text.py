@@ -115,8 +115,9 @@ def test_lengths_in_words(spark):
 
 def test_cleaned_titles():
     c = matching.clean_title
-    assert c("05 - No More Lantern [HQ]") == c("No_More_Lantern (feat. X)") == ("nomorelantern", "")
-    assert c("No More Lantern (Live)") == ("nomorelantern", "live") and c("X (Acostic)")[1] == "acoustic"
+    assert c("05 - No More Lantern [HQ]") == c("No_More_Lantern (feat. X)") == ("no more lantern", "")
+    assert c("No More Lantern (Live)") == ("no more lantern", "live") and c("X (Acostic)")[1] == "acoustic"
+    assert matching.title_ratio("dont wake the ember", "dont wake the mirror") < 0.5 < matching.title_ratio("the scond waltz", "the second waltz")
     assert matching.clean_album("2019 - Café Gofar (Deluxe Edition)") == matching.clean_album("cafe gofar CD2") == "cafegofar"
 
 
