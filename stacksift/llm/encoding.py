@@ -24,7 +24,7 @@ MISREAD = ("cp1252", "latin-1", "cp1251", "cp1256", "cp1250", "cp437", "cp850",
 #: Pairs (wrongly used, right) of single-byte encodings (fixed values).
 SINGLE = (("cp1252", "cp1251"), ("cp1252", "cp1256"), ("cp1252", "cp1253"), ("cp1252", "cp1250"), ("cp1252", "koi8-r"), ("cp1252", "iso8859-2"), ("cp1252", "iso8859-5"), ("cp1252", "cp1254"), ("cp1251", "cp1252"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp1250", "cp1252"), ("cp1256", "cp1252"), ("cp1253", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp437", "cp1251"), ("cp1252", "cp866"), ("cp1252", "mac_cyrillic"))
 #: Bits of mutual information at which a pair is neither probable nor improbable.
-NEUTRAL = 2e-4
+NEUTRAL = 8e-4
 #: What a single-byte mapping must gain in log-likelihood, in all and for each character it changes.
 GAIN, GAIN_EACH = 6.0, 1.2
 
@@ -94,13 +94,15 @@ def segments(text: str, model: PairModel) -> list[tuple[int, int]]:
     A pair's score is log2(NEUTRAL / information), within +-3; plain ASCII pairs score nothing above 0.
     Ruzzo and Tompa's linear pass finds all disjoint maximal segments.
     """
-    s = START + text + END
+    s = START + re.sub(r"[\s_]", " ", text) + END
     scores, known, some = [], model.scores, False
     for i in range(len(s) - 1):
         p = s[i : i + 2]
         x = known.get(p)
         if x is None:
-            x = max(-3.0, min(3.0, math.log2(NEUTRAL / max(model.info(p), 1e-12))))
+            # the model has word ends, not the space between words
+            pair = START + p[1] if p[0] == " " else p[0] + END if p[1] == " " else p
+            x = max(-3.0, min(3.0, math.log2(NEUTRAL / max(model.info(pair), 1e-12))))
             x = known[p] = min(x, 0.0) if p.isascii() else x
         scores.append(x)
         some = some or x > 0
@@ -166,12 +168,15 @@ def _spans(text: str, model: PairModel) -> list[tuple[int, int]]:
 
 #: Encodings whose letters are not Latin (fixed values).
 OTHER_SCRIPTS = {"cp1251", "cp1256", "cp1253", "koi8-r", "iso8859-5", "cp866", "mac_cyrillic"}
+_ADJACENT = re.compile(r"[^\x00-\x7f]{2}")
+#: Mean log-likelihood of a run above which no single-byte mapping can gain GAIN_EACH a character.
+LIKELY = -3.2
 _TOUCHING = re.compile(r"[A-Za-z][^\x00-\xbf]|[^\x00-\xbf][A-Za-z]")
 
 
 def _maps(run: str, single: bool) -> Iterator[tuple[str, str, bool]]:
     """(name, restored run, from UTF-8) by every inverse mapping that applies to a run; text misread twice is undone twice."""
-    for codec in MISREAD:
+    for codec in MISREAD if _ADJACENT.search(run) else ():  # a misread sequence is two characters or more
         got, n = _undo(run, codec)
         if n:
             yield f"utf-8 as {codec}", got, True
@@ -208,10 +213,10 @@ def repair(text: str, model: PairModel) -> tuple[str, str] | None:
     for a, b in spans:
         run = text[a:b]
         high = sum(not c.isascii() for c in run)
-        for how, new, multi in _maps(run, high > 1):
+        for how, new, multi in _maps(run, high > 1 and model.of(run) < LIKELY * (len(run) + 1)):
             if new == run or not multi and not all(c.isalpha() for c in new if not c.isascii()):
                 continue
-            if not _sane(new.replace("�", "")) and multi and not any(0x80 <= ord(c) < 0xA0 for c in run):
+            if multi and not _sane(new.replace("�", "")) and not any(0x80 <= ord(c) < 0xA0 for c in run):
                 continue
             whole = text[:a] + new + text[b:]
             gain = model.of(plain(whole) if odd else whole) - at
