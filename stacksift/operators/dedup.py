@@ -39,7 +39,7 @@ def similar_sound(tracks: DataFrame, tolerance: float = TOLERANCE, least: float
     what is in one block shares 16 bits and a slot, and equal fingerprints are already one class.
     """
     t = tracks.where("fingerprint is not null and duration > 0").select("id", "fingerprint", "duration")
-    classes = cut(t.withColumn("cls", F.min("id").over(_by("fingerprint", "duration"))))
+    classes = cut(_classes(t, ["fingerprint", "duration"]))
     c = classes.where("id = cls").withColumn("w", fingerprint.words(F.col("fingerprint"))).where("w is not null").select("id", "duration", "w")
     slot = F.floor(F.col("duration") / max(1.0, tolerance))
     keys = c.select("id", F.explode(fingerprint.band_keys(F.col("w"))).alias("band"), slot.alias("slot"))
@@ -49,10 +49,9 @@ def similar_sound(tracks: DataFrame, tolerance: float = TOLERANCE, least: float
     return _spread(classes.select("id", "cls"), _linked(both.where(fingerprint.agreement_column()("wa", "wb") >= least)))
 
 
-def _by(*columns: str):
-    from pyspark.sql import Window as W
-
-    return W.partitionBy(*columns)
+def _classes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` with `cls`, the least id among those alike in `keys`; aggregated first, so no task sorts a class."""
+    return rows.join(rows.groupBy(*keys).agg(F.min("id").alias("cls")), keys)
 
 
 def similar_tags(tracks: DataFrame, tolerance: float = TOLERANCE, title_ratio: float = TITLE_RATIO) -> DataFrame:
@@ -64,7 +63,7 @@ def similar_tags(tracks: DataFrame, tolerance: float = TOLERANCE, title_ratio: f
     components over all blocks and disjoint; blocks have no cap, since equal tags are one class already.
     """
     t = tracks.select("id", normalised(F.col("title")).alias("t"), normalised(F.coalesce(F.nullif("artist", F.lit("")), F.col("albumartist"))).alias("a"), "duration").where("t <> '' and duration > 0")
-    classes = cut(t.withColumn("cls", F.min("id").over(_by("t", "a", "duration"))))
+    classes = cut(_classes(t, ["t", "a", "duration"]))
     c = classes.where("id = cls").select("id", "t", "a", "duration")
     head = F.concat_ws("|", F.array_join(F.slice(F.split("t", " "), 1, 3), " "), F.substring("a", 1, 24))
     slot = F.floor(F.col("duration") / max(1.0, tolerance))

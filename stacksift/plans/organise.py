@@ -53,13 +53,13 @@ def targets(tracks: DataFrame, root: str = "") -> DataFrame:
 def numbered(plan: DataFrame) -> DataFrame:
     """(id, path, target, changed): targets unique without regard to case, later ids taking ' (2)', ' (3)', ...
 
-    A target wanted by several tracks is settled by claims in order of id within its folder, because a
-    made-up name may be another's real one; folders without a repeated target skip that step. A file that
-    already lies on its target keeps it.
+    A target wanted by several tracks is settled by claims in order of id among the targets that differ in a
+    number at most, because a made-up name may be another's real one; all other targets skip that step. A
+    file that already lies on its target keeps it.
     """
-    p = plan.withColumn("folder", F.lower(F.regexp_replace("target", "/[^/]*$", "")))
-    repeated = p.groupBy(F.lower("target").alias("t"), "folder").agg(F.count("*").alias("n")).where("n > 1").select("folder").distinct()
-    plain = p.join(repeated, "folder", "left_anti").select("id", "path", "target")
+    p = plan.withColumn("base", F.lower(F.regexp_replace("target", r"( \(\d+\))+(?=\.[^./]*$)", "")))
+    repeated = p.groupBy("base").agg(F.count("*").alias("n")).where("n > 1").select("base")
+    plain = p.join(repeated, "base", "left_anti").select("id", "path", "target")
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         taken: set[str] = set()
@@ -74,6 +74,6 @@ def numbered(plan: DataFrame) -> DataFrame:
             out.append((r.id, r.path, name))
         return pd.DataFrame(out, columns=["id", "path", "target"])
 
-    settled = p.join(repeated, "folder", "left_semi").groupBy("folder").applyInPandas(settle, "id bigint, path string, target string")
+    settled = p.join(repeated, "base", "left_semi").groupBy("base").applyInPandas(settle, "id bigint, path string, target string")
     return plain.unionByName(settled).withColumn("changed", F.lower("target") != F.lower("path"))
 
