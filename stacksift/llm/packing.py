@@ -11,11 +11,11 @@ allows. Documents then find their container by their rank within their size.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
-
+from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..core.session import cut
@@ -23,6 +23,8 @@ from .bpe import TOKENIZERS, count_column, spread, vocabulary
 
 #: Nodes of one search; beyond it the best filling so far (best fit at least) is used.
 SEARCH_NODES = 20_000
+#: Rows `capacities` may have; each is a packing of the whole corpus.
+MOST_CAPACITIES = 1000
 
 
 def complete(room: int, sizes: list[int], count: dict[int, int], nodes: int = SEARCH_NODES) -> list[int]:
@@ -122,49 +124,44 @@ def pack(sized: DataFrame, capacity_id: int, capacity: int, rows_a_salt: int = 1
     n = F.col("n_tokens")
     full = F.floor(n / c).cast("bigint")
     parts = sized.where("doc_id is not null and n_tokens is not null").select("doc_id", "n_tokens", full.alias("full"), (n % c).alias("rest")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    counts = parts.groupBy("rest", "salt").agg(F.count("*").alias("k"), F.sum("full").alias("whole")).collect()  # capacity x salts rows at most
-    histogram: dict[int, int] = {}
-    start: dict[tuple[int, int], int] = {}
-    whole_start: dict[tuple[int, int], int] = {}
-    wholes = 0
-    for r in sorted(counts, key=lambda r: (r["rest"], r["salt"])):
-        start[r["rest"], r["salt"]] = histogram.get(r["rest"], 0)
-        histogram[r["rest"]] = histogram.get(r["rest"], 0) + r["k"]
-        whole_start[r["rest"], r["salt"]] = wholes
+    per_part = parts.groupBy("rest", "salt").agg(F.count("*").alias("k"), F.sum("full").alias("whole"))
+    by_size = per_part.groupBy("rest").agg(F.sum("k").alias("k"), F.sum("whole").alias("whole")).collect()  # `capacity` rows at most
+    histogram = {r["rest"]: r["k"] for r in by_size}
+    firsts, wholes = {}, 0
+    for r in sorted(by_size, key=lambda r: r["rest"]):
+        firsts[r["rest"]] = wholes
         wholes += r["whole"]
     histogram.pop(0, None)
     fillings = plan(histogram, c)
     slots = _slots(fillings)
     packed = sum(t for t, _ in fillings)
     containers = packed + wholes
-    spark = sized.sparkSession
-    shared = spark.sparkContext.broadcast((slots, start, whole_start))  # bounded by capacity x salts entries
-
-    from pyspark.sql import Window as W
-
-    ranked = parts.withColumn("i", F.row_number().over(w := W.partitionBy("rest", "salt").orderBy("doc_id")) - 1).withColumn("w", F.sum("full").over(w.rowsBetween(W.unboundedPreceding, -1)))
+    shared = sized.sparkSession.sparkContext.broadcast((slots, firsts))  # bounded by the capacity, not the corpus
+    # where a part's ranks and whole containers start within its size: a window over the parts of one size
+    upto = W.partitionBy("rest").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
+    starts = per_part.select("rest", "salt", F.coalesce(F.sum("k").over(upto), F.lit(0)).alias("k0"), F.coalesce(F.sum("whole").over(upto), F.lit(0)).alias("w0"))
+    w = W.partitionBy("rest", "salt").orderBy("doc_id")
+    ranked = parts.withColumn("i", F.row_number().over(w) - 1).withColumn("w", F.coalesce(F.sum("full").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    ranked = ranked.join(starts, ["rest", "salt"]).withColumn("i", F.col("i") + F.col("k0")).withColumn("w", F.col("w") + F.col("w0"))
 
     @F.pandas_udf("struct<container: bigint, first_full: bigint>")
-    def place(rest: pd.Series, salt: pd.Series, i: pd.Series, w_: pd.Series) -> pd.DataFrame:
-        slots_, start_, whole_ = shared.value
-        keys = list(zip(rest, salt, strict=True))
-        rank = np.fromiter((start_[k] for k in keys), np.int64, len(keys)) + i.to_numpy(np.int64)
-        out = np.full(len(keys), -1, np.int64)
-        for s in np.unique(rest):
-            if s in slots_:
-                m = (rest == s).to_numpy()
-                first, box, per = slots_[s]
+    def place(rest: pd.Series, i: pd.Series, w_: pd.Series) -> pd.DataFrame:
+        slots_, firsts_ = shared.value
+        rank, sizes = i.to_numpy(np.int64), rest.to_numpy(np.int64)
+        out = np.zeros(len(rank), np.int64)
+        first_full = packed + w_.to_numpy(np.int64)
+        for s in np.unique(sizes):
+            m = sizes == s
+            first_full[m] += firsts_[int(s)]
+            if int(s) in slots_:
+                first, box, per = slots_[int(s)]
                 j = np.searchsorted(first, rank[m], "right") - 1
                 out[m] = box[j] + (rank[m] - first[j]) // per[j]
             elif containers:
-                m = ((rest == s)).to_numpy()
                 out[m] = rank[m] % containers
-            else:
-                out[(rest == s).to_numpy()] = 0
-        first_full = packed + np.fromiter((whole_[k] for k in keys), np.int64, len(keys)) + w_.fillna(0).to_numpy(np.int64)
         return pd.DataFrame({"container": out, "first_full": first_full})
 
-    placed = ranked.withColumn("p", place("rest", "salt", "i", F.coalesce("w", F.lit(0))))
+    placed = ranked.withColumn("p", place("rest", "i", "w"))
     pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.col("full") - 1, F.lit(0))), lambda x: F.struct((F.col("p.first_full") + x).alias("container_id"), x.alias("piece"), (x * c).alias("token_start"), F.lit(c).cast("bigint").alias("n_tokens")))
     last = F.struct(F.col("p.container").alias("container_id"), F.col("full").alias("piece"), (F.col("full") * c).alias("token_start"), F.col("rest").alias("n_tokens"))
     all_ = F.concat(F.when(F.col("full") > 0, pieces).otherwise(F.array().cast("array<struct<container_id:bigint,piece:bigint,token_start:bigint,n_tokens:bigint>>")), F.when((F.col("rest") > 0) | (F.col("full") == 0), F.array(last)).otherwise(F.array().cast("array<struct<container_id:bigint,piece:bigint,token_start:bigint,n_tokens:bigint>>")))
@@ -173,9 +170,9 @@ def pack(sized: DataFrame, capacity_id: int, capacity: int, rows_a_salt: int = 1
 
 def pack_documents(documents: DataFrame, capacities: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """`pack` of all documents for every row of `capacities` (capacity_id, tokenizer, capacity_tokens; a small, fixed table)."""
-    from functools import reduce
-
-    rows = capacities.select("capacity_id", "tokenizer", "capacity_tokens").distinct().limit(1000).collect()
+    rows = capacities.select("capacity_id", "tokenizer", "capacity_tokens").distinct().limit(MOST_CAPACITIES + 1).collect()
+    if len(rows) > MOST_CAPACITIES:
+        raise ValueError("more capacities than one call may pack")
     sized = {t: cut(sized_documents(documents, t, folder)) for t in sorted({r["tokenizer"] for r in rows})}
     if not rows:
         return documents.sparkSession.createDataFrame([], "capacity_id bigint, container_id bigint, doc_id bigint, piece bigint, token_start bigint, n_tokens bigint")
