@@ -567,3 +567,74 @@ def _fresh(name: str) -> str:
     import uuid
 
     return f"{name}_{uuid.uuid4().hex}"
+
+
+# ---------------------------------------------------------------- the rest of the inventory
+q("win_02", "SELECT group_id, track_id, s_duration FROM sc", T, M, _SCORED)(lambda s, d: decision.scored(group_members(s, d)).select("group_id", "track_id", "s_duration"))
+q("win_11")(lambda s, d: organise.numbered(quarantine(s, d).select("id", F.col("original_path").alias("path"), F.concat(F.lit("/q/"), F.substring_index("quarantine_path", "/", -1)).alias("target"))))
+
+
+@q("jn_17")
+def jn_17(s, d):
+    """The best entry of an album's track list for each answer that names the album: title ratio of 82 or more."""
+    n = text.normalised
+    album = table(s, d, "tracks").where("album <> ''").select(lower("album").alias("al"), n(F.col("title")).alias("t")).where("t <> ''").distinct()
+    want = table(s, d, "candidates").where("album <> ''").select("candidate_id", lower("album").alias("al"), n(F.col("title")).alias("w")).distinct()
+    scored = want.join(album, "al").withColumn("ratio", fuzzy.ratio_column(fuzzy.token_sort_ratio)("w", "t")).where("ratio >= 82")
+    return scored.groupBy("candidate_id").agg(F.max_by(F.struct("t", F.round("ratio", 4).alias("ratio")), F.struct("ratio", "t")).alias("b")).select("candidate_id", "b.t", "b.ratio")
+
+
+@q("fn_16")
+def fn_16(s, d):
+    """Confidence of an answer by title .45, artist .30, album .15 and length .10, unknown fields counting partly."""
+    n, sort_, set_ = text.normalised, fuzzy.ratio_column(fuzzy.token_sort_ratio), fuzzy.ratio_column(fuzzy.token_set_ratio)
+    t = lib(s, d, "title", "artist", "album").where("title <> ''").withColumn("k", lower("title"))
+    c = table(s, d, "candidates").distinct().select(lower("title").alias("k"), "candidate_id", F.col("title").alias("ct"), F.col("artist").alias("ca"), F.col("album").alias("cl"))
+    blank = lambda x: F.coalesce(x, F.lit("")) == ""
+    p = t.join(c, "k")
+    score = 0.45 * sort_(n(F.col("title")), n(F.col("ct"))) / 100 + F.when(blank(F.col("artist")), 0.15).when(blank(F.col("ca")), 0.0).otherwise(0.30 * set_(n(F.col("artist")), n(F.col("ca"))) / 100) + F.when(blank(F.col("album")), 0.07).when(blank(F.col("cl")), 0.0).otherwise(0.15 * sort_(n(F.col("album")), n(F.col("cl"))) / 100) + 0.04
+    return p.select("id", "candidate_id", F.round(F.least(F.lit(1.0), score), 4).alias("confidence"))
+
+
+@q("fn_23", "SELECT id, CAST(artwork_px AS INT) AS width FROM t WHERE artwork_px BETWEEN 1 AND 1000000", T)
+def fn_23(s, d):
+    """Widths read back from PNG headers made of them."""
+    from .functions.register import image_width
+
+    t = lib(s, d, "artwork_px").where("artwork_px between 1 and 1000000")
+    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), F.lpad(F.hex("artwork_px"), 8, "0"), F.lit("00000001")))
+    return t.select("id", image_width()(png).alias("width"))
+
+
+q("fn_26", "SELECT event_id, replace(props, '\"k\": 6', '***') AS props FROM events")(lambda s, d: table(s, d, "events").select("event_id", text.redacted(F.col("props"), ['"k": 6', "no"]).alias("props")))
+
+
+def _target(s, name: str) -> str:
+    from .core.session import checkpoint_dir
+
+    return f"{checkpoint_dir(s)}/{_fresh(name)}"
+
+
+@q("snk_04", "SELECT event_type AS action, count(*) AS n FROM events GROUP BY 1")
+def snk_04(s, d):
+    """Audit rows appended in two writes, read back."""
+    at, e = _target(s, "audit"), table(s, d, "events").select(F.col("event_type").alias("action"), "event_id")
+    e.where("event_id % 2 = 0").write.mode("append").parquet(at)
+    e.where("event_id % 2 = 1").write.mode("append").parquet(at)
+    return s.read.parquet(at).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@q("str_03", "SELECT path FROM ch WHERE change IN ('added', 'updated')", T, _SNAP)
+def str_03(s, d):
+    """What an incremental pass would work on: everything but unchanged, missing and corrupt files."""
+    return incremental.changes(disk_of(s, d), index_of(s, d)).where("change in ('added', 'updated')").select("path")
+
+
+@q("str_04", "SELECT event_id, md5(props) AS digest FROM events")
+def str_04(s, d):
+    """A resumable backfill in micro-batches, run twice; the second run finds nothing to do."""
+    at = _target(s, "backfill")
+    work = lambda b: b.select("event_id", F.md5("props").alias("digest"))
+    for _ in range(2):
+        activity.apply_batches(activity.events_stream(s, d), _fresh("backfill"), at, "event_id", work)
+    return s.read.parquet(at)

@@ -60,3 +60,24 @@ def admitted(events: DataFrame, calls: int, seconds: float) -> DataFrame:
         state.update((hits,))
 
     return events.groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, admitted boolean", "hits array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def backfill(rows: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
+    """What of `rows` is not in `done` yet; run again after a stop, it goes on where it stopped."""
+    return rows.join(done.select(key), key, "left_anti")
+
+
+def apply_batches(stream: DataFrame, name: str, target: str, key: str, work) -> None:
+    """Runs `work` over each micro-batch's rows that `target` lacks and appends the result, so a repeated batch adds nothing."""
+    spark = stream.sparkSession
+
+    def one(batch: DataFrame, _: int) -> None:
+        try:
+            known = spark.read.parquet(target)
+        except Exception as e:  # the first batch finds no target
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            known = batch.limit(0)
+        work(backfill(batch.dropDuplicates([key]), known, key)).write.mode("append").parquet(target)
+
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{checkpoint_dir(spark)}/{name}").trigger(availableNow=True).start().awaitTermination()

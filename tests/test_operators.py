@@ -128,3 +128,13 @@ def test_stream_equals_batch_and_admits(spark, data):
             h.append(events[e])
         hits[by_user[e]] = h
     assert {r.event_id for r in ok if r.admitted} == want
+
+
+def test_registered_functions(spark):
+    from stacksift.functions.register import register_udfs
+
+    register_udfs(spark)
+    png = "89504E470D0A1A0A0000000D4948445200000258000000010806"
+    jpg = "FFD8FFE000104A46494600010100000100010000FFC00011080064012C03"
+    r = spark.sql(f"select token_sort_ratio('b a', 'a b') as r, nfkc('ﬁ') as n, image_width(unhex('{png}')) as p, image_width(unhex('{jpg}')) as j, image_width(unhex('00')) as x").first()
+    assert (r.r, r.n, r.p, r.j, r.x) == (100.0, "fi", 600, 300, None)
