@@ -218,6 +218,8 @@ def repair(text: str, model: PairModel) -> tuple[str, str] | None:
                 continue
             if multi and not _sane(new.replace("�", "")) and not any(0x80 <= ord(c) < 0xA0 for c in run):
                 continue
+            if multi and not all(c.isascii() or not model.right.keys().isdisjoint((c, c.lower(), c.upper())) or c in SIGNS or c == "�" for c in set(new) - set(run)):
+                continue  # a letter that no clean value has
             whole = text[:a] + new + text[b:]
             gain = model.of(plain(whole) if odd else whole) - at
             if not multi and (gain < GAIN or gain < GAIN_EACH * high):
