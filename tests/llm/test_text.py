@@ -141,6 +141,7 @@ def kinds(text):
 def test_items_of_each_kind():
     assert kinds("Write to ann.lee+x (at) mill-music (dot) example please. Rip@320kbps") == [("email", "ann.lee+x (at) mill-music (dot) example")]
     assert kinds("Ring me on +44 7700 900 023, not 2004311285002. Tel. 555-0166 ext. 07") == [("phone", "+44 7700 900 023"), ("phone", "555-0166 ext. 07")]
+    assert kinds("the shop has the other reel 020 7946 0105 (ask for the shop) reel 33197") == [("phone", "020 7946 0105")]
     assert kinds("My passport number is QQ 13 03 14 C. Barcode on the back is 2004311285002") == [("id_number", "QQ 13 03 14 C")]
     assert kinds("ship to Flat 18, 22 Nuper Street,\nLenor Bay QX12 3HN soon") == [("address", "Flat 18, 22 Nuper Street,\nLenor Bay QX12 3HN")]
     assert kinds("Signed: Susanna Draherkarju\nThe reel was donated by M. KALMARUK's family.") == [("person_name", "Susanna Draherkarju"), ("person_name", "M. KALMARUK")]
