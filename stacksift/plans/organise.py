@@ -6,8 +6,10 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..core.session import cut
 from ..functions.media import unsafe_replaced
 
 #: Path templates (fixed values).
@@ -53,27 +55,38 @@ def targets(tracks: DataFrame, root: str = "") -> DataFrame:
 def numbered(plan: DataFrame) -> DataFrame:
     """(id, path, target, changed): targets unique without regard to case, later ids taking ' (2)', ' (3)', ...
 
-    A target wanted by several tracks is settled by claims in order of id among the targets that differ in a
-    number at most, because a made-up name may be another's real one; all other targets skip that step. A
-    file that already lies on its target keeps it.
+    A target wanted by several tracks, or where another track's file lies, is settled by claims in order of id
+    among the names that differ in a number at most, because a made-up name may be another's real one; all
+    other targets skip that step. A file that already lies on its target keeps it. A track that finds none of
+    its MOST_NUMBERS - 1 names free stays where it is, unchanged. So do all but the first MOST_NUMBERS - 1
+    that want one target (the first ones hold its names, or none was free but where the track itself lies),
+    hence they need no claim and a hot target's group is bounded.
     """
-    p = plan.withColumn("base", F.lower(F.regexp_replace("target", r"( \(\d+\))+(?=\.[^./]*$)", "")))
-    repeated = p.groupBy("base").agg(F.count("*").alias("n")).where("n > 1").select("base")
+    base = lambda c: F.lower(F.regexp_replace(c, r"( \(\d+\))+(?=\.[^./]*$)", ""))
+    p = cut(plan.withColumn("base", base("target")))  # rendered once, used four times
+    files = p.select(base("path").alias("base"), F.lower("path").alias("file"))
+    wanted = p.groupBy("base").agg(F.count("*").alias("n"))
+    others = p.where(F.lower("path") != F.lower("target")).select("base").join(files, "base", "left_semi").select("base").distinct()
+    repeated = wanted.where("n > 1").select("base").unionByName(others).distinct()
     plain = p.join(repeated, "base", "left_anti").select("id", "path", "target")
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
+    def settle(pdf: pd.DataFrame, occupied: pd.DataFrame) -> pd.DataFrame:
+        taken, lying = set(), set(occupied["file"])
         out = []
         for r in pdf.sort_values("id").itertuples(index=False):
             stem, dot, ext = r.target.rpartition(".")
-            name, k = r.target, 1
-            while name.lower() in taken and name.lower() != r.path.lower() and k < MOST_NUMBERS:
-                k += 1
-                name = f"{stem} ({k}){dot}{ext}"
-            taken.add(name.lower())
-            out.append((r.id, r.path, name))
+            own, target = r.path.lower(), r.path
+            for k in range(1, MOST_NUMBERS):
+                name = r.target if k == 1 else f"{stem} ({k}){dot}{ext}"
+                if name.lower() not in taken and (name.lower() not in lying or name.lower() == own):
+                    target = name
+                    break
+            taken.add(target.lower())
+            out.append((r.id, r.path, target))
         return pd.DataFrame(out, columns=["id", "path", "target"])
 
-    settled = p.join(repeated, "base", "left_semi").groupBy("base").applyInPandas(settle, "id bigint, path string, target string")
-    return plain.unionByName(settled).withColumn("changed", F.lower("target") != F.lower("path"))
-
+    several = p.join(repeated, "base", "left_semi").withColumn("rank", F.row_number().over(W.partitionBy(F.lower("target")).orderBy("id")))
+    stay = several.where(F.col("rank") >= MOST_NUMBERS).select("id", "path", F.col("path").alias("target"))
+    first = several.where(F.col("rank") < MOST_NUMBERS).drop("rank")
+    settled = first.groupBy("base").cogroup(files.join(repeated, "base", "left_semi").groupBy("base")).applyInPandas(settle, "id bigint, path string, target string")
+    return plain.unionByName(settled).unionByName(stay).withColumn("changed", F.lower("target") != F.lower("path"))

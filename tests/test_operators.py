@@ -88,6 +88,15 @@ def test_targets_are_unique_and_tidy_files_stay(spark):
     assert got == {1: ("/lib/A/2000 - B/01 - T.mp3", True), 2: ("/lib/A/2000 - B/01 - t (2).mp3", True), 3: ("/lib/A/2000 - B/02 - Mr. Z.mp3", False), 4: ("/lib/A/Singles/Solo.mp3", True)}
 
 
+def test_a_target_wanted_too_often_is_refused(spark):
+    rows = [(i, f"/in/{i}.mp3", "/lib/T.mp3") for i in range(1, 151)] + [(200, "/lib/T (3).mp3", "/lib/t.mp3"), (201, "/lib/U.mp3", "/lib/V.mp3"), (202, "/in/u.mp3", "/lib/u.mp3")]
+    got = {r.id: r for r in organise.numbered(spark.createDataFrame(rows, "id bigint, path string, target string")).collect()}
+    assert len(got) == len(rows) and len({r.target.lower() for r in got.values()}) == len(rows)
+    assert [got[i].target for i in (1, 2, 3, 98)] == ["/lib/T.mp3", "/lib/T (2).mp3", "/lib/T (4).mp3", "/lib/T (99).mp3"]
+    assert all(got[i].target == got[i].path and not got[i].changed for i in [*range(99, 151), 200])
+    assert got[201].target == "/lib/V.mp3" and got[202].target == "/lib/u (2).mp3"
+
+
 def test_empty_folders_and_categories(spark):
     folders = spark.createDataFrame([("/a",), ("/a/b",), ("/a/b/c",), ("/d",)], "path string")
     files = spark.createDataFrame([("/a/b/x.lrc",), ("/a/y.mp3",)], "path string")
