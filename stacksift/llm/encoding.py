@@ -169,8 +169,6 @@ def _spans(text: str, model: PairModel) -> list[tuple[int, int]]:
 #: Encodings whose letters are not Latin (fixed values).
 OTHER_SCRIPTS = {"cp1251", "cp1256", "cp1253", "koi8-r", "iso8859-5", "cp866", "mac_cyrillic"}
 _ADJACENT = re.compile(r"[^\x00-\x7f]{2}")
-#: Mean log-likelihood of a run above which no single-byte mapping can gain GAIN_EACH a character.
-LIKELY = -3.2
 _TOUCHING = re.compile(r"[A-Za-z][^\x00-\xbf]|[^\x00-\xbf][A-Za-z]")
 
 
@@ -201,6 +199,12 @@ def _maps(run: str, single: bool) -> Iterator[tuple[str, str, bool]]:
                     pass
 
 
+def _most(text: str, a: int, b: int, model: PairModel) -> float:
+    """The most that other non-ASCII characters in text[a:b] could gain: no pair's log-likelihood exceeds 0, and pairs of ASCII characters stay."""
+    s = START + text[max(0, a - 1) : b + 1].replace(" ", END + START) + END
+    return -sum([model.log(p) for p in [s[i : i + 2] for i in range(len(s) - 1)] if not p.strip(START + END).isascii()])
+
+
 def repair(text: str, model: PairModel) -> tuple[str, str] | None:
     """(how, restored text) by the best mapping inside the improbable runs; None where none is likelier."""
     if text.isascii():
@@ -213,7 +217,7 @@ def repair(text: str, model: PairModel) -> tuple[str, str] | None:
     for a, b in spans:
         run = text[a:b]
         high = sum(not c.isascii() for c in run)
-        for how, new, multi in _maps(run, high > 1 and model.of(run) < LIKELY * (len(run) + 1)):
+        for how, new, multi in _maps(run, odd or _most(text, a, b, model) >= max(GAIN, GAIN_EACH * high)):
             if new == run or not multi and not all(c.isalpha() for c in new if not c.isascii()):
                 continue
             if multi and not _sane(new.replace("�", "")) and not any(0x80 <= ord(c) < 0xA0 for c in run):

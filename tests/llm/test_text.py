@@ -50,6 +50,18 @@ def test_clean_values_are_not_garbled(model):
     assert encoding.judge("La Fête " * 3000, model)[0] is False
 
 
+def test_a_single_misread_letter_is_mapped():
+    n: dict[str, int] = {}
+    for v in ["Cicha Tęsknota", "Moja Tęsknota nad Driti", "Święta Tęsknota", "Blue Harbour", "Fête", "Têtes"] * 60:
+        s = charmodel.START + v.replace(" ", charmodel.END + charmodel.START) + charmodel.END
+        for i in range(len(s) - 1):
+            n[s[i : i + 2]] = n.get(s[i : i + 2], 0) + 1
+    polish = charmodel.PairModel(n)
+    assert encoding.judge("Cicha Têsknota", polish) == (True, "Cicha Tęsknota", "cp1250 as cp1252")
+    assert encoding.judge("Têsknota Blue Harbour Blue Harbour Têsknota", polish)[:2] == (True, "Tęsknota Blue Harbour Blue Harbour Tęsknota")
+    assert not any(encoding.judge(v, polish)[0] for v in ("Cicha Tęsknota", "Fête", "Têtes"))
+
+
 def test_look_alikes_take_the_script_of_their_word(model):
     cases = {"Gоldеn Lаntеrn": "Golden Lantern", "Ｑｕｉｅｔ　Harbour": "Quiet Harbour", "Mid​night Telegram": "Midnight Telegram", "Fête".replace("ê", "ê"): "Fête", "Моя Лунa": "Моя Луна", "The Golden": "The Golden", "Τhe Gοlden Lantern": "The Golden Lantern", "02 ‑ x": "02 - x"}
     assert {k: lookalike.consistent(k, model) for k in cases} == cases
