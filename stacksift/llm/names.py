@@ -244,7 +244,7 @@ def suffix_keys(readings: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(readings: DataFrame, recordings: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of names sharing a suffix block.
+    """Distinct (a, b), a < b, of names sharing a suffix block, or kind and skeleton (`skel`), whatever the block's size.
 
     A suffix is used where its block has at most BLOCK names and the next shorter suffix' block has more.
     The shortest suffixes that are too common are not dropped: their blocks are split by the recordings
@@ -261,9 +261,8 @@ def candidate_pairs(readings: DataFrame, recordings: DataFrame) -> DataFrame:
     initials = readings.select("id", F.concat_ws("|", "r.kind", F.substring("r.core", 1, 1), F.substring("r.given", 1, 1)).alias("more"))
     sure = keys.where(F.length("key") == SURE + 1).join(common, "key", "left_semi").select("key", "id").join(initials, "id").select(F.struct("key", "more").alias("key"), "id").distinct()
     pair = lambda k: k.alias("x").join(k.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    foreign = readings.where("length(skel) >= 3").select(F.col("skel").alias("key"), "id")
-    few = foreign.groupBy("key").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= BLOCK)).select("key")
-    return pair(minimal).unionByName(pair(sure)).unionByName(pair(wide)).unionByName(pair(foreign.join(few, "key", "left_semi"))).distinct()
+    foreign = readings.where("length(skel) >= 3").select(F.struct(F.col("skel").alias("skel"), F.col("r.kind").alias("kind")).alias("key"), "id")
+    return pair(minimal).unionByName(pair(sure)).unionByName(pair(wide)).unionByName(pair(foreign)).distinct()
 
 
 def shared_recordings(pairs: DataFrame, recordings: DataFrame) -> DataFrame:

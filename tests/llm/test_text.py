@@ -177,3 +177,10 @@ def test_documents_redacted(spark):
     got = {r.doc_id: (r.text, r["items"]) for r in personal.redacted_documents(docs, tracks).collect()}
     assert got == {1: ("Signed: [PERSON_NAME]. Call [PHONE]", 2), 2: (None, 0), 3: ("", 0), 4: ("Regards, Leonard Kalmaruk", 0)}
     assert personal.document_items(docs.limit(0), tracks.limit(0)).count() == 0
+
+
+def test_common_skeletons_are_paired_whole(spark):
+    rows = [(i, ("", "abc", "", True, "latin" if i % 2 else "cyrillic"), "krl") for i in range(60)] + [(99, ("trio", "abc", "", True, "latin"), "krl")]
+    read = spark.createDataFrame(rows, f"id bigint, r {names._READ}, skel string")
+    got = names.candidate_pairs(read, spark.createDataFrame([], "id bigint, rec bigint"))
+    assert {(r.a, r.b) for r in got.collect()} == {(i, j) for j in range(60) for i in range(j)}
