@@ -142,30 +142,37 @@ def profiles(rows: DataFrame, key: str, seconds_: Column, model: PairModel) -> t
 
 
 def attributes(p: DataFrame, spread: bool) -> DataFrame:
-    """(id, attr) of each profile: pairs of cleaned fields, so that one noisy field leaves others to share.
+    """(id, attr, extra) of each profile: pairs of cleaned fields, so that one noisy field leaves others to share.
 
     Durations enter as slots of TOLERANCE; one side (`spread`) also takes the neighbouring slots, so any
     two lengths within the tolerance share one.
     """
     slot = F.floor(F.col("sec") / TOLERANCE).cast("int")
     slots = F.when(F.col("sec").isNull(), F.array().cast("array<int>")).otherwise(F.array(slot - 1, slot, slot + 1) if spread else F.array(slot))
-    words = F.when(F.col("artist") == "", F.array().cast("array<string>")).otherwise(F.slice(F.split("artist", " "), 1, 1))
+    words = F.when(F.col("artist") == "", F.array().cast("array<string>")).otherwise(F.slice(F.split("artist", " "), 1, 2))
     key = lambda tag, *c: F.xxhash64(F.lit(tag), *c)
     album = lambda *k: F.when(F.col("album") != "", F.array(*k)).otherwise(F.array().cast("array<bigint>"))
     attrs = F.concat(
         album(key("ta", "title", "album"), key("ah", "album", F.substring("title", 1, 6)), key("at", "album", F.substring("title", -6, 6))),
         F.when(F.col("album") != "", F.transform(slots, lambda s: key("as", F.col("album"), s))).otherwise(F.array().cast("array<bigint>")),
         F.transform(slots, lambda s: key("ts", F.col("title"), s)),
-        F.transform(words, lambda w: key("tw", F.col("title"), w)),
-        F.flatten(F.transform(words, lambda w: F.transform(slots, lambda s: key("ws", w, s, F.substring("title", 1, 2))))),
+        F.transform(F.slice(words, 1, 1), lambda w: key("tw", F.col("title"), w)),
+        F.flatten(F.transform(F.slice(words, 1, 1), lambda w: F.transform(slots, lambda s: key("wt", w, s, F.substring("title", 1, 2))))),
     )
-    return p.select("id", F.explode(F.array_distinct(attrs)).alias("attr"))
+    more = F.concat(
+        F.transform(F.slice(words, 2, 1), lambda w: key("tw", F.col("title"), w)),
+        F.flatten(F.transform(words, lambda w: F.transform(slots, lambda s: key("ws", w, s)))),
+        F.when(F.col("album") != "", F.transform(words, lambda w: key("aw", F.col("album"), w, F.substring("title", 1, 4)))).otherwise(F.array().cast("array<bigint>")),
+    )
+    tagged = lambda a, extra: F.transform(F.array_distinct(a), lambda x: F.struct(x.alias("attr"), F.lit(extra).alias("extra")))
+    return p.select("id", F.explode(F.concat(tagged(attrs, False), tagged(F.array_except(more, attrs), True))).alias("x")).select("id", "x.attr", "x.extra")
 
 
 def candidate_graph(left: DataFrame, right: DataFrame, prune: float = PRUNE) -> DataFrame:
     """(l, r, weight): pairs of profiles sharing attributes; an attribute weighs log(right profiles / those that bear it).
 
-    Of each right profile's edges, those lighter than `prune` times its heaviest one are cut (meta-blocking
+    Of each right profile's edges, those lighter than `prune` times its heaviest one, `extra` attributes of
+    the artist not counted in that (else pairs without an artist would fall to them), are cut (meta-blocking
     by weight); no number of edges is capped. Attributes are pairs of fields, hence rare, and a hot recording
     is a few profiles, not its copies. The smaller, right side spreads over neighbouring duration slots. All
     that follows the join is partitioned by the right profile, so the edges are shuffled once.
@@ -173,9 +180,9 @@ def candidate_graph(left: DataFrame, right: DataFrame, prune: float = PRUNE) ->
     a, b = attributes(left, False), attributes(right, True)
     n = F.lit(float(max(2, right.count())))
     weight = b.groupBy("attr").agg(F.count("*").alias("n")).select("attr", (F.log(n / F.col("n")) + 0.1).alias("w"))
-    shared = b.join(weight, "attr").withColumnRenamed("id", "r").join(a.withColumnRenamed("id", "l"), "attr").select("r", "l", "w")
-    e = shared.repartition("r").groupBy("r", "l").agg(F.sum("w").alias("weight"))
-    return e.join(e.groupBy("r").agg(F.max("weight").alias("top")), "r").where(F.col("weight") >= prune * F.col("top")).select("l", "r", "weight")
+    shared = b.join(weight, "attr").withColumnRenamed("id", "r").join(a.select(F.col("id").alias("l"), "attr", F.col("extra").alias("lextra")), "attr").select("r", "l", "w", F.when(~F.col("extra") & ~F.col("lextra"), F.col("w")).otherwise(0.0).alias("own"))
+    e = shared.repartition("r").groupBy("r", "l").agg(F.sum("w").alias("weight"), F.sum("own").alias("own"))
+    return e.join(e.groupBy("r").agg(F.max("own").alias("top")), "r").where(F.col("weight") >= prune * F.col("top")).select("l", "r", "weight")
 
 
 def _similarities():

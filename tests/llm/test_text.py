@@ -184,3 +184,10 @@ def test_common_skeletons_are_paired_whole(spark):
     read = spark.createDataFrame(rows, f"id bigint, r {names._READ}, skel string")
     got = names.candidate_pairs(read, spark.createDataFrame([], "id bigint, rec bigint"))
     assert {(r.a, r.b) for r in got.collect()} == {(i, j) for j in range(60) for i in range(j)}
+
+
+def test_typing_errors_in_title_and_album_leave_a_shared_key(spark):
+    kind = "id bigint, title string, album string, artist string, sec double"
+    left = matching.attributes(spark.createDataFrame([(1, "leavinghoher", "grjadolgu", "wesrick naldupelnol", 347.7)], kind), False)
+    right = matching.attributes(spark.createDataFrame([(2, "lraving hoher", "gejadolgu", "wesrick naldupelnol", 346.7), (3, "lravinghoher", "gejadolgu", "naldupelnol", 346.7)], kind), True)
+    assert {r.id for r in right.join(left.select("attr"), "attr").select("id").collect()} == {2, 3}
