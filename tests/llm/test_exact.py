@@ -24,7 +24,7 @@ def brute(edges):
     return {x: find(x) for x in root}
 
 
-@pytest.mark.parametrize("bound", [4_000_000, 20])  # 20 forces the star rounds
+@pytest.mark.parametrize("bound", [4_000_000, 20])  # 20 takes many levels
 def test_consolidate_equals_brute_force(spark, bound):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, 1000 + i) for i in range(1, 200)] + [(i, i + 1) for i in range(2000, 2100)]
