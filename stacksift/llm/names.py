@@ -1,8 +1,8 @@
 """Problem 2: variant spellings of names typed by people.
 
 Names are read (order, initials, titles, ensemble words, script), their token suffixes are indexed, suffix
-blocks that are too common are refined with the recordings the names stand on before being given up, and
-the pairs of a block are compared by longest-common-subsequence ratio.
+blocks that are too common are refined with the recordings the names stand on and the rest of the name
+before being given up, and the pairs of a block are compared by longest-common-subsequence ratio.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,10 +24,8 @@ from .consolidate import consolidate
 from .encoding import clean_model, judge
 from .lookalike import consistent
 
-#: Suffixes are indexed from this length; blocks above BLOCK names are refined with recordings.
+#: Suffixes are indexed from this length; blocks above BLOCK names are refined with other fields.
 SUFFIX, BLOCK = 4, 48
-#: Letters of a common suffix that suffice, with kind and initials, for a comparison in any case.
-SURE = 6
 #: Least LCS ratio of family or ensemble names, and of given names, that are the same but for typing.
 CORE_RATIO, GIVEN_RATIO = 0.8, 0.72
 #: Ensemble words, by which ensembles of one name differ (fixed values).
@@ -235,41 +233,81 @@ def _skeletons():
     return skeletons
 
 
+def _formal():
+    """Given name to the form its nickname stands for, as a literal map."""
+    return F.create_map(*[F.lit(x) for kv in NICKNAMES.items() for x in kv])
+
+
 def suffix_keys(readings: DataFrame) -> DataFrame:
-    """(id, key, parent): each token's suffixes, and those of its mirror image, from SUFFIX letters on; parent is the next shorter one."""
-    tokens = F.array_distinct(F.filter(F.concat(F.split("r.core", " "), F.array(F.regexp_replace("r.given", r"\.$", ""))), lambda t: F.length(t) >= SUFFIX))
-    both = F.concat(F.transform(tokens, lambda t: F.struct(F.lit("s").alias("side"), t.alias("t"))), F.transform(tokens, lambda t: F.struct(F.lit("p").alias("side"), F.reverse(t).alias("t"))))
-    each = readings.select("id", F.explode(both).alias("x")).select("id", "x.side", "x.t")
-    return each.select("id", "side", "t", F.explode(F.sequence(F.lit(SUFFIX), F.length("t"))).alias("n")).select("id", F.concat("side", F.expr("right(t, n)")).alias("key"), F.when(F.col("n") > SUFFIX, F.concat("side", F.expr("right(t, n - 1)"))).alias("parent")).distinct()
+    """(id, key, parent, kind, t, other): each token's suffixes, and those of its mirror image, from SUFFIX letters on.
+
+    `parent` is the next shorter suffix, `t` the token as it stands or mirrored, `other` what the rest of a
+    person's name is: the given name of a family name and the other way round, in its formal form.
+    """
+    bare = lambda c: F.regexp_replace(c, r"\.$", "")
+    formal = lambda c: F.coalesce(F.element_at(_formal(), c), c)
+    of_core = F.transform(F.split("r.core", " "), lambda t: F.struct(t.alias("t"), F.when(F.col("r.kind") == "", F.when(F.col("r.given").endswith("."), F.col("r.given")).otherwise(formal(F.col("r.given")))).otherwise("").alias("other")))
+    of_given = F.array(F.struct(bare("r.given").alias("t"), formal(F.col("r.core")).alias("other")))
+    tokens = F.array_distinct(F.filter(F.concat(of_core, of_given), lambda x: F.length(x["t"]) >= SUFFIX))
+    both = F.concat(F.transform(tokens, lambda x: F.struct(F.lit("s").alias("side"), x["t"].alias("t"), x["other"].alias("other"))), F.transform(tokens, lambda x: F.struct(F.lit("p").alias("side"), F.reverse(x["t"]).alias("t"), x["other"].alias("other"))))
+    each = readings.select("id", F.col("r.kind").alias("kind"), F.explode(both).alias("x")).select("id", "kind", "x.*")
+    long = each.select("id", "kind", "side", "t", "other", F.explode(F.sequence(F.lit(SUFFIX), F.length("t"))).alias("n"))
+    return long.select("id", F.concat("side", F.expr("right(t, n)")).alias("key"), F.when(F.col("n") > SUFFIX, F.concat("side", F.expr("right(t, n - 1)"))).alias("parent"), "kind", "t", "other").distinct()
+
+
+def refined(common: DataFrame) -> DataFrame:
+    """(key, id, whole) of names in suffix blocks that are too common, split by what else the names say.
+
+    The parts are told by kind and by the rest of the name: by the first four letters of the other token (of
+    the token's far end where there is no other), with each single letter left out, so that one typing error
+    still meets; and by its last three letters. Initials and abbreviations meet every name of their block
+    whose other token starts alike (`whole` is false on full names there: two of these don't meet).
+    """
+    short = F.col("other").endswith(".") | (F.length("other") == 1)
+    head = F.substring(F.when(F.col("other") != "", F.col("other")).otherwise(F.col("t")), 1, 4)
+    left_out = F.transform(F.sequence(F.lit(1), F.length(head)), lambda i: F.concat(F.substring(head, F.lit(1), i - 1), F.substring(head, i + 1, F.lit(4))))
+    part = lambda tag, x, whole: F.struct(F.concat(F.lit(tag), x).alias("part"), whole.alias("whole"))
+    yes = F.lit(True)
+    full = F.concat(F.transform(F.array_distinct(F.concat(F.array(head), left_out)), lambda x: part("h", x, yes)), F.array(part("e", F.right("other", F.lit(3)), yes), part("i", F.substring("other", 1, 1), F.lit(False))))
+    none = F.transform(F.array_distinct(F.concat(F.array(head), left_out)), lambda x: part("h", x, yes))
+    parts = F.when(F.col("other") == "", none).when(short, F.array(part("i", F.substring("other", 1, 1), yes))).otherwise(full)
+    return common.select("id", "key", "kind", F.explode(parts).alias("x")).select(F.xxhash64(F.lit("refined"), "key", "kind", "x.part").alias("key"), "id", "x.whole")
+
+
+def _met(blocks: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, that share a block of (key, id, whole) and of which one is `whole`; large blocks are split by salts."""
+    blocks = blocks.groupBy("key", "id").agg(F.bool_or("whole").alias("whole"))
+    n = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sized = blocks.join(n, "key").withColumn("salts", F.ceil(F.col("n") / (4 * BLOCK)).cast("int"))
+    x = sized.select("key", F.col("id").alias("a"), F.col("whole").alias("wa"), F.pmod(F.xxhash64("id"), "salts").cast("int").alias("s"))
+    y = sized.select("key", F.col("id").alias("b"), F.col("whole").alias("wb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s"))
+    return x.join(y, ["key", "s"]).where("a < b and (wa or wb)").select("a", "b").distinct()
 
 
 def candidate_pairs(readings: DataFrame, recordings: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, of names sharing a suffix block, or kind and skeleton (`skel`), whatever the block's size.
 
     A suffix is used where its block has at most BLOCK names and the next shorter suffix' block has more.
-    The shortest suffixes that are too common are not dropped: their blocks are split by the recordings
-    (id, rec) of the names, and names of one recording are paired; and the blocks of suffixes of SURE letters
-    are split by kind and initials, and what is left of them is paired whatever its size.
+    The shortest suffixes that are too common are discarded only after they were refined with other fields:
+    their blocks are split by the recordings (id, rec) of the names, and by kind and the rest of the name
+    (`refined`), whatever the suffix' length. No block is dropped; those that stay large are split by salts.
     """
     keys = cut(suffix_keys(readings))
-    n = keys.groupBy("key").agg(F.count("*").alias("n"))
+    n = keys.groupBy("key").agg(F.count_distinct("id").alias("n"))
     common = n.where(F.col("n") > BLOCK).select("key")
     small = n.where((F.col("n") > 1) & (F.col("n") <= BLOCK)).select("key")
-    minimal = keys.join(small, "key", "left_semi").join(common.withColumnRenamed("key", "parent").withColumn("c", F.lit(True)), "parent", "left").where("parent is null or c").select("key", "id").distinct()
-    wide = keys.where("parent is null").join(common, "key", "left_semi").select("key", "id").join(recordings, "id").select(F.struct("key", "rec").alias("key"), "id").distinct()
-    # where even SURE letters are common, names of one kind and the same initials are still all compared
-    initials = readings.select("id", F.concat_ws("|", "r.kind", F.substring("r.core", 1, 1), F.substring("r.given", 1, 1)).alias("more"))
-    sure = keys.where(F.length("key") == SURE + 1).join(common, "key", "left_semi").select("key", "id").join(initials, "id").select(F.struct("key", "more").alias("key"), "id").distinct()
-    pair = lambda k: k.alias("x").join(k.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    foreign = readings.where("length(skel) >= 3").select(F.struct(F.col("skel").alias("skel"), F.col("r.kind").alias("kind")).alias("key"), "id")
-    return pair(minimal).unionByName(pair(sure)).unionByName(pair(wide)).unionByName(pair(foreign)).distinct()
+    minimal = keys.join(small, "key", "left_semi").join(common.select(F.col("key").alias("parent"), F.lit(True).alias("c")), "parent", "left").where("parent is null or c").select(F.xxhash64("key").alias("key"), "id")
+    least = cut(keys.where("parent is null").join(common, "key", "left_semi").select("id", "key", "kind", "t", "other"))
+    wide = least.select("key", "id").distinct().join(recordings, "id").select(F.xxhash64(F.lit("recording"), "key", "rec").alias("key"), "id")
+    foreign = readings.where("length(skel) >= 3").select(F.xxhash64(F.lit("skeleton"), "skel", "r.kind").alias("key"), "id")
+    whole = reduce(DataFrame.unionByName, [minimal, wide, foreign]).withColumn("whole", F.lit(True))
+    return _met(whole.unionByName(refined(least)))
 
 
 def shared_recordings(pairs: DataFrame, recordings: DataFrame) -> DataFrame:
-    """(a, b, shared): recordings that carry both names of a pair; followed from the rarer name."""
-    n = recordings.groupBy("id").agg(F.count("*").alias("n"))
-    sized = pairs.join(n.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    by = sized.select("a", "b", F.when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("id"), F.when(F.col("na") <= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("other"))
+    """(a, b, shared): recordings that carry both names of a pair (a, b, na, nb); followed from the rarer name, na and nb being their numbers."""
+    rarer = F.coalesce("na", F.lit(0)) <= F.coalesce("nb", F.lit(0))
+    by = pairs.select("a", "b", F.when(rarer, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(rarer, F.col("b")).otherwise(F.col("a")).alias("other"))
     return by.join(recordings, "id").select("a", "b", F.col("other").alias("id"), "rec").join(recordings, ["id", "rec"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
@@ -287,9 +325,13 @@ def name_links(tracks: DataFrame, model: PairModel | None = None, various: tuple
     names = cut(_readings(distinct.select(F.xxhash64("name").alias("id"), "name"), model).withColumn("skel", _skeletons()("r.core")))
     recordings = cut(with_rec.where("rec is not null").select(F.xxhash64("name").alias("id"), "rec"))
     pairs = candidate_pairs(names, recordings)
-    read = names.select("id", "r")
-    seen = pairs.join(read.select(F.col("id").alias("a"), F.col("r").alias("ra")), "a").join(read.select(F.col("id").alias("b"), F.col("r").alias("rb")), "b")
-    fit = cut(seen.withColumn("c", _compared()("ra", "rb")).where("c.how <> ''").select("a", "b", "c.how", "c.ratio"))
+    # what later steps ask of a name travels with the pair, so no step joins the names again
+    families = names.where("r.given <> '' and r.kind = '' and r.given not like '%.'").groupBy(F.col("r.given").alias("given")).agg(F.approx_count_distinct("r.core").alias("families"))
+    told = names.select("id", "r", F.col("r.given").alias("given")).join(families, "given", "left").join(recordings.groupBy("id").agg(F.count("*").alias("n")), "id", "left")
+    told = cut(told.select("id", F.struct("r", F.coalesce("families", F.lit(0)).alias("families"), (F.col("given").endswith(".") & (F.col("r.kind") == "")).alias("short"), "n").alias("x")))
+    seen = pairs.join(told.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(told.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
+    ends = [F.col(f"x{s}.{c}").alias(n + s) for s in "ab" for c, n in (("families", "f"), ("short", "s"), ("r.given", "g"), ("n", "n"))]
+    fit = cut(seen.withColumn("c", _compared()("xa.r", "xb.r")).where("c.how <> ''").select("a", "b", "c.how", "c.ratio", *ends))
     links = fit.join(shared_recordings(fit, recordings), ["a", "b"], "left").fillna(0, ["shared"])
     return names, cut(links)
 
@@ -303,28 +345,23 @@ def same_names(tracks: DataFrame, model: PairModel | None = None) -> DataFrame:
     initial also joins where its family has only one group it fits. Null, blank and collective values
     ('Various Artists') are no names; a name without partners is its own entity; empty in, empty out.
     """
-    names, links = name_links(tracks, model)
-    given = names.where("r.given <> '' and r.kind = '' and r.given not like '%.'").groupBy("r.given").agg(F.approx_count_distinct("r.core").alias("families"))
-    known = names.join(given, names["r.given"] == given["given"], "left").select("id", F.coalesce("families", F.lit(0)).alias("families"), (F.col("r.given").endswith(".") & (F.col("r.kind") == "")).alias("short"))
-    side = lambda s: known.select(F.col("id").alias(s), F.col("families").alias("f" + s), F.col("short").alias("s" + s))
-    l = links.join(side("a"), "a").join(side("b"), "b")
+    names, l = name_links(tracks, model)
     established = (F.col("how") == "typo") & (F.least("fa", "fb") >= 3) & (F.least("fa", "fb") >= 0.05 * F.greatest("fa", "fb"))
-    gv = names.select("id", F.col("r.given").alias("g"))
-    l = l.join(gv.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(gv.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
     strong = (F.col("how") == "same") | (F.col("how") == "nick") | ((F.col("how") == "typo") & ~(established & (F.col("ga") != F.col("gb")) & (F.col("shared") == 0)))
-    l = cut(l.withColumn("strong", strong))
+    l = l.withColumn("strong", strong)
     first = consolidate(l.where("strong").select(F.col("a").alias("u"), F.col("b").alias("v")))
     group = cut(names.select("id").join(first.select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("g")))
     weak = l.where("not strong and (how = 'short' or shared > 0)")
-    both = weak.select(F.col("a").alias("x"), F.col("b").alias("y"), "how", "shared", "ratio").unionByName(weak.select(F.col("b").alias("x"), F.col("a").alias("y"), "how", "shared", "ratio"))
-    to = both.join(group.select(F.col("id").alias("x"), F.col("g").alias("gx")), "x").join(group.select(F.col("id").alias("y"), F.col("g").alias("gy")), "y").where("gx <> gy")
-    to = to.join(known.select(F.col("id").alias("x"), F.col("short").alias("sx")), "x").join(known.select(F.col("id").alias("y"), F.col("short").alias("sy")), "y")
+    weak = weak.join(group.select(F.col("id").alias("a"), F.col("g").alias("ka")), "a").join(group.select(F.col("id").alias("b"), F.col("g").alias("kb")), "b").where("ka <> kb")
+    turned = lambda x, y: F.struct(F.col("k" + x).alias("gx"), F.col("k" + y).alias("gy"), F.col("s" + x).alias("sx"), F.col("s" + y).alias("sy"))
+    to = weak.select("how", "shared", "ratio", F.explode(F.array(turned("a", "b"), turned("b", "a"))).alias("x")).select("how", "shared", "ratio", "x.*")
     per = to.groupBy("gx", "gy").agg(F.sum("shared").alias("shared"), F.max(F.when(F.col("how") == "short", 1).otherwise(0)).alias("fits"), F.max("ratio").alias("ratio"), F.max(F.col("sx").cast("int")).alias("sx"), F.max(F.col("sy").cast("int")).alias("sy"))
     # a group picks its best partner, one with a full name that fits before others; groups of initials pick, full names are picked
     pick = per.where("(sx = 1 and sy = 0) or (sx = sy and shared > 0)").groupBy("gx").agg(F.max_by(F.struct("gy", "shared", "fits"), F.struct(((F.col("sy") == 0) & (F.col("fits") == 1)).cast("int"), F.col("shared"), F.col("fits"), F.col("ratio"), F.col("gy"))).alias("p"), F.count_if(F.col("fits") == 1).alias("choices"))
     joined = pick.where("(p.shared > 0 and p.fits = 1) or p.shared > 1 or (p.fits = 1 and choices = 1)").select(F.col("gx").alias("u"), F.col("p.gy").alias("v"))
-    second = consolidate(l.where("strong").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(joined))
-    return names.select("id", "name").join(second.select(F.col("node").alias("id"), "root"), "id", "left").select("name", F.coalesce("root", "id").alias("entity"))
+    # groups are settled already: only their joins are consolidated, not all links again
+    second = consolidate(joined)
+    return names.select("id", "name").join(group, "id").join(second.select(F.col("node").alias("g"), "root"), "g", "left").select("name", F.coalesce("root", "g").alias("entity"))
 
 
 def name_pairs(entities: DataFrame) -> DataFrame:

@@ -191,3 +191,28 @@ def test_typing_errors_in_title_and_album_leave_a_shared_key(spark):
     left = matching.attributes(spark.createDataFrame([(1, "leavinghoher", "grjadolgu", "wesrick naldupelnol", 347.7)], kind), False)
     right = matching.attributes(spark.createDataFrame([(2, "lraving hoher", "gejadolgu", "wesrick naldupelnol", 346.7), (3, "lravinghoher", "gejadolgu", "naldupelnol", 346.7)], kind), True)
     assert {r.id for r in right.join(left.select("attr"), "attr").select("id").collect()} == {2, 3}
+
+
+def bearers(n):
+    """n names of one four-letter family name, with what links to each: (id, name) and the pairs that must meet."""
+    letters = "bdfgklmnprstvz"
+    rows, want = [], []
+    for i in range(n // 3):
+        given = "".join(letters[i // 14**k % 14] + "aeiou"[(i // 7 + k) % 5] for k in range(3)).capitalize() + "no"
+        typo = given[1] + given[0] + given[2:] if i % 2 else given[:-2] + given[-1]
+        a, b, c = f"{given} Berg", f"Berg, {given[0]}.", f"{typo.capitalize()} Berg"
+        rows += [a, b, c]
+        want += [(a, b), (a, c)]
+    return rows, want
+
+
+@pytest.mark.parametrize("n", [60, 5000])
+def test_bearers_of_a_common_family_name_all_meet(spark, n):
+    rows, want = bearers(n)
+    distinct = sorted(set(rows))
+    number = {v: i for i, v in enumerate(distinct)}
+    read = spark.createDataFrame([(i, tuple(vars(names.read_name(v)).values()), "") for v, i in number.items()], f"id bigint, r {names._READ}, skel string")
+    got = {(r.a, r.b) for r in names.candidate_pairs(read, spark.createDataFrame([], "id bigint, rec bigint")).collect()}
+    assert len(distinct) > names.BLOCK - 20
+    assert [p for p in want if p[0] != p[1] and (min(number[p[0]], number[p[1]]), max(number[p[0]], number[p[1]])) not in got] == []
+    assert len(got) < len(distinct) ** 2 / 8 or n == 60
