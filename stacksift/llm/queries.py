@@ -101,7 +101,18 @@ m AS (SELECT group_id, track_id, {", ".join(f"round(CASE WHEN top > 1 THEN score
 _F = (*(f"s_{s}" for s in _S), "tag_completeness", "lossless")
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_entities, p4_found, p4_restored, p5_found, p5_forms, p3_found, p3_survivors, p7_found, p8_ids, p9_containers, p9_fill, p10_found, p10_redacted)}
+_T = survivor.TEXT_FIELDS
 ORACLES = {
+    "p3_survivors": f"""
+WITH {_MEMBERS}, g AS (SELECT group_id, count(*) AS members, {", ".join(f"max({f}) AS {f}" for f in _F)} FROM m GROUP BY 1 HAVING count(*) > 1),
+v AS (SELECT *, (greatest(coalesce(tag_completeness, 0.5), 0) + coalesce(lossless, 0) / 10) * pow(0.5, coalesce((epoch(TIMESTAMP '{survivor.AS_OF}') - floor(epoch(first_seen))) / {86400.0 * survivor.HALF_LIFE_DAYS}, 4)) AS vote FROM m),
+l AS (UNPIVOT (SELECT group_id, vote, {", ".join(f"CAST({f} AS VARCHAR) AS {f}" for f in _T)} FROM v) ON {", ".join(_T)} INTO NAME field VALUE value),
+n AS (SELECT *, nullif(regexp_replace(translate(lower(trim(value)), 'ς', 'σ'), '\\s+', ' ', 'g'), '') AS norm FROM l),
+s AS (SELECT group_id, field, norm, value, sum(vote) AS v FROM n WHERE norm IS NOT NULL GROUP BY ALL),
+p AS (SELECT group_id, field, norm, round(sum(v), 6) AS votes, arg_min(value, (-round(v, 6), value)) AS value FROM s GROUP BY ALL),
+w AS (SELECT group_id, field, arg_min(value, (-votes, norm)) AS value FROM p GROUP BY ALL),
+x AS (SELECT group_id, {", ".join(f"max(value) FILTER (field = '{f}') AS {f}" for f in _T)} FROM w GROUP BY 1)
+SELECT g.*, x.* EXCLUDE (group_id) FROM g LEFT JOIN x ON x.group_id = g.group_id""",
     "p3_found": f"""
 WITH {_MEMBERS}, pairs AS (
   SELECT a.group_id, a.track_id, ({" OR ".join(f"coalesce(a.{f} < b.{f}, false)" for f in _F)}) AS lower, ({" OR ".join(f"coalesce(a.{f} > b.{f}, false)" for f in _F)}) AS higher,
