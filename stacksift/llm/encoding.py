@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -148,10 +149,10 @@ def strictly_misread(text: str) -> bool:
     return False
 
 
-def _spans(text: str, model: PairModel) -> list[tuple[int, int]]:
-    """Where mappings are tried: each segment widened to the words it touches, and the hull of all."""
-    out = []
-    for a, b in segments(text, model):
+def _runs(text: str, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Where mappings are tried: each segment rounded out to the words it touches; runs that meet are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in found:
         while a > 0 and not text[a - 1].isascii():
             a -= 1
         while b < len(text) and not text[b].isascii():
@@ -160,10 +161,10 @@ def _spans(text: str, model: PairModel) -> list[tuple[int, int]]:
             a -= 1
         while b < len(text) and text[b].isalpha():
             b += 1
+        if out and a <= out[-1][1]:
+            a, b = out[-1][0], max(b, out.pop()[1])
         out.append((a, b))
-    if len(out) > 1:
-        out.insert(0, (out[0][0], out[-1][1]))
-    return list(dict.fromkeys(out))
+    return out
 
 
 #: Encodings whose letters are not Latin (fixed values).
@@ -205,16 +206,10 @@ def _most(text: str, a: int, b: int, model: PairModel) -> float:
     return -sum([model.log(p) for p in [s[i : i + 2] for i in range(len(s) - 1)] if not p.strip(START + END).isascii()])
 
 
-def repair(text: str, model: PairModel) -> tuple[str, str] | None:
-    """(how, restored text) by the best mapping inside the improbable runs; None where none is likelier."""
-    if text.isascii():
-        return None
-    text = "".join([c for c in text if c == "\xad" or not is_ignorable(c)])
-    best, gained = None, 0.0
-    spans = _spans(text, model)
-    odd = plain(text) != text  # else a restored text has no characters to normalise either, but for those it brings
-    at = model.of(plain(text)) if spans else 0.0
-    for a, b in spans:
+def _mapped(text: str, runs: list[tuple[int, int]], model: PairModel, odd: bool) -> Iterator[tuple[str, str, bool, int]]:
+    """(how, whole text, from UTF-8, changed signs) of each mapping on one run alone and on all runs it applies to; what lies between runs stays."""
+    of: dict[tuple[str, bool], list[tuple[int, int, str, int]]] = {}
+    for a, b in runs:
         run = text[a:b]
         high = sum(not c.isascii() for c in run)
         for how, new, multi in _maps(run, odd or _most(text, a, b, model) >= max(GAIN, GAIN_EACH * high)):
@@ -224,49 +219,69 @@ def repair(text: str, model: PairModel) -> tuple[str, str] | None:
                 continue
             if multi and not all(c.isascii() or not model.right.keys().isdisjoint((c, c.lower(), c.upper())) or c in SIGNS or c == "�" for c in set(new) - set(run)):
                 continue  # a letter that no clean value has
-            whole = text[:a] + new + text[b:]
-            gain = model.of(plain(whole) if odd else whole) - at
-            if not multi and (gain < GAIN or gain < GAIN_EACH * high):
-                continue
-            if multi and gain > 0:
-                gain += 4.0
-            if gain > gained:
-                best, gained = (how, whole), gain
+            yield how, text[:a] + new + text[b:], multi, high
+            of.setdefault((how, multi), []).append((a, b, new, high))
+    for (how, multi), parts in of.items():
+        if len({a for a, *_ in parts}) > 1:
+            whole, at = [], 0
+            for a, b, new, _ in parts:
+                if a >= at:
+                    whole += [text[at:a], new]
+                    at = b
+            yield how, "".join([*whole, text[at:]]), multi, sum(h for *_, h in parts)
+
+
+def repair(text: str, model: PairModel) -> tuple[str, str] | None:
+    """(how, restored text) by the best mapping inside the improbable runs; None where none is likelier."""
+    if text.isascii():
+        return None
+    text = _visible(text)
+    best, gained = None, 0.0
+    runs = _runs(text, segments(text, model))
+    odd = plain(text) != text  # else a restored text has no characters to normalise either, but for those it brings
+    at = model.of(plain(text)) if runs else 0.0
+    for how, whole, multi, high in _mapped(text, runs, model, odd):
+        gain = model.of(plain(whole) if odd else whole) - at
+        if not multi and (gain < GAIN or gain < GAIN_EACH * high):
+            continue
+        if multi and gain > 0:
+            gain += 4.0
+        if gain > gained:
+            best, gained = (how, whole), gain
     return best
 
 
+def _visible(text: str) -> str:
+    return "".join([c for c in text if c == "\xad" or not is_ignorable(c)])
+
+
 #: Signs of good typography, never a reason by themselves (fixed values).
 TYPOGRAPHIC = set("‘’“”–—…«»·")
 
 
-def foreign(text: str, model: PairModel) -> bool:
-    """Whether the value holds a sign that clean values never have and that no plain form explains."""
-    for c in text:
-        if not c.isascii() and c not in TYPOGRAPHIC and c not in model.left and c not in model.right and plain_char(c) == c and not c.isspace() and not _mark(c):
-            if not c.isalpha():
-                return True
-    return False
-
+def alien(c: str, model: PairModel) -> bool:
+    """Whether clean values never have this sign (no letter, mark or space) and no plain form explains it: replacement and control characters among others."""
+    kind = unicodedata.category(c)
+    return not c.isascii() and not c.isalpha() and kind[0] not in "MZ" and c not in TYPOGRAPHIC and c not in model.left and c not in model.right and plain_char(c) == c
 
-def _mark(c: str) -> bool:
-    import unicodedata
 
-    return unicodedata.category(c)[0] == "M"
+def lost(text: str, model: PairModel) -> bool:
+    """Whether an improbable segment of the value holds a sign that is alien to the corpus: damage no mapping undoes."""
+    return any(alien(c, model) for a, b in segments(text, model) for c in text[a:b])
 
 
 def judge(text: str | None, model: PairModel) -> tuple[bool, str | None, str | None]:
-    """(garbled, restored or None, how or why) of one value; null, empty and ASCII values are not garbled."""
+    """(garbled, restored or None, how or why) of one value; null, empty and ASCII values are not garbled.
+
+    Both verdicts rest on the improbable segments: a mapping inside them makes the value likelier, or they
+    hold signs alien to the corpus (a pair with one has no mutual information, so it lies in a segment).
+    """
     if not text or text.isascii():
         return False, None, None
     if got := repair(text, model):
-        lost = "�" in got[1] or foreign(got[1], model) or not _sane(got[1])
-        return True, None if lost else got[1], got[0]
-    if "�" in text:
-        return True, None, "characters replaced"
-    if any(0x80 <= ord(c) < 0xA0 for c in text):
-        return True, None, "control characters"
-    if foreign(text, model):
-        return True, None, "foreign signs"
+        return True, None if lost(got[1], model) else got[1], got[0]
+    if lost(_visible(text), model):
+        return True, None, "alien signs"
     return False, None, None
 
 
