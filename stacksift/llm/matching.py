@@ -27,9 +27,8 @@ VERSIONS = ("live", "remix", "acoustic", "instrumental", "demo", "karaoke", "rad
 TOLERANCE = 3.6
 #: An edge is kept if its weight is at least this share of its candidate's heaviest edge.
 PRUNE = 0.12
-#: Confidence from which a pair is a match; share of a pair's confidence that comes from its neighbours.
-ACCEPT, NEIGHBOUR = 0.8, 0.1
-MOST_ROUNDS = 10
+#: Confidence from which a pair is a match; share of it that comes from the neighbours; sum of theirs that is full support.
+ACCEPT, NEIGHBOUR, SUPPORT = 0.8, 0.1, 1.7
 
 _NUMBER = re.compile(r"^\s*(?:\d{1,3}\s*[-.)]+\s*|0\d\s+)")
 _YEAR = re.compile(r"^\s*(?:19|20)\d\d\s*-\s*")
@@ -144,7 +143,8 @@ def profiles(rows: DataFrame, key: str, seconds_: Column, model: PairModel) -> t
 def attributes(p: DataFrame, spread: bool) -> DataFrame:
     """(id, attr, extra) of each profile: pairs of cleaned fields, so that one noisy field leaves others to share.
 
-    Durations enter as slots of TOLERANCE; one side (`spread`) also takes the neighbouring slots, so any
+    A title enters whole or by one of its ends, so that a typing error in the other end still meets. Durations
+    enter as slots of TOLERANCE; one side (`spread`) also takes the neighbouring slots, so any
     two lengths within the tolerance share one.
     """
     slot = F.floor(F.col("sec") / TOLERANCE).cast("int")
@@ -159,9 +159,10 @@ def attributes(p: DataFrame, spread: bool) -> DataFrame:
         F.transform(F.slice(words, 1, 1), lambda w: key("tw", F.col("title"), w)),
         F.flatten(F.transform(F.slice(words, 1, 1), lambda w: F.transform(slots, lambda s: key("wt", w, s, F.substring("title", 1, 2))))),
     )
+    ends = lambda w, s: F.array(key("wt", w, s, F.substring("title", 1, 2)), key("we", w, s, F.right("title", F.lit(3))))
     more = F.concat(
         F.transform(F.slice(words, 2, 1), lambda w: key("tw", F.col("title"), w)),
-        F.flatten(F.transform(words, lambda w: F.transform(slots, lambda s: key("ws", w, s)))),
+        F.flatten(F.transform(words, lambda w: F.flatten(F.transform(slots, lambda s: ends(w, s))))),
         F.when(F.col("album") != "", F.transform(words, lambda w: key("aw", F.col("album"), w, F.substring("title", 1, 4)))).otherwise(F.array().cast("array<bigint>")),
     )
     tagged = lambda a, extra: F.transform(F.array_distinct(a), lambda x: F.struct(x.alias("attr"), F.lit(extra).alias("extra")))
@@ -218,7 +219,7 @@ def _similarities():
 
 
 def score_pairs(graph: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l, r, la, ra, rt, own): the pairs that may match at all, with their own confidence from their attributes.
+    """(l, r, near, rt, own): the pairs that may match at all, with their own confidence from their attributes.
 
     Versions must agree and known lengths lie within TOLERANCE. Where an album is missing the artist stands
     in for it, at a discount; what neither side knows counts as half known.
@@ -227,39 +228,40 @@ def score_pairs(graph: DataFrame, left: DataFrame, right: DataFrame) -> DataFram
     p = graph.join(side(left, "l"), "l").join(side(right, "r"), "r").where("lversion = rversion").where(F.coalesce(F.abs(F.col("lsec") - F.col("rsec")) <= TOLERANCE, F.lit(True)))
     p = p.withColumn("s", _similarities()("ltitle", "rtitle", "lalbum", "ralbum", "lartist", "rartist"))
     t, a, w = F.col("s.title"), F.col("s.album"), F.col("s.artist")
-    near = F.when(F.col("lsec").isNull() | F.col("rsec").isNull(), F.lit(0.5)).otherwise(1 - F.abs(F.col("lsec") - F.col("rsec")) / (4 * TOLERANCE))
+    length = F.when(F.col("lsec").isNull() | F.col("rsec").isNull(), F.lit(0.5)).otherwise(1 - F.abs(F.col("lsec") - F.col("rsec")) / (4 * TOLERANCE))
     place = F.coalesce(a, w * 0.85, F.lit(0.4))
-    own = 0.42 * t + 0.33 * place + 0.25 * near
+    own = 0.42 * t + 0.33 * place + 0.25 * length
     own = own * F.when(w.isNull(), 0.98).otherwise(0.8 + 0.2 * w)
     # without both albums a pair needs its length and a title as good as equal
     sure = (t >= 0.72) & F.when(a.isNotNull(), a >= 0.7).otherwise((t >= 0.9) & F.col("lsec").isNotNull() & F.col("rsec").isNotNull() & F.coalesce(w >= 0.75, F.lit(False)))
-    return p.select("l", "r", F.col("lalbum").alias("la"), F.when(F.col("ralbum") != "", F.col("ralbum")).otherwise(F.concat(F.lit("~"), "rartist")).alias("ra"), F.col("rtitle").alias("rt"), own.alias("own"), a.isNull().alias("loose"), sure.alias("sure")).where("sure").drop("sure")
+    near = F.when(a.isNotNull(), F.xxhash64(F.lit("albums"), "lalbum", "ralbum")).otherwise(F.xxhash64(F.lit("artists"), "lartist", "rartist"))
+    return p.where(sure).select("l", "r", near.alias("near"), F.xxhash64("rtitle").alias("rt"), own.alias("own"))
 
 
-def propagate(pairs: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
-    """(l, r, confidence): own confidence and that of the neighbours, repeated until no pair changes sides.
+def propagate(pairs: DataFrame) -> DataFrame:
+    """(l, r, confidence): own confidence refined by that of the neighbours until no pair changes sides.
 
-    Neighbours of a pair are the other pairs of the same two albums: the more different titles of the
-    right album match into the left one, the likelier each is. Two such titles are full support.
+    `pairs` has l, r, own, near (what its neighbours share: the two albums, or the two artists where an album
+    is missing) and rt (the right title). A pair's neighbours vouch for it with the best confidence of each
+    title that is a match, summed over the titles of `near`; SUPPORT of it is full support. The first round
+    takes every pair to be fully supported; confidence grows with support and support with confidence, so
+    from there on matches can only fall away, and the rounds end when none does: always, and at the largest
+    set of matches that support each other.
     """
-    p = cut(pairs)
-    support, before = None, None
-    for _ in range(rounds):
-        conf = _with_support(p, support)
-        support = cut(conf.where(F.col("confidence") >= ACCEPT).groupBy("la", "ra").agg(F.approx_count_distinct("rt", 0.02).alias("titles"), F.count("*").alias("pairs")))
-        now = support.agg(F.sum("pairs"), F.sum(F.xxhash64("la", "ra", "titles", "pairs").cast("decimal(38,0)"))).first()
+    p, before, support = cut(pairs), None, None
+    while True:
+        conf = p.withColumn("confidence", F.col("own") * (1 - NEIGHBOUR) + NEIGHBOUR) if support is None else _supported(p, support)
+        best = conf.where(F.col("confidence") >= ACCEPT).groupBy("near", "rt").agg(F.max("confidence").alias("best"), F.count("*").alias("n"))
+        support = cut(best.groupBy("near").agg(F.sum("best").alias("sum"), F.sum("n").alias("n")))
+        now = support.agg(F.sum("n")).first()[0]
         if now == before:
-            break
+            return _supported(p, support).select("l", "r", "confidence")
         before = now
-    return _with_support(p, support).select("l", "r", "confidence")
 
 
-def _with_support(p: DataFrame, support: DataFrame | None) -> DataFrame:
-    if support is None:
-        return p.withColumn("confidence", F.col("own"))
-    near = F.least(F.lit(1.0), F.coalesce("titles", F.lit(0)) / 2)
-    refined = F.when(F.col("loose"), F.col("own")).otherwise(F.col("own") * (1 - NEIGHBOUR) + NEIGHBOUR * near)  # without both albums there are no neighbours
-    return p.join(support.select("la", "ra", "titles"), ["la", "ra"], "left").withColumn("confidence", refined)
+def _supported(p: DataFrame, support: DataFrame) -> DataFrame:
+    s = F.least(F.lit(1.0), F.coalesce("sum", F.lit(0.0)) / SUPPORT)
+    return p.join(support.select("near", "sum"), "near", "left").withColumn("confidence", F.col("own") * (1 - NEIGHBOUR) + NEIGHBOUR * s)
 
 
 def match_candidates(tracks: DataFrame, candidates: DataFrame, model: PairModel | None = None) -> DataFrame:
