@@ -7,6 +7,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,11 +57,27 @@ def plain_char(c: str) -> str:
     return out
 
 
+class _Plain(dict):
+    """`plain_char` by code point, for str.translate."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = plain_char(chr(code))
+        return out
+
+
+_plain_table = _Plain()
+
+
 def plain(text: str) -> str:
     """Compatibility-normalised, composed, without ignorable characters, with ordinary spaces and hyphens."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFC", "".join([plain_char(c) for c in text]))
+    return unicodedata.normalize("NFC", text.translate(_plain_table))
+
+
+def pairs_of(s: str) -> list[str]:
+    """Adjacent pairs of characters."""
+    return list(map(add, s[:-1], s[1:]))
 
 
 def pair_counts(values: DataFrame, keep=None) -> dict[str, int]:
@@ -76,7 +93,7 @@ def pair_counts(values: DataFrame, keep=None) -> dict[str, int]:
             for v in b.column(0).to_pylist():
                 if v and (keep is None or keep(v)):
                     s = START + plain(v).replace(" ", END + START) + END
-                    n.update([s[i : i + 2] for i in range(len(s) - 1)])
+                    n.update(pairs_of(s))
         n.pop(END + START, None)
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["pair", "n"])
 
@@ -128,9 +145,9 @@ class PairModel:
 
     def of(self, text: str) -> float:
         """Log-likelihood of a text, word by word."""
-        s = START + text.replace(" ", END + START) + END
-        log = self.log
-        return sum([log(s[i : i + 2]) for i in range(len(s) - 1)])
+        pairs = pairs_of(START + text.replace(" ", END + START) + END)
+        known = list(map(self._log.get, pairs))
+        return sum(map(self.log, pairs)) if None in known else sum(known)
 
     def info(self, pair: str) -> float:
         """The pair's share of the corpus mutual information in bits; 0 for pairs seen no more than by chance."""

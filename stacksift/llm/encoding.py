@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .charmodel import END, START, PairModel, is_ignorable, pair_counts, plain, plain_char, values_of
+from .charmodel import END, START, PairModel, is_ignorable, pair_counts, pairs_of, plain, plain_char, values_of
 
 #: Encodings as which UTF-8 is commonly misread (fixed values).
 MISREAD = ("cp1252", "latin-1", "cp1251", "cp1256", "cp1250", "cp437", "cp850", "mac_roman", "cp1253", "cp1254", "cp1257", "koi8-r", "cp866", "iso8859-2", "iso8859-7", "iso8859-5", "cp1255", "cp852")
@@ -89,25 +89,30 @@ def _sane(text: str) -> bool:
     return not any(ord(c) < 32 or 0x7F <= ord(c) < 0xA0 or 0xE000 <= ord(c) <= 0xF8FF for c in text)
 
 
+_SPACE = re.compile(r"[\s_]")
+
+
+def _score(p: str, model: PairModel) -> float:
+    x = model.scores.get(p)
+    if x is None:
+        # the model has word ends, not the space between words
+        pair = START + p[1] if p[0] == " " else p[0] + END if p[1] == " " else p
+        x = max(-3.0, min(3.0, math.log2(NEUTRAL / max(model.info(pair), 1e-12))))
+        x = model.scores[p] = min(x, 0.0) if p.isascii() else x
+    return x
+
+
 def segments(text: str, model: PairModel) -> list[tuple[int, int]]:
     """Maximal-scoring segments (first, last + 1) of improbable adjacent pairs that hold a non-ASCII character.
 
     A pair's score is log2(NEUTRAL / information), within +-3; plain ASCII pairs score nothing above 0.
     Ruzzo and Tompa's linear pass finds all disjoint maximal segments.
     """
-    s = START + re.sub(r"[\s_]", " ", text) + END
-    scores, known, some = [], model.scores, False
-    for i in range(len(s) - 1):
-        p = s[i : i + 2]
-        x = known.get(p)
-        if x is None:
-            # the model has word ends, not the space between words
-            pair = START + p[1] if p[0] == " " else p[0] + END if p[1] == " " else p
-            x = max(-3.0, min(3.0, math.log2(NEUTRAL / max(model.info(pair), 1e-12))))
-            x = known[p] = min(x, 0.0) if p.isascii() else x
-        scores.append(x)
-        some = some or x > 0
-    if not some:
+    pairs = pairs_of(START + _SPACE.sub(" ", text) + END)
+    scores = list(map(model.scores.get, pairs))
+    if None in scores:
+        scores = [_score(p, model) for p in pairs]
+    if max(scores) <= 0:
         return []
     kept: list[list[float]] = []  # left sum, right sum, from, to
     total = 0.0
@@ -251,8 +256,19 @@ def repair(text: str, model: PairModel) -> tuple[str, str] | None:
     return best
 
 
+class _Visible(dict):
+    """Code points to themselves, or to nothing where they can't be seen; soft hyphens stay."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = chr(code) if code == 0xAD or not is_ignorable(chr(code)) else ""
+        return out
+
+
+_visible_table = _Visible()
+
+
 def _visible(text: str) -> str:
-    return "".join([c for c in text if c == "\xad" or not is_ignorable(c)])
+    return text.translate(_visible_table)
 
 
 #: Signs of good typography, never a reason by themselves (fixed values).
