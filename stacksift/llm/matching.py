@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..core.session import cut
@@ -137,7 +138,8 @@ def profiles(rows: DataFrame, key: str, seconds_: Column, model: PairModel) -> t
     read = gathered(slim, "album", "title", "key").select("key", clean("title", "album", "artist").alias("c"), F.when(F.col("sec") > 0, F.col("sec")).alias("sec"))
     # filters wait for the checkpoint: before it, Spark would push them, and the cleaning, below the exchange
     read = cut(read).select("key", "c.*", "sec").where("title <> ''").withColumn("id", F.xxhash64("title", "version", "album", "artist", F.coalesce("sec", F.lit(-1.0))))
-    return read.drop("key").dropDuplicates(["id"]), read.select("id", "key").distinct()
+    # every field is a grouping key, so all uses of the profiles share one exchange
+    return read.select("id", "title", "version", "album", "artist", "sec").distinct(), read.select("id", "key").distinct()
 
 
 def attributes(p: DataFrame, spread: bool) -> DataFrame:
@@ -183,7 +185,8 @@ def candidate_graph(left: DataFrame, right: DataFrame, prune: float = PRUNE) ->
     weight = b.groupBy("attr").agg(F.count("*").alias("n")).select("attr", (F.log(n / F.col("n")) + 0.1).alias("w"))
     shared = b.join(weight, "attr").withColumnRenamed("id", "r").join(a.select(F.col("id").alias("l"), "attr", F.col("extra").alias("lextra")), "attr").select("r", "l", "w", F.when(~F.col("extra") & ~F.col("lextra"), F.col("w")).otherwise(0.0).alias("own"))
     e = shared.repartition("r").groupBy("r", "l").agg(F.sum("w").alias("weight"), F.sum("own").alias("own"))
-    return e.join(e.groupBy("r").agg(F.max("own").alias("top")), "r").where(F.col("weight") >= prune * F.col("top")).select("l", "r", "weight")
+    # a window, as a join of the heaviest edges would make Spark compute all edges twice
+    return e.withColumn("top", F.max("own").over(W.partitionBy("r"))).where(F.col("weight") >= prune * F.col("top")).select("l", "r", "weight")
 
 
 def _similarities():
