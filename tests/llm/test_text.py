@@ -143,11 +143,27 @@ def test_matching_by_title_album_and_length(spark):
     assert matching.match_candidates(t.limit(0), c.limit(0)).count() == 0
 
 
-GIVEN = {"susanna", "leonard", "caswyn"}
+GIVEN = {"susanna", "leonard", "caswyn", "john", "mary", "نورة", "أحمد"}
+
+
+def name_model():
+    """A name model fitted on sentences that hold other names than the tests do."""
+    from stacksift.llm import person
+
+    made = lambda parts, i: "".join(parts[i // len(parts) ** k % len(parts)] for k in range(3))
+    latin, arabic = ["bar", "gol", "nim", "tra", "vo", "pel", "kru"], ["زا", "ما", "لو", "تي", "شا", "طو"]
+    cues = [("Signed:", "\nThe box is here."), ("The reel was donated by", "'s family."), ("Regards,", "\nThe Box and The Reel")]
+    texts = [f"{cue} {('Susanna', 'Leonard', 'Caswyn')[i % 3]} {made(latin, 3 * i + j).capitalize()}{end}" for i in range(60) for j, (cue, end) in enumerate(cues)]
+    texts += [f"شكرا. مع التحية، {('نورة', 'أحمد')[i % 2]} {made(arabic, i)}" for i in range(60)]
+    texts += ["The Golden Lantern and The Quiet Harbour are in The Box. Write to us, please, and The Reel sings.", "the family sings and the box is donated by the shop to the reel"] * 6
+    return person.fit_names(texts, GIVEN)
+
+
+NAMES = name_model()
 
 
 def kinds(text):
-    return [(m.label, m.text) for m in personal.items(text, GIVEN)]
+    return [(m.label, m.text) for m in personal.items(text, NAMES)]
 
 
 def test_items_of_each_kind():
@@ -167,6 +183,28 @@ def test_repeated_names_share_evidence():
     assert kinds("caswyn balpar sings.") == []
 
 
+def test_names_without_a_cue():
+    from stacksift.llm import person
+
+    plain = person.NameModel(frozenset({"john", "mary"}))
+    prose = [("Yesterday I met John Smith at the station", "John Smith"), ("John Smith lives next door", "John Smith"), ("Written by Mary Jones, Oslo", "Mary Jones")]
+    for text, name in [*prose, ("this is Jones, Mary speaking", "Jones, Mary"), ("by MARY JONES’S hand", "MARY JONES")]:
+        assert [(m.label, m.text) for m in personal.items(text, plain)] == [("person_name", name)], text
+    assert [kinds(text) for text, _ in prose] == [[("person_name", name)] for _, name in prose]
+    for model in (NAMES, plain):
+        assert [m.text for m in personal.items("/lib/music/John Smith/Songs/01 Mary Jones.mp3\nI met john", model) if m.label != "none"] == []
+
+
+def test_similar_mentions_share_evidence():
+    assert [t for _, t in kinds("Regards, Susanna Draher. Later S. Draher called, and Draher, Susanna too")] == ["Susanna Draher", "S. Draher", "Draher, Susanna"]
+
+
+def test_items_of_any_length_are_whole():
+    far = "a" * 95 + "@" + ".".join(["sub-domain"] * 30) + ".example"
+    assert kinds(f"mail {far} now") == [("email", far)]
+    assert kinds("ship to 22 " + "N" + "u" * 90 + " Street,\n" + "L" + "e" * 90 + " QX12 3HN soon")[0][1].endswith("QX12 3HN")
+
+
 def test_long_text_is_read_to_its_end():
     assert kinds("la la " * 40_000 + "mail: a.b@c.example") == [("email", "a.b@c.example")]
 
