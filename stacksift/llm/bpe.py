@@ -148,16 +148,12 @@ def count_column(path: str):
     return size
 
 
-def spread(documents: DataFrame, columns: list[str], rows_a_task: int = 4000) -> DataFrame:
-    """The columns over enough tasks for CPU-bound work: file splits of compressed text are too few."""
-    n = documents.count()
-    return documents.select(*columns).repartition(max(1, min(20_000, -(-n // rows_a_task))))
-
-
 def encode_documents(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, ids ARRAY<INT>) of every row of `documents` (doc_id, text).
 
     Null and empty texts give an empty list, strings that look like special tokens are ordinary text, and
-    texts of any length are encoded whole. Repeated rows stay repeated; other columns are not read.
+    texts of any length are encoded whole. Repeated rows stay repeated; other columns are not read. The work
+    is done where the texts are scanned: nothing is shuffled, and the size of the scan's splits
+    (spark.sql.files.maxPartitionBytes) is that of the tasks.
     """
-    return spread(documents, ["doc_id", "text"]).select("doc_id", encode_column(vocabulary(tokenizer, folder))("text").alias("ids"))
+    return documents.select("doc_id", encode_column(vocabulary(tokenizer, folder))("text").alias("ids"))

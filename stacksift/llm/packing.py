@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..core.session import cut
-from .bpe import TOKENIZERS, count_column, spread, vocabulary
+from .bpe import TOKENIZERS, count_column, vocabulary
 
 #: Nodes of one search; beyond it the best filling so far (best fit at least) is used.
 SEARCH_NODES = 20_000
@@ -104,7 +104,7 @@ def _slots(fillings: list[tuple[int, dict[int, int]]]) -> dict[int, tuple[np.nda
 
 def sized_documents(documents: DataFrame, tokenizer: str, folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, n_tokens) per distinct row of `documents` (doc_id, text)."""
-    return spread(documents, ["doc_id", "text"]).select("doc_id", count_column(vocabulary(tokenizer, folder))("text").alias("n_tokens"))
+    return documents.select("doc_id", count_column(vocabulary(tokenizer, folder))("text").alias("n_tokens"))
 
 
 def pack(sized: DataFrame, capacity_id: int, capacity: int, rows_a_salt: int = 100_000, total: int | None = None) -> DataFrame:
