@@ -1,17 +1,19 @@
 """Problem 9: documents packed into containers of fixed capacity by bin completion.
 
 Sizes are whole numbers up to the capacity, so the corpus reduces to a histogram of sizes, aggregated on
-the cluster and never larger than the capacity. On it, bin completion fills containers around the largest
-size left: branch-and-bound enumerates the fillings of the remaining room, larger sizes first, drops those
-dominated by one that replaces an item by a larger size still fitting, prunes what can't waste less than
-the best so far (the best-fit filling at first), and the filling found is used as often as the histogram
-allows. Documents then find their container by their rank within their size.
+the cluster and never larger than the capacity. On it runs bin completion: the largest size left opens a
+container, the undominated fillings of the room beside it are the branches, least waste first, and a branch
+takes its filling as often as the histogram allows. Branches that can't use fewer containers than the best
+packing so far, by the waste they have made and the sizes that are left, are cut; the first packing takes
+the best-fitting filling throughout. Documents then find their container by their rank within their size.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,72 +23,163 @@ from pyspark.sql import functions as F
 from ..core.session import cut
 from .bpe import TOKENIZERS, count_column, vocabulary
 
-#: Nodes of one search; beyond it the best filling so far (best fit at least) is used.
+#: Fillings one search may take; beyond it the best packing so far is used.
 SEARCH_NODES = 20_000
 #: Rows `capacities` may have; each is a packing of the whole corpus.
 MOST_CAPACITIES = 1000
 
 
-def complete(room: int, sizes: list[int], count: dict[int, int], nodes: int = SEARCH_NODES) -> list[int]:
-    """The sizes (ascending list, counts > 0) that fill `room` with the least waste, largest first.
+def _reach(room: int, sizes: list[int], count: dict[int, int]) -> list[int]:
+    """Bit sets of the sums up to `room` that the first i sizes can make."""
+    out, full = [1], (1 << room + 1) - 1
+    for s in sizes:
+        r, n, k = out[-1], min(count[s], room // s), 1
+        if r == full:
+            return out + [full] * (len(sizes) + 1 - len(out))
+        while n > 0:
+            r |= r << min(k, n) * s & full
+            n -= min(k, n)
+            k *= 2
+        out.append(r)
+    return out
+
+
+def _dominated(filling: list[int], waste: int, sizes: list[int], count: dict[int, int]) -> bool:
+    """Whether a size left out could take the place of items that are together no larger, without going over.
 
-    Branches take sizes in falling order, the best-fit filling first. A filling that could exchange an item
-    for a larger one that still fits is dominated and comes after its dominator; a branch whose remaining
-    items, all taken, could not waste less than the best filling so far is cut.
+    Only items smaller than it count: these fit wherever it stood, so every packing that goes on from here
+    has one as good that goes on from the exchange (Martello and Toth's dominance).
     """
-    reach = [0]
-    for s in sizes:
-        reach.append(min(room + 1, reach[-1] + s * count[s]))
-    best: list[int] = []
-    waste, left = room + 1, nodes
-
-    def go(rest: int, top: int, used: int, chosen: list[int]) -> bool:
-        """Fills `rest` with sizes up to index `top`, of which `used` items are chosen; True ends the search."""
-        nonlocal best, waste, left
-        left -= 1
-        if rest < waste:
-            best, waste = list(chosen), rest
-        if not waste or left <= 0:
+    sums, items = 1, sorted(filling)
+    i = 0
+    for x in sizes:
+        while i < len(items) and items[i] < x:
+            sums |= sums << items[i]
+            i += 1
+        low = max(0, x - waste)
+        if sums >> low & (1 << x - low + 1) - 1 and count[x] > filling.count(x):
             return True
-        i = min(top, bisect_right(sizes, rest) - 1)
-        while i >= 0 and rest - reach[i + 1] < waste:
-            taken = used if i == top else 0
-            if taken < count[sizes[i]]:
-                chosen.append(sizes[i])
-                if go(rest - sizes[i], i, taken + 1, chosen):
-                    return True
-                chosen.pop()
+    return False
+
+
+def completions(room: int, sizes: list[int], count: dict[int, int], most_waste: int) -> Iterator[list[int]]:
+    """Undominated fillings of `room` with sizes (ascending list, counts > 0), largest sizes first, least waste first.
+
+    Sums that can be made are known beforehand, so no branch ends in a dead end; the first filling, the
+    best fit, is never dominated.
+    """
+    sizes = sizes[: bisect_right(sizes, room)]
+    reach = _reach(room, sizes, count)
+
+    def exact(total: int, i: int) -> Iterator[list[int]]:
+        if not total:
+            yield []
+            return
+        i = min(i, bisect_right(sizes, total))
+        while i and reach[i] >> total & 1:
+            s = sizes[i - 1]
+            for n in range(min(count[s], total // s), 0, -1):
+                if reach[i - 1] >> total - n * s & 1:
+                    for rest in exact(total - n * s, i - 1):
+                        yield [s] * n + rest
             i -= 1
-        return False
 
-    go(room, len(sizes) - 1, 0, [])
+    first = True
+    for waste in range(min(room, most_waste) + 1):
+        if reach[-1] >> room - waste & 1:
+            for filling in exact(room - waste, len(sizes)):
+                if first or not _dominated(filling, waste, sizes, count):
+                    first = False
+                    yield filling
+
+
+def complete(room: int, sizes: list[int], count: dict[int, int]) -> list[int]:
+    """The sizes that fill `room` with the least waste, largest first."""
+    return next(completions(room, sizes, count, room))
+
+
+def least_containers(histogram: dict[int, int], capacity: int) -> int:
+    """A lower bound of the containers needed: for each k, items above half the capacity stand alone, and those from k on must fit beside them."""
+    half = capacity // 2
+    number = np.zeros(capacity + 2, np.int64)
+    for s, n in histogram.items():
+        number[s] += n
+    size = number * np.arange(capacity + 2)
+    n_upto, size_upto = np.cumsum(number), np.cumsum(size)
+    best = -(-int(size_upto[-1]) // capacity)
+    for k in range(half + 1):
+        alone = int(n_upto[capacity] - n_upto[capacity - k])
+        beside = int(n_upto[capacity - k] - n_upto[half])
+        room = beside * capacity - int(size_upto[capacity - k] - size_upto[half])
+        small = int(size_upto[half] - (size_upto[k - 1] if k else 0))
+        best = max(best, alone + beside + max(0, -(-(small - room) // capacity)))
     return best
 
 
 def plan(histogram: dict[int, int], capacity: int, nodes: int = SEARCH_NODES) -> list[tuple[int, dict[int, int]]]:
-    """Fillings [(times, {size: items})] that use up the histogram of sizes in 1..capacity.
+    """Fillings [(times, {size: items})] that use up the histogram of sizes in 1..capacity in as few containers as found.
 
-    The number of fillings is bounded by the capacity, not the corpus: each use of a filling exhausts a size
-    or leaves less of it than one more container would take.
+    Depth-first over the fillings around the largest size left, each taken as often as it can be. The search
+    ends when the lower bound is met or no branch can do better, and in any case after `nodes` fillings. The
+    number of fillings of a packing is bounded by the capacity, not the corpus: each use of one exhausts a
+    size or leaves less of it than one more container would take.
     """
-    count = {s: n for s, n in histogram.items() if n > 0}
-    sizes = sorted(count)
-    out: list[tuple[int, dict[int, int]]] = []
-    while sizes:
-        big = sizes[-1]
-        count[big] -= 1
-        rest = [s for s in sizes if count[s] > 0]
-        chosen = complete(capacity - big, rest, count, nodes)
-        count[big] += 1
-        filling: dict[int, int] = {}
-        for s in (big, *chosen):
-            filling[s] = filling.get(s, 0) + 1
+    count = {s: n for s, n in sorted(histogram.items()) if n > 0}
+    left, used, allowed = sum(s * n for s, n in count.items()), 0, 0
+    if not left:
+        return []
+    least, best_used, best = least_containers(count, capacity), 1 << 62, []
+
+    def branches() -> Iterator[dict[int, int]]:
+        rest = {s: n for s, n in count.items() if n}
+        big = next(reversed(rest))
+        rest[big] -= 1
+        sizes = list(rest) if rest[big] else list(rest)[:-1]
+        for chosen in completions(capacity - big, sizes, rest, allowed):
+            filling: dict[int, int] = {}
+            for s in (big, *chosen):
+                filling[s] = filling.get(s, 0) + 1
+            yield filling
+
+    def waste_left() -> int:
+        """What containers may still waste so that fewer than the best are used."""
+        return capacity if not best else (best_used - 1 - used) * capacity - left
+
+    allowed = waste_left()
+    stack = [branches()]
+    taken: list[tuple[int, dict[int, int]]] = []
+    while stack:
+        if len(taken) == len(stack):  # back from below this branch
+            times, filling = taken.pop()
+            for s, k in filling.items():
+                count[s] += times * k
+            left += times * sum(s * k for s, k in filling.items())
+            used -= times
+        allowed = waste_left()
+        filling = next(stack[-1], None) if allowed >= 0 and (nodes > 0 or not best) else None
+        if filling is None:
+            stack.pop()
+            continue
+        nodes -= 1
+        load = sum(s * k for s, k in filling.items())
         times = min(count[s] // k for s, k in filling.items())
+        if best and capacity - load > allowed:
+            stack.pop()  # fillings only get worse
+            continue
         for s, k in filling.items():
             count[s] -= times * k
-        out.append((times, filling))
-        sizes = [s for s in sizes if count[s] > 0]
-    return out
+        left -= times * load
+        used += times
+        taken.append((times, filling))
+        if not left:
+            if used < best_used:
+                best_used, best = used, list(taken)
+                if best_used <= least:
+                    break
+        elif used + -(-left // capacity) < best_used:
+            allowed = waste_left()
+            stack.append(branches())
+    return best
 
 
 def _slots(fillings: list[tuple[int, dict[int, int]]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -109,6 +109,46 @@ def test_completion_is_optimal_on_small_cases():
         assert sum(chosen) == best and all(chosen.count(s) <= count[s] for s in chosen)
 
 
+def fewest(items, capacity):
+    """The least number of containers by trying everything."""
+    best = len(items)
+
+    def go(i, loads):
+        nonlocal best
+        if len(loads) >= best:
+            return
+        if i == len(items):
+            best = len(loads)
+            return
+        for k in sorted(set(range(len(loads))), key=lambda k: -loads[k]):
+            if loads[k] + items[i] <= capacity and loads[k] not in loads[:k]:
+                loads[k] += items[i]
+                go(i + 1, loads)
+                loads[k] -= items[i]
+        go(i + 1, [*loads, items[i]])
+
+    go(0, [])
+    return best
+
+
+def test_plan_needs_the_fewest_containers():
+    rng = random.Random(8)
+    for k in range(250):
+        capacity = rng.randrange(8, 40)
+        items = sorted((rng.randrange(1, capacity + 1) if k % 2 else rng.randrange(2, 2 + capacity // 2) for _ in range(rng.randrange(1, 10))), reverse=True)
+        plan = packing.plan({s: items.count(s) for s in items}, capacity)
+        assert sorted((s for t, f in plan for s, n in f.items() for _ in range(t * n)), reverse=True) == items
+        assert all(sum(s * n for s, n in f.items()) <= capacity for _, f in plan)
+        assert sum(t for t, _ in plan) == fewest(items, capacity) >= packing.least_containers({s: items.count(s) for s in items}, capacity), (items, capacity)
+
+
+def test_dominated_fillings_are_left_out():
+    count = {2: 1, 3: 1, 5: 1, 4: 1}
+    got = list(packing.completions(9, sorted(count), count, 9))
+    assert got[0] == [5, 4] and [5, 3] not in got and [4, 3, 2] not in got
+    assert packing.plan({}, 5) == packing.plan({3: 0}, 5) == []
+
+
 def check_packing(rows, sizes, capacity):
     load, pieces = {}, {}
     for r in rows:
