@@ -25,13 +25,13 @@ class Reference:
 def _missing_keys(child: DataFrame, column: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Referring keys without a target. Keys are made distinct before the shuffle, so a hot key moves once."""
     wanted = child.where(F.col(column).isNotNull()).select(F.col(column).alias("_k")).distinct()
-    return wanted.join(parent.select(F.col(parent_key).alias("_k")).where("_k is not null"), "_k", "left_anti")
+    return wanted.join(parent.select(F.col(parent_key).alias("_k")).where("_k is not null").hint("merge"), "_k", "left_anti")
 
 
 def _salted(rows: DataFrame, keys: DataFrame, salts: int) -> DataFrame:
-    """rows(_r, _k) whose _k is among the distinct `keys`; hot keys are spread over `salts` tasks."""
+    """rows(_r, _k) whose _k is among the distinct `keys`; hot keys are spread over `salts` tasks. Keys grow with the data and are never broadcast."""
     spread = keys.select("_k", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"))
-    return rows.withColumn("_s", F.pmod(F.xxhash64("_r"), F.lit(salts)).cast("int")).join(spread, ["_k", "_s"], "left_semi").select("_r", "_k")
+    return rows.withColumn("_s", F.pmod(F.xxhash64("_r"), F.lit(salts)).cast("int")).join(spread.hint("merge"), ["_k", "_s"], "left_semi").select("_r", "_k")
 
 
 def orphan_cascade(tables: dict[str, DataFrame], keys: dict[str, str], refs: Sequence[Reference], salts: int = 8) -> DataFrame:
@@ -39,7 +39,8 @@ def orphan_cascade(tables: dict[str, DataFrame], keys: dict[str, str], refs: Seq
 
     Returns distinct (table_name STRING, row_id BIGINT, reference STRING, depth INT): depth 0 is a direct
     orphan (the target is missing), depth n an inherited one (its target exists but is an orphan of depth
-    n - 1); a row keeps its least depth per reference. Each round semi-joins the children of the tables
+    n - 1; of several rows with the key referred to, all are orphans by then); a row keeps its least depth per
+    reference. Each round semi-joins the children of the tables
     that got new orphans; on an acyclic graph the rounds end when no table is left below them, on a cyclic
     one when a round finds nothing.
     Nulls refer to nothing; repeated rows count once; empty parents make every reference an orphan; other
@@ -62,8 +63,8 @@ def orphan_cascade(tables: dict[str, DataFrame], keys: dict[str, str], refs: Seq
         below = [r for r in refs if r.parent in live]
         step = reduce(
             DataFrame.unionByName,
-            [found(r, _key_of(tables[r.parent], keys[r.parent], r.parent_key, fresh.where(F.col("table_name") == r.parent)), depth) for r in below],
-        ).join(out, ["table_name", "row_id", "reference"], "left_anti")
+            [found(r, _dead_keys(tables[r.parent], keys[r.parent], r.parent_key, fresh.where(F.col("table_name") == r.parent), out.where(F.col("table_name") == r.parent)), depth) for r in below],
+        ).join(out.hint("merge"), ["table_name", "row_id", "reference"], "left_anti")
         live = {r.child for r in below}
         if any(t in reachable[t] for t in live):  # a cycle: only data can tell when it ends
             step = cut(step)
@@ -73,11 +74,15 @@ def orphan_cascade(tables: dict[str, DataFrame], keys: dict[str, str], refs: Seq
     return out
 
 
-def _key_of(parent: DataFrame, pk: str, key: str, orphans: DataFrame) -> DataFrame:
-    ids = orphans.select(F.col("row_id").alias("_id")).distinct()
+def _dead_keys(parent: DataFrame, pk: str, key: str, fresh: DataFrame, orphans: DataFrame) -> DataFrame:
+    """Keys of the `fresh` orphans of a table under which it has none but orphans."""
+    ids = fresh.select(F.col("row_id").alias("_id")).distinct()
     if pk == key:
         return ids.select(F.col("_id").alias("_k"))
-    return parent.select(F.col(pk).cast("bigint").alias("_id"), F.col(key).alias("_k")).join(ids, "_id", "left_semi").select("_k").distinct()
+    rows = parent.select(F.col(pk).cast("bigint").alias("_id"), F.col(key).alias("_k")).where("_k is not null")
+    touched = rows.join(ids.hint("merge"), "_id", "left_semi").select("_k").distinct()
+    alive = rows.join(orphans.select(F.col("row_id").alias("_id")).hint("merge"), "_id", "left_anti").select("_k")
+    return touched.join(alive.hint("merge"), "_k", "left_anti")
 
 
 def _reaches(refs: Sequence[Reference]) -> dict[str, set[str]]:
@@ -91,8 +96,9 @@ def _reaches(refs: Sequence[Reference]) -> dict[str, set[str]]:
     return down
 
 
-#: The references of the library's tables that are reported.
-LIBRARY_REFS = (Reference("quarantine", "group_id", "duplicate_groups"), Reference("duplicate_members", "track_id", "tracks"))
+#: The references of the library's tables that are reported. A group stands on its members: one whose members
+#: are all orphans is an orphan too, and so is what was quarantined for it.
+LIBRARY_REFS = (Reference("quarantine", "group_id", "duplicate_groups"), Reference("duplicate_members", "track_id", "tracks"), Reference("duplicate_groups", "id", "duplicate_members", "group_id"))
 
 
 def orphans_by_period(orphans: DataFrame, periods: dict[str, DataFrame]) -> DataFrame:

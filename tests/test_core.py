@@ -55,3 +55,15 @@ def test_star_components_equal_brute_force(spark):
     got = {r.node: r.root for r in star_components(spark.createDataFrame(edges + edges[:9] + [(None, 4), (7, 7)], "u bigint, v bigint")).collect()}
     assert got == brute([e for e in edges if e[0] != e[1]])
     assert star_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_groups_stand_on_their_members(spark):
+    from stacksift.core.orphans import LIBRARY_REFS
+
+    tracks = spark.createDataFrame([(1,), (2,)], "id bigint")
+    members = spark.createDataFrame([(10, 100, 1), (11, 100, 9), (12, 101, 8), (12, 101, 8), (13, 101, 9), (14, None, 7), (15, 103, 2)], "id bigint, group_id bigint, track_id bigint")
+    groups = spark.createDataFrame([(100,), (101,), (102,), (103,)], "id bigint")
+    quarantine = spark.createDataFrame([(20, 100), (21, 101), (22, 102), (23, 999), (24, None)], "id bigint, group_id bigint")
+    tables = {"tracks": tracks, "duplicate_members": members, "duplicate_groups": groups, "quarantine": quarantine}
+    got = {(r.table_name, r.row_id, r.depth) for r in orphan_cascade(tables, dict.fromkeys(tables, "id"), LIBRARY_REFS).collect()}
+    assert got == {("duplicate_members", i, 0) for i in (11, 12, 13, 14)} | {("duplicate_groups", 102, 0), ("duplicate_groups", 101, 1), ("quarantine", 23, 0), ("quarantine", 22, 1), ("quarantine", 21, 2)}
