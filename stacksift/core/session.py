@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -49,12 +50,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir; a temporary one only where it is unset and everything is one process (tests).
+
+    On a cluster the folder must be named: a machine-local one would be lost with its executor.
+    """
     sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("TMPDIR") or tempfile.gettempdir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = os.environ.get("TMPDIR") or tempfile.gettempdir()
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 

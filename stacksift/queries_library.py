@@ -52,7 +52,11 @@ def members(s: SparkSession, d: str) -> DataFrame:
 
 
 def quarantine(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "quarantine").distinct()
+    return sources.ingested(s, d, "quarantine")
+
+
+def candidates(s: SparkSession, d: str) -> DataFrame:
+    return sources.ingested(s, d, "candidates")
 
 
 # ---------------------------------------------------------------- sources
@@ -87,7 +91,7 @@ q("src_07", "SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g
 SELECT who, candidate_id, round(coalesce(confidence, 0.5) * CASE WHEN n > 4 THEN 0.5 ELSE 1 END, 5) AS confidence FROM r WHERE n <= 5""")
 def src_09a(s, d):
     """The first five answers per artist, as an array expanded by position; the fifth counts half."""
-    c = table(s, d, "candidates").distinct().where("artist is not null").select(F.lower("artist").alias("who"), "pos", "candidate_id", "confidence")
+    c = candidates(s, d).where("artist is not null").select(F.lower("artist").alias("who"), "pos", "candidate_id", "confidence")
     top = c.withColumn("n", F.row_number().over(W.partitionBy("who").orderBy("pos", "candidate_id"))).where("n <= 5")
     return top.select("who", "candidate_id", F.round(F.coalesce("confidence", F.lit(0.5)) * F.when(F.col("n") > 4, 0.5).otherwise(1.0), 5).alias("confidence"))
 
@@ -448,7 +452,7 @@ q("dedup_report")(lambda s, d: dedup.report(dedup.layered(active(s, d)), active(
 q("dedup_exact_report", """, g AS (SELECT kind, confidence, root, count(*) AS n, sum(size_bytes) - max(size_bytes) AS b FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) JOIN tk USING (id) GROUP BY ALL)
 SELECT kind, confidence, count(*) AS groups, CAST(sum(n) AS BIGINT) AS files, CAST(sum(n - 1) AS BIGINT) AS duplicate_files, CAST(sum(b) AS BIGINT) AS reclaimable_bytes FROM g GROUP BY ALL""", T, *_LAYERS)(lambda s, d: dedup.report(dedup.layered(active(s, d), EXACT), active(s, d)))
 q("set_02", "SELECT list_sort(list_distinct(list_filter(track_ids, lambda x: x IS NOT NULL))) AS ids, min(cluster_id) AS first_cluster FROM clusters WHERE track_ids IS NOT NULL GROUP BY 1")(lambda s, d: table(s, d, "clusters").where("track_ids is not null").groupBy(F.array_sort(F.array_distinct(F.array_compact("track_ids"))).alias("ids")).agg(F.min("cluster_id").alias("first_cluster")))
-q("set_03", "SELECT title, 'library' AS origin FROM t WHERE title IS NOT NULL UNION ALL SELECT title, source FROM (SELECT DISTINCT * FROM candidates)", T)(lambda s, d: lib(s, d, "title").where("title is not null").select("title", F.lit("library").alias("origin")).unionByName(table(s, d, "candidates").distinct().select("title", F.col("source").alias("origin"))))
+q("set_03", "SELECT title, 'library' AS origin FROM t WHERE title IS NOT NULL UNION ALL SELECT title, source FROM (SELECT DISTINCT * FROM candidates)", T)(lambda s, d: lib(s, d, "title").where("title is not null").select("title", F.lit("library").alias("origin")).unionByName(candidates(s, d).select("title", F.col("source").alias("origin"))))
 q("set_04", "SELECT DISTINCT event_type FROM events WHERE event_type NOT IN ('click', 'view')")(lambda s, d: table(s, d, "events").select("event_type").distinct().exceptAll(s.createDataFrame([("click",), ("view",)], "event_type string")))
 q("set_05", "SELECT id, coalesce(nullif(artist, ''), nullif(albumartist, '')) AS artist, coalesce(nullif(albumartist, ''), nullif(artist, '')) AS albumartist FROM t", T)(lambda s, d: lib(s, d, "artist", "albumartist").select("id", F.coalesce(F.nullif("artist", F.lit("")), F.nullif("albumartist", F.lit(""))).alias("artist"), F.coalesce(F.nullif("albumartist", F.lit("")), F.nullif("artist", F.lit(""))).alias("albumartist")))
 
@@ -513,7 +517,7 @@ q("fn_11", f"SELECT id, {_RES} AS resolution FROM t", T)(lambda s, d: lib(s, d,
 q("fn_12", f"SELECT id, {_ART} AS artwork, {_LYR} AS lyrics, {_TAGS} AS tags FROM t", T)(lambda s, d: lib(s, d, "has_artwork", "artwork_px", "has_lyrics", "has_synced_lyrics", "tag_completeness", "mb_recording_id").select("id", media.artwork_score().alias("artwork"), media.lyrics_score().alias("lyrics"), media.tags_score().alias("tags")))
 q("fn_13", f"SELECT id, {_PATHS} AS path_score FROM t", T)(lambda s, d: lib(s, d, "path").select("id", media.path_score().alias("path_score")))
 q("fn_14", "SELECT group_id, round(CAST(sum(CAST(round(score * 100000) AS BIGINT)) AS DOUBLE) / count(*) / 100000, 7) AS mean_score FROM sc GROUP BY 1", T, M, _SCORED)(lambda s, d: decision.scored(group_members(s, d)).groupBy("group_id").agg(F.round(F.sum(F.round(F.col("score") * 100000).cast("bigint")).cast("double") / F.count("*") / 100000, 7).alias("mean_score")))
-q("fn_15")(lambda s, d: table(s, d, "candidates").distinct().select("candidate_id", F.round(F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.5)) * (0.45 + 0.55 * fuzzy.ratio_column(fuzzy.token_sort_ratio)(lower("title"), lower("album")) / 100) * (0.60 + 0.40 * fuzzy.ratio_column(fuzzy.token_set_ratio)(lower("artist"), lower("albumartist")) / 100)), 5).alias("adjusted")))
+q("fn_15")(lambda s, d: candidates(s, d).select("candidate_id", F.round(F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.5)) * (0.45 + 0.55 * fuzzy.ratio_column(fuzzy.token_sort_ratio)(lower("title"), lower("album")) / 100) * (0.60 + 0.40 * fuzzy.ratio_column(fuzzy.token_set_ratio)(lower("artist"), lower("albumartist")) / 100)), 5).alias("adjusted")))
 _SAFE = "regexp_replace(trim(regexp_replace({c}, '[<>:\"/\\\\|?*\\x00-\\x1f]', '_', 'g')), '[ .]+$', '')"
 q("fn_17", f"SELECT id, coalesce(nullif(CASE WHEN regexp_full_match(lower(x), 'con|prn|aux|nul|com[1-9]|lpt[1-9]') THEN '_' || x ELSE x END, ''), 'Unknown') AS safe FROM (SELECT id, {_SAFE.format(c='title')} AS x FROM t) WHERE length(x) <= 120 OR x IS NULL", T)(lambda s, d: lib(s, d, "title").select("id", media.unsafe_replaced(F.col("title")).alias("safe")))
 q("fn_18")(lambda s, d: organise.targets(lib(s, d, "path", "ext", "codec", "title", "artist", "albumartist", "album", "year", "genre", "track_no", "disc_no")))
@@ -589,7 +593,7 @@ def fn_16(s, d):
     """Confidence of an answer by title .45, artist .30, album .15 and length .10, unknown fields counting partly."""
     n, sort_, set_ = text.normalised, fuzzy.ratio_column(fuzzy.token_sort_ratio), fuzzy.ratio_column(fuzzy.token_set_ratio)
     t = lib(s, d, "title", "artist", "album").where("title <> ''").withColumn("k", lower("title"))
-    c = table(s, d, "candidates").distinct().select(lower("title").alias("k"), "candidate_id", F.col("title").alias("ct"), F.col("artist").alias("ca"), F.col("album").alias("cl"))
+    c = candidates(s, d).select(lower("title").alias("k"), "candidate_id", F.col("title").alias("ct"), F.col("artist").alias("ca"), F.col("album").alias("cl"))
     blank = lambda x: F.coalesce(x, F.lit("")) == ""
     p = t.join(c, "k")
     score = 0.45 * sort_(n(F.col("title")), n(F.col("ct"))) / 100 + F.when(blank(F.col("artist")), 0.15).when(blank(F.col("ca")), 0.0).otherwise(0.30 * set_(n(F.col("artist")), n(F.col("ca"))) / 100) + F.when(blank(F.col("album")), 0.07).when(blank(F.col("cl")), 0.0).otherwise(0.15 * sort_(n(F.col("album")), n(F.col("cl"))) / 100) + 0.04

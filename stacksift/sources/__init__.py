@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from ..core.session import table
+from ..core.session import checkpoint_dir, table
 from ..functions.media import LOSSLESS_CODECS
 
 #: Sample formats and their bit depth (fixed values).
@@ -14,9 +17,31 @@ PROBE = "streams array<struct<codec_name: string, profile: string, bit_rate: str
 SKIPPED = ("@eaDir", "#recycle", ".DS_Store", "@tmp", "#snapshot")
 
 
+_ingested: dict[tuple[str, str, str], str] = {}
+
+
+def ingested(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table without its repeated rows, taken in once a session: scans of it need no exchange.
+
+    Rows alike in all columns count once (maps, which can't be compared, are taken from any of them). What
+    is taken in lies in the shared checkpoint folder, so every later query prunes columns and pushes filters
+    into its Parquet files; changes of the source are seen by the next session.
+    """
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _ingested:
+        t = table(spark, d, name)
+        maps = [f.name for f in t.schema if isinstance(f.dataType, MapType)]
+        plain = [c for c in t.columns if c not in maps]
+        once = t.groupBy(*plain).agg(*[F.first(m).alias(m) for m in maps]) if maps else t.distinct()
+        at = f"{checkpoint_dir(spark)}/ingested/{hashlib.md5(d.encode()).hexdigest()}/{name}"
+        once.select(*t.columns).write.mode("overwrite").parquet(at)
+        _ingested[key] = at
+    return spark.read.parquet(_ingested[key])
+
+
 def library(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Distinct rows of tracks (id and the columns): repeated rows count once, other columns are never read."""
-    return table(spark, d, "tracks").select("id", *columns).distinct()
+    """Tracks (id and the columns): repeated rows count once, other columns are never read."""
+    return ingested(spark, d, "tracks").select("id", *columns)
 
 
 def scan(tracks: DataFrame, status: str = "active", prefix: str | None = None) -> DataFrame:

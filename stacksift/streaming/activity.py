@@ -21,12 +21,23 @@ def events_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_once(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """All that is available, as a table; the query's state lies in the shared checkpoint folder."""
+    """All that is available, as a table in the shared checkpoint folder, where the query's state lies too.
+
+    Each micro-batch overwrites a folder of its own, so one that is repeated after a failure adds nothing;
+    in complete mode the last one is the result. Nothing passes through the driver.
+    """
     spark = stream.sparkSession
     at = f"{checkpoint_dir(spark)}/{name}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    last = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+        last.append(number)
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{at}/out/batch={max(last)}" if mode == "complete" else f"{at}/out").select(*stream.columns)
 
 
 def daily(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -39,27 +50,33 @@ def rolling(events: DataFrame, seconds: int = 900) -> DataFrame:
     return events.withColumn("recent", F.count("*").over(W.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)))
 
 
-def admitted(events: DataFrame, calls: int, seconds: float) -> DataFrame:
+def admitted(events: DataFrame, calls: int, seconds: float, late: str = "1 day") -> DataFrame:
     """(event_id, user_id, admitted) on a stream: at most `calls` admitted events of a user in any `seconds`.
 
-    State per user is the times of its last admitted calls, `calls` at most; it ends when they have passed.
+    A micro-batch's events of a user are judged in order of time, then event_id; only their times and ids are
+    held, and the source's batch size bounds these. State is the times of the last admitted events, `calls`
+    at most; it ends when the watermark, `late` behind the events, has passed the last one by `seconds`.
+    Events later than that are dropped.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         hits = list(state.get[0]) if state.exists else []
-        for pdf in batches:
-            out = []
-            for r in pdf.sort_values(["ts", "event_id"]).itertuples(index=False):
-                now = r.ts.timestamp()
-                hits = [h for h in hits if h > now - seconds]
-                ok = len(hits) < calls
-                if ok:
-                    hits.append(now)
-                out.append((r.event_id, key[0], ok))
-            yield pd.DataFrame(out, columns=["event_id", "user_id", "admitted"])
+        seen = pd.concat([b[["ts", "event_id"]] for b in batches], ignore_index=True).sort_values(["ts", "event_id"])
+        times = seen["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
+        ok = []
+        for now in times.tolist():
+            hits = [h for h in hits if h > now - seconds]
+            ok.append(len(hits) < calls)
+            if ok[-1]:
+                hits.append(now)
         state.update((hits,))
+        state.setTimeoutTimestamp(max(int((max([*hits, times[-1]]) + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"event_id": seen["event_id"].to_numpy(), "user_id": key[0], "admitted": ok})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, admitted boolean", "hits array<double>", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, admitted boolean", "hits array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def backfill(rows: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
