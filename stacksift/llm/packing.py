@@ -146,7 +146,9 @@ def plan(histogram: dict[int, int], capacity: int, nodes: int = SEARCH_NODES) ->
         return capacity if not best else (best_used - 1 - used) * capacity - left
 
     allowed = waste_left()
-    stack = [branches()]
+    # on the way to the first packing only each level's first branch is known, its generator, which holds the sums
+    # of all sizes, is let go; a level that the search comes back to generates its branches again
+    stack: list[Iterator[dict[int, int]] | None] = [None]
     taken: list[tuple[int, dict[int, int]]] = []
     while stack:
         if len(taken) == len(stack):  # back from below this branch
@@ -156,7 +158,15 @@ def plan(histogram: dict[int, int], capacity: int, nodes: int = SEARCH_NODES) ->
             left += times * sum(s * k for s, k in filling.items())
             used -= times
         allowed = waste_left()
-        filling = next(stack[-1], None) if allowed >= 0 and (nodes > 0 or not best) else None
+        if allowed < 0 or best and nodes <= 0:
+            filling = None
+        elif not best:
+            filling = next(branches(), None)
+        else:
+            if stack[-1] is None:
+                stack[-1] = branches()
+                next(stack[-1], None)
+            filling = next(stack[-1], None)
         if filling is None:
             stack.pop()
             continue
@@ -178,7 +188,7 @@ def plan(histogram: dict[int, int], capacity: int, nodes: int = SEARCH_NODES) ->
                     break
         elif used + -(-left // capacity) < best_used:
             allowed = waste_left()
-            stack.append(branches())
+            stack.append(branches() if best else None)
     return best
 
 
