@@ -16,6 +16,7 @@ COMPLETENESS = {"title": 0.20, "artist": 0.18, "album": 0.15, "albumartist": 0.1
 #: Signs of a throw-away copy in a path, and in a file name (fixed values).
 BAD_PATH = ("new folder", "copy", "duplicate", "dup", "temp", "tmp", "downloads", "download", "recycle", "@eadir", "unsorted", "incoming", "torrent")
 BAD_NAME = ("(1)", "(2)", "(3)", " - copy", "_copy", "copy of", "duplicate")
+#: Codecs that are out of date, and those that lose nothing (fixed values).
 LEGACY_CODECS = ("wmav1", "wmav2", "wmapro", "ra_144", "ra_288", "adpcm_ms", "amr_nb")
 LOSSLESS_CODECS = ("flac", "alac", "wav", "pcm_s16le", "pcm_s24le", "aiff", "ape", "wavpack", "dsd")
 NUMERIC = {"year", "track_no", "disc_no"}

@@ -8,9 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Bracketed remarks that are no part of a title (fixed values).
-REMARK_WORDS = "official|audio|video|lyrics?|hd|hq|remaster(?:ed)?|explicit|clean|radio edit|album version|bonus track"
-REMARKS = rf"\((?:{REMARK_WORDS})[^)]*\)|\[(?:official|audio|video|lyrics?|remaster(?:ed)?)[^\]]*\]"
+#: Bracketed remarks that are no part of a title, and what introduces guests (fixed values).
+REMARKS = r"\((?:official|audio|video|lyrics?|hd|hq|remaster(?:ed)?|explicit|clean|radio edit|album version|bonus track)[^)]*\)|\[(?:official|audio|video|lyrics?|remaster(?:ed)?)[^\]]*\]"
 FEATURING = r"\s*[\(\[]?\b(?:feat|ft|featuring)\b.*$"
 #: Arabic marks and the letters that are written in several ways (fixed values).
 ARABIC_MARKS = "[ؐ-ًؚ-ٰٟۖ-ۭـ]"
@@ -28,15 +27,21 @@ def nfkc():
     return composed
 
 
+def composed(text: Column) -> Column:
+    """`text` in compatibility form; only values with a character beyond ASCII leave the JVM."""
+    return F.coalesce(nfkc()(F.when(text.rlike("[^\\x00-\\x7F]"), text)), text)
+
+
 def normalised(text: Column) -> Column:
-    """Letters and digits of a title or name: lower case, remarks and guests dropped, Arabic spellings folded, single spaces; null gives ''."""
-    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    """Letters and digits of a title or name: compatibility form, lower case, remarks and guests dropped, Arabic spellings folded, single spaces; null gives ''."""
+    t = F.lower(F.trim(composed(F.coalesce(text, F.lit("")))))
     t = F.regexp_replace(F.regexp_replace(t, REMARKS, " "), FEATURING, "")
     t = F.translate(F.regexp_replace(t, ARABIC_MARKS, ""), ARABIC_FROM, ARABIC_TO)
     return F.trim(F.regexp_replace(F.regexp_replace(t, NON_WORD, " "), r"\s+", " "))
 
 
 def normalised_sql(c: str) -> str:
+    """The same of a column that is in compatibility form."""
     t = f"lower(trim(coalesce({c}, '')))"
     t = f"regexp_replace(regexp_replace({t}, '{REMARKS}', ' ', 'g'), '{FEATURING}', '')"
     t = f"translate(regexp_replace({t}, '{ARABIC_MARKS}', '', 'g'), '{ARABIC_FROM}', '{ARABIC_TO}')"

@@ -35,17 +35,18 @@ def similar_sound(tracks: DataFrame, tolerance: float = TOLERANCE, least: float
     """(id, root): tracks (id, fingerprint, duration) whose fingerprints agree and lengths lie within the tolerance.
 
     Copies with the same fingerprint and length are one class, so a hot recording is compared once. Classes
-    meet in blocks of duration slot and LSH band; the neighbouring slot is indexed too. Blocks have no cap:
-    what is in one block shares 16 bits and a slot, and equal fingerprints are already one class.
+    meet in blocks of duration slot and LSH band; the neighbouring slot is indexed too. Lengths travel with
+    the keys, so pairs too far apart end before any fingerprint moves. Blocks have no cap: what is in one
+    block shares 16 bits and a slot, and equal fingerprints are already one class.
     """
     t = tracks.where("fingerprint is not null and duration > 0").select("id", "fingerprint", "duration")
     classes = cut(_classes(t, ["fingerprint", "duration"]))
     c = classes.where("id = cls").withColumn("w", fingerprint.words(F.col("fingerprint"))).where("w is not null").select("id", "duration", "w")
     slot = F.floor(F.col("duration") / max(1.0, tolerance))
-    keys = c.select("id", F.explode(fingerprint.band_keys(F.col("w"))).alias("band"), slot.alias("slot"))
-    own, near = keys.select("id", "band", "slot"), keys.select(F.col("id").alias("other"), "band", F.explode(F.array(F.col("slot"), F.col("slot") - 1)).alias("slot"))
-    pairs = own.join(near, ["band", "slot"]).where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    both = pairs.join(c.select(F.col("id").alias("a"), F.col("duration").alias("da"), F.col("w").alias("wa")), "a").join(c.select(F.col("id").alias("b"), F.col("duration").alias("db"), F.col("w").alias("wb")), "b").where(F.abs(F.col("da") - F.col("db")) <= tolerance)
+    keys = c.select("id", "duration", F.explode(fingerprint.band_keys(F.col("w"))).alias("band"), slot.alias("slot"))
+    own, near = keys.select("id", "duration", "band", "slot"), keys.select(F.col("id").alias("other"), F.col("duration").alias("far"), "band", F.explode(F.array(F.col("slot"), F.col("slot") - 1)).alias("slot"))
+    pairs = own.join(near, ["band", "slot"]).where((F.col("id") != F.col("other")) & (F.abs(F.col("duration") - F.col("far")) <= tolerance)).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    both = pairs.join(c.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(c.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
     return _spread(classes.select("id", "cls"), _linked(both.where(fingerprint.agreement_column()("wa", "wb") >= least)))
 
 
@@ -87,7 +88,7 @@ LAYERS = (
 
 def layered(tracks: DataFrame, layers=LAYERS) -> DataFrame:
     """(kind, confidence, root, id): cheapest layer first; a track taken by one is left out of the later ones."""
-    left, out = tracks, None
+    left, out = tracks.select(*[c for c in ("id", "sha256", "audio_md5", "acoustid", "fingerprint", "duration", "title", "artist", "albumartist") if c in tracks.columns]), None
     for kind, confidence, group in layers:
         found = cut(group(left).select(F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"), "root", "id"))
         out = found if out is None else out.unionByName(found)

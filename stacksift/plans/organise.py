@@ -52,10 +52,11 @@ def targets(tracks: DataFrame, root: str = "") -> DataFrame:
     return tracks.select("id", "path", F.concat(F.lit(root), name).alias("target"))
 
 
-def numbered(plan: DataFrame) -> DataFrame:
+def numbered(plan: DataFrame, occupied: DataFrame | None = None) -> DataFrame:
     """(id, path, target, changed): targets unique without regard to case, later ids taking ' (2)', ' (3)', ...
 
-    A target wanted by several tracks, or where another track's file lies, is settled by claims in order of id
+    A target wanted by several tracks, or where another track's file or one of `occupied` (path; other files
+    on the disk) lies, is settled by claims in order of id
     among the names that differ in a number at most, because a made-up name may be another's real one; all
     other targets skip that step. A file that already lies on its target keeps it. A track that finds none of
     its MOST_NUMBERS - 1 names free stays where it is, unchanged. So do all but the first MOST_NUMBERS - 1
@@ -64,9 +65,10 @@ def numbered(plan: DataFrame) -> DataFrame:
     """
     base = lambda c: F.lower(F.regexp_replace(c, r"( \(\d+\))+(?=\.[^./]*$)", ""))
     p = cut(plan.withColumn("base", base("target")))  # rendered once, used four times
-    files = p.select(base("path").alias("base"), F.lower("path").alias("file"))
+    lying_ = p.select("path") if occupied is None else p.select("path").unionByName(occupied.select("path"))
+    files = lying_.where("path is not null").select(base("path").alias("base"), F.lower("path").alias("file")).distinct()
     wanted = p.groupBy("base").agg(F.count("*").alias("n"))
-    others = p.where(F.lower("path") != F.lower("target")).select("base").join(files, "base", "left_semi").select("base").distinct()
+    others = p.where(~F.lower("path").eqNullSafe(F.lower("target"))).select("base").join(files, "base", "left_semi").select("base").distinct()
     repeated = wanted.where("n > 1").select("base").unionByName(others).distinct()
     plain = p.join(repeated, "base", "left_anti").select("id", "path", "target")
 
@@ -85,8 +87,9 @@ def numbered(plan: DataFrame) -> DataFrame:
             out.append((r.id, r.path, target))
         return pd.DataFrame(out, columns=["id", "path", "target"])
 
-    several = p.join(repeated, "base", "left_semi").withColumn("rank", F.row_number().over(W.partitionBy(F.lower("target")).orderBy("id")))
-    stay = several.where(F.col("rank") >= MOST_NUMBERS).select("id", "path", F.col("path").alias("target"))
-    first = several.where(F.col("rank") < MOST_NUMBERS).drop("rank")
+    several = p.join(repeated, "base", "left_semi")
+    # a limit per target, which Spark applies before the exchange, so a hot target is never sorted whole
+    first = cut(several.withColumn("rank", F.row_number().over(W.partitionBy(F.lower("target")).orderBy("id"))).where(F.col("rank") < MOST_NUMBERS).drop("rank"))
+    stay = several.join(first.select("id"), "id", "left_anti").select("id", "path", F.col("path").alias("target"))
     settled = first.groupBy("base").cogroup(files.join(repeated, "base", "left_semi").groupBy("base")).applyInPandas(settle, "id bigint, path string, target string")
     return plain.unionByName(settled).unionByName(stay).withColumn("changed", F.lower("target") != F.lower("path"))

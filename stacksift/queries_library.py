@@ -13,6 +13,7 @@ from .core.components import star_components
 from .core.session import table
 from .functions import fingerprint, fuzzy, media, text
 from .operators import decision, dedup, fusion, incremental
+from .operators.search import best_matches
 from .plans import cleanup, organise
 from .streaming import activity
 
@@ -264,15 +265,11 @@ q("jn_09")(lambda s, d: dedup.similar_tags(lib(s, d, "title", "artist", "albumar
 
 @q("jn_10")
 def jn_10(s, d):
-    """The best local track of each catalogue entry: entries and tracks meet on rare title words, then 0.7 title + 0.3 artist ratio of 85 or more wins."""
+    """The best local track of each catalogue entry asked about (those whose id is divisible by 20), all tracks compared."""
     n = text.normalised
-    t = table(s, d, "tracks").select("id", n(F.col("title")).alias("t"), n(F.col("artist")).alias("a")).where("t <> ''").groupBy("t", "a").agg(F.min("id").alias("id"))
-    c = table(s, d, "candidates").select("candidate_id", n(F.col("title")).alias("ct"), n(F.col("artist")).alias("ca")).distinct().where("ct <> ''")
-    key = lambda x, y: F.transform(F.array_distinct(F.split(x, " ")), lambda w: F.concat_ws("|", w, F.substring(y, 1, 3), F.floor(F.length(x) / 8).cast("string")))
-    near = lambda x, y: F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.transform(F.array_distinct(F.split(x, " ")), lambda w: F.concat_ws("|", w, F.substring(y, 1, 3), (F.floor(F.length(x) / 8) + k).cast("string")))))
-    p = c.withColumn("k", F.explode(near("ct", "ca"))).join(t.withColumn("k", F.explode(key("t", "a"))), "k").select("candidate_id", "ct", "ca", "id", "t", "a").distinct()
-    score = 0.7 * fuzzy.ratio_column(fuzzy.token_sort_ratio)("ct", "t") + 0.3 * fuzzy.ratio_column(fuzzy.token_set_ratio)("ca", "a")
-    return p.withColumn("score", F.round(score, 4)).where("score >= 85").groupBy("candidate_id").agg(F.max_by(F.struct("id", "score"), F.struct(F.col("score"), -F.col("id"))).alias("b")).select("candidate_id", "b.id", "b.score")
+    rows = lib(s, d, "title", "artist").select("id", n(F.col("title")).alias("title"), n(F.col("artist")).alias("artist")).where("title <> ''")
+    asked = candidates(s, d).where("candidate_id % 20 = 0").select(F.col("candidate_id").alias("query_id"), n(F.col("title")).alias("title"), n(F.col("artist")).alias("artist")).where("title <> ''")
+    return best_matches(asked, rows)
 
 
 q("jn_11", "SELECT t.id, CASE WHEN b.confidence >= 0.6 THEN b.candidate_id END AS candidate_id FROM t LEFT JOIN b ON b.k = lower(t.title)", T, "b AS (SELECT lower(title) AS k, max(coalesce(confidence, 0)) AS confidence, arg_max(candidate_id, (coalesce(confidence, 0), -candidate_id)) AS candidate_id FROM candidates GROUP BY lower(title))")(

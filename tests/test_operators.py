@@ -147,3 +147,34 @@ def test_registered_functions(spark):
     jpg = "FFD8FFE000104A46494600010100000100010000FFC00011080064012C03"
     r = spark.sql(f"select token_sort_ratio('b a', 'a b') as r, nfkc('ﬁ') as n, image_width(unhex('{png}')) as p, image_width(unhex('{jpg}')) as j, image_width(unhex('00')) as x").first()
     assert (r.r, r.n, r.p, r.j, r.x) == (100.0, "fi", 600, 300, None)
+
+
+def test_search_equals_comparing_all(spark):
+    from stacksift.operators.search import best_matches
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 7)))
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(1, 4))), word() if i % 7 else None, "x") for i in range(300)] + [(900, "w" * 80 + " long title", "q", "x"), (901, "yellow submarine", "beatles", "x"), (5, "yellow submarine", "beatles", "x"), (902, None, None, "x")]
+    asked = [(i, t[::-1] if i % 3 == 0 else t[:-1] or t, a) for i, t, a, _ in rows[::4] if t] + [(1000, "yellow submarine", "the beatles"), (1001, "w" * 79 + " long title", "q"), (1002, "", ""), (None, "a", "b")]
+    want = {}
+    for k, t, a in asked:
+        scored = [(round(0.7 * fuzzy.token_sort_ratio(t, x or "") + 0.3 * fuzzy.token_set_ratio(a or "", y or ""), 9), -i) for i, x, y, _ in rows]
+        if k is not None and max(scored)[0] >= 85:
+            want[k] = (-max(scored)[1], round(max(scored)[0], 4))
+    r = spark.createDataFrame(rows, "id bigint, title string, artist string, score string")
+    q = spark.createDataFrame(asked, "query_id bigint, title string, artist string")
+    for sizes in ((20_000, 2_000), (50, 9)):
+        got = {x.query_id: (x.id, x.score) for x in best_matches(q, r, rows_a_task=sizes[0], queries_a_task=sizes[1]).collect()}
+        assert got == want and got[1000] == (5, 100.0) and 1001 in got
+    assert best_matches(q.limit(0), r).count() == best_matches(q, r.limit(0)).count() == 0
+
+
+def test_wide_letters_are_the_same_title(spark):
+    t = spark.createDataFrame([(1, "Ｈｅｌｌｏ Ｗｏｒｌｄ", "A", None, 200.0), (2, "Hello World", "A", None, 201.0), (3, "Hello World", "A", None, 230.0)], "id bigint, title string, artist string, albumartist string, duration double")
+    assert {(r.root, r.id) for r in dedup.similar_tags(t).collect()} == {(1, 1), (1, 2)}
+
+
+def test_occupied_targets_are_not_given_out(spark):
+    p = spark.createDataFrame([(1, "/in/a.mp3", "/lib/T.mp3"), (2, "/in/b.mp3", "/lib/S.mp3")], "id bigint, path string, target string")
+    got = {r.id: r.target for r in organise.numbered(p, spark.createDataFrame([("/lib/t.mp3",), (None,)], "path string")).collect()}
+    assert got == {1: "/lib/T (2).mp3", 2: "/lib/S.mp3"}
