@@ -93,9 +93,14 @@ def suggestion() -> Column:
     )
 
 
+#: White space of all kinds, for both engines' patterns.
+SPACES = r"\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
 def unsafe_replaced(text: Column, longest: int = 120) -> Column:
     """A path component without characters some file systems refuse, reserved names marked, cut at `longest`; '' becomes Unknown."""
-    out = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r'[<>:"/\\|?*\x00-\x1f]', "_")), r"[ .]+$", "")
+    out = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r'[<>:"/\\|?*\x00-\x1f]', "_"), rf"^[{SPACES}]+|[{SPACES}]+$", "")
+    out = F.regexp_replace(out, r"[ .]+$", "")
     out = F.regexp_replace(out, r"^((?i)con|prn|aux|nul|com[1-9]|lpt[1-9])$", "_$1")
     # replacements rather than conditions: a condition would repeat the whole expression in each branch
     out = F.regexp_replace(out, rf"^([\s\S]{{0,{longest - 1}}}[^ ._-])[ ._-]*(?<=^[\s\S]{{{longest}}})[\s\S]+$", "$1")

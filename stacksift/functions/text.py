@@ -42,7 +42,7 @@ def normalised(text: Column) -> Column:
 
 def normalised_sql(c: str) -> str:
     """The same of a column that is in compatibility form."""
-    t = f"lower(trim(coalesce({c}, '')))"
+    t = f"lower(regexp_replace(trim(coalesce({c}, '')), '(\\p{{L}})Σ($|[^\\p{{L}}])', '\\1ς\\2', 'g'))"
     t = f"regexp_replace(regexp_replace({t}, '{REMARKS}', ' ', 'g'), '{FEATURING}', '')"
     t = f"translate(regexp_replace({t}, '{ARABIC_MARKS}', '', 'g'), '{ARABIC_FROM}', '{ARABIC_TO}')"
     return f"trim(regexp_replace(regexp_replace({t}, '{NON_WORD}', ' ', 'g'), '\\s+', ' ', 'g'))"

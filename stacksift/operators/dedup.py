@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core.components import star_components
@@ -55,6 +55,11 @@ def _classes(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(rows.groupBy(*keys).agg(F.min("id").alias("cls")), keys)
 
 
+def tag_block(title: Column, artist: Column) -> Column:
+    """What tracks of nearly equal tags share: the first three words of the normalised title and the artist's first 24 letters."""
+    return F.concat_ws("|", F.array_join(F.slice(F.split(title, " "), 1, 3), " "), F.substring(artist, 1, 24))
+
+
 def similar_tags(tracks: DataFrame, tolerance: float = TOLERANCE, title_ratio: float = TITLE_RATIO) -> DataFrame:
     """(id, root): tracks (id, title, artist, albumartist, duration) of nearly equal title, artist and length.
 
@@ -66,7 +71,7 @@ def similar_tags(tracks: DataFrame, tolerance: float = TOLERANCE, title_ratio: f
     t = tracks.select("id", normalised(F.col("title")).alias("t"), normalised(F.coalesce(F.nullif("artist", F.lit("")), F.col("albumartist"))).alias("a"), "duration").where("t <> '' and duration > 0")
     classes = cut(_classes(t, ["t", "a", "duration"]))
     c = classes.where("id = cls").select("id", "t", "a", "duration")
-    head = F.concat_ws("|", F.array_join(F.slice(F.split("t", " "), 1, 3), " "), F.substring("a", 1, 24))
+    head = tag_block(F.col("t"), F.col("a"))
     slot = F.floor(F.col("duration") / max(1.0, tolerance))
     x = c.select(F.col("id").alias("a_"), F.col("t").alias("ta"), F.col("a").alias("aa"), F.col("duration").alias("da"), head.alias("h"), slot.alias("slot"))
     y = c.select(F.col("id").alias("b_"), F.col("t").alias("tb"), F.col("a").alias("ab"), F.col("duration").alias("db"), head.alias("h"), F.explode(F.array(slot, slot - 1)).alias("slot"))

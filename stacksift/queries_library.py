@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import queries_sql as qs
 from . import sources
 from .core.components import star_components
 from .core.session import table
@@ -31,7 +32,7 @@ def q(name: str, sql: str | None = None, *ctes: str):
     def add(f):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = (f"WITH {', '.join(ctes)} " if ctes else "") + sql
+            ORACLES[name] = (f"WITH RECURSIVE {', '.join(ctes)} " if ctes else "") + sql
         return f
 
     return add
@@ -259,17 +260,22 @@ def disk_of(s, d):
 q("jn_05", "SELECT * FROM ch WHERE change IS NOT NULL", T, _SNAP)(lambda s, d: incremental.changes(disk_of(s, d), index_of(s, d)))
 q("jn_06", "SELECT path FROM ch WHERE change = 'missing'", T, _SNAP)(lambda s, d: incremental.changes(disk_of(s, d), index_of(s, d)).where("change = 'missing'").select("path"))
 q("jn_07", "SELECT id, min(id) OVER (PARTITION BY sha256) AS root FROM t WHERE sha256 <> '' QUALIFY count(*) OVER (PARTITION BY sha256) > 1", T)(lambda s, d: dedup.equal_groups(lib(s, d, "sha256"), "sha256"))
-q("jn_08")(lambda s, d: dedup.similar_sound(lib(s, d, "fingerprint", "duration")))
-q("jn_09")(lambda s, d: dedup.similar_tags(lib(s, d, "title", "artist", "albumartist", "duration")))
+_WORDS = "w AS (SELECT id, [CAST('0x' || substr(h, i * 8 + 1, 8) AS BIGINT) for i in range(0, CAST(len(h) // 8 AS BIGINT))] AS words FROM (SELECT id, hex(from_base64(translate(fingerprint, '-_', '+/') || repeat('=', CAST((4 - length(fingerprint) % 4) % 4 AS BIGINT)))) AS h FROM t WHERE fingerprint IS NOT NULL))"
+q("jn_08", "SELECT * FROM js_g", T, _WORDS, *qs.similar_sound("js_", "t", "w"))(lambda s, d: dedup.similar_sound(lib(s, d, "fingerprint", "duration")))
+q("jn_09", "SELECT * FROM jt_g", T, *qs.similar_tags("jt_", "t"))(lambda s, d: dedup.similar_tags(lib(s, d, "title", "artist", "albumartist", "duration")))
 
 
-@q("jn_10")
+@q("jn_10", """SELECT candidate_id, arg_max(id, (round(score, 9), -id)) AS id, round(max(score), 4) AS score FROM (SELECT candidate_id, id, 0.7::DOUBLE * y.sorted + 0.3::DOUBLE * z.in_set AS score FROM ask, loc JOIN f y ON y.a = ct AND y.b = lt JOIN f z ON z.a = ca AND z.b = la) WHERE score >= 85 GROUP BY 1""", T,
+   *qs.composed("n", "SELECT title AS x FROM t UNION SELECT artist FROM t UNION SELECT title FROM candidates UNION SELECT artist FROM candidates"),
+   "loc AS (SELECT coalesce(y.n, '') AS lt, coalesce(z.n, '') AS la, min(id) AS id FROM t LEFT JOIN n y ON y.x = title LEFT JOIN n z ON z.x = artist WHERE coalesce(y.n, '') <> '' GROUP BY ALL)",
+   "ask AS (SELECT DISTINCT candidate_id, coalesce(y.n, '') AS ct, coalesce(z.n, '') AS ca FROM candidates LEFT JOIN n y ON y.x = title LEFT JOIN n z ON z.x = artist WHERE candidate_id % 20 = 0 AND coalesce(y.n, '') <> '')",
+   *qs.ratios("f", "SELECT DISTINCT ct AS a, lt AS b FROM ask, loc UNION SELECT DISTINCT ca, la FROM ask, loc"))
 def jn_10(s, d):
     """The best local track of each catalogue entry asked about (those whose id is divisible by 20), all tracks compared."""
     n = text.normalised
     rows = lib(s, d, "title", "artist").select("id", n(F.col("title")).alias("title"), n(F.col("artist")).alias("artist")).where("title <> ''")
     asked = candidates(s, d).where("candidate_id % 20 = 0").select(F.col("candidate_id").alias("query_id"), n(F.col("title")).alias("title"), n(F.col("artist")).alias("artist")).where("title <> ''")
-    return best_matches(asked, rows)
+    return best_matches(asked, rows).withColumnRenamed("query_id", "candidate_id")
 
 
 q("jn_11", "SELECT t.id, CASE WHEN b.confidence >= 0.6 THEN b.candidate_id END AS candidate_id FROM t LEFT JOIN b ON b.k = lower(t.title)", T, "b AS (SELECT lower(title) AS k, max(coalesce(confidence, 0)) AS confidence, arg_max(candidate_id, (coalesce(confidence, 0), -candidate_id)) AS candidate_id FROM candidates GROUP BY lower(title))")(
@@ -373,7 +379,9 @@ vd AS (SELECT rk.group_id, track_id, margin, margin < 0.03 AS ambiguous, mg.recl
 q("win_04", "SELECT DISTINCT group_id, margin, ambiguous FROM vd", T, M, _SCORED, _VERDICT)(lambda s, d: group_verdicts(s, d).select("group_id", "margin", "ambiguous").distinct())
 q("win_05", "SELECT group_id, track_id, action FROM vd", T, M, _SCORED, _VERDICT)(lambda s, d: group_verdicts(s, d).select("group_id", "track_id", "action"))
 q("win_12", "SELECT DISTINCT group_id, reclaimable_bytes FROM vd", T, M, _SCORED, _VERDICT)(lambda s, d: group_verdicts(s, d).select("group_id", "reclaimable_bytes").distinct())
-q("win_09")(lambda s, d: group_verdicts(s, d).where("action <> 'keep'").select("group_id", "track_id", "reason"))
+_LACKS = "[" + ", ".join(f"{{g: -round(w.s_{k} - l.s_{k}, 6), i: {i}, t: '{decision.LACKS[k]}'}}" for i, k in enumerate(decision.CRITERIA)) + "]"
+q("win_09", f"""SELECT group_id, track_id, CASE WHEN x = '' THEN 'Equivalent copy -- kept the higher-ranked one' ELSE x END AS reason FROM (SELECT l.group_id, l.track_id,
+  array_to_string(list_transform(list_sort(list_filter({_LACKS}, lambda z: z.g < -0.05))[1:2], lambda z: z.t), '; ') AS x FROM rk l JOIN rk w ON w.group_id = l.group_id AND w.rn = 1 WHERE l.rn > 1)""", T, M, _SCORED, _VERDICT)(lambda s, d: group_verdicts(s, d).where("action <> 'keep'").select("group_id", "track_id", "reason"))
 q("win_14", """SELECT group_id, track_id, CASE WHEN bits <> '' THEN 'Best copy: ' || bits ELSE 'Highest score in cluster' END AS reason FROM (SELECT group_id, track_id, concat_ws(', ', CASE WHEN lossless THEN 'lossless (' || coalesce(codec, 'None') || ')' WHEN bitrate > 0 THEN (bitrate // 1000) || ' kbps' END,
   CASE WHEN s_tags >= 0.8 THEN 'near-complete tags' END, CASE WHEN has_artwork AND artwork_px >= 600 THEN artwork_px || 'px artwork' END, CASE WHEN has_synced_lyrics THEN 'synced lyrics' END) AS bits FROM rk WHERE rn = 1 AND cnt > 1)""", T, M, _SCORED, _VERDICT)(lambda s, d: group_verdicts(s, d).where("action = 'keep'").select("group_id", "track_id", "reason"))
 
@@ -444,8 +452,10 @@ def active(s, d):
 
 
 q("set_01", "SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3", T, *_LAYERS)(lambda s, d: dedup.layered(active(s, d), EXACT))
-q("dedup_layers")(lambda s, d: dedup.layered(active(s, d)))
-q("dedup_report")(lambda s, d: dedup.report(dedup.layered(active(s, d)), active(s, d)))
+_ALL = (T, *_LAYERS, _WORDS, *qs.similar_sound("ds_", "r3", "w"), "r4 AS (SELECT * FROM r3 WHERE id NOT IN (SELECT id FROM ds_g))", *qs.similar_tags("dt_", "r4"),
+        "al AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT 'acoustic', 0.92::DOUBLE, root, id FROM ds_g UNION ALL SELECT 'metadata', 0.80::DOUBLE, root, id FROM dt_g)")
+q("dedup_layers", "SELECT * FROM al", *_ALL)(lambda s, d: dedup.layered(active(s, d)))
+q("dedup_report", "SELECT kind, confidence, count(*) AS groups, CAST(sum(n) AS BIGINT) AS files, CAST(sum(n - 1) AS BIGINT) AS duplicate_files, CAST(sum(b) AS BIGINT) AS reclaimable_bytes FROM (SELECT kind, confidence, root, count(*) AS n, sum(size_bytes) - max(size_bytes) AS b FROM al JOIN tk USING (id) GROUP BY ALL) GROUP BY ALL", *_ALL)(lambda s, d: dedup.report(dedup.layered(active(s, d)), active(s, d)))
 q("dedup_exact_report", """, g AS (SELECT kind, confidence, root, count(*) AS n, sum(size_bytes) - max(size_bytes) AS b FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) JOIN tk USING (id) GROUP BY ALL)
 SELECT kind, confidence, count(*) AS groups, CAST(sum(n) AS BIGINT) AS files, CAST(sum(n - 1) AS BIGINT) AS duplicate_files, CAST(sum(b) AS BIGINT) AS reclaimable_bytes FROM g GROUP BY ALL""", T, *_LAYERS)(lambda s, d: dedup.report(dedup.layered(active(s, d), EXACT), active(s, d)))
 q("set_02", "SELECT list_sort(list_distinct(list_filter(track_ids, lambda x: x IS NOT NULL))) AS ids, min(cluster_id) AS first_cluster FROM clusters WHERE track_ids IS NOT NULL GROUP BY 1")(lambda s, d: table(s, d, "clusters").where("track_ids is not null").groupBy(F.array_sort(F.array_distinct(F.array_compact("track_ids"))).alias("ids")).agg(F.min("cluster_id").alias("first_cluster")))
@@ -471,9 +481,6 @@ def gr_01(s, d):
     return star_components(e)
 
 
-ORACLES["gr_01"] = ORACLES["gr_01"].replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 @q("gr_02", """, fo AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:k], '/') AS path FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS k FROM t)),
 fl AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:k], '/') AS path FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS k FROM t WHERE status = 'active' AND quality_score > 0.6))
 SELECT path FROM fo WHERE path NOT IN (SELECT path FROM fl)""", T)
@@ -484,26 +491,21 @@ def gr_02(s, d):
 
 
 # ---------------------------------------------------------------- scalar functions
-q("fn_01", f"SELECT DISTINCT title, {text.normalised_sql('title')} AS normal FROM t WHERE regexp_full_match(title, '[\\x20-\\x7E]*')", T)(lambda s, d: lib(s, d, "title").where(F.col("title").rlike("^[\\x20-\\x7E]*$")).select("title", text.normalised(F.col("title")).alias("normal")).distinct())
+q("fn_01", "SELECT DISTINCT title, coalesce(n, '') AS normal FROM t LEFT JOIN n ON x = title", T, *qs.composed("n", "SELECT title AS x FROM t"))(lambda s, d: lib(s, d, "title").select("title").distinct().select("title", text.normalised(F.col("title")).alias("normal")))
 q("fn_02", f"SELECT DISTINCT title, translate(regexp_replace(title, '{text.ARABIC_MARKS}', '', 'g'), '{text.ARABIC_FROM}', '{text.ARABIC_TO}') AS folded FROM t", T)(lambda s, d: lib(s, d, "title").select("title", F.translate(F.regexp_replace("title", text.ARABIC_MARKS, ""), text.ARABIC_FROM, text.ARABIC_TO).alias("folded")).distinct())
-q("fn_03", "SELECT id, [k || '|' || CAST(b AS VARCHAR), k || '|' || CAST(b + 1 AS VARCHAR)] AS keys FROM (SELECT id, array_to_string(string_split(lower(title), ' ')[1:3], ' ') || '|' || substr(lower(coalesce(artist, '')), 1, 24) AS k, CAST(floor(duration / 7.0) AS BIGINT) AS b FROM t WHERE regexp_full_match(title || coalesce(artist, ''), '[A-Za-z ]+') AND duration > 0)", T)(
-    lambda s, d: lib(s, d, "title", "artist", "duration").where(F.concat("title", F.coalesce("artist", F.lit(""))).rlike("^[A-Za-z ]+$") & (F.col("duration") > 0)).select("id", F.concat_ws("|", F.array_join(F.slice(F.split(F.lower("title"), " "), 1, 3), " "), F.substring(F.lower(F.coalesce("artist", F.lit(""))), 1, 24)).alias("k"), F.floor(F.col("duration") / 7.0).alias("b")).select("id", F.array(F.concat_ws("|", "k", F.col("b").cast("string")), F.concat_ws("|", "k", (F.col("b") + 1).cast("string"))).alias("keys")))
-q("fn_04")(lambda s, d: table(s, d, "candidates").where("album is not null").select("candidate_id", F.round(fuzzy.ratio_column(fuzzy.token_sort_ratio)(lower("title"), lower("album")), 4).alias("sorted_ratio"), F.round(fuzzy.ratio_column(fuzzy.token_set_ratio)(lower("title"), lower("album")), 4).alias("set_ratio")))
-_WORDS = "w AS (SELECT id, [CAST('0x' || substr(h, i * 8 + 1, 8) AS BIGINT) for i in range(0, CAST(len(h) // 8 AS BIGINT))] AS words FROM (SELECT id, hex(from_base64(translate(fingerprint, '-_', '+/') || repeat('=', CAST((4 - length(fingerprint) % 4) % 4 AS BIGINT)))) AS h FROM t WHERE fingerprint IS NOT NULL))"
+q("fn_03", "SELECT id, [h || '|' || CAST(CAST(floor(duration / 7.0) AS BIGINT) AS VARCHAR), h || '|' || CAST(CAST(floor(duration / 7.0) AS BIGINT) + 1 AS VARCHAR)] AS keys FROM (SELECT id, duration, array_to_string(string_split(y.n, ' ')[1:3], ' ') || '|' || substr(coalesce(z.n, ''), 1, 24) AS h FROM t JOIN n y ON y.x = title LEFT JOIN n z ON z.x = coalesce(nullif(artist, ''), albumartist) WHERE y.n <> '' AND duration > 0)", T, *qs.composed("n", "SELECT title AS x FROM t UNION SELECT coalesce(nullif(artist, ''), albumartist) FROM t"))(
+    lambda s, d: lib(s, d, "title", "artist", "albumartist", "duration").select("id", text.normalised(F.col("title")).alias("t"), text.normalised(F.coalesce(F.nullif("artist", F.lit("")), F.col("albumartist"))).alias("a"), "duration").where("t <> '' and duration > 0").select("id", F.array(*[F.concat_ws("|", dedup.tag_block(F.col("t"), F.col("a")), (F.floor(F.col("duration") / dedup.TOLERANCE) + k).cast("string")) for k in (0, 1)]).alias("keys")))
+_CANDS = "c AS (SELECT candidate_id, confidence, translate(lower(coalesce(title, '')), 'ς', 'σ') AS ti, translate(lower(coalesce(album, '')), 'ς', 'σ') AS al, translate(lower(coalesce(artist, '')), 'ς', 'σ') AS ar, translate(lower(coalesce(albumartist, '')), 'ς', 'σ') AS aa, album FROM candidates)"
+q("fn_04", "SELECT candidate_id, round(sorted, 4) AS sorted_ratio, round(in_set, 4) AS set_ratio FROM c JOIN f ON a = ti AND b = al WHERE album IS NOT NULL", _CANDS, *qs.ratios("f", "SELECT ti AS a, al AS b FROM c"))(lambda s, d: table(s, d, "candidates").where("album is not null").select("candidate_id", F.round(fuzzy.ratio_column(fuzzy.token_sort_ratio)(lower("title"), lower("album")), 4).alias("sorted_ratio"), F.round(fuzzy.ratio_column(fuzzy.token_set_ratio)(lower("title"), lower("album")), 4).alias("set_ratio")))
 q("fn_05", "SELECT * FROM w", T, _WORDS)(lambda s, d: lib(s, d, "fingerprint").where("fingerprint is not null").select("id", fingerprint.words(F.col("fingerprint")).alias("words")))
 
 
-@q("fn_06", "SELECT a.id, a.n AS other, round(1 - CAST(list_sum([bit_count(xor(a.words[i], b.words[i])) for i in range(1, len(a.words) + 1)]) AS DOUBLE) / (len(a.words) * 32), 6) AS agreement FROM (SELECT *, lead(id) OVER (ORDER BY id) AS n FROM w) a JOIN w b ON b.id = a.n WHERE len(a.words) = len(b.words)", T, _WORDS)
+@q("fn_06", f"SELECT m.id, f.id AS other, round({qs.agreement('m.words', 'f.words')}, 6) AS agreement FROM m JOIN f USING (album) WHERE m.id <> f.id", T, _WORDS, "m AS (SELECT id, album, words FROM t JOIN w USING (id) WHERE album <> '')", "f AS (SELECT album, arg_min(id, id) AS id, arg_min(words, id) AS words FROM m GROUP BY album)")
 def fn_06(s, d):
-    """Agreement of each fingerprint with the next one by id, found through numbered ranges, not one global window."""
-    f = lib(s, d, "fingerprint").where("fingerprint is not null").select("id", fingerprint.words(F.col("fingerprint")).alias("w"))
-    n = f.select("id").withColumn("b", F.floor(F.col("id") / 1000))
-    w = W.partitionBy("b").orderBy("id")
-    nxt = n.withColumn("n", F.lead("id").over(w))
-    first = n.groupBy("b").agg(F.min("id").alias("first"))
-    heads = first.select((F.col("b")).alias("b"), F.lead("first").over(W.orderBy("b")).alias("after"))  # one row a thousand ids
-    pairs = nxt.join(heads, "b").select("id", F.coalesce("n", "after").alias("other")).where("other is not null")
-    return pairs.join(f, "id").join(f.select(F.col("id").alias("other"), F.col("w").alias("v")), "other").select("id", "other", fingerprint.aligned_agreement(F.col("w"), F.col("v")).alias("agreement")).where("agreement is not null")
+    """Agreement of each fingerprint with that of its album's first track, over all offsets."""
+    f = lib(s, d, "fingerprint", "album").where("fingerprint is not null and album <> ''").select("id", "album", fingerprint.words(F.col("fingerprint")).alias("w"))
+    first = f.groupBy("album").agg(F.min_by(F.struct(F.col("id").alias("other"), F.col("w").alias("v")), "id").alias("x")).select("album", "x.*")
+    return f.join(first, "album").where("id <> other").select("id", "other", F.round(fingerprint.agreement_column()("w", "v"), 6).alias("agreement"))
 
 
 q("fn_07", "SELECT id, [CAST(b AS VARCHAR) || ':' || CAST(words[b * (len(words) // 6) + 1] >> 24 AS VARCHAR) || ':' || CAST(words[b * (len(words) // 6) + 2] >> 24 AS VARCHAR) for b in range(0, 6)] AS keys FROM w WHERE len(words) >= 12", T, _WORDS)(lambda s, d: lib(s, d, "fingerprint").select("id", fingerprint.words(F.col("fingerprint")).alias("w")).where("size(w) >= 12").select("id", fingerprint.band_keys(F.col("w")).alias("keys")))
@@ -514,12 +516,21 @@ q("fn_11", f"SELECT id, {_RES} AS resolution FROM t", T)(lambda s, d: lib(s, d,
 q("fn_12", f"SELECT id, {_ART} AS artwork, {_LYR} AS lyrics, {_TAGS} AS tags FROM t", T)(lambda s, d: lib(s, d, "has_artwork", "artwork_px", "has_lyrics", "has_synced_lyrics", "tag_completeness", "mb_recording_id").select("id", media.artwork_score().alias("artwork"), media.lyrics_score().alias("lyrics"), media.tags_score().alias("tags")))
 q("fn_13", f"SELECT id, {_PATHS} AS path_score FROM t", T)(lambda s, d: lib(s, d, "path").select("id", media.path_score().alias("path_score")))
 q("fn_14", "SELECT group_id, round(CAST(sum(CAST(round(score * 100000) AS BIGINT)) AS DOUBLE) / count(*) / 100000, 7) AS mean_score FROM sc GROUP BY 1", T, M, _SCORED)(lambda s, d: decision.scored(group_members(s, d)).groupBy("group_id").agg(F.round(F.sum(F.round(F.col("score") * 100000).cast("bigint")).cast("double") / F.count("*") / 100000, 7).alias("mean_score")))
-q("fn_15")(lambda s, d: candidates(s, d).select("candidate_id", F.round(F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.5)) * (0.45 + 0.55 * fuzzy.ratio_column(fuzzy.token_sort_ratio)(lower("title"), lower("album")) / 100) * (0.60 + 0.40 * fuzzy.ratio_column(fuzzy.token_set_ratio)(lower("artist"), lower("albumartist")) / 100)), 5).alias("adjusted")))
-_SAFE = "regexp_replace(trim(regexp_replace({c}, '[<>:\"/\\\\|?*\\x00-\\x1f]', '_', 'g')), '[ .]+$', '')"
-q("fn_17", f"SELECT id, coalesce(nullif(CASE WHEN regexp_full_match(lower(x), 'con|prn|aux|nul|com[1-9]|lpt[1-9]') THEN '_' || x ELSE x END, ''), 'Unknown') AS safe FROM (SELECT id, {_SAFE.format(c='title')} AS x FROM t) WHERE length(x) <= 120 OR x IS NULL", T)(lambda s, d: lib(s, d, "title").select("id", media.unsafe_replaced(F.col("title")).alias("safe")))
-q("fn_18")(lambda s, d: organise.targets(lib(s, d, "path", "ext", "codec", "title", "artist", "albumartist", "album", "year", "genre", "track_no", "disc_no")))
+q("fn_15", "SELECT DISTINCT candidate_id, round(least(1.0, coalesce(confidence, 0.5) * (0.45::DOUBLE + 0.55::DOUBLE * y.sorted / 100) * (0.60::DOUBLE + 0.40::DOUBLE * z.in_set / 100)), 5) AS adjusted FROM c JOIN f y ON y.a = ti AND y.b = al JOIN f z ON z.a = ar AND z.b = aa", _CANDS, *qs.ratios("f", "SELECT ti AS a, al AS b FROM c UNION SELECT ar, aa FROM c"))(lambda s, d: candidates(s, d).select("candidate_id", F.round(F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.5)) * (0.45 + 0.55 * fuzzy.ratio_column(fuzzy.token_sort_ratio)(lower("title"), lower("album")) / 100) * (0.60 + 0.40 * fuzzy.ratio_column(fuzzy.token_set_ratio)(lower("artist"), lower("albumartist")) / 100)), 5).alias("adjusted")))
+def _safe(e: str) -> str:
+    """A safe path component of less than 120 characters; none here is longer."""
+    bare = f"regexp_replace(regexp_replace(regexp_replace(coalesce({e}, ''), '[<>:\"/\\\\|?*\\x00-\\x1f]', '_', 'g'), '^[{media.SPACES}]+|[{media.SPACES}]+$', '', 'g'), '[ .]+$', '')"
+    return f"coalesce(nullif(regexp_replace({bare}, '^(?i)(con|prn|aux|nul|com[1-9]|lpt[1-9])$', '_\\1'), ''), 'Unknown')"
+
+
+q("fn_17", f"SELECT id, {_safe('title')} AS safe FROM t", T)(lambda s, d: lib(s, d, "title").select("id", media.unsafe_replaced(F.col("title")).alias("safe")))
+_PARTS = f"""pt AS (SELECT *, {_safe("coalesce(nullif(artist, ''), nullif(albumartist, ''), 'Unknown Artist')")} AS ar, {_safe("coalesce(nullif(albumartist, ''), nullif(artist, ''), 'Unknown Artist')")} AS aa, {_safe("coalesce(nullif(album, ''), 'Unknown Album')")} AS al,
+  {_safe("coalesce(nullif(title, ''), regexp_replace(string_split(path, '/')[-1], '(.)[.][^.]*$', '\\1'))")} AS ti, coalesce(CAST(nullif(year, 0) AS VARCHAR), '0000') AS ye, CASE WHEN coalesce(track_no, 0) < 10 THEN '0' ELSE '' END || CAST(coalesce(track_no, 0) AS VARCHAR) AS tn, '.' || regexp_replace(ext, '^[.]+', '') AS ex FROM t),
+wh AS (SELECT id, path, ex, CASE WHEN coalesce(album, '') = '' THEN {_safe("aa")} || '/Singles/' || {_safe("ti")} WHEN lower(trim(coalesce(albumartist, ''))) IN ('various artists', 'various', 'va') THEN 'Compilations/' || {_safe("ye || ' - ' || al")} || '/' || {_safe("tn || ' - ' || ar || ' - ' || ti")}
+  ELSE {_safe("aa")} || '/' || {_safe("ye || ' - ' || al")} || '/' || {_safe("tn || ' - ' || ti")} END AS w FROM pt)"""
+q("fn_18", "SELECT id, path, CASE WHEN ends_with(lower(w), lower(ex)) THEN w ELSE w || ex END AS target FROM wh", T, _PARTS)(lambda s, d: organise.targets(lib(s, d, "path", "ext", "codec", "title", "artist", "albumartist", "album", "year", "genre", "track_no", "disc_no")))
 q("fn_19", "SELECT id, CASE WHEN size_bytes < 1024 THEN printf('%.2f B', size_bytes::DOUBLE) WHEN size_bytes < 1048576 THEN printf('%.2f KB', size_bytes / 1024) WHEN size_bytes < 1073741824 THEN printf('%.2f MB', size_bytes / 1048576) ELSE printf('%.2f GB', size_bytes / 1073741824) END AS size FROM t", T)(lambda s, d: lib(s, d, "size_bytes").select("id", text.human_bytes(F.col("size_bytes")).alias("size")))
-q("fn_20", "SELECT DISTINCT title, list_filter(regexp_split_to_array(lower(title), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS tokens FROM t WHERE regexp_full_match(title, '[\\x20-\\x7E]*')", T)(lambda s, d: lib(s, d, "title").where(F.col("title").rlike("^[\\x20-\\x7E]*$")).select("title", text.tokens(F.col("title")).alias("tokens")).distinct())
+q("fn_20", f"SELECT DISTINCT title, list_filter(regexp_split_to_array({qs.lowered('title')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS tokens FROM t WHERE title IS NOT NULL", T)(lambda s, d: lib(s, d, "title").where("title is not null").select("title", text.tokens(F.col("title")).alias("tokens")).distinct())
 q("fn_21", "SELECT DISTINCT candidate_id, CASE WHEN y BETWEEN 1860 AND 2200 THEN y END AS year, CAST(nullif(regexp_extract(length_text, '^\\s*(\\d+)', 1), '') AS BIGINT) AS number FROM (SELECT *, CAST(nullif(regexp_extract(release_date, '(\\d{4})', 1), '') AS INT) AS y FROM candidates)")(lambda s, d: table(s, d, "candidates").select("candidate_id", text.year_in(F.col("release_date")).alias("year"), text.leading_int(F.col("length_text")).alias("number")).distinct())
 q("fn_22", "SELECT id, '[' || lpad(CAST(ms // 60000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(ms // 1000 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(ms % 1000 // 10 AS VARCHAR), 2, '0') || ']' AS stamp FROM (SELECT id, CAST(round(duration * 1000) AS BIGINT) AS ms FROM t WHERE duration > 0 AND duration < 5999)", T)(lambda s, d: lib(s, d, "duration").where("duration > 0 and duration < 5999").select("id", text.lrc_stamp(F.round(F.col("duration") * 1000).cast("bigint")).alias("stamp")))
 q("fn_24", "SELECT DISTINCT title, regexp_replace(title, '([+\\-&|!(){}\\[\\]^\"~*?:\\\\/])', '\\\\\\1', 'g') AS escaped FROM t", T)(lambda s, d: lib(s, d, "title").select("title", text.lucene_escaped(F.col("title")).alias("escaped")).distinct())
@@ -575,26 +586,42 @@ q("win_02", "SELECT group_id, track_id, s_duration FROM sc", T, M, _SCORED)(lamb
 q("win_11")(lambda s, d: organise.numbered(quarantine(s, d).select("id", F.col("original_path").alias("path"), F.concat(F.lit("/q/"), F.substring_index("quarantine_path", "/", -1)).alias("target"))))
 
 
-@q("jn_17")
+@q("jn_17", """SELECT DISTINCT candidate_id, bt AS t, br AS ratio FROM (SELECT al, w, arg_max(t, (sorted, t)) AS bt, round(max(sorted), 4) AS br FROM asked JOIN held USING (al) JOIN f ON a = w AND b = t WHERE sorted >= 82 GROUP BY ALL) JOIN cd USING (al, w)""", T, *qs.composed("n", "SELECT title AS x FROM t UNION SELECT title FROM candidates"),
+   "held AS (SELECT DISTINCT translate(lower(album), 'ς', 'σ') AS al, n AS t FROM t JOIN n ON x = title WHERE album <> '' AND n <> '')", "cd AS (SELECT DISTINCT candidate_id, translate(lower(album), 'ς', 'σ') AS al, coalesce(n, '') AS w FROM candidates LEFT JOIN n ON x = title WHERE album <> '')",
+   "asked AS (SELECT DISTINCT al, w FROM cd)", *qs.ratios("f", "SELECT w AS a, t AS b FROM asked JOIN held USING (al)"))
 def jn_17(s, d):
-    """The best entry of an album's track list for each answer that names the album: title ratio of 82 or more."""
+    """The best entry of an album's track list for each answer that names the album: title ratio of 82 or more.
+
+    Both sides are distinct by album and title before they meet, so copies and repeated answers move once.
+    """
     n = text.normalised
-    album = table(s, d, "tracks").where("album <> ''").select(lower("album").alias("al"), n(F.col("title")).alias("t")).where("t <> ''").distinct()
-    want = table(s, d, "candidates").where("album <> ''").select("candidate_id", lower("album").alias("al"), n(F.col("title")).alias("w")).distinct()
-    scored = want.join(album, "al").withColumn("ratio", fuzzy.ratio_column(fuzzy.token_sort_ratio)("w", "t")).where("ratio >= 82")
-    return scored.groupBy("candidate_id").agg(F.max_by(F.struct("t", F.round("ratio", 4).alias("ratio")), F.struct("ratio", "t")).alias("b")).select("candidate_id", "b.t", "b.ratio")
+    album = lib(s, d, "album", "title").where("album <> ''").select(lower("album").alias("al"), "title").distinct().select("al", n(F.col("title")).alias("t")).where("t <> ''").distinct()
+    want = candidates(s, d).where("album <> ''").select("candidate_id", lower("album").alias("al"), n(F.col("title")).alias("w")).distinct()
+    scored = want.select("al", "w").distinct().join(album, "al").withColumn("ratio", fuzzy.ratio_column(fuzzy.token_sort_ratio)("w", "t")).where("ratio >= 82")
+    best = scored.groupBy("al", "w").agg(F.max_by(F.struct("t", F.round("ratio", 4).alias("ratio")), F.struct("ratio", "t")).alias("b"))
+    return want.join(best, ["al", "w"]).select("candidate_id", "b.t", "b.ratio")
+
 
+_BLANK = "CASE WHEN coalesce({0}, '') = '' THEN {2}::DOUBLE WHEN coalesce({1}, '') = '' THEN 0.0::DOUBLE ELSE {3} END"
 
-@q("fn_16")
+
+@q("fn_16", f"""SELECT l.id, c.id AS candidate_id, round(least(1.0, 0.45::DOUBLE * y.sorted / 100 + {_BLANK.format('l.ar', 'c.ar', 0.15, '0.30::DOUBLE * z.in_set / 100')} + {_BLANK.format('l.al', 'c.al', 0.07, '0.15::DOUBLE * v.sorted / 100')} + 0.04::DOUBLE), 4) AS confidence
+  FROM lo l JOIN ca c USING (k) JOIN f y ON y.a = l.ti AND y.b = c.ti JOIN f z ON z.a = l.ar AND z.b = c.ar JOIN f v ON v.a = l.al AND v.b = c.al""", T,
+   *qs.composed("n", "SELECT title AS x FROM t UNION SELECT artist FROM t UNION SELECT album FROM t UNION SELECT title FROM candidates UNION SELECT artist FROM candidates UNION SELECT album FROM candidates"),
+   *[f"{p} AS (SELECT translate(lower(title), 'ς', 'σ') AS k, coalesce(y.n, '') AS ti, coalesce(z.n, '') AS ar, coalesce(v.n, '') AS al, min({i}) AS id FROM {t} LEFT JOIN n y ON y.x = title LEFT JOIN n z ON z.x = artist LEFT JOIN n v ON v.x = album WHERE title <> '' GROUP BY ALL)" for p, i, t in (("lo", "id", "t"), ("ca", "candidate_id", "candidates"))],
+   *qs.ratios("f", "SELECT l.ti AS a, c.ti AS b FROM lo l JOIN ca c USING (k) UNION SELECT l.ar, c.ar FROM lo l JOIN ca c USING (k) UNION SELECT l.al, c.al FROM lo l JOIN ca c USING (k)"))
 def fn_16(s, d):
-    """Confidence of an answer by title .45, artist .30, album .15 and length .10, unknown fields counting partly."""
+    """Confidence of an answer by title .45, artist .30, album .15 and length .10, unknown fields counting partly.
+
+    Tracks and answers alike in the three normalised fields are one class each, their least id standing for
+    them, so a hot title meets by its different artists and albums and not by its copies.
+    """
     n, sort_, set_ = text.normalised, fuzzy.ratio_column(fuzzy.token_sort_ratio), fuzzy.ratio_column(fuzzy.token_set_ratio)
-    t = lib(s, d, "title", "artist", "album").where("title <> ''").withColumn("k", lower("title"))
-    c = candidates(s, d).select(lower("title").alias("k"), "candidate_id", F.col("title").alias("ct"), F.col("artist").alias("ca"), F.col("album").alias("cl"))
-    blank = lambda x: F.coalesce(x, F.lit("")) == ""
-    p = t.join(c, "k")
-    score = 0.45 * sort_(n(F.col("title")), n(F.col("ct"))) / 100 + F.when(blank(F.col("artist")), 0.15).when(blank(F.col("ca")), 0.0).otherwise(0.30 * set_(n(F.col("artist")), n(F.col("ca"))) / 100) + F.when(blank(F.col("album")), 0.07).when(blank(F.col("cl")), 0.0).otherwise(0.15 * sort_(n(F.col("album")), n(F.col("cl"))) / 100) + 0.04
-    return p.select("id", "candidate_id", F.round(F.least(F.lit(1.0), score), 4).alias("confidence"))
+    kinds = lambda df, i, p: df.where("title <> ''").select(F.col(i).alias("i"), lower("title").alias("k"), *[n(F.col(c)).alias(p + c) for c in ("title", "artist", "album")]).groupBy("k", *[p + c for c in ("title", "artist", "album")]).agg(F.min("i").alias(p + "id"))
+    p = kinds(lib(s, d, "title", "artist", "album"), "id", "l").join(kinds(candidates(s, d), "candidate_id", "c"), "k")
+    partly = lambda a, b, unknown, known: F.when(F.col(a) == "", unknown).when(F.col(b) == "", 0.0).otherwise(known)
+    score = 0.45 * sort_("ltitle", "ctitle") / 100 + partly("lartist", "cartist", 0.15, 0.30 * set_("lartist", "cartist") / 100) + partly("lalbum", "calbum", 0.07, 0.15 * sort_("lalbum", "calbum") / 100) + 0.04
+    return p.select(F.col("lid").alias("id"), F.col("cid").alias("candidate_id"), F.round(F.least(F.lit(1.0), score), 4).alias("confidence"))
 
 
 @q("fn_23", "SELECT id, CAST(artwork_px AS INT) AS width FROM t WHERE artwork_px BETWEEN 1 AND 1000000", T)
