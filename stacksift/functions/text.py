@@ -88,12 +88,28 @@ def clock(sec: Column) -> Column:
 def lrc_stamp(ms: Column) -> Column:
     """Milliseconds as '[mm:ss.cc]'."""
     part = lambda x: F.lpad(x.cast("bigint").cast("string"), 2, "0")
-    return F.concat(F.lit("["), part(F.floor(ms / 60000)), F.lit(":"), part(F.floor(ms / 1000) % 60), F.lit("."), part(F.floor(ms % 1000 / 10)), F.lit("]"))
+    minutes = F.floor(ms / 60000).cast("bigint")
+    return F.concat(F.lit("["), F.when(minutes < 10, "0").otherwise(""), minutes.cast("string"), F.lit(":"), part(F.floor(ms / 1000) % 60), F.lit("."), part(F.floor(ms % 1000 / 10)), F.lit("]"))
+
+
+#: A time stamp in lyrics (fixed value).
+STAMP = r"\[\d{1,3}:\d{2}(?:[.:]\d{1,3})?\]"
 
 
 def strip_lrc(text: Column) -> Column:
-    """Lyrics without their time stamps."""
-    return F.regexp_replace(text, r"\[\d{1,2}:\d{2}(?:\.\d{1,3})?\]", "")
+    """Lyrics without their time stamps and blank lines."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, STAMP, "")))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+def is_timed(text: Column) -> Column:
+    """Whether lyrics have three lines or more that begin with a time stamp; false for null."""
+    return F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(rf"^{STAMP}"))) >= 3, F.lit(False))
+
+
+def title_case(text: Column) -> Column:
+    """Every run of letters with a capital first letter, the others small."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)")), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))), "")
 
 
 def lucene_escaped(text: Column) -> Column:

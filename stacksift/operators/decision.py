@@ -39,6 +39,38 @@ def ranking(group: str = "group_id") -> W:
     return W.partitionBy(group).orderBy(F.desc("score"), F.desc("size_bytes"), F.asc("first_seen"), F.asc("track_id"))
 
 
+#: The note on a verdict changed by hand, as on all texts of reasons here (fixed values).
+OVERRIDDEN = "(manually overridden)"
+
+
+def overridden(members: DataFrame, overrides: DataFrame) -> DataFrame:
+    """`members` (group_id, track_id, action, reason) after `overrides` (group_id, track_id, action); of several for a member the least action counts.
+
+    Only a changed action is noted in the reason, once. Overrides that would leave a group without a keeper
+    are refused as a whole: `refused` is true on such a group's members and they stay as they were.
+    """
+    o = overrides.where("group_id is not null and track_id is not null and action is not null").groupBy("group_id", "track_id").agg(F.min("action").alias("_wanted"))
+    m = members.select("group_id", "track_id", "action", "reason").join(o, ["group_id", "track_id"], "left").withColumn("_to", F.coalesce("_wanted", "action"))
+    keepers = m.groupBy("group_id").agg(F.count_if(F.col("_to") == "keep").alias("_keepers"), F.count_if(~F.col("_to").eqNullSafe(F.col("action"))).alias("_changes"))
+    m = m.join(keepers, "group_id", "left").withColumn("refused", F.coalesce((F.col("_keepers") == 0) & (F.col("_changes") > 0), F.lit(False)))
+    new = ~F.col("_to").eqNullSafe(F.col("action")) & ~F.col("refused")
+    base = F.trim(F.replace(F.coalesce("reason", F.lit("")), F.lit(OVERRIDDEN), F.lit("")))
+    return m.select("group_id", "track_id", F.when(new, F.col("_to")).otherwise(F.col("action")).alias("action"), F.when(new, F.trim(F.concat(base, F.lit(" " + OVERRIDDEN)))).otherwise(F.col("reason")).alias("reason"), "refused")
+
+
+def member_sets(members: DataFrame) -> DataFrame:
+    """(group_id, n, h1, h2): what tells a group's set of distinct tracks, of any size, as aggregates: its number and two sums of hashes."""
+    d = members.where("group_id is not null and track_id is not null").select("group_id", "track_id").distinct()
+    return d.groupBy("group_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("track_id").cast("decimal(38,0)")).alias("h1"), F.sum(F.xxhash64(F.lit(1), "track_id").cast("decimal(38,0)")).alias("h2"))
+
+
+def not_settled(members: DataFrame, settled: DataFrame) -> DataFrame:
+    """(group_id) of groups of `members` whose very tracks are not those of a group of `settled` (both group_id, track_id) with another id."""
+    a, b = member_sets(members), member_sets(settled).withColumnRenamed("group_id", "other")
+    hit = a.join(b, ["n", "h1", "h2"]).where("group_id <> other").select("group_id").distinct()
+    return a.select("group_id").join(hit, "group_id", "left_anti")
+
+
 def kept_reason() -> Column:
     bits = F.concat_ws(
         ", ",

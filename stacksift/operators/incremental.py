@@ -18,6 +18,12 @@ def changes(disk: DataFrame, index: DataFrame, full: bool = False) -> DataFrame:
     return j.select("path", what.alias("change")).where("change is not null")
 
 
+def missing(disk: DataFrame, index: DataFrame, finished: bool) -> DataFrame:
+    """(path) of active index entries that a scan has not seen; none after a scan that was stopped, as it says nothing of what it did not reach."""
+    gone = changes(disk, index).where("change = 'missing'").select("path")
+    return gone if finished else gone.limit(0)
+
+
 def sticky(new: Column, old: Column) -> Column:
     """The new value unless blank, else the old one."""
     return F.coalesce(F.nullif(new, F.lit("")), old)

@@ -12,8 +12,9 @@ from . import queries_sql as qs
 from . import sources
 from .core.components import star_components
 from .core.session import table
+from .sources import providers
 from .functions import fingerprint, fuzzy, media, text
-from .operators import decision, dedup, fusion, incremental
+from .operators import decision, dedup, fusion, incremental, jobs
 from .operators.search import best_matches
 from .plans import cleanup, organise
 from .streaming import activity
@@ -89,40 +90,59 @@ def src_06(s, d):
 q("src_07", "SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS digest FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.md5(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))).alias("digest")))
 
 
-@q("src_09a", """WITH r AS (SELECT candidate_id, lower(artist) AS who, confidence, row_number() OVER (PARTITION BY lower(artist) ORDER BY pos, candidate_id) AS n FROM (SELECT DISTINCT * FROM candidates) WHERE artist IS NOT NULL)
-SELECT who, candidate_id, round(coalesce(confidence, 0.5) * CASE WHEN n > 4 THEN 0.5 ELSE 1 END, 5) AS confidence FROM r WHERE n <= 5""")
+@q("src_09a", """SELECT candidate_id, position, acoustid, confidence, title, artist FROM (SELECT candidate_id, i, j, candidate_id || '-' || i AS acoustid, CASE WHEN i % 3 = 0 THEN coalesce(confidence, 0.5) * (10 - i) / 10 * 0.5 ELSE round(coalesce(confidence, 0.5) * (10 - i) / 10, 4) END AS confidence, CASE WHEN i % 3 > 0 THEN title END AS title,
+  CASE WHEN i % 3 > 0 THEN nullif(coalesce(artist, '') || ' & ' || coalesce(albumartist, ''), '') END AS artist, CAST(row_number() OVER (PARTITION BY candidate_id ORDER BY i, j) - 1 AS INT) AS position FROM (SELECT DISTINCT * FROM candidates) , range(1, 6) a(i), range(1, 5) b(j) WHERE (i % 3 > 0 OR j = 1) AND confidence IS NOT NULL)""")
 def src_09a(s, d):
-    """The first five answers per artist, as an array expanded by position; the fifth counts half."""
-    c = candidates(s, d).where("artist is not null").select(F.lower("artist").alias("who"), "pos", "candidate_id", "confidence")
-    top = c.withColumn("n", F.row_number().over(W.partitionBy("who").orderBy("pos", "candidate_id"))).where("n <= 5")
-    return top.select("who", "candidate_id", F.round(F.coalesce("confidence", F.lit(0.5)) * F.when(F.col("n") > 4, 0.5).otherwise(1.0), 5).alias("confidence"))
+    """Answers of a lookup by fingerprint, read from nested JSON: five results of six, four recordings of five, bare ids at half."""
+    person = lambda c: F.struct(F.lit("a").alias("id"), F.coalesce(F.col(c), F.lit("")).alias("name"))
+    rec = F.struct(F.lit("r").alias("id"), F.col("title").alias("title"), F.array(person("artist"), person("albumartist")).alias("artists"))
+    result = lambda i: F.struct(F.concat(F.col("candidate_id").cast("string"), F.lit("-"), i.cast("string")).alias("id"), (F.coalesce("confidence", F.lit(0.5)) * (10 - i) / 10).alias("score"), F.when(i % 3 > 0, F.array_repeat(rec, 5)).alias("recordings"))
+    c = candidates(s, d).select("candidate_id", F.to_json(F.struct(F.when(F.col("confidence").isNull(), "error").otherwise("ok").alias("status"), F.transform(F.sequence(F.lit(1), F.lit(6)), result).alias("results"))).alias("json"))
+    return c.select("candidate_id", F.posexplode(providers.by_fingerprint(F.col("json"))).alias("position", "x")).select("candidate_id", "position", "x.*")
 
 
-@q("src_09b", """WITH c AS (SELECT DISTINCT candidate_id, translate(lower(album), 'ς', 'σ') AS album, confidence FROM candidates WHERE album IS NOT NULL AND confidence IS NOT NULL)
-SELECT candidate_id, round(confidence / max(confidence) OVER (PARTITION BY album) * 0.95, 5) AS relative FROM c""")
+@q("src_09b", """SELECT candidate_id, i AS id, CASE WHEN i < 4 AND off > 12 THEN base * 0.55 WHEN i < 4 AND off < 2 THEN least(1.0, base * 1.05) ELSE base END AS confidence FROM (SELECT candidate_id, CAST(i AS VARCHAR) AS sid, i, abs(180 + i * 9 * (pos % 3) - 180)::DOUBLE AS off,
+  round(least(1.0, CAST(100 - 17 * i AS DOUBLE) / 83 * 0.95::DOUBLE), 4) AS base FROM (SELECT DISTINCT * FROM candidates), range(1, 5) a(i) WHERE pos IS NOT NULL)""".replace("i AS id", "sid AS id"))
 def src_09b(s, d):
-    """A score relative to the best of its query; the best is aggregated and joined, not windowed."""
-    c = table(s, d, "candidates").where("album is not null and confidence is not null").select("candidate_id", lower("album").alias("album"), "confidence").distinct()
-    return c.join(c.groupBy("album").agg(F.max("confidence").alias("best")), "album").select("candidate_id", F.round(F.col("confidence") / F.col("best") * 0.95, 5).alias("relative"))
+    """Answers of a search, read from JSON: scores against the best, distrusted where the length is far off, raised where it is near."""
+    rec = lambda i: F.struct(i.cast("string").alias("id"), (100 - 17 * i).alias("score"), F.when(i < 4, (180 + i * 9 * (F.col("pos") % 3)) * 1000).alias("length"))
+    c = candidates(s, d).where("pos is not null").select("candidate_id", F.to_json(F.struct(F.transform(F.sequence(F.lit(1), F.lit(4)), rec).alias("recordings"))).alias("json"))
+    return c.select("candidate_id", F.explode(providers.by_search(F.col("json"), F.lit(180.0))).alias("x")).select("candidate_id", "x.*")
 
 
-@q("src_09c", """WITH c AS (SELECT DISTINCT candidate_id, album, release_date, year, pos FROM candidates WHERE album IS NOT NULL)
-SELECT album, arg_min(candidate_id, (coalesce(nullif(release_date, ''), '9999'), candidate_id)) AS first_release FROM c GROUP BY album""")
+@q("src_09c", """SELECT candidate_id, nullif(trim(coalesce(artist, '') || ' feat. ' || coalesce(albumartist, '')), '') AS artist, coalesce(albumartist, nullif(trim(coalesce(artist, '') || ' feat. ' || coalesce(albumartist, '')), '')) AS albumartist, CASE WHEN first THEN album ELSE 'Again' END AS album, CASE WHEN first THEN release_date ELSE '2001-05' END AS date,
+  CASE WHEN NOT first THEN 2001 WHEN regexp_full_match(substr(release_date, 1, 4), '[0-9]{1,4}') THEN CAST(substr(release_date, 1, 4) AS INT) END AS year, CASE WHEN first THEN nullif(track_no, 0) END AS track_no, CASE WHEN first THEN nullif(total_tracks, 0) END AS total_tracks, CASE WHEN first THEN 1 END::BIGINT AS disc_no,
+  array_to_string(list_transform(regexp_extract_all(genre, '(\\p{L}+|\\P{L}+)'), lambda w: upper(w[1]) || lower(w[2:])), '') AS genre, first AND compilation IS NOT DISTINCT FROM true AS compilation
+FROM (SELECT *, candidate_id % 2 = 0 AND coalesce(nullif(release_date, ''), '9999') <= '2001-05' OR candidate_id % 2 = 1 AS first FROM (SELECT DISTINCT * FROM candidates))""")
 def src_09c(s, d):
-    return table(s, d, "candidates").where("album is not null").select("candidate_id", "album", "release_date").distinct().groupBy("album").agg(F.min_by("candidate_id", F.struct(F.coalesce(F.nullif("release_date", F.lit("")), F.lit("9999")), F.col("candidate_id"))).alias("first_release"))
-
-
-q("src_09e", "SELECT DISTINCT candidate_id, greatest(0.35::DOUBLE, round(0.82::DOUBLE - 0.12::DOUBLE * (pos - 1), 4)) AS rank_confidence FROM candidates")(lambda s, d: table(s, d, "candidates").select("candidate_id", F.greatest(F.lit(0.35), F.round(0.82 - 0.12 * (F.col("pos") - 1), 4)).alias("rank_confidence")).distinct())
-q("src_09f", "SELECT artist, max(artwork_px) AS px, arg_max(candidate_id, (artwork_px, -candidate_id)) AS candidate_id FROM (SELECT DISTINCT * FROM candidates) WHERE artist IS NOT NULL AND artwork_px IS NOT NULL GROUP BY artist")(
-    lambda s, d: table(s, d, "candidates").where("artist is not null and artwork_px is not null").groupBy("artist").agg(F.max("artwork_px").alias("px"), F.max_by("candidate_id", F.struct(F.col("artwork_px"), -F.col("candidate_id"))).alias("candidate_id")))
-
-
-@q("src_09g", """SELECT a.album, arg_min(id, (round(abs(duration - want), 6), id)) AS nearest FROM a JOIN g USING (album) GROUP BY a.album HAVING min(abs(duration - want)) <= 12""", T, "a AS (SELECT id, album, duration FROM t WHERE album <> '' AND duration > 0)", "g AS (SELECT album, avg(duration) AS want FROM a GROUP BY album)")
+    """Recordings flattened from JSON: credits joined, the earliest official release with its medium; of odd answers only the first release is official."""
+    credit = lambda *c: F.array(*[F.struct(F.coalesce(F.col(x), F.lit("")).alias("name") if k else F.col(x).alias("name"), F.lit(j).alias("joinphrase")) for x, j, k in c])
+    status = lambda even: F.when(F.col("candidate_id") % 2 == 0, "Official").otherwise(even)
+    track = F.array(F.struct(F.lit(1).alias("position"), F.col("total_tracks").alias("track-count"), F.array(F.struct(F.col("track_no").alias("position"))).alias("track")))
+    kinds = F.struct(F.when(F.col("compilation"), F.array(F.lit("Compilation"))).otherwise(F.array().cast("array<string>")).alias("secondary-types"))
+    one = F.struct(F.lit("1").alias("id"), F.col("album").alias("title"), status("Official").alias("status"), F.col("release_date").alias("date"), credit(("albumartist", "", False)).alias("artist-credit"), kinds.alias("release-group"), track.alias("media"))
+    two = F.struct(F.lit("2").alias("id"), F.lit("Again").alias("title"), status("Bootleg").alias("status"), F.lit("2001-05").alias("date"), credit(("albumartist", "", False)).alias("artist-credit"))
+    rec = F.to_json(F.struct("title", credit(("artist", " feat. ", True), ("albumartist", "", True)).alias("artist-credit"), F.array(F.struct(F.col("genre").alias("name"))).alias("genres"), F.array(F.from_json(F.to_json(one), _RELEASE), F.from_json(F.to_json(two), _RELEASE)).alias("releases")))
+    return candidates(s, d).select("candidate_id", rec.alias("json")).select("candidate_id", providers.recording(F.col("json")).alias("x")).select("candidate_id", "x.*")
+
+
+_RELEASE = "id string, title string, status string, date string, `artist-credit` array<struct<name: string, joinphrase: string>>, `release-group` struct<`secondary-types`: array<string>>, media array<struct<position: bigint, `track-count`: bigint, track: array<struct<position: bigint>>>>"
+@q("src_09f", """SELECT candidate_id, CASE WHEN album <> '' THEN 0.62::DOUBLE ELSE round(greatest(0.25::DOUBLE, 0.55::DOUBLE - (pos - 1) * 0.08::DOUBLE), 4) END AS confidence, CASE WHEN artwork_px >= 1000 THEN 'extra' WHEN artwork_px >= 600 THEN 'large' WHEN artwork_px IS NOT NULL THEN 'medium' ELSE 'small' END AS artwork FROM (SELECT DISTINCT * FROM candidates)""")
+def src_09f(s, d):
+    """A supporting source: the answer on the track itself at .62, else by the order of its search; the largest image that has an address."""
+    px = F.col("artwork_px")
+    image = lambda size, text, has: F.struct(F.lit(size).alias("size"), F.when(has, text).otherwise("").alias("#text"))
+    images = F.to_json(F.array(image("small", "small", F.lit(True)), image("medium", "medium", px.isNotNull()), image("extralarge", "extra", F.coalesce(px >= 1000, F.lit(False))), image("large", "large", F.coalesce(px >= 600, F.lit(False)))))
+    return candidates(s, d).select("candidate_id", F.when(F.col("album") != "", 0.62).otherwise(providers.ranked(F.col("pos") - 1, 0.55, 0.08, 0.25)).alias("confidence"), providers.largest_image(images).alias("artwork"))
+
+
+@q("src_09g", """SELECT album, arg_min(id, (CASE WHEN has_synced_lyrics THEN 0 ELSE 1 END, round(abs(duration - want), 6), id)) AS chosen, CASE WHEN bool_or(has_synced_lyrics) THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM a JOIN g USING (album) GROUP BY album HAVING min(abs(duration - want)) <= 12""", T, "a AS (SELECT id, album, duration, has_synced_lyrics FROM t WHERE album <> '' AND duration > 0)", "g AS (SELECT album, avg(duration) AS want FROM a GROUP BY album)")
 def src_09g(s, d):
-    """The track nearest to its album's mean length, within 12 s."""
-    a = lib(s, d, "album", "duration").where("album <> '' and duration > 0")
+    """Of an album's tracks the nearest to its mean length, those with synced lyrics before others; none where even the nearest is more than 12 s off."""
+    a = lib(s, d, "album", "duration", "has_synced_lyrics").where("album <> '' and duration > 0")
     x = a.join(a.groupBy("album").agg(F.avg("duration").alias("want")), "album").withColumn("off", F.abs(F.col("duration") - F.col("want")))
-    return x.groupBy("album").agg(F.min_by("id", F.struct(F.round("off", 6), F.col("id"))).alias("nearest"), F.min("off").alias("off")).where("off <= 12").select("album", "nearest")
+    best = F.min_by("id", F.struct((~F.col("has_synced_lyrics")).cast("int"), F.round("off", 6), F.col("id")))
+    return x.groupBy("album").agg(best.alias("chosen"), F.when(F.bool_or("has_synced_lyrics"), 0.9).otherwise(0.7).alias("confidence"), F.min("off").alias("off")).where("off <= 12").select("album", "chosen", "confidence")
 
 
 @q("src_10", """WITH c AS (SELECT sha1(source || '|' || title) AS cache_key, arg_max(candidate_id, (fetched_at, candidate_id)) AS payload, max(fetched_at) + INTERVAL 365 DAY AS expires_at FROM candidates WHERE fetched_at IS NOT NULL GROUP BY ALL)
@@ -139,7 +159,7 @@ def src_11(s, d):
     return sources.log_tail(lines, 200, "error").select("line_no", "text")
 
 
-q("src_14", "SELECT id, replace(path, 'lib00', '***') AS line FROM t", T)(lambda s, d: lib(s, d, "path").select("id", F.replace("path", F.lit("lib00"), F.lit("***")).alias("line")))
+q("src_14", "SELECT id, replace(path, '/lib00/music', '***') AS line FROM t", T)(lambda s, d: lib(s, d, "path").select("id", text.redacted(F.col("path"), ["/lib00/music", "nas"]).alias("line")))
 
 # ---------------------------------------------------------------- projections and filters
 _C = ("path", "filename", "ext", "codec", "lossless", "bitrate", "duration", "title", "artist", "album", "year", "status", "tag_completeness", "quality_score")
@@ -258,7 +278,7 @@ def disk_of(s, d):
 
 
 q("jn_05", "SELECT * FROM ch WHERE change IS NOT NULL", T, _SNAP)(lambda s, d: incremental.changes(disk_of(s, d), index_of(s, d)))
-q("jn_06", "SELECT path FROM ch WHERE change = 'missing'", T, _SNAP)(lambda s, d: incremental.changes(disk_of(s, d), index_of(s, d)).where("change = 'missing'").select("path"))
+q("jn_06", "SELECT path FROM ch WHERE change = 'missing'", T, _SNAP)(lambda s, d: incremental.missing(disk_of(s, d), index_of(s, d), finished=True))
 q("jn_07", "SELECT id, min(id) OVER (PARTITION BY sha256) AS root FROM t WHERE sha256 <> '' QUALIFY count(*) OVER (PARTITION BY sha256) > 1", T)(lambda s, d: dedup.equal_groups(lib(s, d, "sha256"), "sha256"))
 _WORDS = "w AS (SELECT id, [CAST('0x' || substr(h, i * 8 + 1, 8) AS BIGINT) for i in range(0, CAST(len(h) // 8 AS BIGINT))] AS words FROM (SELECT id, hex(from_base64(translate(fingerprint, '-_', '+/') || repeat('=', CAST((4 - length(fingerprint) % 4) % 4 AS BIGINT)))) AS h FROM t WHERE fingerprint IS NOT NULL))"
 q("jn_08", "SELECT * FROM js_g", T, _WORDS, *qs.similar_sound("js_", "t", "w"))(lambda s, d: dedup.similar_sound(lib(s, d, "fingerprint", "duration")))
@@ -282,13 +302,11 @@ q("jn_11", "SELECT t.id, CASE WHEN b.confidence >= 0.6 THEN b.candidate_id END A
     lambda s, d: lib(s, d, "title").select("id", F.lower("title").alias("k")).join(table(s, d, "candidates").groupBy(F.lower("title").alias("k")).agg(F.max(F.coalesce("confidence", F.lit(0.0))).alias("confidence"), F.max_by("candidate_id", F.struct(F.coalesce("confidence", F.lit(0.0)), -F.col("candidate_id"))).alias("c")), "k", "left").select("id", F.when(F.col("confidence") >= 0.6, F.col("c")).alias("candidate_id")))
 
 
-@q("jn_12", "SELECT g.group_id FROM s g WHERE NOT EXISTS (SELECT 1 FROM s r JOIN duplicate_groups x ON x.id = r.group_id AND x.resolved WHERE r.tracks = g.tracks AND r.group_id <> g.group_id)", M, "s AS (SELECT group_id, list_sort(list(DISTINCT track_id)) AS tracks FROM m WHERE group_id IS NOT NULL GROUP BY group_id)")
+@q("jn_12", "SELECT g.group_id FROM s g WHERE NOT EXISTS (SELECT 1 FROM s r JOIN duplicate_groups x ON x.id = r.group_id AND x.resolved WHERE r.tracks = g.tracks AND r.group_id <> g.group_id)", M, "s AS (SELECT group_id, list_sort(list(DISTINCT track_id)) AS tracks FROM m WHERE group_id IS NOT NULL AND track_id IS NOT NULL GROUP BY group_id)")
 def jn_12(s, d):
     """Groups whose very members were not settled before in another group."""
-    g = members(s, d).where("group_id is not null").groupBy("group_id").agg(F.sort_array(F.collect_set("track_id")).alias("tracks"))
-    settled = g.join(table(s, d, "duplicate_groups").where("resolved").select(F.col("id").alias("group_id")), "group_id", "left_semi").select(F.col("group_id").alias("other"), "tracks")
-    hit = g.join(settled, "tracks").where("group_id <> other").select("group_id").distinct()
-    return g.select("group_id").join(hit, "group_id", "left_anti")
+    g = members(s, d)
+    return decision.not_settled(g, g.join(table(s, d, "duplicate_groups").where("resolved").select(F.col("id").alias("group_id")), "group_id", "left_semi"))
 
 
 q("jn_13", "SELECT id FROM q WHERE original_path NOT IN (SELECT path FROM tracks)", Q)(lambda s, d: quarantine(s, d).join(table(s, d, "tracks").select(F.col("path").alias("original_path")), "original_path", "left_anti").select("id"))
@@ -327,14 +345,40 @@ q("agg_11", "SELECT albumartist, album, count(*) AS have, max(total_tracks) AS w
 q("agg_12", "SELECT albumartist, album, count(*) AS n, max(total_tracks) AS expected, greatest(0, coalesce(max(total_tracks), count(*)) - count(*)) AS missing, CAST(sum(size_bytes) AS BIGINT) AS bytes, round(CAST(sum(CAST(round(quality_score * 10000) AS BIGINT)) AS DOUBLE) / count(*) / 10000, 6) AS quality, bool_and(lossless) AS lossless, arg_min(struct_pack(y := year), id).y AS year FROM t WHERE album <> '' GROUP BY ALL", T)(
     lambda s, d: lib(s, d, "albumartist", "album", "total_tracks", "size_bytes", "quality_score", "lossless", "year").where("album <> ''").groupBy("albumartist", "album").agg(F.count("*").alias("n"), F.max("total_tracks").alias("expected"), F.greatest(F.lit(0), F.coalesce(F.max("total_tracks"), F.count("*")) - F.count("*")).alias("missing"), F.sum("size_bytes").alias("bytes"), F.round(F.sum(F.round(F.col("quality_score") * 10000).cast("bigint")).cast("double") / F.count("*") / 10000, 6).alias("quality"), F.bool_and("lossless").alias("lossless"), F.min_by(F.struct("year"), "id")["year"].alias("year")))
 q("agg_13", "SELECT count(*) AS groups, CAST(sum(member_count - 1) AS BIGINT) AS extra, CAST(sum(reclaimable_bytes) AS BIGINT) AS bytes FROM duplicate_groups WHERE NOT resolved")(lambda s, d: table(s, d, "duplicate_groups").where("not resolved").agg(F.count("*").alias("groups"), F.sum(F.col("member_count") - 1).alias("extra"), F.sum("reclaimable_bytes").alias("bytes")))
-q("agg_14", "SELECT kind, count(*) AS groups, CAST(sum(reclaimable_bytes) AS BIGINT) AS bytes, list(id ORDER BY reclaimable_bytes DESC, id)[1:5] AS top FROM duplicate_groups GROUP BY kind")(
-    lambda s, d: (lambda g: g.groupBy("kind").agg(F.count("*").alias("groups"), F.sum("reclaimable_bytes").alias("bytes")).join(g.withColumn("r", F.row_number().over(W.partitionBy("kind").orderBy(F.desc("reclaimable_bytes"), "id"))).where("r <= 5").groupBy("kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("top")), "kind"))(table(s, d, "duplicate_groups").select("kind", "id", "reclaimable_bytes")))
+_SHOWN = ("track_id", "path", "score", "action")
+_BEST_FIRST = ", ".join(f"list({c} ORDER BY coalesce(score, -1) DESC, track_id) AS {c}s" for c in _SHOWN)
+
+
+def _taken(c: str):
+    return lambda z: z[c]
+
+
+@q("agg_14", f"SELECT kind, groups, bytes, group_id, {', '.join(c + 's' for c in _SHOWN)} FROM (SELECT kind, count(*) OVER (PARTITION BY kind) AS groups, CAST(sum(reclaimable_bytes) OVER (PARTITION BY kind) AS BIGINT) AS bytes, id AS group_id, row_number() OVER (PARTITION BY kind ORDER BY reclaimable_bytes DESC NULLS LAST, id) AS r FROM duplicate_groups WHERE NOT resolved) LEFT JOIN (SELECT group_id, {_BEST_FIRST} FROM (SELECT m.group_id, m.track_id, path, action, round(score, 4) AS score FROM (SELECT group_id, track_id, arg_max(struct_pack(x := proposed_action), id).x AS action, arg_max(struct_pack(x := score), id).x AS score FROM duplicate_members GROUP BY ALL) m JOIN t ON t.id = m.track_id) GROUP BY 1) USING (group_id) WHERE r <= 5", T)
+def agg_14(s, d):
+    """The dry-run report of unresolved groups: totals per kind, and of the five groups of a kind that free the most their members, best score first."""
+    g = table(s, d, "duplicate_groups").where("not resolved").select("kind", F.col("id").alias("group_id"), "reclaimable_bytes")
+    totals = g.groupBy("kind").agg(F.count("*").alias("groups"), F.sum("reclaimable_bytes").alias("bytes"))
+    top = g.withColumn("r", F.row_number().over(W.partitionBy("kind").orderBy(F.desc_nulls_last("reclaimable_bytes"), "group_id"))).where("r <= 5").drop("r", "reclaimable_bytes")
+    m = table(s, d, "duplicate_members").join(top.select("group_id"), "group_id", "left_semi").groupBy("group_id", "track_id").agg(F.max_by(F.struct("proposed_action", "score"), "id").alias("x"))
+    m = m.join(lib(s, d, "path").withColumnRenamed("id", "track_id"), "track_id").withColumn("score", F.round("x.score", 4))
+    entry = F.struct((-F.coalesce("score", F.lit(-1.0))).alias("o"), "track_id", "path", "score", F.col("x.proposed_action").alias("action"))
+    nested = m.groupBy("group_id").agg(F.array_sort(F.collect_list(entry)).alias("e")).select("group_id", *[F.transform("e", _taken(c)).alias(c + "s") for c in _SHOWN])
+    return totals.join(top, "kind").join(nested, "group_id", "left").select("kind", "groups", "bytes", "group_id", *[c + "s" for c in _SHOWN])
+
+
 q("agg_15", "SELECT CAST(sum(greatest(0, len(track_ids) - 1)) AS BIGINT) AS duplicate_files FROM clusters")(lambda s, d: table(s, d, "clusters").agg(F.sum(F.greatest(F.lit(0), F.size("track_ids") - 1)).alias("duplicate_files")))
 q("agg_16", "SELECT category, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM c WHERE category IS NOT NULL GROUP BY 1", T, _FILES)(lambda s, d: made_files(s, d).select(cleanup.file_category().alias("category"), "size_bytes").where("category is not null").groupBy("category").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes")))
 q("agg_17", "SELECT count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes, min(moved_at) AS oldest FROM q WHERE NOT restored", Q)(lambda s, d: quarantine(s, d).where("not restored").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"), F.min("moved_at").alias("oldest")))
 q("agg_18", "SELECT source, count(*) AS n FROM candidates GROUP BY source")(lambda s, d: table(s, d, "candidates").groupBy("source").agg(F.count("*").alias("n")))
 q("agg_20", "SELECT count_if(change = 'added') AS added, count_if(change = 'updated') AS updated, count_if(change = 'unchanged') AS unchanged, count_if(change = 'missing') AS missing, count_if(change = 'corrupt') AS corrupt FROM ch", T, _SNAP)(lambda s, d: incremental.changes(disk_of(s, d), index_of(s, d)).agg(*[_N(F.col("change") == c).alias(c) for c in ("added", "updated", "unchanged", "missing", "corrupt")]))
-q("agg_21", "SELECT event_id, CAST(coalesce(json_extract_string(props, '$.done'), json_extract_string(props, '$.k')) AS BIGINT) AS done FROM events")(lambda s, d: table(s, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.done"), F.get_json_object("props", "$.k")).try_cast("bigint").alias("done")))
+@q("agg_21", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN k WHEN 1 THEN 2 WHEN 2 THEN NULL ELSE NULL END::BIGINT AS succeeded, CASE event_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 0 WHEN 2 THEN k ELSE NULL END::BIGINT AS failed FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""")
+def agg_21(s, d):
+    """What came out of a job: the first whole number or list among the names it may report under; booleans and texts don't count."""
+    k = F.get_json_object("props", "$.k")
+    result = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"succeeded": true, "converted": "7", "added": '), k, F.lit(', "errors": 3}'))).when(F.col("event_id") % 4 == 1, F.lit('{"restored": ["a", "b"], "failed": []}')).when(F.col("event_id") % 4 == 2, F.concat(F.lit('{"errors": '), k, F.lit("}"))).otherwise("{}")
+    return table(s, d, "events").select("event_id", jobs.outcome(result).alias("o")).select("event_id", "o.*")
+
+
 q("agg_22", "SELECT count_if(bitrate > 0) AS ok, CAST(sum(greatest(0, size_bytes - CAST(trunc(coalesce(duration, 0) * 32000) AS BIGINT))) AS BIGINT) AS saved FROM t WHERE lossless", T)(lambda s, d: lib(s, d, "lossless", "bitrate", "size_bytes", "duration").where("lossless").agg(_N(F.col("bitrate") > 0).alias("ok"), F.sum(F.greatest(F.lit(0), F.col("size_bytes") - (F.coalesce("duration", F.lit(0.0)) * 32000).cast("bigint"))).alias("saved")))
 q("agg_23", "SELECT count(*) AS total FROM t WHERE status = 'active' AND year >= 2000", T)(lambda s, d: lib(s, d, "status", "year").where("status = 'active' and year >= 2000").agg(F.count("*").alias("total")))
 q("agg_24", "SELECT count(apple_id) AS matched FROM t", T)(lambda s, d: lib(s, d, "apple_id").agg(F.count("apple_id").alias("matched")))
@@ -464,12 +508,17 @@ q("set_04", "SELECT DISTINCT event_type FROM events WHERE event_type NOT IN ('cl
 q("set_05", "SELECT id, coalesce(nullif(artist, ''), nullif(albumartist, '')) AS artist, coalesce(nullif(albumartist, ''), nullif(artist, '')) AS albumartist FROM t", T)(lambda s, d: lib(s, d, "artist", "albumartist").select("id", F.coalesce(F.nullif("artist", F.lit("")), F.nullif("albumartist", F.lit(""))).alias("artist"), F.coalesce(F.nullif("albumartist", F.lit("")), F.nullif("artist", F.lit(""))).alias("albumartist")))
 
 
-@q("set_07", "SELECT id, field, old, new FROM (SELECT id, unnest([{f: 'title', o: title, n: trim(title)}, {f: 'genre', o: genre, n: coalesce(genre, 'Unknown')}, {f: 'year', o: CAST(year AS VARCHAR), n: CAST(nullif(year, 0) AS VARCHAR)}]) AS x FROM t) , (SELECT 1) WHERE x.o IS DISTINCT FROM x.n".replace("SELECT id, field, old, new", "SELECT id, x.f AS field, x.o AS old, x.n AS new").replace(" , (SELECT 1)", ""), T)
+#: Fields whose changes are reported, and those that are numbers (fixed values).
+DIFFED = ("title", "artist", "albumartist", "album", "genre", "isrc", "acoustid", "mb_recording_id", "mb_release_id", "apple_id", "year", "track_no", "disc_no", "total_tracks", "artwork_px")
+COUNTED = DIFFED[10:]
+
+
+@q("set_07", "SELECT id, x.f AS field, x.o AS old, x.n AS new FROM (SELECT id, unnest([" + ", ".join(f"{{f: '{c}', o: CAST({c} AS VARCHAR), n: " + (f"CAST(nullif({c}, 0) AS VARCHAR)}}" if c in COUNTED else f"nullif(trim({c}, ' '), '')}}") for c in DIFFED) + "]) AS x FROM t) WHERE x.o IS DISTINCT FROM x.n", T)
 def set_07(s, d):
-    """What a cleaning would change, one row for each field, null-safe."""
-    t = lib(s, d, "title", "genre", "year")
+    """What a cleaning of blanks would change in fifteen fields, one row for each change, null-safe."""
     row = lambda f, o, n: F.struct(F.lit(f).alias("field"), o.cast("string").alias("old"), n.cast("string").alias("new"))
-    x = t.select("id", F.explode(F.array(row("title", F.col("title"), F.trim("title")), row("genre", F.col("genre"), F.coalesce("genre", F.lit("Unknown"))), row("year", F.col("year"), F.nullif("year", F.lit(0))))).alias("x"))
+    clean = lambda c: F.nullif(c, F.lit(0)) if c in COUNTED else F.nullif(F.trim(c), F.lit(""))
+    x = lib(s, d, *DIFFED).select("id", F.explode(F.array(*[row(c, F.col(c), clean(c)) for c in DIFFED])).alias("x"))
     return x.select("id", "x.*").where("not (old <=> new)")
 
 
@@ -531,14 +580,39 @@ wh AS (SELECT id, path, ex, CASE WHEN coalesce(album, '') = '' THEN {_safe("aa")
 q("fn_18", "SELECT id, path, CASE WHEN ends_with(lower(w), lower(ex)) THEN w ELSE w || ex END AS target FROM wh", T, _PARTS)(lambda s, d: organise.targets(lib(s, d, "path", "ext", "codec", "title", "artist", "albumartist", "album", "year", "genre", "track_no", "disc_no")))
 q("fn_19", "SELECT id, CASE WHEN size_bytes < 1024 THEN printf('%.2f B', size_bytes::DOUBLE) WHEN size_bytes < 1048576 THEN printf('%.2f KB', size_bytes / 1024) WHEN size_bytes < 1073741824 THEN printf('%.2f MB', size_bytes / 1048576) ELSE printf('%.2f GB', size_bytes / 1073741824) END AS size FROM t", T)(lambda s, d: lib(s, d, "size_bytes").select("id", text.human_bytes(F.col("size_bytes")).alias("size")))
 q("fn_20", f"SELECT DISTINCT title, list_filter(regexp_split_to_array({qs.lowered('title')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS tokens FROM t WHERE title IS NOT NULL", T)(lambda s, d: lib(s, d, "title").where("title is not null").select("title", text.tokens(F.col("title")).alias("tokens")).distinct())
-q("fn_21", "SELECT DISTINCT candidate_id, CASE WHEN y BETWEEN 1860 AND 2200 THEN y END AS year, CAST(nullif(regexp_extract(length_text, '^\\s*(\\d+)', 1), '') AS BIGINT) AS number FROM (SELECT *, CAST(nullif(regexp_extract(release_date, '(\\d{4})', 1), '') AS INT) AS y FROM candidates)")(lambda s, d: table(s, d, "candidates").select("candidate_id", text.year_in(F.col("release_date")).alias("year"), text.leading_int(F.col("length_text")).alias("number")).distinct())
-q("fn_22", "SELECT id, '[' || lpad(CAST(ms // 60000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(ms // 1000 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(ms % 1000 // 10 AS VARCHAR), 2, '0') || ']' AS stamp FROM (SELECT id, CAST(round(duration * 1000) AS BIGINT) AS ms FROM t WHERE duration > 0 AND duration < 5999)", T)(lambda s, d: lib(s, d, "duration").where("duration > 0 and duration < 5999").select("id", text.lrc_stamp(F.round(F.col("duration") * 1000).cast("bigint")).alias("stamp")))
+q("fn_21", "SELECT DISTINCT candidate_id, CASE WHEN y BETWEEN 1860 AND 2200 THEN y END AS year, CAST(nullif(regexp_extract(length_text, '^\\s*(\\d+)', 1), '') AS BIGINT) AS number, track_no AS part, total_tracks AS total FROM (SELECT *, CAST(nullif(regexp_extract(release_date, '(\\d{4})', 1), '') AS INT) AS y FROM candidates)")(
+    lambda s, d: candidates(s, d).select("candidate_id", text.year_in(F.col("release_date")).alias("year"), text.leading_int(F.col("length_text")).alias("number"), text.pair_of(F.concat_ws("/", F.coalesce(F.concat(F.lit(" "), F.col("track_no").cast("string")), F.lit("")), F.concat(F.col("total_tracks").cast("string"), F.lit(" ")))).alias("p"), "track_no", "total_tracks").select("candidate_id", "year", "number", F.coalesce("p.number", F.when(F.lit(False), 0)).alias("part"), F.when(F.col("track_no").isNull(), F.col("total_tracks")).otherwise(F.col("p.total")).alias("total")).distinct())
+@q("fn_22", """SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\[\\d{1,3}:\\d{2}(?:[.:]\\d{1,3})?\\]', '', 'g'), ' ')), lambda x: x <> ''), chr(10)) AS lyrics, len(string_split(text, chr(10))) >= 3 AS timed FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT id, '[' || CASE WHEN ms < 600000 THEN '0' ELSE '' END || CAST(ms // 60000 AS VARCHAR) || ':' || lpad(CAST(ms // 1000 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(ms % 1000 // 10 AS VARCHAR), 2, '0') || ']', NULL FROM (SELECT id, CAST(round(duration * 1000) AS BIGINT) AS ms FROM t WHERE duration > 0)""", T)
+def fn_22(s, d):
+    """Stamps put before the lines of texts and taken off again, with the test for timed lyrics; and the stamps of the tracks' lengths."""
+    stamp = lambda i: text.lrc_stamp(i * 61_250)
+    docs = table(s, d, "documents").where("text is not null")
+    timed = docs.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(stamp(i % 90), x)), "\n").alias("x"))
+    tracks = lib(s, d, "duration").where("duration > 0").select(F.col("id").alias("doc_id"), text.lrc_stamp(F.round(F.col("duration") * 1000).cast("bigint")).alias("lyrics"), F.lit(None).cast("boolean").alias("timed"))
+    return timed.select("doc_id", text.strip_lrc(F.col("x")).alias("lyrics"), text.is_timed(F.col("x")).alias("timed")).unionByName(tracks)
+
+
 q("fn_24", "SELECT DISTINCT title, regexp_replace(title, '([+\\-&|!(){}\\[\\]^\"~*?:\\\\/])', '\\\\\\1', 'g') AS escaped FROM t", T)(lambda s, d: lib(s, d, "title").select("title", text.lucene_escaped(F.col("title")).alias("escaped")).distinct())
 q("fn_25", "SELECT DISTINCT candidate_id, sha1(source || '|' || title) AS cache_key FROM candidates")(lambda s, d: table(s, d, "candidates").select("candidate_id", text.cache_key(F.col("source"), F.col("title")).alias("cache_key")).distinct())
 q("fn_27", "SELECT id, string_split(path, '/')[-1] AS name, CASE WHEN contains(string_split(path, '/')[-1], '.') THEN lower(regexp_extract(path, '(\\.[^./]+)$', 1)) ELSE '' END AS suffix FROM t", T)(lambda s, d: lib(s, d, "path").select("id", media.file_name().alias("name"), cleanup.suffix(F.col("path")).alias("suffix")))
 q("fn_28", "SELECT id, CAST(CAST(floor(duration) AS BIGINT) // 60 AS VARCHAR) || ':' || lpad(CAST(CAST(floor(duration) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock FROM t", T)(lambda s, d: lib(s, d, "duration").select("id", text.clock(F.col("duration")).alias("clock")))
-q("fn_29", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")(lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k")))
-q("fn_30", "SELECT event_id, CASE WHEN length(props) > 9 THEN '{}' ELSE props END AS props FROM events")(lambda s, d: table(s, d, "events").select("event_id", F.when(F.length("props") > 9, "{}").otherwise(F.col("props")).alias("props")))
+@q("fn_29", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 2 = 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) + 1 END AS deep FROM events")
+def fn_29(s, d):
+    """A flat key, and 'a.b[0].c' in nested JSON; null wherever something on the way is missing."""
+    k = F.get_json_object("props", "$.k")
+    nested = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"a": {"b": [{"c": '), (k.cast("bigint") + 1).cast("string"), F.lit("}]}}"))).otherwise('{"a": {"b": []}}')
+    return table(s, d, "events").select("event_id", k.cast("bigint").alias("k"), F.get(F.from_json(nested, "a struct<b: array<struct<c: bigint>>>")["a"]["b"], 0)["c"].alias("deep"))
+
+
+@q("fn_30", """SELECT event_id, k, CASE WHEN event_id % 2 = 0 THEN '...' ELSE '[1,{"a":2}]' END AS list, CASE WHEN event_id % 2 = 0 THEN '...' ELSE '{"b":true}' END AS nested, CASE WHEN event_id % 2 = 0 THEN 5000 ELSE 5 END::BIGINT AS letters FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""")
+def fn_30(s, d):
+    """Payloads of more than 4000 characters keep their scalars only; every second one here is longer."""
+    e = table(s, d, "events").select("event_id", F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "list": [1,{"a":2}], "nested": {"b":true}, "text": "'), F.when(F.col("event_id") % 2 == 0, F.repeat(F.lit("x"), 5000)).otherwise("short"), F.lit('"}')).alias("p"))
+    at = lambda f: F.get_json_object(jobs.trimmed(F.col("p")), f"$.{f}")
+    return e.select("event_id", at("k").cast("bigint").alias("k"), at("list").alias("list"), at("nested").alias("nested"), F.length(at("text")).cast("bigint").alias("letters"))
+
+
 q("fn_34", "SELECT id, CAST(moved_at AS DATE) AS day, strftime(moved_at, '%Y%m%d') AS stamp, CAST(moved_at AS DATE) + 30 AS due FROM q", Q)(lambda s, d: quarantine(s, d).select("id", F.to_date("moved_at").alias("day"), F.date_format("moved_at", "yyyyMMdd").alias("stamp"), F.date_add(F.to_date("moved_at"), 30).alias("due")))
 
 
@@ -549,7 +623,20 @@ def rescan(s, d):
 
 
 q("snk_01", "SELECT path, CASE WHEN id % 2 = 0 THEN size_bytes + 7 ELSE size_bytes END AS size_bytes, acoustid, status FROM t SEMI JOIN (SELECT path FROM t GROUP BY 1 HAVING count(*) = 1) n USING (path)", T)(lambda s, d: incremental.upsert(index_of(s, d).select("path", "size_bytes", "acoustid", "status"), rescan(s, d)))
-q("snk_02", "SELECT id AS group_id, kind FROM duplicate_groups WHERE resolved UNION ALL SELECT root, kind FROM l1 WHERE id = root", T, *_LAYERS[:2])(lambda s, d: table(s, d, "duplicate_groups").where("resolved").select(F.col("id").alias("group_id"), "kind").unionByName(dedup.layered(active(s, d), EXACT[:1]).where("id = root").select(F.col("root").alias("group_id"), "kind")))
+@q("snk_02", """SELECT id AS group_id, kind, NULL AS track_id, NULL AS action FROM duplicate_groups WHERE resolved UNION ALL
+SELECT root, 'exact_file', id, action FROM (SELECT l1.root, l1.id, CASE WHEN rn = 1 THEN 'keep' WHEN margin >= 0.03 THEN 'quarantine' ELSE 'skip' END AS action FROM l1 JOIN rk ON rk.group_id = l1.root AND rk.track_id = l1.id JOIN mg ON mg.group_id = l1.root
+  WHERE root NOT IN (SELECT a.root FROM (SELECT root, list_sort(list(id)) AS ids FROM l1 GROUP BY 1) a JOIN (SELECT group_id, list_sort(list(DISTINCT track_id)) AS ids FROM duplicate_members WHERE track_id IS NOT NULL AND group_id IN (SELECT id FROM duplicate_groups WHERE resolved) GROUP BY 1) b USING (ids)))""", T, *_LAYERS[:2], "m AS (SELECT root AS group_id, id AS track_id FROM l1)", _SCORED, _VERDICT.replace("LEFT JOIN duplicate_groups dg ON dg.id = rk.group_id", "LEFT JOIN duplicate_groups dg ON false"))
+def snk_02(s, d):
+    """The groups a rebuild leaves: resolved ones stay, found ones are added with their verdicts, but not those whose very tracks were settled before."""
+    g, m = table(s, d, "duplicate_groups").where("resolved"), table(s, d, "duplicate_members")
+    found = dedup.layered(active(s, d), EXACT[:1]).select(F.col("root").alias("group_id"), F.col("id").alias("track_id"), "kind", "confidence")
+    settled = m.join(g.select(F.col("id").alias("group_id")), "group_id", "left_semi").select((-F.col("group_id") - 1).alias("group_id"), "track_id")
+    new = found.join(decision.not_settled(found, settled), "group_id", "left_semi")
+    scored = new.select("group_id", "track_id").join(lib(s, d, *decision.COLUMNS).withColumnRenamed("id", "track_id"), "track_id")
+    v = decision.verdicts(scored, new.select("group_id", "confidence").distinct()).select("group_id", F.lit("exact_file").alias("kind"), "track_id", "action")
+    return g.select(F.col("id").alias("group_id"), "kind", F.lit(None).cast("bigint").alias("track_id"), F.lit(None).cast("string").alias("action")).unionByName(v)
+
+
 q("snk_03", "SELECT source, title, arg_max(candidate_id, (fetched_at, candidate_id)) AS candidate_id FROM candidates WHERE fetched_at IS NOT NULL GROUP BY ALL")(lambda s, d: incremental.latest(table(s, d, "candidates").where("fetched_at is not null").select("source", "title", "candidate_id", "fetched_at"), ["source", "title"], ["fetched_at", "candidate_id"]).select("source", "title", "candidate_id"))
 q("snk_05", "SELECT id FROM t WHERE status <> 'missing'", T)(lambda s, d: lib(s, d, "status").join(lib(s, d, "status").where("status = 'missing'").select("id"), "id", "left_anti").select("id"))
 q("snk_06", "SELECT DISTINCT id FROM duplicate_members WHERE group_id NOT IN (SELECT id FROM duplicate_groups WHERE resolved)")(lambda s, d: table(s, d, "duplicate_members").where("group_id is not null").select("id", "group_id").distinct().join(table(s, d, "duplicate_groups").where("resolved").select(F.col("id").alias("group_id")), "group_id", "left_anti").select("id"))
@@ -557,12 +644,14 @@ q("snk_07", "SELECT source, max(fetched_at) AS synced_at FROM candidates GROUP B
 q("snk_12", "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'P') THEN 'C' ELSE o_orderstatus END AS state FROM orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus").isin("O", "P"), "C").otherwise(F.col("o_orderstatus")).alias("state")))
 
 
-@q("snk_13", "SELECT group_id, track_id, CASE WHEN track_id % 10 = 0 THEN 'keep' ELSE proposed_action END AS action FROM m", M)
+@q("snk_13", """SELECT m.group_id, m.track_id, CASE WHEN new THEN wanted ELSE action END AS action, CASE WHEN new THEN trim(trim(replace(coalesce(reason, ''), '(manually overridden)', '')) || ' (manually overridden)') ELSE reason END AS reason, refused FROM (
+  SELECT *, wanted IS DISTINCT FROM action AND NOT refused AS new FROM (SELECT *, coalesce(count_if(wanted = 'keep') OVER (PARTITION BY group_id) = 0 AND count_if(wanted IS DISTINCT FROM action) OVER (PARTITION BY group_id) > 0, false) AS refused FROM (
+    SELECT *, CASE WHEN track_id % 10 = 0 THEN 'keep' WHEN track_id % 3 = 0 THEN 'quarantine' ELSE action END AS wanted FROM (SELECT group_id, track_id, arg_max(struct_pack(x := proposed_action), id).x AS action, arg_max(struct_pack(x := reason), id).x AS reason FROM duplicate_members WHERE group_id IS NOT NULL AND track_id IS NOT NULL GROUP BY ALL)))) m""")
 def snk_13(s, d):
-    """Members with manual overrides put over the proposed action."""
-    m = members(s, d)
-    over = m.where("track_id % 10 = 0").select("group_id", "track_id", F.lit("keep").alias("manual"))
-    return m.join(over, ["group_id", "track_id"], "left").select("group_id", "track_id", F.coalesce("manual", "proposed_action").alias("action"))
+    """Verdicts after overrides by hand; a group that would be left without a keeper refuses its overrides."""
+    m = table(s, d, "duplicate_members").where("group_id is not null and track_id is not null").groupBy("group_id", "track_id").agg(F.max_by(F.struct("proposed_action", "reason"), "id").alias("x")).select("group_id", "track_id", F.col("x.proposed_action").alias("action"), "x.reason")
+    by_hand = m.select("group_id", "track_id", F.when(F.col("track_id") % 10 == 0, "keep").when(F.col("track_id") % 3 == 0, "quarantine").alias("action")).where("action is not null")
+    return decision.overridden(m, by_hand)
 
 
 q("snk_14", "SELECT group_id, track_id, CASE WHEN group_id IN (SELECT id FROM duplicate_groups WHERE resolved) THEN 'skip' ELSE proposed_action END AS action FROM m", M)(lambda s, d: members(s, d).join(table(s, d, "duplicate_groups").where("resolved").select(F.col("id").alias("group_id"), F.lit("skip").alias("settled")), "group_id", "left").select("group_id", "track_id", F.coalesce("settled", "proposed_action").alias("action")))
@@ -602,6 +691,18 @@ def jn_17(s, d):
     return want.join(best, ["al", "w"]).select("candidate_id", "b.t", "b.ratio")
 
 
+@q("src_09e", """SELECT candidate_id, CASE WHEN NOT listed THEN base WHEN br IS NULL THEN round(base * 0.4::DOUBLE, 4) ELSE round(base * (0.5::DOUBLE + 0.5::DOUBLE * br / 100), 4) END AS confidence FROM (SELECT c.candidate_id, greatest(0.35::DOUBLE, round(0.82::DOUBLE - 0.12::DOUBLE * (pos - 1), 4)) AS base, cd.al IS NOT NULL AND cd.al IN (SELECT al FROM held) AS listed, br
+  FROM (SELECT DISTINCT candidate_id, pos FROM candidates WHERE pos IS NOT NULL) c LEFT JOIN cd USING (candidate_id) LEFT JOIN (SELECT al, w, max(sorted) AS br FROM asked JOIN held USING (al) JOIN f ON a = w AND b = t WHERE sorted >= 82 GROUP BY ALL) y ON y.al = cd.al AND y.w = cd.w)""", *ORACLES["jn_17"].partition("WITH RECURSIVE ")[2].rpartition(" SELECT DISTINCT candidate_id, bt")[:1])
+def src_09e(s, d):
+    """Confidence of a release by its rank, after its track list: the library's tracks of the album stand for the list."""
+    n = text.normalised
+    held = lib(s, d, "album", "title").where("album <> ''").select(lower("album").alias("al"), "title").distinct().select("al", n(F.col("title")).alias("t")).where("t <> ''").distinct()
+    want = candidates(s, d).where("pos is not null").select("candidate_id", "pos", F.when(F.col("album") != "", lower("album")).alias("al"), n(F.col("title")).alias("w"))
+    best = want.select("al", "w").distinct().join(held, "al").withColumn("r", fuzzy.ratio_column(fuzzy.token_sort_ratio)("w", "t")).where("r >= 82").groupBy("al", "w").agg(F.max("r").alias("r"))
+    x = want.join(held.select("al", F.lit(True).alias("listed")).distinct(), "al", "left").join(best, ["al", "w"], "left")
+    return x.select("candidate_id", providers.by_tracklist(providers.ranked(F.col("pos") - 1, 0.82, 0.12, 0.35), F.coalesce("listed", F.lit(False)), F.col("r")).alias("confidence")).distinct()
+
+
 _BLANK = "CASE WHEN coalesce({0}, '') = '' THEN {2}::DOUBLE WHEN coalesce({1}, '') = '' THEN 0.0::DOUBLE ELSE {3} END"
 
 

@@ -178,3 +178,42 @@ def test_occupied_targets_are_not_given_out(spark):
     p = spark.createDataFrame([(1, "/in/a.mp3", "/lib/T.mp3"), (2, "/in/b.mp3", "/lib/S.mp3")], "id bigint, path string, target string")
     got = {r.id: r.target for r in organise.numbered(p, spark.createDataFrame([("/lib/t.mp3",), (None,)], "path string")).collect()}
     assert got == {1: "/lib/T (2).mp3", 2: "/lib/S.mp3"}
+
+
+def test_overrides_need_a_keeper_and_are_noted_once(spark):
+    m = spark.createDataFrame([(1, 1, "keep", "best"), (1, 2, "quarantine", "x (manually overridden)"), (2, 3, "keep", None), (2, 4, "skip", None), (3, 5, "skip", "s")], "group_id bigint, track_id bigint, action string, reason string")
+    o = spark.createDataFrame([(1, 2, "skip"), (1, 1, "keep"), (2, 3, "quarantine"), (9, 9, "keep"), (None, 5, "keep")], "group_id bigint, track_id bigint, action string")
+    got = {r.track_id: (r.action, r.reason, r.refused) for r in decision.overridden(m, o).collect()}
+    assert got == {1: ("keep", "best", False), 2: ("skip", "x (manually overridden)", False), 3: ("keep", None, True), 4: ("skip", None, True), 5: ("skip", "s", False)}
+
+
+def test_settled_sets_and_stopped_scans(spark):
+    m = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 1), (3, 1), (3, 3), (4, None)], "group_id bigint, track_id bigint")
+    assert {r.group_id for r in decision.not_settled(m, m.where("group_id = 2")).collect()} == {2, 3}
+    index = spark.createDataFrame([("/a", 50_000, 1.0, "h", "active")], "path string, size_bytes bigint, mtime double, sha256 string, status string")
+    disk = spark.createDataFrame([], "path string, size_bytes bigint, mtime double")
+    assert incremental.missing(disk, index, True).count() == 1 and incremental.missing(disk, index, False).count() == 0
+
+
+def test_outcomes_and_payloads(spark):
+    from stacksift.operators import jobs
+
+    cases = {'{"added": 12, "errors": 2}': (12, 2), '{"restored": ["a", "b"], "failed": []}': (2, 0), "{}": (None, None), '{"succeeded": true, "added": 3}': (3, None), "no json": (None, None), None: (None, None)}
+    got = spark.createDataFrame([(k,) for k in cases], "j string").select("j", jobs.outcome(F.col("j")).alias("o")).collect()
+    assert {r.j: tuple(r.o) for r in got} == cases
+    long = '{"a":1,"b":[1],"c":{"d":2},"e":"x"}'
+    r = spark.createDataFrame([(long,)], "j string").select(jobs.trimmed(F.col("j"), 10).alias("s"), jobs.trimmed(F.col("j")).alias("w")).first()
+    assert r.w == long and __import__("json").loads(r.s) == {"a": 1, "b": "...", "c": "...", "e": "x"}
+
+
+def test_answers_without_anything(spark):
+    from stacksift.sources import providers
+
+    r = spark.createDataFrame([("{}",), (None,), ('{"status": "ok", "results": null}',), ("[]",)], "j string").select(providers.by_fingerprint(F.col("j")).alias("f"), providers.by_search(F.col("j"), F.lit(1.0)).alias("s"), providers.recording(F.col("j")).alias("r"), providers.largest_image(F.col("j")).alias("i")).collect()
+    assert [x.f for x in r] == [None, None, [], None] and all(x.i is None and x.r.album is None for x in r)
+
+
+def test_lyrics(spark):
+    lrc = "[00:01.00] one\n[00:02] two\n\n[100:03.5]three [00:04.00]"
+    r = spark.createDataFrame([(lrc,), (None,), ("[00:01.00] one\n two",)], "t string").select(text.strip_lrc(F.col("t")).alias("s"), text.is_timed(F.col("t")).alias("v")).collect()
+    assert [(x.s, x.v) for x in r] == [("one\ntwo\nthree", True), (None, False), ("one\ntwo", False)]
