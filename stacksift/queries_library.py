@@ -467,7 +467,6 @@ q("agg_19", "SELECT entity_id, round(CAST(sum(CAST(round(weight * 100000) AS BIG
 q("win_13", "SELECT DISTINCT candidate_id, year, CASE WHEN year IS NULL OR regexp_extract(release_date, '(\\d{4})', 1) = CAST(year AS VARCHAR) THEN release_date END AS release_date FROM candidates")(lambda s, d: table(s, d, "candidates").select("candidate_id", "year", F.when(F.col("year").isNull() | (F.regexp_extract("release_date", r"(\d{4})", 1) == F.col("year").cast("string")), F.col("release_date")).alias("release_date")).distinct())
 q("set_06", "SELECT id, CASE WHEN c.genre IS NULL OR c.genre = '' THEN t.genre WHEN t.genre IS NULL OR t.genre = '' OR c.confidence >= 0.8 THEN c.genre ELSE t.genre END AS genre FROM t JOIN (SELECT title, arg_max(struct_pack(g := genre), (confidence, candidate_id)).g AS genre, max(confidence) AS confidence FROM candidates WHERE confidence IS NOT NULL GROUP BY title) c USING (title)", T)(
     lambda s, d: lib(s, d, "title", "genre").join(table(s, d, "candidates").where("confidence is not null").groupBy("title").agg(F.max_by(F.struct("genre"), F.struct("confidence", "candidate_id"))["genre"].alias("new"), F.max("confidence").alias("w")), "title").select("id", fusion.overwrite(F.col("genre"), F.col("new"), F.col("w"), True).alias("genre")))
-q("win_10")(lambda s, d: organise.numbered(organise.targets(lib(s, d, "path", "ext", "codec", "title", "artist", "albumartist", "album", "year", "genre", "track_no", "disc_no"), "/lib00/music/")))
 
 # ---------------------------------------------------------------- sorting, sets, graphs
 q("srt_01", "SELECT id, title, quality_score FROM t WHERE status = 'active' ORDER BY quality_score DESC NULLS LAST, id LIMIT 100 OFFSET 50", T)(lambda s, d: lib(s, d, "title", "quality_score", "status").where("status = 'active'").select("id", "title", "quality_score").orderBy(F.desc_nulls_last("quality_score"), "id").offset(50).limit(100))
@@ -657,7 +656,7 @@ def snk_13(s, d):
 q("snk_14", "SELECT group_id, track_id, CASE WHEN group_id IN (SELECT id FROM duplicate_groups WHERE resolved) THEN 'skip' ELSE proposed_action END AS action FROM m", M)(lambda s, d: members(s, d).join(table(s, d, "duplicate_groups").where("resolved").select(F.col("id").alias("group_id"), F.lit("skip").alias("settled")), "group_id", "left").select("group_id", "track_id", F.coalesce("settled", "proposed_action").alias("action")))
 
 # ---------------------------------------------------------------- streams
-q("str_01")(lambda s, d: activity.run_once(activity.admitted(activity.events_stream(s, d), 3, 3600.0), _fresh("admitted"), "append"))
+q("str_01", "SELECT event_id, user_id, admitted FROM ad WHERE n > 0", *qs.admitted(3, 3600.0))(lambda s, d: activity.run_once(activity.admitted(activity.events_stream(s, d), 3, 3600.0), _fresh("admitted"), "append"))
 q("str_02", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 15 MINUTE PRECEDING AND CURRENT ROW) AS recent FROM events")(lambda s, d: activity.rolling(table(s, d, "events").select("event_id", "user_id", "ts")).select("event_id", "recent"))
 q("str_05", "SELECT id, purge_after < TIMESTAMP '2025-06-30' AS expired FROM q", Q)(lambda s, d: quarantine(s, d).select("id", (F.col("purge_after") < F.lit(AS_OF).cast("timestamp_ntz")).alias("expired")))
 q("str_08", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")(lambda s, d: activity.run_once(activity.daily(activity.events_stream(s, d)), _fresh("daily"), "complete"))
@@ -670,9 +669,11 @@ def _fresh(name: str) -> str:
     return f"{name}_{uuid.uuid4().hex}"
 
 
+_TARGETS = "SELECT id, path, '/lib00/music/' || CASE WHEN ends_with(lower(w), lower(ex)) THEN w ELSE w || ex END AS target FROM wh"
+q("win_10", "SELECT * FROM nu", T, _PARTS, *qs.numbered(_TARGETS))(lambda s, d: organise.numbered(organise.targets(lib(s, d, "path", "ext", "codec", "title", "artist", "albumartist", "album", "year", "genre", "track_no", "disc_no"), "/lib00/music/")))
 # ---------------------------------------------------------------- the rest of the inventory
 q("win_02", "SELECT group_id, track_id, s_duration FROM sc", T, M, _SCORED)(lambda s, d: decision.scored(group_members(s, d)).select("group_id", "track_id", "s_duration"))
-q("win_11")(lambda s, d: organise.numbered(quarantine(s, d).select("id", F.col("original_path").alias("path"), F.concat(F.lit("/q/"), F.substring_index("quarantine_path", "/", -1)).alias("target"))))
+q("win_11", "SELECT * FROM nu", Q, *qs.numbered("SELECT id, original_path AS path, '/q/' || string_split(quarantine_path, '/')[-1] AS target FROM q"))(lambda s, d: organise.numbered(quarantine(s, d).select("id", F.col("original_path").alias("path"), F.concat(F.lit("/q/"), F.substring_index("quarantine_path", "/", -1)).alias("target"))))
 
 
 @q("jn_17", """SELECT DISTINCT candidate_id, bt AS t, br AS ratio FROM (SELECT al, w, arg_max(t, (sorted, t)) AS bt, round(max(sorted), 4) AS br FROM asked JOIN held USING (al) JOIN f ON a = w AND b = t WHERE sorted >= 82 GROUP BY ALL) JOIN cd USING (al, w)""", T, *qs.composed("n", "SELECT title AS x FROM t UNION SELECT title FROM candidates"),

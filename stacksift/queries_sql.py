@@ -96,3 +96,29 @@ def similar_sound(p: str, source: str, words: str) -> tuple[str, ...]:
         f"{p}x AS (SELECT i, k, {agreement('v.words', 'w.words')} AS s FROM {p}j JOIN {p}c v ON v.id = i JOIN {p}c w ON w.id = k)",
         *classes(p, f"SELECT i AS a, k AS b FROM {p}x WHERE s >= 0.9"),
     )
+
+
+def numbered(plan: str) -> tuple[str, ...]:
+    """nu(id, path, target, changed): `plan` (a select of id, path, target) with targets unique, claimed in order of id within a base name."""
+    base = lambda e: lowered(f"regexp_replace({e}, '(?: \\(\\d+\\))+(\\.[^./]*)$', '\\1')")
+    name = "CASE WHEN k = 1 THEN target ELSE regexp_replace(target, '^(.*)(\\.[^.]*)$', '\\1 (' || k || ')\\2') END"
+    low = lowered(name)
+    free = f"list_filter(range(1, 100), lambda k: NOT list_contains(taken, {low}) AND (NOT list_contains(files, {low}) OR {low} = {lowered('path')}))[1]"
+    return (
+        f"np AS (SELECT *, {base('target')} AS base FROM ({plan}))",
+        f"nf AS (SELECT DISTINCT {base('path')} AS base, {lowered('path')} AS file FROM np WHERE path IS NOT NULL)",
+        f"nr AS (SELECT base FROM np GROUP BY 1 HAVING count(*) > 1 UNION SELECT base FROM np WHERE {lowered('path')} IS DISTINCT FROM {lowered('target')} AND base IN (SELECT base FROM nf))",
+        f"ns AS (SELECT *, row_number() OVER (PARTITION BY {lowered('target')} ORDER BY id) AS r FROM np WHERE base IN (SELECT base FROM nr))",
+        "nl AS (SELECT base, list(file) AS files FROM nf GROUP BY 1)",
+        "no AS (SELECT ns.*, coalesce(files, []) AS files, row_number() OVER (PARTITION BY ns.base ORDER BY id) AS n FROM ns LEFT JOIN nl USING (base) WHERE r < 100)",
+        f"nc(base, n, id, path, target, taken) AS (SELECT DISTINCT base, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, []::VARCHAR[] FROM no UNION ALL SELECT base, n, id, path, got, list_append(taken, {lowered('got')}) FROM (SELECT base, n, id, path, taken, CASE WHEN k IS NULL THEN path ELSE {name} END AS got FROM (SELECT o.base, o.n, o.id, o.path, o.target, c.taken, {free.replace('taken', 'c.taken').replace('files', 'o.files').replace('target', 'o.target').replace('path', 'o.path')} AS k FROM nc c JOIN no o ON o.base = c.base AND o.n = c.n + 1)))",
+        f"nu AS (SELECT id, path, target, {lowered('target')} <> {lowered('path')} AS changed FROM (SELECT id, path, target FROM np WHERE base NOT IN (SELECT base FROM nr) UNION ALL SELECT id, path, path FROM ns WHERE r >= 100 UNION ALL SELECT id, path, target FROM nc WHERE n > 0))",
+    )
+
+
+def admitted(calls: int, seconds: float) -> tuple[str, ...]:
+    """ad(event_id, user_id, admitted): events in order of time within each user, at most `calls` in any `seconds`."""
+    return (
+        "ao AS (SELECT *, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)",
+        f"ad(user_id, n, event_id, hits, admitted) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, []::DOUBLE[], NULL::BOOLEAN FROM ao UNION ALL SELECT user_id, n, event_id, CASE WHEN len(h) < {calls} THEN list_append(h, t) ELSE h END, len(h) < {calls} FROM (SELECT o.user_id, o.n, o.event_id, o.t, list_filter(a.hits, lambda x: x > o.t - {seconds}) AS h FROM ad a JOIN ao o ON o.user_id = a.user_id AND o.n = a.n + 1))",
+    )
