@@ -1,6 +1,7 @@
 """Encoding repair, look-alikes, names, matching and personal information on small fixtures."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from stacksift.llm import charmodel, encoding, lookalike, matching, names, personal
 
@@ -212,9 +213,12 @@ def test_long_text_is_read_to_its_end():
 def test_documents_redacted(spark):
     docs = spark.createDataFrame([(1, "Signed: Susanna Draher. Call 020 7946 0071", "k"), (1, "Signed: Susanna Draher. Call 020 7946 0071", "k"), (2, None, "k"), (3, "", "k"), (4, "Regards, Leonard Kalmaruk", "k")], "doc_id bigint, text string, kind string")
     tracks = spark.createDataFrame([(1, "leonard kalmaruk", None)], "id bigint, artist string, albumartist string")
-    got = {r.doc_id: (r.text, r["items"]) for r in personal.redacted_documents(docs, tracks).collect()}
+    got = {r.doc_id: (r.text, r["items"]) for r in personal.redacted_documents(docs, tracks, NAMES).collect()}
     assert got == {1: ("Signed: [PERSON_NAME]. Call [PHONE]", 2), 2: (None, 0), 3: ("", 0), 4: ("Regards, Leonard Kalmaruk", 0)}
     assert personal.document_items(docs.limit(0), tracks.limit(0)).count() == 0
+    many = spark.createDataFrame([(i, f"title {i}", "a", n, None) for i, n in enumerate(["Ann Berg", "Ann Holm", "Zoe K. Lund", "Trio Berg"])], "id bigint, title string, album string, artist string, albumartist string")
+    assert personal.given_names(many) == {"ann", "zoe"} and personal.title_words(many) == {"title"}
+    assert [r.found_text for r in personal.document_items(docs.withColumn("text", F.lit("I met Ann Kalmaruk and Ann Berg")), many).select("found_text").distinct().collect()] == ["Ann Kalmaruk"]
 
 
 def test_common_skeletons_are_paired_whole(spark):
