@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Names under which jobs report what succeeded and what failed, in order of preference (fixed values).
@@ -39,3 +39,9 @@ def trimmed(payload: Column, most: int = MOST_CHARACTERS) -> Column:
     m = F.try_variant_get(F.try_parse_json(payload), "$", "map<string, variant>")
     short = F.transform_values(m, lambda _, x: F.when(_kind(x).startswith("ARRAY") | _kind(x).startswith("OBJECT"), F.parse_json(F.lit('"..."'))).otherwise(x))
     return F.when(F.length(payload) > most, F.to_json(short)).otherwise(payload)
+
+
+def converted(results: DataFrame) -> DataFrame:
+    """(converted, failed, saved_bytes) of `results` (ok, src_bytes, dst_bytes): bytes are saved by what came out smaller, never lost by what grew."""
+    saved = F.when(F.col("ok"), F.greatest(F.lit(0), F.col("src_bytes") - F.col("dst_bytes"))).otherwise(0)
+    return results.agg(F.count_if("ok").alias("converted"), F.count_if(~F.col("ok")).alias("failed"), F.sum(saved).alias("saved_bytes"))

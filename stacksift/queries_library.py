@@ -12,7 +12,7 @@ from . import queries_sql as qs
 from . import sources
 from .core.components import star_components
 from .core.session import table
-from .sources import providers
+from .sources import providers, tags
 from .functions import fingerprint, fuzzy, media, text
 from .operators import decision, dedup, fusion, incremental, jobs
 from .operators.search import best_matches
@@ -75,6 +75,33 @@ def src_03(s, d):
     return t.select("id", sources.probed(j, F.col("size_bytes")).alias("p")).select("id", "p.codec", "p.duration", "p.bitrate", "p.bit_depth", "p.lossless", "p.corrupt")
 
 
+@q("src_04", """SELECT id, nullif(title, '') AS title, nullif(artist, '') AS artist, nullif(albumartist, '') AS albumartist, nullif(album, '') AS album, nullif(genre, '') AS genre, CASE WHEN year BETWEEN 1860 AND 2200 THEN year END::INT AS year, track_no, CASE WHEN k = 1 OR k IN (0, 2) AND track_no IS NOT NULL THEN total_tracks END AS total_tracks, CASE WHEN k < 4 THEN disc_no END AS disc_no,
+  CASE WHEN k < 4 THEN nullif(isrc, '') END AS isrc, CASE WHEN k < 3 THEN nullif(mb_recording_id, '') END AS mb_recording_id, k < 3 AND coalesce(lower(trim(albumartist)) = 'various artists', false) AS compilation FROM (SELECT *, id % 5 AS k FROM t)""", T)
+def src_04(s, d):
+    """Tags read back from the frame maps of five kinds of containers, made of the library's rows by id."""
+    names = ("id3", "vorbis", "mp4", "asf", "generic")
+    kind = F.element_at(F.array(*[F.lit(k) for k in names]), (F.col("id") % 5 + 1).cast("int"))
+    number = lambda own, total: F.when(F.col(own).isNotNull(), F.concat(F.lit(" "), F.col(own).cast("string"), F.coalesce(F.concat(F.lit("/"), F.col(total).cast("string")), F.lit("")) if total else F.lit("")))
+    both = {"title": F.col("title"), "artist": F.col("artist"), "albumartist": F.col("albumartist"), "album": F.col("album"), "genre": F.col("genre"), "date": F.concat(F.col("year").cast("string"), F.lit("-01-01")), "isrc": F.col("isrc"), "mb_recording_id": F.col("mb_recording_id")}
+
+    def frames(k: str):
+        own, total, disc, _ = tags.NUMBERS[k]
+        pairs = [(tags.KINDS[k][f][-1], c) for f, c in both.items() if f in tags.KINDS[k]]
+        pairs.append((own[-1], number("track_no", "total_tracks" if k in tags.PAIRED else None)))
+        pairs += [(total[-1], F.col("total_tracks").cast("string"))] if total else []
+        pairs += [(disc[-1], number("disc_no", None))] if disc else []
+        pairs += [(tags.COMPILATION[k][0], F.when(F.lower(F.trim("albumartist")) == "various artists", tags.COMPILATION[k][1][-1]))] if k in tags.COMPILATION else []
+        made = F.array(*[F.struct(F.lit(n.upper() if k == "vorbis" else n).alias("key"), F.array(c, F.lit("more")).alias("value"), (F.coalesce(c, F.lit("")) != "").alias("there")) for n, c in pairs])
+        return F.map_from_entries(F.transform(F.filter(made, lambda e: e["there"]), lambda e: F.struct(e["key"], e["value"])))
+
+    m = F.when(kind == "id3", frames("id3"))
+    for k in names[1:]:
+        m = m.when(kind == k, frames(k))
+    t = lib(s, d, "title", "artist", "albumartist", "album", "genre", "year", "track_no", "total_tracks", "disc_no", "isrc", "mb_recording_id")
+    fields = ("title", "artist", "albumartist", "album", "genre", "year", "track_no", "total_tracks", "disc_no", "isrc", "mb_recording_id", "compilation")
+    return t.select("id", kind.alias("kind"), m.alias("m")).select("id", tags.read(F.col("kind"), F.col("m")).alias("x")).select("id", *[f"x.{f}" for f in fields])
+
+
 q("src_05", "SELECT doc_id, sha256(text) AS digest FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("digest")))
 
 
@@ -379,7 +406,14 @@ def agg_21(s, d):
     return table(s, d, "events").select("event_id", jobs.outcome(result).alias("o")).select("event_id", "o.*")
 
 
-q("agg_22", "SELECT count_if(bitrate > 0) AS ok, CAST(sum(greatest(0, size_bytes - CAST(trunc(coalesce(duration, 0) * 32000) AS BIGINT))) AS BIGINT) AS saved FROM t WHERE lossless", T)(lambda s, d: lib(s, d, "lossless", "bitrate", "size_bytes", "duration").where("lossless").agg(_N(F.col("bitrate") > 0).alias("ok"), F.sum(F.greatest(F.lit(0), F.col("size_bytes") - (F.coalesce("duration", F.lit(0.0)) * 32000).cast("bigint"))).alias("saved")))
+@q("agg_22", "SELECT count_if(ok) AS converted, count_if(NOT ok) AS failed, CAST(sum(CASE WHEN ok THEN greatest(0, size_bytes - dst) ELSE 0 END) AS BIGINT) AS saved_bytes FROM (SELECT size_bytes, coalesce(bitrate > 0 AND duration > 0, false) AS ok, CAST(trunc(coalesce(duration, 0) * 32000) AS BIGINT) AS dst FROM t WHERE lossless)", T)
+def agg_22(s, d):
+    """Totals of a conversion of all lossless files to 256 kbit/s; files without length or bitrate fail."""
+    ok = F.coalesce((F.col("bitrate") > 0) & (F.col("duration") > 0), F.lit(False))
+    results = lib(s, d, "lossless", "bitrate", "size_bytes", "duration").where("lossless").select(ok.alias("ok"), F.col("size_bytes").alias("src_bytes"), (F.coalesce("duration", F.lit(0.0)) * 32000).cast("bigint").alias("dst_bytes"))
+    return jobs.converted(results)
+
+
 q("agg_23", "SELECT count(*) AS total FROM t WHERE status = 'active' AND year >= 2000", T)(lambda s, d: lib(s, d, "status", "year").where("status = 'active' and year >= 2000").agg(F.count("*").alias("total")))
 q("agg_24", "SELECT count(apple_id) AS matched FROM t", T)(lambda s, d: lib(s, d, "apple_id").agg(F.count("apple_id").alias("matched")))
 q("agg_25", "SELECT round(100.0 * count_if(has_artwork) / nullif(count(*), 0), 2) AS artwork_share, round(100.0 * count_if(lossless) / nullif(count(*), 0), 2) AS lossless_share FROM t", T)(lambda s, d: lib(s, d, "has_artwork", "lossless").agg(*[F.round(F.try_divide(100.0 * _N(F.col(c)), F.count("*")), 2).alias(n) for c, n in (("has_artwork", "artwork_share"), ("lossless", "lossless_share"))]))
@@ -657,7 +691,15 @@ q("snk_14", "SELECT group_id, track_id, CASE WHEN group_id IN (SELECT id FROM du
 
 # ---------------------------------------------------------------- streams
 q("str_01", "SELECT event_id, user_id, admitted FROM ad WHERE n > 0", *qs.admitted(3, 3600.0))(lambda s, d: activity.run_once(activity.admitted(activity.events_stream(s, d), 3, 3600.0), _fresh("admitted"), "append"))
-q("str_02", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 15 MINUTE PRECEDING AND CURRENT ROW) AS recent FROM events")(lambda s, d: activity.rolling(table(s, d, "events").select("event_id", "user_id", "ts")).select("event_id", "recent"))
+@q("str_02", """SELECT event_id, recent, recent > 10 AS refused, least(2.0, greatest(0.0, (n - 60) * 0.25))::DOUBLE AS delay FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id, since ORDER BY ts RANGE BETWEEN INTERVAL 15 MINUTE PRECEDING AND CURRENT ROW) AS recent, count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 15 MINUTE PRECEDING AND CURRENT ROW) AS n
+  FROM (SELECT *, coalesce(count_if(event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM events))""")
+def str_02(s, d):
+    """Attempts per user since the last success, which are too many, and how long each waits for the pressure of all."""
+    e = table(s, d, "events").select("event_id", "user_id", "ts", "event_type")
+    r = activity.delayed(activity.rolling(e, success=F.col("event_type") == "signup"))
+    return r.select("event_id", "recent", (F.col("recent") > activity.MOST_OF_USER).alias("refused"), "delay")
+
+
 q("str_05", "SELECT id, purge_after < TIMESTAMP '2025-06-30' AS expired FROM q", Q)(lambda s, d: quarantine(s, d).select("id", (F.col("purge_after") < F.lit(AS_OF).cast("timestamp_ntz")).alias("expired")))
 q("str_08", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")(lambda s, d: activity.run_once(activity.daily(activity.events_stream(s, d)), _fresh("daily"), "complete"))
 

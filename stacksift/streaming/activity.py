@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -45,9 +45,34 @@ def daily(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), "event_type", "n")
 
 
-def rolling(events: DataFrame, seconds: int = 900) -> DataFrame:
-    """Each event with the number of its user's events in the `seconds` up to it."""
-    return events.withColumn("recent", F.count("*").over(W.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)))
+#: Failed attempts of one user and of all users within WINDOW seconds that are borne, and what each one beyond the latter delays (fixed values).
+MOST_OF_USER, MOST_OF_ALL, WINDOW, DELAY, MOST_DELAY = 10, 60, 900, 0.25, 2.0
+
+
+def _with_context(events: DataFrame, seconds: int) -> DataFrame:
+    """`events` with bucket (of `seconds`) and own: each row stands in its own bucket and, as context, in the next one."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    b = F.floor(us / (seconds * 1_000_000))
+    return events.withColumn("_us", us).withColumn("_x", F.explode(F.array(F.struct(b.alias("b"), F.lit(True).alias("own")), F.struct((b + 1).alias("b"), F.lit(False).alias("own"))))).select("*", F.col("_x.b").alias("_b"), F.col("_x.own").alias("_own")).drop("_x")
+
+
+def rolling(events: DataFrame, seconds: int = WINDOW, success: Column | None = None) -> DataFrame:
+    """Each event with `recent`, the number of its user's events in the `seconds` up to it; after a `success` the count starts anew.
+
+    A user's events are cut into buckets of `seconds`, each with the one before as context, so even one user
+    who holds a third of all events is shared out over many tasks.
+    """
+    e = _with_context(events.withColumn("_ok", F.coalesce(success, F.lit(False)) if success is not None else F.lit(False)), seconds)
+    e = e.withColumn("_since", F.coalesce(F.sum(F.col("_ok").cast("int")).over(W.partitionBy("user_id", "_b").orderBy("_us", "event_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    n = F.count("*").over(W.partitionBy("user_id", "_b", "_since").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0))
+    return e.withColumn("recent", n).where("_own").drop("_us", "_b", "_own", "_ok", "_since")
+
+
+def delayed(events: DataFrame, seconds: int = WINDOW) -> DataFrame:
+    """Each event with `delay`, the seconds it waits for what all users did in the `seconds` up to it."""
+    e = _with_context(events, seconds)
+    n = F.count("*").over(W.partitionBy("_b").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0))
+    return e.withColumn("delay", F.least(F.lit(MOST_DELAY), F.greatest(F.lit(0.0), (n - MOST_OF_ALL) * DELAY))).where("_own").drop("_us", "_b", "_own")
 
 
 def admitted(events: DataFrame, calls: int, seconds: float, late: str = "1 day") -> DataFrame:

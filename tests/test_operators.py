@@ -217,3 +217,25 @@ def test_lyrics(spark):
     lrc = "[00:01.00] one\n[00:02] two\n\n[100:03.5]three [00:04.00]"
     r = spark.createDataFrame([(lrc,), (None,), ("[00:01.00] one\n two",)], "t string").select(text.strip_lrc(F.col("t")).alias("s"), text.is_timed(F.col("t")).alias("v")).collect()
     assert [(x.s, x.v) for x in r] == [("one\ntwo\nthree", True), (None, False), ("one\ntwo", False)]
+
+
+def test_rolling_counts_start_anew_after_a_success(spark):
+    import datetime as dt
+
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    rows = [(i, 1, at(m), ok) for i, (m, ok) in enumerate([(0, False), (10, False), (14, False), (15.5, False), (16, True), (17, False), (40, False)])] + [(90, 2, at(16), False)]
+    e = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp, ok boolean")
+    assert {r.event_id: r.recent for r in activity.rolling(e, success=F.col("ok")).collect()} == {0: 1, 1: 2, 2: 3, 3: 3, 4: 4, 5: 1, 6: 1, 90: 1}
+    many = spark.range(70).selectExpr("id as event_id", "id as user_id", "timestamp '2024-01-01 00:14:59' + make_interval(0, 0, 0, 0, 0, 0, id) as ts")
+    assert {r.event_id: r.delay for r in activity.delayed(many).collect() if r.delay} == {i: min(2.0, (i - 59) * 0.25) for i in range(60, 70)}
+    assert activity.rolling(e.limit(0)).count() == activity.delayed(e.limit(0)).count() == 0
+
+
+def test_tags_of_containers(spark):
+    from stacksift.sources import tags
+
+    rows = [(1, "id3", {"TIT2": ["T"], "trck": ["3/12"], "TDRC": ["1999-05"], "TCMP": ["1"]}), (2, "vorbis", {"Title": ["V", "W"], "ALBUM ARTIST": ["A"], "tracknumber": ["4"], "totaltracks": ["9"], "compilation": ["yes"]}), (3, "mp4", {"\xa9nam": [], "trkn": ["0"]}), (4, "other", {"Title": ["G"], "year": ["999"]}), (5, None, None)]
+    r = {x.id: x.t for x in spark.createDataFrame(rows, "id bigint, kind string, m map<string, array<string>>").select("id", tags.read(F.col("kind"), F.col("m")).alias("t")).collect()}
+    assert (r[1].title, r[1].track_no, r[1].total_tracks, r[1].year, r[1].compilation) == ("T", 3, 12, 1999, True)
+    assert (r[2].title, r[2].albumartist, r[2].track_no, r[2].total_tracks, r[2].compilation) == ("V", "A", 4, 9, True)
+    assert (r[3].title, r[3].track_no, r[4].title, r[4].year, r[5].title, r[5].compilation) == (None, 0, "G", None, None, False)
