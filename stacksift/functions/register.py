@@ -35,9 +35,14 @@ def image_width():
 
 
 def register_udfs(spark: SparkSession) -> None:
-    """Makes nfkc, token_sort_ratio, token_set_ratio, fingerprint_agreement and image_width callable from SQL."""
+    """Makes nfkc, normalised, token_sort_ratio, token_set_ratio, fingerprint_agreement and image_width callable from SQL."""
     spark.udf.register("nfkc", text.nfkc())
     spark.udf.register("token_sort_ratio", fuzzy.ratio_column(fuzzy.token_sort_ratio))
     spark.udf.register("token_set_ratio", fuzzy.ratio_column(fuzzy.token_set_ratio))
     spark.udf.register("fingerprint_agreement", fingerprint.agreement_column())
     spark.udf.register("image_width", image_width())
+    steps = "lower(trim(nfkc(coalesce(x, ''))))"
+    for pattern, by in ((text.REMARKS, " "), (text.FEATURING, ""), (text.ARABIC_MARKS, "")):
+        steps = f"regexp_replace({steps}, r'{pattern}', '{by}')"
+    steps = f"trim(regexp_replace(regexp_replace(translate({steps}, '{text.ARABIC_FROM}', '{text.ARABIC_TO}'), r'{text.NON_WORD}', ' '), r'\\s+', ' '))"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION normalised(x STRING) RETURNS STRING RETURN {steps}")

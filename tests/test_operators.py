@@ -147,6 +147,10 @@ def test_registered_functions(spark):
     jpg = "FFD8FFE000104A46494600010100000100010000FFC00011080064012C03"
     r = spark.sql(f"select token_sort_ratio('b a', 'a b') as r, nfkc('ﬁ') as n, image_width(unhex('{png}')) as p, image_width(unhex('{jpg}')) as j, image_width(unhex('00')) as x").first()
     assert (r.r, r.n, r.p, r.j, r.x) == (100.0, "fi", 600, 300, None)
+    cases = ["Ｈｅｌｌｏ (Official Video) feat. X", "أُغْنِيَةٌ  عمرى", "Don't - Stop", "", None]
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    df.createOrReplaceTempView("cases")
+    assert spark.sql("select t, normalised(t) as n from cases").collect() == df.select("t", text.normalised(F.col("t")).alias("n")).collect()
 
 
 def test_search_equals_comparing_all(spark):
