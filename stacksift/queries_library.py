@@ -563,13 +563,14 @@ def gr_01(s, d):
     return star_components(e)
 
 
-@q("gr_02", """, fo AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:k], '/') AS path FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS k FROM t)),
-fl AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:k], '/') AS path FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS k FROM t WHERE status = 'active' AND quality_score > 0.6))
-SELECT path FROM fo WHERE path NOT IN (SELECT path FROM fl)""", T)
+_CHAIN = "SELECT DISTINCT array_to_string(string_split(path, '/')[1:k], '/') AS path FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS k FROM {0})"
+
+
+@q("gr_02", f"""SELECT path FROM fo WHERE path NOT IN (SELECT path FROM fl) AND path <> '' AND NOT starts_with(path || '/', '/lib00/incoming/') AND NOT regexp_matches(path, '/(@eaDir|#recycle|@tmp|#snapshot)(/|$)')""", T, _FILES, f"fo AS ({_CHAIN.format('f')})", "kf AS (SELECT f.path FROM f JOIN t USING (id) WHERE status = 'active' AND quality_score > 0.6 AND NOT contains(f.path, '/@eaDir/'))", f"fl AS ({_CHAIN.format('kf')})")
 def gr_02(s, d):
-    """Folders that would be empty if only good active files were left."""
-    t = lib(s, d, "path", "status", "quality_score")
-    return cleanup.empty_folders(t.select(F.explode(cleanup.ancestors(F.col("path"))).alias("path")), t.where("status = 'active' and quality_score > 0.6"))
+    """Folders that would be empty if only good active files and no caches were left; what comes in is off limits."""
+    files = made_files(s, d).join(lib(s, d, "status", "quality_score"), "id")
+    return cleanup.empty_folders(files.select(F.explode(cleanup.ancestors(F.col("path"))).alias("path")), files.where("status = 'active' and quality_score > 0.6"), caches=True, off_limits=("/lib00/incoming",))
 
 
 # ---------------------------------------------------------------- scalar functions

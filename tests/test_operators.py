@@ -101,6 +101,10 @@ def test_empty_folders_and_categories(spark):
     folders = spark.createDataFrame([("/a",), ("/a/b",), ("/a/b/c",), ("/d",)], "path string")
     files = spark.createDataFrame([("/a/b/x.lrc",), ("/a/y.mp3",)], "path string")
     assert {r.path for r in cleanup.empty_folders(folders, files).collect()} == {"/a/b/c", "/d"}
+    nas = spark.createDataFrame([("/",), ("/e",), ("/e/@eaDir",), ("/q",), ("/q/x",), (None,)], "path string")
+    cached = spark.createDataFrame([("/e/@eaDir/t.db",), (None,)], "path string")
+    assert cleanup.empty_folders(nas, cached, root="/", off_limits=("/q",)).count() == 0
+    assert {r.path for r in cleanup.empty_folders(nas, cached, root="/", caches=True, off_limits=("/q",)).collect()} == {"/e"}
     kinds = {r.path: r.k for r in spark.createDataFrame([("/a/x.lrc",), ("/a/x.part-1",), ("/a/@eaDir/t.db",), ("/a/x.mp3",)], "path string").select("path", cleanup.file_category().alias("k")).collect()}
     assert kinds == {"/a/x.lrc": "sidecar", "/a/x.part-1": "temp", "/a/@eaDir/t.db": "cache", "/a/x.mp3": None}
 
