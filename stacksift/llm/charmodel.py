@@ -115,7 +115,7 @@ def gathered(rows: DataFrame, *columns: str, rows_a_task: int = 25_000) -> DataF
 
     The last column should tell rows apart: ranges then cut a hot value's rows into several tasks.
     """
-    n = max(1, min(20_000, -(-rows.count() // rows_a_task)))
+    n = max(1, -(-rows.count() // rows_a_task))
     return rows.repartitionByRange(n, *columns)
 
 
