@@ -275,7 +275,7 @@ def jn_01(s, d):
     return m.groupBy("group_id").agg(nest.alias("tracks"), F.sum("size_bytes").alias("bytes"))
 
 
-q("jn_02", "SELECT id, path FROM t WHERE id IN (SELECT track_id FROM duplicate_members)", T)(lambda s, d: lib(s, d, "path").join(table(s, d, "duplicate_members").select(F.col("track_id").alias("id")), "id", "left_semi"))
+q("jn_02", "SELECT id, path FROM t WHERE id IN (SELECT id FROM (SELECT id, regexp_split_to_array(lower(concat_ws(' ', title, artist, album, albumartist)), '[^\\p{L}\\p{N}]+') AS bag FROM t) WHERE list_contains(bag, 'of') AND len(list_filter(bag, lambda x: starts_with(x, 'si'))) > 0)", T)(lambda s, d: lib(s, d, "path").join(search(lib(s, d, "title", "artist", "album", "albumartist"), "of si").select("id"), "id", "left_semi"))
 q("jn_03", "SELECT DISTINCT lower(trim(title)) AS title FROM candidates WHERE trim(title) <> '' AND lower(trim(title)) NOT IN (SELECT lower(trim(title)) FROM tracks WHERE title IS NOT NULL)")(
     lambda s, d: table(s, d, "candidates").select(F.lower(F.trim("title")).alias("title")).where("title <> ''").distinct().join(table(s, d, "tracks").select(F.lower(F.trim("title")).alias("title")), "title", "left_anti"))
 
@@ -591,7 +591,7 @@ def fn_06(s, d):
     return f.join(first, "album").where("id <> other").select("id", "other", F.round(fingerprint.agreement_column()("w", "v"), 6).alias("agreement"))
 
 
-q("fn_07", "SELECT id, [CAST(b AS VARCHAR) || ':' || CAST(words[b * (len(words) // 6) + 1] >> 24 AS VARCHAR) || ':' || CAST(words[b * (len(words) // 6) + 2] >> 24 AS VARCHAR) for b in range(0, 6)] AS keys FROM w WHERE len(words) >= 12", T, _WORDS)(lambda s, d: lib(s, d, "fingerprint").select("id", fingerprint.words(F.col("fingerprint")).alias("w")).where("size(w) >= 12").select("id", fingerprint.band_keys(F.col("w")).alias("keys")))
+q("fn_07", "SELECT id, list_transform(list_filter(range(0, 6), lambda b: b * greatest(1, len(words) // 6) + 2 <= len(words)), lambda b: CAST(b AS VARCHAR) || ':' || CAST(words[b * greatest(1, len(words) // 6) + 1] >> 24 AS VARCHAR) || ':' || CAST(words[b * greatest(1, len(words) // 6) + 2] >> 24 AS VARCHAR)) AS keys FROM w WHERE len(words) >= 2", T, _WORDS)(lambda s, d: lib(s, d, "fingerprint").select("id", fingerprint.words(F.col("fingerprint")).alias("w")).where("w is not null").select("id", fingerprint.band_keys(F.col("w")).alias("keys")))
 q("fn_08", "SELECT id, round(0.55::DOUBLE * CASE WHEN lossless THEN 1.0 ELSE least(coalesce(bitrate, 0) / 320000, 1.0) END + 0.15::DOUBLE * least(coalesce(nullif(sample_rate, 0), 44100) / 96000, 1.0) + 0.10::DOUBLE * least(coalesce(nullif(bit_depth, 0), 16) / 24, 1.0) + 0.20::DOUBLE * coalesce(tag_completeness, 0), 4) AS quality FROM t", T)(lambda s, d: lib(s, d, "lossless", "bitrate", "sample_rate", "bit_depth", "tag_completeness").select("id", media.quality().alias("quality")))
 q("fn_09", "SELECT id, round(least(1.0, " + " + ".join(f"CASE WHEN {c} IS NULL OR {c} = {0 if c in media.NUMERIC else chr(39) * 2} THEN 0 ELSE {w} END::DOUBLE" for c, w in media.COMPLETENESS.items()) + "), 4) AS completeness FROM t", T)(lambda s, d: lib(s, d, *media.COMPLETENESS).select("id", media.completeness().alias("completeness")))
 q("fn_10", f"SELECT id, {_RANK} AS preferred, CASE WHEN lossless THEN least({_RANK}, 0.70::DOUBLE) ELSE {_RANK} END AS unbiased FROM t", T)(lambda s, d: lib(s, d, "codec", "lossless").select("id", media.format_score().alias("preferred"), media.format_score(False).alias("unbiased")))
@@ -656,7 +656,8 @@ def rescan(s, d):
     return index_of(s, d).where("id % 2 = 0").select("path", (F.col("size_bytes") + 7).alias("size_bytes"), F.lit("").alias("acoustid"), "status")
 
 
-q("snk_01", "SELECT path, CASE WHEN id % 2 = 0 THEN size_bytes + 7 ELSE size_bytes END AS size_bytes, acoustid, status FROM t SEMI JOIN (SELECT path FROM t GROUP BY 1 HAVING count(*) = 1) n USING (path)", T)(lambda s, d: incremental.upsert(index_of(s, d).select("path", "size_bytes", "acoustid", "status"), rescan(s, d)))
+q("snk_01", "SELECT path, CASE WHEN id % 2 = 0 THEN size_bytes + 7 ELSE size_bytes END AS size_bytes, acoustid, CASE WHEN id % 2 = 1 THEN audio_md5 END AS audio_md5, CASE WHEN id % 2 = 1 THEN fingerprint END AS fingerprint, status FROM t SEMI JOIN (SELECT path FROM t GROUP BY 1 HAVING count(*) = 1) n USING (path)", T)(
+    lambda s, d: (lambda i: incremental.upsert(i, rescan(s, d).select("path", "size_bytes", "acoustid", F.lit(None).cast("string").alias("audio_md5"), F.lit(None).cast("string").alias("fingerprint"), "status")))(index_of(s, d).join(lib(s, d, "audio_md5", "fingerprint"), "id").select("path", "size_bytes", "acoustid", "audio_md5", "fingerprint", "status")))
 @q("snk_02", """SELECT id AS group_id, kind, NULL AS track_id, NULL AS action FROM duplicate_groups WHERE resolved UNION ALL
 SELECT root, 'exact_file', id, action FROM (SELECT l1.root, l1.id, CASE WHEN rn = 1 THEN 'keep' WHEN margin >= 0.03 THEN 'quarantine' ELSE 'skip' END AS action FROM l1 JOIN rk ON rk.group_id = l1.root AND rk.track_id = l1.id JOIN mg ON mg.group_id = l1.root
   WHERE root NOT IN (SELECT a.root FROM (SELECT root, list_sort(list(id)) AS ids FROM l1 GROUP BY 1) a JOIN (SELECT group_id, list_sort(list(DISTINCT track_id)) AS ids FROM duplicate_members WHERE track_id IS NOT NULL AND group_id IN (SELECT id FROM duplicate_groups WHERE resolved) GROUP BY 1) b USING (ids)))""", T, *_LAYERS[:2], "m AS (SELECT root AS group_id, id AS track_id FROM l1)", _SCORED, _VERDICT.replace("LEFT JOIN duplicate_groups dg ON dg.id = rk.group_id", "LEFT JOIN duplicate_groups dg ON false"))
@@ -674,7 +675,16 @@ def snk_02(s, d):
 q("snk_03", "SELECT source, title, arg_max(candidate_id, (fetched_at, candidate_id)) AS candidate_id FROM candidates WHERE fetched_at IS NOT NULL GROUP BY ALL")(lambda s, d: incremental.latest(table(s, d, "candidates").where("fetched_at is not null").select("source", "title", "candidate_id", "fetched_at"), ["source", "title"], ["fetched_at", "candidate_id"]).select("source", "title", "candidate_id"))
 q("snk_05", "SELECT id FROM t WHERE status <> 'missing'", T)(lambda s, d: lib(s, d, "status").join(lib(s, d, "status").where("status = 'missing'").select("id"), "id", "left_anti").select("id"))
 q("snk_06", "SELECT DISTINCT id FROM duplicate_members WHERE group_id NOT IN (SELECT id FROM duplicate_groups WHERE resolved)")(lambda s, d: table(s, d, "duplicate_members").where("group_id is not null").select("id", "group_id").distinct().join(table(s, d, "duplicate_groups").where("resolved").select(F.col("id").alias("group_id")), "group_id", "left_anti").select("id"))
-q("snk_07", "SELECT source, max(fetched_at) AS synced_at FROM candidates GROUP BY 1")(lambda s, d: incremental.latest(table(s, d, "candidates").where("fetched_at is not null").select("source", "fetched_at", F.col("fetched_at").alias("synced_at")), ["source"], ["fetched_at"]).select("source", "synced_at"))
+@q("snk_07", """SELECT coalesce(n.external_id, o.external_id) AS external_id, coalesce(nullif(n.name, ''), o.name) AS name, CASE WHEN n.external_id IS NULL THEN o.entries ELSE n.entries END AS entries, CASE WHEN n.external_id IS NULL THEN o.synced_at ELSE n.synced_at END AS synced_at FROM o FULL JOIN n USING (external_id)""",
+   *[f"{k} AS (SELECT source || '-' || (pos % 3) AS external_id, {name} AS name, count(*) AS entries, max(fetched_at) AS synced_at FROM (SELECT DISTINCT * FROM candidates) WHERE pos IS NOT NULL AND {cond} GROUP BY 1)" for k, name, cond in (("o", "min(source)", "candidate_id % 2 = 0"), ("n", "CASE WHEN count(*) % 2 = 0 THEN '' ELSE min(source) || ' new' END", "candidate_id % 2 = 1 AND pos % 3 > 0"))])
+def snk_07(s, d):
+    """Playlists put in by external id after a second synchronisation; a blank name leaves the old one."""
+    c = candidates(s, d).where("pos is not null").withColumn("external_id", F.concat_ws("-", "source", (F.col("pos") % 3).cast("string")))
+    lists = lambda df, name: df.groupBy("external_id").agg(name.alias("name"), F.count("*").alias("entries"), F.max("fetched_at").alias("synced_at"))
+    old, new = lists(c.where("candidate_id % 2 = 0"), F.min("source")), lists(c.where("candidate_id % 2 = 1 and pos % 3 > 0"), F.when(F.count("*") % 2 == 0, "").otherwise(F.concat(F.min("source"), F.lit(" new"))))
+    return incremental.upsert(old, new, "external_id", ("name",))
+
+
 q("snk_12", "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'P') THEN 'C' ELSE o_orderstatus END AS state FROM orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus").isin("O", "P"), "C").otherwise(F.col("o_orderstatus")).alias("state")))
 
 
@@ -769,14 +779,15 @@ def fn_16(s, d):
     return p.select(F.col("lid").alias("id"), F.col("cid").alias("candidate_id"), F.round(F.least(F.lit(1.0), score), 4).alias("confidence"))
 
 
-@q("fn_23", "SELECT id, CAST(artwork_px AS INT) AS width FROM t WHERE artwork_px BETWEEN 1 AND 1000000", T)
+@q("fn_23", "SELECT id, CAST(artwork_px AS INT) AS width FROM t WHERE artwork_px BETWEEN 1 AND 65535", T)
 def fn_23(s, d):
-    """Widths read back from PNG headers made of them."""
+    """Widths read back from headers made of them: PNG for even ids, JPEG with another segment before the frame for odd ones."""
     from .functions.register import image_width
 
-    t = lib(s, d, "artwork_px").where("artwork_px between 1 and 1000000")
-    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), F.lpad(F.hex("artwork_px"), 8, "0"), F.lit("00000001")))
-    return t.select("id", image_width()(png).alias("width"))
+    t = lib(s, d, "artwork_px").where("artwork_px between 1 and 65535")
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), F.lpad(F.hex("artwork_px"), 8, "0"), F.lit("00000001"))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFC20011080064"), F.lpad(F.hex("artwork_px"), 4, "0"), F.lit("03"))
+    return t.select("id", image_width()(F.unhex(F.when(F.col("id") % 2 == 0, png).otherwise(jpeg))).alias("width"))
 
 
 q("fn_26", "SELECT event_id, replace(props, '\"k\": 6', '***') AS props FROM events")(lambda s, d: table(s, d, "events").select("event_id", text.redacted(F.col("props"), ['"k": 6', "no"]).alias("props")))
