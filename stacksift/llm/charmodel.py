@@ -133,6 +133,7 @@ class PairModel:
         self._log: dict[str, float] = {}
         self._info: dict[str, float] = {}
         self.scores: dict[str, float] = {}
+        self.options: dict[tuple[str, bool], list] = {}
 
     def log(self, pair: str) -> float:
         """log P(second | first), interpolated with the second's own share."""

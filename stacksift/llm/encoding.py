@@ -62,6 +62,12 @@ def _sequences(codec: str) -> re.Pattern:
     return re.compile(f"{cls(0xC2, 0xDF)}{tail}|{cls(0xE0, 0xEF)}{tail}{{2}}|{cls(0xF0, 0xF4)}{tail}{{3}}")
 
 
+@lru_cache(maxsize=None)
+def _leads(codec: str) -> frozenset[str]:
+    """Characters that a misread UTF-8 sequence can begin with."""
+    return frozenset(c for c, b in _bytes_of(codec).items() if 0xC2 <= b <= 0xF4)
+
+
 #: Signs besides letters that misread text commonly held (fixed values).
 SIGNS = set("‘’“”–—…«»‹›•·°©®™€£¿¡§†‡‚„ƒ¨´¸ªº¹²³¼½¾±µ¶¢¤¥¦¬¯×÷ˆ˜‰\xa0\xad") | {chr(c) for c in range(0x80, 0xA0)}
 
@@ -180,7 +186,10 @@ _TOUCHING = re.compile(r"[A-Za-z][^\x00-\xbf]|[^\x00-\xbf][A-Za-z]")
 
 def _maps(run: str, single: bool) -> Iterator[tuple[str, str, bool]]:
     """(name, restored run, from UTF-8) by every inverse mapping that applies to a run; text misread twice is undone twice."""
+    chars = set(run)
     for codec in MISREAD if _ADJACENT.search(run) else ():  # a misread sequence is two characters or more
+        if _leads(codec).isdisjoint(chars):
+            continue
         got, n = _undo(run, codec)
         if n:
             yield f"utf-8 as {codec}", got, True
@@ -211,21 +220,39 @@ def _most(text: str, a: int, b: int, model: PairModel) -> float:
     return -sum([model.log(p) for p in [s[i : i + 2] for i in range(len(s) - 1)] if not p.strip(START + END).isascii()])
 
 
-def _mapped(text: str, runs: list[tuple[int, int]], model: PairModel, odd: bool) -> Iterator[tuple[str, str, bool, int]]:
-    """(how, whole text, from UTF-8, changed signs) of each mapping on one run alone and on all runs it applies to; what lies between runs stays."""
-    of: dict[tuple[str, bool], list[tuple[int, int, str, int]]] = {}
-    for a, b in runs:
-        run = text[a:b]
-        high = sum(not c.isascii() for c in run)
-        for how, new, multi in _maps(run, odd or _most(text, a, b, model) >= max(GAIN, GAIN_EACH * high)):
+#: Runs a model remembers the mappings of; the memory is emptied beyond it, the mappings don't depend on it.
+REMEMBERED = 100_000
+
+
+def _options(run: str, single: bool, model: PairModel) -> list[tuple[str, str, bool]]:
+    """`_maps` of a run that bring only what clean values may hold; runs come again, so a model remembers them."""
+    known = model.options.get((run, single))
+    if known is None:
+        known = []
+        for how, new, multi in _maps(run, single):
             if new == run or not multi and not all(c.isalpha() for c in new if not c.isascii()):
                 continue
             if multi and not _sane(new.replace("�", "")) and not any(0x80 <= ord(c) < 0xA0 for c in run):
                 continue
             if multi and not all(c.isascii() or not model.right.keys().isdisjoint((c, c.lower(), c.upper())) or c in SIGNS or c == "�" for c in set(new) - set(run)):
                 continue  # a letter that no clean value has
+            known.append((how, new, multi))
+        if len(model.options) >= REMEMBERED:
+            model.options.clear()
+        model.options[run, single] = known
+    return known
+
+
+def _mapped(text: str, runs: list[tuple[int, int]], model: PairModel, odd: bool) -> Iterator[tuple[str, str, bool, int]]:
+    """(how, whole text, from UTF-8, changed signs) of each mapping on one run alone and on all runs it applies to; what lies between runs stays."""
+    of: dict[tuple[str, bool], list[tuple[int, int, str, int]]] = {}
+    for a, b in runs:
+        run = text[a:b]
+        high = sum(not c.isascii() for c in run)
+        for how, new, multi in _options(run, odd or _most(text, a, b, model) >= max(GAIN, GAIN_EACH * high), model):
             yield how, text[:a] + new + text[b:], multi, high
-            of.setdefault((how, multi), []).append((a, b, new, high))
+            if len(runs) > 1:
+                of.setdefault((how, multi), []).append((a, b, new, high))
     for (how, multi), parts in of.items():
         if len({a for a, *_ in parts}) > 1:
             whole, at = [], 0
@@ -236,13 +263,10 @@ def _mapped(text: str, runs: list[tuple[int, int]], model: PairModel, odd: bool)
             yield how, "".join([*whole, text[at:]]), multi, sum(h for *_, h in parts)
 
 
-def repair(text: str, model: PairModel) -> tuple[str, str] | None:
-    """(how, restored text) by the best mapping inside the improbable runs; None where none is likelier."""
-    if text.isascii():
-        return None
-    text = _visible(text)
+def repair(text: str, found: list[tuple[int, int]], model: PairModel) -> tuple[str, str] | None:
+    """(how, restored text) by the best mapping inside the improbable runs around the segments `found`; None where none is likelier."""
     best, gained = None, 0.0
-    runs = _runs(text, segments(text, model))
+    runs = _runs(text, found)
     odd = plain(text) != text  # else a restored text has no characters to normalise either, but for those it brings
     at = model.of(plain(text)) if runs else 0.0
     for how, whole, multi, high in _mapped(text, runs, model, odd):
@@ -281,9 +305,9 @@ def alien(c: str, model: PairModel) -> bool:
     return not c.isascii() and not c.isalpha() and kind[0] not in "MZ" and c not in TYPOGRAPHIC and c not in model.left and c not in model.right and plain_char(c) == c
 
 
-def lost(text: str, model: PairModel) -> bool:
-    """Whether an improbable segment of the value holds a sign that is alien to the corpus: damage no mapping undoes."""
-    return any(alien(c, model) for a, b in segments(text, model) for c in text[a:b])
+def lost(text: str, found: list[tuple[int, int]], model: PairModel) -> bool:
+    """Whether an improbable segment (`found`) of the value holds a sign that is alien to the corpus: damage no mapping undoes."""
+    return any(alien(c, model) for a, b in found for c in text[a:b] if not c.isascii())
 
 
 def judge(text: str | None, model: PairModel) -> tuple[bool, str | None, str | None]:
@@ -294,9 +318,13 @@ def judge(text: str | None, model: PairModel) -> tuple[bool, str | None, str | N
     """
     if not text or text.isascii():
         return False, None, None
-    if got := repair(text, model):
-        return True, None if lost(got[1], model) else got[1], got[0]
-    if lost(_visible(text), model):
+    text = _visible(text)
+    found = [] if text.isascii() else segments(text, model)
+    if not found:
+        return False, None, None
+    if got := repair(text, found, model):
+        return True, None if lost(got[1], segments(got[1], model), model) else got[1], got[0]
+    if lost(text, found, model):
         return True, None, "alien signs"
     return False, None, None
 
