@@ -34,9 +34,17 @@ def scored(members: DataFrame, weights: dict[str, float] | None = None, prefer_l
     return m.withColumn("score", F.round(media.total([F.col("s_" + k) * w[k] for k in parts]) / (sum(w[k] for k in parts) or 1.0), 5)).drop("_best", "_longest")
 
 
-def ranking(group: str = "group_id") -> W:
-    """Best first: score, size, earlier discovery, smaller id."""
-    return W.partitionBy(group).orderBy(F.desc("score"), F.desc("size_bytes"), F.asc("first_seen"), F.asc("track_id"))
+def ranked(s: DataFrame, steps: int = 200) -> DataFrame:
+    """`s` (group_id, track_id, score, size_bytes, first_seen) with `rank`, 1 for the best of a group: by score, size, earlier discovery, smaller id.
+
+    A group is cut into steps of score that are ranked by themselves; how many members the steps above hold
+    is a window over `steps` rows at most, so no task ever sorts a whole group. A null score ranks last.
+    """
+    s = s.withColumn("_step", F.coalesce(F.floor((1 - F.col("score")) * steps), F.lit(1 << 40)))
+    held = s.groupBy("group_id", "_step").agg(F.count("*").alias("_n"))
+    above = held.select("group_id", "_step", F.coalesce(F.sum("_n").over(W.partitionBy("group_id").orderBy("_step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
+    own = F.row_number().over(W.partitionBy("group_id", "_step").orderBy(F.desc("score"), F.desc("size_bytes"), F.asc("first_seen"), F.asc("track_id")))
+    return s.withColumn("_own", own).join(above, ["group_id", "_step"]).withColumn("rank", (F.col("_own") + F.col("_above")).cast("int")).drop("_step", "_own", "_above")
 
 
 #: The note on a verdict changed by hand, as on all texts of reasons here (fixed values).

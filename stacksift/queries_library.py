@@ -444,7 +444,7 @@ g2 AS (SELECT *, {_RANK} AS s_format, {_BIT} AS s_bitrate, {_RES} AS s_resolutio
 sc AS (SELECT *, round(({" + ".join(f"s_{k} * {w}::DOUBLE" for k, w in media.WEIGHTS.items())}) / {sum(media.WEIGHTS.values())!r}::DOUBLE, 5) AS score FROM g2)"""
 _S = [f"s_{k}" for k in media.WEIGHTS]
 q("win_01", f"SELECT group_id, track_id, {', '.join(_S)}, score FROM sc", T, M, _SCORED)(lambda s, d: decision.scored(group_members(s, d)).select("group_id", "track_id", *_S, "score"))
-q("win_03", "SELECT group_id, track_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY score DESC, size_bytes DESC, first_seen, track_id) AS INT) AS rank FROM sc", T, M, _SCORED)(lambda s, d: decision.scored(group_members(s, d)).select("group_id", "track_id", F.row_number().over(decision.ranking()).alias("rank")))
+q("win_03", "SELECT group_id, track_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY score DESC, size_bytes DESC, first_seen, track_id) AS INT) AS rank FROM sc", T, M, _SCORED)(lambda s, d: decision.ranked(decision.scored(group_members(s, d))).select("group_id", "track_id", "rank"))
 
 
 def group_verdicts(s, d):
