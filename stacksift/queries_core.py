@@ -57,6 +57,6 @@ w AS (
   UNION ALL
   SELECT 'duplicate_members', m.id, min(strftime(g.created_at, '%Y-%m')) FROM duplicate_members m LEFT JOIN duplicate_groups g ON g.id = m.group_id GROUP BY m.id)
 SELECT table_name, CASE table_name WHEN 'quarantine' THEN 'quarantine.group_id' WHEN 'duplicate_groups' THEN 'duplicate_groups.id' ELSE 'duplicate_members.track_id' END AS reference,
-  coalesce(w.period, 'unknown') AS period, count_if(depth = 0) AS direct, count_if(depth > 0) AS inherited
+  coalesce(w.period, 'unknown') AS period, CAST(count_if(depth = 0) AS BIGINT) AS direct, CAST(count_if(depth > 0) AS BIGINT) AS inherited
 FROM l LEFT JOIN w USING (table_name, row_id) GROUP BY ALL""",
 }

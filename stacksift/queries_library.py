@@ -406,7 +406,7 @@ def agg_21(s, d):
     return table(s, d, "events").select("event_id", jobs.outcome(result).alias("o")).select("event_id", "o.*")
 
 
-@q("agg_22", "SELECT count_if(ok) AS converted, count_if(NOT ok) AS failed, CAST(sum(CASE WHEN ok THEN greatest(0, size_bytes - dst) ELSE 0 END) AS BIGINT) AS saved_bytes FROM (SELECT size_bytes, coalesce(bitrate > 0 AND duration > 0, false) AS ok, CAST(trunc(coalesce(duration, 0) * 32000) AS BIGINT) AS dst FROM t WHERE lossless)", T)
+@q("agg_22", "SELECT CAST(count_if(ok) AS BIGINT) AS converted, CAST(count_if(NOT ok) AS BIGINT) AS failed, CAST(sum(CASE WHEN ok THEN greatest(0, size_bytes - dst) ELSE 0 END) AS BIGINT) AS saved_bytes FROM (SELECT size_bytes, coalesce(bitrate > 0 AND duration > 0, false) AS ok, CAST(trunc(coalesce(duration, 0) * 32000) AS BIGINT) AS dst FROM t WHERE lossless)", T)
 def agg_22(s, d):
     """Totals of a conversion of all lossless files to 256 kbit/s; files without length or bitrate fail."""
     ok = F.coalesce((F.col("bitrate") > 0) & (F.col("duration") > 0), F.lit(False))
