@@ -62,6 +62,21 @@ def _dominated(filling: list[int], waste: int, sizes: list[int], count: dict[int
     return False
 
 
+def _exact(total: int, i: int, sizes: list[int], count: dict[int, int], reach: list[int]) -> Iterator[list[int]]:
+    """Ways to make `total` of the first i sizes, largest sizes first; `reach` keeps out of dead ends."""
+    if not total:
+        yield []
+        return
+    i = min(i, bisect_right(sizes, total))
+    while i and reach[i] >> total & 1:
+        s = sizes[i - 1]
+        for n in range(min(count[s], total // s), 0, -1):
+            if reach[i - 1] >> total - n * s & 1:
+                for rest in _exact(total - n * s, i - 1, sizes, count, reach):
+                    yield [s] * n + rest
+        i -= 1
+
+
 def completions(room: int, sizes: list[int], count: dict[int, int], most_waste: int) -> Iterator[list[int]]:
     """Undominated fillings of `room` with sizes (ascending list, counts > 0), largest sizes first, least waste first.
 
@@ -70,24 +85,10 @@ def completions(room: int, sizes: list[int], count: dict[int, int], most_waste:
     """
     sizes = sizes[: bisect_right(sizes, room)]
     reach = _reach(room, sizes, count)
-
-    def exact(total: int, i: int) -> Iterator[list[int]]:
-        if not total:
-            yield []
-            return
-        i = min(i, bisect_right(sizes, total))
-        while i and reach[i] >> total & 1:
-            s = sizes[i - 1]
-            for n in range(min(count[s], total // s), 0, -1):
-                if reach[i - 1] >> total - n * s & 1:
-                    for rest in exact(total - n * s, i - 1):
-                        yield [s] * n + rest
-            i -= 1
-
     first = True
     for waste in range(min(room, most_waste) + 1):
         if reach[-1] >> room - waste & 1:
-            for filling in exact(room - waste, len(sizes)):
+            for filling in _exact(room - waste, len(sizes), sizes, count, reach):
                 if first or not _dominated(filling, waste, sizes, count):
                     first = False
                     yield filling
