@@ -144,6 +144,23 @@ def test_matching_by_title_album_and_length(spark):
     assert matching.match_candidates(t.limit(0), c.limit(0)).count() == 0
 
 
+def test_matching_broadcasts_nothing(spark, tmp_path):
+    def read(rows, kind):  # from files, as Spark knows no size of rows it is given
+        spark.createDataFrame(rows, kind).write.parquet(at := str(tmp_path / str(len(kind))))
+        return spark.read.parquet(at)
+
+    kind = "id bigint, title string, version string, album string, artist string, sec double"
+    p = read([(1, "leaving", "", "letters", "westrick", 347.7)], kind)
+    graph = matching.candidate_graph(p, p)
+    pairs = matching.score_pairs(graph, p, p)
+    support = pairs.groupBy("near").agg(F.sum("own").alias("sum"))
+    of = read([(1, "Leaving", "Letters", "Westrick", "Westrick", 347.7)], "id bigint, title string, album string, artist string, albumartist string, duration double")
+    found = matching.match_candidates(of, of.select(F.col("id").alias("candidate_id"), "title", "album", "artist", "albumartist", F.lit("347.7").alias("length_text")))
+    for df in (graph, pairs, matching._supported(pairs, support), found):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 GIVEN = {"susanna", "leonard", "caswyn", "john", "mary", "نورة", "أحمد"}
 
 
