@@ -177,6 +177,25 @@ def test_search_equals_comparing_all(spark):
     assert best_matches(q.limit(0), r).count() == best_matches(q, r.limit(0)).count() == 0
 
 
+def test_search_compares_in_full_only_what_can_match():
+    from stacksift.operators import search
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(2, 9)))
+    titles = sorted({" ".join(sorted(word() for _ in range(rng.randrange(1, 5)))) for _ in range(2_000)} | {"", "x" * 90, "y" * 300}, key=len)
+    queries = ["", "x" * 80, "y" * 299] + [t[: k % 5] + t[k % 5 + k % 3 :] + "z" * (k % 4) for k, t in enumerate(titles[::9])]
+    texts = search.Texts(titles)
+    compared = []
+    common = texts.common
+    texts.common = lambda asked, q, t: compared.append(len(q)) or common(asked, q, t)
+    for least in (78.5, 30.0, 0.0):
+        compared.clear()
+        got = {(queries[q], titles[t]): x for part in texts.near(queries, least) for q, t, x in zip(*part, strict=True)}
+        want = {(q, t): fuzzy.ratio(q, t) for q in queries for t in titles}
+        assert got == {k: x for k, x in want.items() if x >= least}
+        assert least < 78 or sum(compared) < 0.1 * len(queries) * len(titles)
+
+
 def test_wide_letters_are_the_same_title(spark):
     t = spark.createDataFrame([(1, "Ｈｅｌｌｏ Ｗｏｒｌｄ", "A", None, 200.0), (2, "Hello World", "A", None, 201.0), (3, "Hello World", "A", None, 230.0)], "id bigint, title string, artist string, albumartist string, duration double")
     assert {(r.root, r.id) for r in dedup.similar_tags(t).collect()} == {(1, 1), (1, 2)}
