@@ -10,9 +10,10 @@ doesn't know are found by their surroundings.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field, replace
 from zlib import crc32
 
 import numpy as np
@@ -20,11 +21,13 @@ import regex
 
 #: Forms of address (fixed values): no part of a name, but they may stand before one.
 HONORIFICS = {"mr", "mrs", "ms", "miss", "dr", "prof", "sir", "herr", "frau", "sr", "sra", "señor", "señora", "don", "doña", "mme", "mlle", "monsieur", "madame", "г-н", "г-жа", "господин", "госпожа", "السيد", "السيدة", "الأستاذ", "الأستاذة"}
-#: Hashed features; their number bounds the weights.
+#: Hashed features; their number bounds the weights, and two bytes hold one.
 SLOTS = 1 << 16
-#: Share of the sample's documents (and least number) in which an ordinary word stands; how many rare words follow a given name, and in what share of its documents.
+#: Words a worker remembers the reading of, and words or examples it counts before it hands the counts on.
+MOST_READINGS, MOST_COUNTED = 200_000, 100_000
+#: Share of the texts (and least number) in which an ordinary word stands; how many rare words follow a given name, and in what share of its texts.
 SHARE, LEAST, FOLLOWED, FOLLOWING = 0.001, 4, 3, 0.3
-#: Passes over the sample, step and pull towards zero of the fit; share of examples whose lexical features are hidden.
+#: Passes over the examples, step and pull towards zero of the fit; share of examples whose lexical features are hidden.
 PASSES, STEP, PULL, HIDDEN = 60, 0.5, 2e-6, 0.5
 
 _TOKEN = regex.compile(r"\p{L}(?:\.(?!\p{L}{2})|[\p{L}\p{M}'’‘-]*[\p{L}\p{M}])?|[^\s\p{L}\p{M}]+|\n")
@@ -63,6 +66,23 @@ def _case(w: str) -> str:
     return "a" if w[0].islower() else "U" if w.isupper() else "A"
 
 
+_readings: dict[str, tuple[str, str]] = {}
+
+
+def _reading(w: str) -> tuple[str, str]:
+    """A token in lower case and its case; marks have none."""
+    if not w[0].isalpha():
+        got = _MARKS.sub("0", w)[-2:], ""
+    else:
+        bare = w[:-2] if len(w) > 3 and w[-1] in "sS" and w[-2] in "'’" else w
+        low = bare.rstrip(".").casefold()
+        got = low, "" if low in HONORIFICS else _case(bare)
+    if len(_readings) >= MOST_READINGS:
+        _readings.clear()
+    _readings[w] = got
+    return got
+
+
 def spans(text: str, model: NameModel, everything: bool = False) -> Iterator[Span]:
     """Name-shaped spans of a text, whole.
 
@@ -72,19 +92,9 @@ def spans(text: str, model: NameModel, everything: bool = False) -> Iterator[Spa
     given, ordinary, lower = model.given, model.ordinary, model.lower
     tokens = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
     n = len(tokens)
-    cases: list[str] = []
-    lows: list[str] = []
-    for w, _, _ in tokens:
-        c = w[0]
-        if c.isalpha():
-            bare = w[:-2] if len(w) > 3 and w[-1] in "sS" and w[-2] in "'’" else w
-            low = bare.rstrip(".").casefold()
-            lows.append(low)
-            cases.append("" if low in HONORIFICS else _case(bare))
-        else:
-            lows.append(_MARKS.sub("0", w)[-2:])
-            cases.append("")
-
+    read = [_readings.get(w) or _reading(w) for w, _, _ in tokens]
+    lows = [low for low, _ in read]
+    cases = [case for _, case in read]
     inner: set[int] = set()  # initials after a word that is a given name or rare begin no name of their own
 
     def joined(i: int, j: int) -> bool:
@@ -96,8 +106,11 @@ def spans(text: str, model: NameModel, everything: bool = False) -> Iterator[Spa
         c = cases[i]
         if not c or i in inner:
             continue
-        # the next word, over a line break token or a comma
         j = i + 1
+        # most next words are ordinary or written otherwise, which rules out what begins here
+        if j < n and (g := cases[j]) and g != "." and (g != c and c != "." or lows[j] in ordinary and (g == "a" or not everything)):
+            continue
+        # the next word, over a line break token or a comma
         comma = False
         if j < n and tokens[j][0] in (",", "،") and tokens[j][1] == tokens[i][2]:
             comma, j = True, j + 1
@@ -189,27 +202,52 @@ def example(s: Span, families: set[str]) -> int | None:
     return 0 if s.common else 1 if s.known else None
 
 
-def _regression(rows: list[tuple[list[int], int]], passes: int = PASSES) -> np.ndarray:
-    """Weights by logistic regression (Adagrad, full batches) from `plain_weights` on; no rows leave those.
+#: Slopes are whole multiples of this, so that their sum (of 1 at most in each class) is the same in whatever order and parts.
+GRAIN = 2.0**-48
+
+
+class Rows:
+    """Different examples as arrays: the slots of all features, the number of each one's, the labels, and how often each comes."""
+
+    def __init__(self, slots: np.ndarray, sizes: np.ndarray, labels: np.ndarray, times: np.ndarray) -> None:
+        self.arrays = slots, sizes, labels, times
+
+    @classmethod
+    def of(cls, counts: dict[tuple[int, bytes], int]) -> Rows:
+        """From the numbers of (label, slots as bytes)."""
+        return cls.packed(b"".join(f for _, f in counts), np.fromiter((len(f) // 2 for _, f in counts), np.uint16, len(counts)), np.fromiter((y for y, _ in counts), np.uint8, len(counts)), np.fromiter(counts.values(), np.int64, len(counts)))
+
+    @classmethod
+    def packed(cls, slots, sizes, labels, times) -> Rows:
+        return cls(np.frombuffer(slots, np.uint16), np.frombuffer(sizes, np.uint16), np.frombuffer(labels, np.uint8), np.frombuffer(times, np.int64))
+
+    def labelled(self) -> tuple[int, int]:
+        """The number of names and of what is none."""
+        _, _, labels, times = self.arrays
+        ones = int(times[labels == 1].sum())
+        return ones, int(times.sum()) - ones
+
+    def slopes(self, w: np.ndarray, ones: int, zeros: int) -> np.ndarray:
+        """The slope of the loss over these rows, by slot; each class weighs a half of the `ones` and `zeros` there are in all."""
+        flat, sizes, y, times = self.arrays
+        of = np.repeat(np.arange(len(y)), sizes)
+        z = np.bincount(of, w[flat], len(y))
+        slope = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * np.where(y > 0, 0.5 / max(1, ones), 0.5 / max(1, zeros))
+        return np.bincount(flat, (np.rint(slope / GRAIN) * GRAIN * times)[of], SLOTS)
+
+
+def regression(slopes: Callable[[np.ndarray], np.ndarray], passes: int = PASSES) -> np.ndarray:
+    """Weights by logistic regression (Adagrad, full batches) from `plain_weights` on; `slopes` gives those of all examples.
 
     As the neighbours' labels enter as they are known, this is the pseudo-likelihood of the field's unaries.
     Classes weigh the same in all.
     """
     w = plain_weights()
-    if not rows:
-        return w
-    flat = np.concatenate([np.asarray(f, np.int64) for f, _ in rows])
-    of = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
-    y = np.array([v for _, v in rows], np.float64)
-    ones = max(1.0, y.sum())
-    each = np.where(y > 0, 0.5 * len(y) / ones, 0.5 * len(y) / max(1.0, len(y) - ones)) / len(y)
     start, seen = w.copy(), np.full(SLOTS, 1e-8)
     for _ in range(passes):
-        z = np.bincount(of, w[flat], len(y))
-        slope = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * each
-        g = np.bincount(flat, slope[of], SLOTS) + PULL * (w - start)
+        g = slopes(w) + PULL * (w - start)
         seen += g * g
-        w -= STEP * g / np.sqrt(seen)
+        w = w - STEP * g / np.sqrt(seen)
     return w
 
 
@@ -217,43 +255,101 @@ def _regression(rows: list[tuple[list[int], int]], passes: int = PASSES) -> np.n
 _FREE = regex.compile(r"(?<![\p{L}\p{N}@_/\\.-])\p{L}[\p{L}\p{M}'’-]*+(?![\p{N}@_/\\]|\.\p{L})")
 
 
-def fit_names(texts: list[str], given: set[str], titles: set[str] = frozenset(), seed: int = 1) -> NameModel:
-    """The name model of a bounded sample of texts, the given names the library knows and the words its titles use.
+def least_texts(n: int) -> float:
+    """The number of texts, of n, in which an ordinary word stands at least."""
+    return max(LEAST, SHARE * n)
 
-    Words in SHARE of the texts are ordinary. A word that rare words follow in FOLLOWING of its texts,
-    FOLLOWED different ones at least, is a given name too unless titles use it. The weights are then fitted to what the spans
-    teach (`example`), the lexical features of HIDDEN of them left out, so that surroundings, shape and endings
-    carry names the lexicon lacks.
-    """
+
+def count_words(texts: Iterable[str]) -> Iterator[tuple[Counter, Counter]]:
+    """In how many texts each word stands, and in how many in lower case, in parts of bounded size that add up."""
     df: Counter = Counter()
     lower: Counter = Counter()
-    pairs: dict[str, set[str]] = {}
-    follows: Counter = Counter()
     for t in texts:
         words = set(_FREE.findall(t))
         df.update({w.casefold() for w in words})
         lower.update({w for w in words if w.islower()})
-    least = max(LEAST, SHARE * len(texts))
+        if len(df) > MOST_COUNTED:
+            yield df, lower
+            df, lower = Counter(), Counter()
+    yield df, lower
+
+
+def count_followed(texts: Iterable[str], common: set[str], lower: set[str]) -> Iterator[dict[str, tuple[int, set[str]]]]:
+    """Words that rare ones (none of `common`) follow: in how many texts, and FOLLOWED of the followers, as more tell nothing.
+
+    In parts of bounded size that add up. Words of `lower` (often in lower case) are no given names, hence left out.
+    """
+    n: Counter = Counter()
+    followers: dict[str, set[str]] = {}
     for t in texts:
         here = set()
-        for m in _FOLLOWED.finditer(t):
-            a, b = m.group(1).casefold(), m.group(2).casefold()
-            if df[b] < least and len(b) >= 4 and _case(m.group(1)) == _case(m.group(2)):
-                pairs.setdefault(a, set()).add(b)
+        for u, v in _FOLLOWED.findall(t):
+            a, b = u.casefold(), v.casefold()
+            if a not in lower and b not in common and len(b) >= 4 and _case(u) == _case(v):
                 here.add(a)
-        follows.update(here)
-    known = set(given) | {w for w, f in pairs.items() if len(f) >= FOLLOWED and follows[w] >= FOLLOWING * df[w] and w not in HONORIFICS and w not in titles and lower[w] < least}
-    base = NameModel(frozenset(known), frozenset(w for w, n in df.items() if n >= least and w not in known), frozenset({w for w, n in lower.items() if n >= least and w not in known} | (titles - known)))
-    rng = np.random.default_rng(seed)
-    rows = []
-    for t in texts:
-        found = list(spans(t, base, everything=True))
+                f = followers.setdefault(a, set())
+                if len(f) < FOLLOWED:
+                    f.add(b)
+        n.update(here)
+        if len(n) > MOST_COUNTED:
+            yield {a: (k, followers[a]) for a, k in n.items()}
+            n, followers = Counter(), {}
+    yield {a: (k, followers[a]) for a, k in n.items()}
+
+
+def lexicon(common: set[str], lower: set[str], known: set[str], titles: set[str]) -> NameModel:
+    """The model before its fit; no `known` given name is an ordinary word."""
+    return NameModel(frozenset(known), frozenset(common - known), frozenset((lower | titles) - known))
+
+
+def examples(texts: Iterable[str], base: NameModel) -> Iterator[Rows]:
+    """What the spans of the texts teach, in parts of bounded size; whose lexical features are left out a hash tells."""
+    counts: Counter = Counter()
+    for text in texts:
+        found = list(spans(text, base, everything=True))
+        if not found:
+            continue
         families = {s.words[1] for s in found if s.known and not s.common}
+        of = crc32(text.encode("utf-8", "surrogatepass"))
         for s in found:
             y = example(s, families)
             if y is not None:
-                rows.append((features(s, base, rng.random() < HIDDEN), y))
-    return NameModel(base.given, base.ordinary, base.lower, _regression(rows))
+                hidden = crc32(str(s.start).encode(), of) * 2654435761 % (1 << 32) < HIDDEN * (1 << 32)
+                counts[y, array("H", features(s, base, hidden)).tobytes()] += 1
+        if len(counts) > MOST_COUNTED:
+            yield Rows.of(counts)
+            counts = Counter()
+    if counts:
+        yield Rows.of(counts)
+
 
+def fit_names(texts: Iterable[str], given: set[str], titles: set[str] = frozenset()) -> NameModel:
+    """The name model of some texts, the given names the library knows and the words its titles use.
 
-_FOLLOWED = regex.compile(r"(?<![\p{L}\p{N}_@/.-])(\p{L}[\p{L}\p{M}'’-]*)[ \n](?:\p{L}\. )?(?=(\p{L}[\p{L}\p{M}-]+)(?![\p{L}\p{N}_@/-]))")
+    Equal texts count once. Words in SHARE of the texts are ordinary. A word that rare words follow in FOLLOWING of its texts,
+    FOLLOWED different ones at least, is a given name too unless titles use it. The weights are then fitted to what the spans
+    teach (`example`), the lexical features of HIDDEN of them left out, so that surroundings, shape and endings
+    carry names the lexicon lacks. `personal.fit_documents` does the same for a DataFrame.
+    """
+    texts = set(texts)
+    df: Counter = Counter()
+    lower: Counter = Counter()
+    for a, b in count_words(texts):
+        df.update(a)
+        lower.update(b)
+    least = least_texts(len(texts))
+    common, low = {w for w, n in df.items() if n >= least}, {w for w, n in lower.items() if n >= least}
+    follows: Counter = Counter()
+    followers: dict[str, set[str]] = {}
+    for part in count_followed(texts, common, low):
+        for a, (n, f) in part.items():
+            follows[a] += n
+            followers.setdefault(a, set()).update(f)
+    learned = {a for a, f in followers.items() if len(f) >= FOLLOWED and follows[a] >= FOLLOWING * df[a]} - HONORIFICS - titles
+    base = lexicon(common, low, set(given) | learned, titles)
+    parts = list(examples(texts, base))
+    ones, zeros = (sum(n) for n in zip(*(p.labelled() for p in parts), strict=True)) if parts else (0, 0)
+    return replace(base, weights=regression(lambda w: sum(p.slopes(w, ones, zeros) for p in parts)) if parts else plain_weights())
+
+
+_FOLLOWED = regex.compile(r"(?=\p{L})(?<![\p{L}\p{N}_@/.-])(\p{L}[\p{L}\p{M}'’-]*+)[ \n](?:\p{L}\. )?(?=(\p{L}[\p{L}\p{M}-]+)(?![\p{L}\p{N}_@/-]))")

@@ -12,16 +12,18 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core.session import cut
-from .person import NameModel, fit_names, score, spans
+from . import person
+from .person import NameModel, score, spans
 
 LABELS = ("none", "email", "phone", "id_number", "address", "person_name")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person_name": "[PERSON_NAME]"}
@@ -43,14 +45,18 @@ WEIGHTS: dict[str, dict[str, float]] = {
 #: Chain factor for two neighbouring mentions of a line that are both items, and skip factors for agreement of similar and of the same mentions.
 CHAIN, SKIP, SAME = 0.2, 3.0, 5.0
 ROUNDS, THRESHOLD = 6, 0.5
-#: Documents (about) of the sample that the name model is fitted on, and the characters they may hold in all.
-FIT_DOCUMENTS, FIT_CHARACTERS = 10_000, 40_000_000
+#: Features of examples (about) that a task of the fit goes through, and the arrays that hold examples.
+TASK_FEATURES = 8_000_000
+PACKED = ("slots", "sizes", "labels", "times")
 #: Least number of family names of a given name and of titles of a title word, and their least shares, which bound both sets by MOST_WORDS.
 BORNE_BY, BORNE_SHARE, TITLES_BY, TITLE_SHARE, MOST_WORDS = 2, 4e-6, 3, 4e-5, 500_000
 
 _D = r"[0-9٠-٩۰-۹]"
 _DOT = r"(?:\s?[(\[{](?i:dot)[)\]}]\s?|\sDOT\s|\.)"
 _AT = r"(?:[@＠﹫]|\s?[(\[{](?i:at)[)\]}]\s?|\sAT\s)"
+_AT_SIGNS = ("@", "＠", "﹫")
+#: Without one of these there is no other sign either.
+_AT_WORDS = ("AT", *(at + end for at in ("at", "At", "aT") for end in ")]}"))
 _AT_MARK = regex.compile(r"[@＠﹫]|[(\[{](?i:at)[)\]}]|\sAT\s")
 _EMAIL = regex.compile(rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}_%+-]+(?:{_DOT}[\p{{L}}\p{{N}}_%+-]+)*{_AT}[\p{{L}}\p{{N}}-]+(?:{_DOT}[\p{{L}}\p{{N}}-]+)*{_DOT}\p{{L}}{{2,24}}(?![\p{{L}}\p{{N}}_-])")
 _NUMBER = regex.compile(rf"(?<![\p{{L}}\p{{N}}_.,:/@#-])(?!\d{{4}}-\d\d-\d\d)(?:\+\s?|\()?{_D}(?:(?:[ .\-/]|\)[ .-]?|[ ]?\()?{_D}){{6,22}}(?:,?\s(?:ext|x|extension|Durchwahl|poste|доб)\.?\s?{_D}{{1,5}})?(?![\p{{L}}\p{{N}}_])")
@@ -88,6 +94,9 @@ _ADDRESS = regex.compile(
 )
 _ADDRESS_MARK = regex.compile(r"\b(?i:street|st|ave|avenue|road|rd|lane|crescent|close|drive|court|place|square|terrace|way|gardens|hill|grove|row|park|walk|mews|boulevard|box|rue|calle|avda|avenida|plaza|paseo|postfach|bp|apartado|chemin|allée|impasse|quai|bd)\b|straße|strasse|str\.|STRASSE|weg |platz |gasse |allee |C/|ул\.|улица|пер\.|а/я|شارع|طريق|ص\.ب|صندوق")
 
+#: What every address has.
+_ADDRESS_NUMBER = regex.compile(r"\d|[гГ]\.")
+
 
 @dataclass
 class Mention:
@@ -113,10 +122,24 @@ def _key(text: str) -> str:
     return " ".join(sorted(w for w in words if len(w) > 1 or w.isdigit()))
 
 
+def _paragraphs(text: str) -> Iterator[tuple[int, int]]:
+    """Where the stretches between empty lines lie."""
+    at = 0
+    while at < len(text):
+        stop = text.find("\n\n", at)
+        stop = len(text) if stop < 0 else stop
+        if stop > at:
+            yield at, stop
+        at = stop + 1
+
+
 def _emails(text: str) -> Iterator[Mention]:
-    if _AT_MARK.search(text):
-        for m in _EMAIL.finditer(text):
-            yield Mention(m.start(), m.end(), m.group(), {"email_format"})
+    """Emails of the paragraphs that hold a sign of one; none goes over an empty line."""
+    if any(x in text for x in _AT_SIGNS) or any(x in text for x in _AT_WORDS):
+        for a, b in _paragraphs(text):
+            if _AT_MARK.search(text, a, b):
+                for m in _EMAIL.finditer(text, a, b):
+                    yield Mention(m.start(), m.end(), m.group(), {"email_format"})
 
 
 def _numbers(text: str) -> Iterator[Mention]:
@@ -168,16 +191,12 @@ def _split(t: str, at: int) -> list[Mention]:
 
 
 def _addresses(text: str) -> Iterator[Mention]:
-    """Addresses of the paragraphs that hold a word of one; none goes over an empty line."""
-    end = 0
-    for mark in _ADDRESS_MARK.finditer(text):
-        if mark.start() < end:
-            continue
-        stop = text.find("\n\n", mark.end())
-        for m in _ADDRESS.finditer(text, max(end, text.rfind("\n\n", 0, mark.start()) + 1), len(text) if stop < 0 else stop):
-            end = m.end()
-            yield Mention(m.start(), m.end(), m.group(), {"address_format"})
-        end = max(end, len(text) if stop < 0 else stop)
+    """Addresses of the paragraphs that hold a number (or a Russian town) and a word of one; none goes over an empty line."""
+    if _ADDRESS_NUMBER.search(text):
+        for a, b in _paragraphs(text):
+            if _ADDRESS_NUMBER.search(text, a, b) and _ADDRESS_MARK.search(text, a, b):
+                for m in _ADDRESS.finditer(text, a, b):
+                    yield Mention(m.start(), m.end(), m.group(), {"address_format"})
 
 
 def _names(text: str, model: NameModel) -> Iterator[Mention]:
@@ -322,7 +341,7 @@ def given_names(tracks: DataFrame) -> set[str]:
     """
     names = tracks.select(F.explode(F.array("artist", "albumartist")).alias("name")).where(F.col("name").rlike(r"^\p{L}[\p{L}'-]{2,} (?:\p{L}\. )?\p{L}[\p{L}'-]{2,}$")).select(F.lower("name").alias("name")).distinct()
     pairs = cut(names.select(F.substring_index("name", " ", 1).alias("g"), F.substring_index("name", " ", -1).alias("f"), F.when(F.contains("name", F.lit(". ")), BORNE_BY).otherwise(1).alias("w")))
-    n, firsts = pairs.agg(F.count("*"), F.approx_count_distinct("g")).first()
+    n, firsts = pairs.agg(F.count("*"), F.count_distinct("g")).first()
     many = pairs.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= max(20, 0.02 * firsts)).select("f")
     return _few(pairs.join(many.hint("merge"), "f", "left_anti").groupBy("g").agg(F.sum("w").alias("n")).where(F.col("n") >= max(BORNE_BY, BORNE_SHARE * n)).select("g"))
 
@@ -338,16 +357,63 @@ def title_words(tracks: DataFrame) -> set[str]:
     return _few(words.where(F.col("n") >= max(TITLES_BY, TITLE_SHARE / 6 * n)).select("w"))
 
 
-def name_model(documents: DataFrame, tracks: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> NameModel:
-    """The name model of the library's given names and title words, fitted on about `fit_documents` whole documents chosen by a hash of doc_id.
+def name_model(documents: DataFrame, tracks: DataFrame) -> NameModel:
+    """The name model of the library's given names and title words, fitted on all documents."""
+    return fit_documents(documents.select("text"), given_names(tracks), title_words(tracks))
+
 
-    Where documents are so long that these would hold more than FIT_CHARACTERS, fewer are taken.
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
+    for b in batches:
+        yield from b.column(0).to_pylist()
+
+
+def fit_documents(texts: DataFrame, given: set[str], titles: set[str] = frozenset()) -> NameModel:
+    """`person.fit_names` of all different `texts` (text), counted and fitted where they lie.
+
+    Counts of words stay in tables; the driver gets the words that SHARE of the texts have and the given names
+    learned (MOST_WORDS of either, checked) and, in each pass of the fit, the sum of the slopes by slot.
     """
-    texts = documents.where("text is not null and text <> ''").select("doc_id", "text")
-    n, characters = texts.agg(F.count("*"), F.sum(F.length("text"))).first()
-    share = max(1, -(-n // fit_documents), -(-(characters or 0) // FIT_CHARACTERS))
-    rows = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text").limit(2 * fit_documents).collect()
-    return fit_names(sorted({r["text"] for r in rows}), given_names(tracks), title_words(tracks))
+    texts = cut(texts.where("text is not null and text <> ''").distinct())
+    sc = texts.sparkSession.sparkContext
+    least = person.least_texts(texts.count())
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for df, lower in person.count_words(_strings(batches)):
+            words = list(df.keys() | lower.keys())
+            yield pa.RecordBatch.from_pydict({"word": words, "n": [df[w] for w in words], "low": [lower[w] for w in words]}, pa.schema([("word", pa.string()), ("n", pa.int64()), ("low", pa.int64())]))
+
+    words = cut(texts.mapInArrow(counted, "word string, n bigint, low bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("low").alias("low")))
+    common, lower = (_few(words.where(F.col(c) >= least).select("word")) for c in ("n", "low"))
+    frequent = sc.broadcast((common, lower))  # bounded by MOST_WORDS
+
+    def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in person.count_followed(_strings(batches), *frequent.value):
+            rows = [(a, k, None) for a, (k, _) in part.items()] + [(a, 0, b) for a, (_, f) in part.items() for b in f]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["word", "k", "follower"])
+
+    follows = texts.mapInArrow(followed, "word string, k bigint, follower string").groupBy("word").agg(F.sum("k").alias("k"), F.count_distinct("follower").alias("followers")).where(F.col("followers") >= person.FOLLOWED)
+    learned = _few(follows.join(words.hint("merge"), "word").where(F.col("k") >= person.FOLLOWING * F.col("n")).select("word"))
+    base = person.lexicon(common, lower, set(given) | (learned - person.HONORIFICS - titles), titles)
+    shared = sc.broadcast(base)
+
+    def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in person.examples(_strings(batches), shared.value):
+            ones, zeros = rows.labelled()
+            yield pa.RecordBatch.from_pydict({**{k: [x.tobytes()] for k, x in zip(PACKED, rows.arrays, strict=True)}, "features": [len(rows.arrays[0])], "ones": [ones], "zeros": [zeros]})
+
+    examples = cut(texts.mapInArrow(taught, ", ".join(f"{k} binary" for k in PACKED) + ", features bigint, ones bigint, zeros bigint"))
+    features, ones, zeros = examples.agg(F.sum("features"), F.sum("ones"), F.sum("zeros")).first()
+    if not features:
+        return replace(base, weights=person.plain_weights())
+    parts = examples.select(*PACKED).rdd.coalesce(-(-features // TASK_FEATURES))
+
+    def slopes(w: np.ndarray) -> np.ndarray:
+        now = sc.broadcast(w)
+        total = parts.map(lambda r: person.Rows.packed(*r).slopes(now.value, ones, zeros)).treeReduce(np.add)
+        now.destroy()
+        return total
+
+    return replace(base, weights=person.regression(slopes))
 
 
 _ITEMS = "array<struct<start: int, end: int, kind: string, found_text: string, confidence: double>>"
@@ -355,7 +421,7 @@ _ITEMS = "array<struct<start: int, end: int, kind: string, found_text: string, c
 
 def items_column(spark, model: NameModel):
     """A pandas UDF from texts to their items; positions count characters."""
-    shared = spark.sparkContext.broadcast(model)  # bounded by MOST_WORDS, the sample and the number of slots
+    shared = spark.sparkContext.broadcast(model)  # bounded by MOST_WORDS and the number of slots
 
     @F.pandas_udf(_ITEMS)
     def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -238,6 +238,21 @@ def test_documents_redacted(spark):
     assert [r.found_text for r in personal.document_items(docs.withColumn("text", F.lit("I met Ann Kalmaruk and Ann Berg")), many).select("found_text").distinct().collect()] == ["Ann Kalmaruk"]
 
 
+def test_name_model_is_that_of_all_documents(spark):
+    from stacksift.llm import person
+
+    family = lambda i: "".join("bdfgklmnpr"[i // 10**k % 10] + "aeiou"[(i // 3 + k) % 5] for k in range(4))
+    texts = [f"the reel {i} is signed by {('Susanna', 'Leonard', 'Golden')[i % 3]} {family(i).capitalize()} of {'Tenner' if i % 1000 < 2 else 'Lund'}, and The Reel" for i in range(12_000)]
+    few = [f"Regards, Zorin {x.capitalize()}" for x in ("kalmar", "draher", "nuper", "lenor")]  # a given name of four documents, which a sample misses
+    docs = spark.createDataFrame(enumerate([*texts, *few, few[0], None, ""]), "doc_id bigint, text string").repartition(3)
+    tracks = spark.createDataFrame([(i, n, None, "Golden Box", t) for i, (n, t) in enumerate([("Susanna Berg", "Golden Reel"), ("Susanna Holm", "Golden Hour")])], "id bigint, artist string, albumartist string, album string, title string")
+    got, want = personal.name_model(docs, tracks), person.fit_names([*texts, *few], {"susanna"}, {"golden"})
+    assert (got.given, got.ordinary, got.lower) == (want.given, want.ordinary, want.lower) and got.weights.tolist() == want.weights.tolist()
+    assert {"susanna", "leonard", "zorin"} <= got.given and {"tenner", "lund"} <= got.ordinary and "golden" in got.lower
+    none = personal.name_model(docs.limit(0), tracks.limit(0))
+    assert none.given == none.ordinary == frozenset() and none.weights.tolist() == person.plain_weights().tolist()
+
+
 def test_common_skeletons_are_paired_whole(spark):
     rows = [(i, ("", "abc", "", True, "latin" if i % 2 else "cyrillic"), "krl") for i in range(60)] + [(99, ("trio", "abc", "", True, "latin"), "krl")]
     read = spark.createDataFrame(rows, f"id bigint, r {names._READ}, skel string")
