@@ -14,6 +14,7 @@ from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
@@ -23,8 +24,8 @@ import regex
 HONORIFICS = {"mr", "mrs", "ms", "miss", "dr", "prof", "sir", "herr", "frau", "sr", "sra", "señor", "señora", "don", "doña", "mme", "mlle", "monsieur", "madame", "г-н", "г-жа", "господин", "госпожа", "السيد", "السيدة", "الأستاذ", "الأستاذة"}
 #: Hashed features; their number bounds the weights, and two bytes hold one.
 SLOTS = 1 << 16
-#: Words a worker remembers the reading of, and words or examples it counts before it hands the counts on.
-MOST_READINGS, MOST_COUNTED = 200_000, 100_000
+#: Stretches of text a worker remembers the reading of, and words or examples it counts before it hands the counts on.
+MOST_READINGS, MOST_COUNTED = 100_000, 100_000
 #: Share of the texts (and least number) in which an ordinary word stands; how many rare words follow a given name, and in what share of its texts.
 SHARE, LEAST, FOLLOWED, FOLLOWING = 0.001, 4, 3, 0.3
 #: Passes over the examples, step and pull towards zero of the fit; share of examples whose lexical features are hidden.
@@ -66,21 +67,47 @@ def _case(w: str) -> str:
     return "a" if w[0].islower() else "U" if w.isupper() else "A"
 
 
-_readings: dict[str, tuple[str, str]] = {}
+_readings: dict[str, tuple] = {}
 
 
-def _reading(w: str) -> tuple[str, str]:
-    """A token in lower case and its case; marks have none."""
-    if not w[0].isalpha():
-        got = _MARKS.sub("0", w)[-2:], ""
-    else:
-        bare = w[:-2] if len(w) > 3 and w[-1] in "sS" and w[-2] in "'’" else w
-        low = bare.rstrip(".").casefold()
-        got = low, "" if low in HONORIFICS else _case(bare)
+def _reading(chunk: str) -> tuple[tuple[str, int, int, str, str], ...]:
+    """The tokens of a stretch without spaces: as written, where it starts and ends, in lower case, and its case (marks have none)."""
+    got = []
+    for m in _TOKEN.finditer(chunk):
+        w = m.group()
+        if not w[0].isalpha():
+            low, case = _MARKS.sub("0", w)[-2:], ""
+        else:
+            bare = w[:-2] if len(w) > 3 and w[-1] in "sS" and w[-2] in "'’" else w
+            low = bare.rstrip(".").casefold()
+            case = "" if low in HONORIFICS else _case(bare)
+        got.append((w, m.start(), m.end(), low, case))
     if len(_readings) >= MOST_READINGS:
         _readings.clear()
-    _readings[w] = got
-    return got
+    _readings[chunk] = tuple(got)
+    return _readings[chunk]
+
+
+def _tokens(text: str) -> tuple[list[tuple[str, int, int]], list[str], list[str]]:
+    """The tokens of a text, in lower case, and their cases; no token goes over a space, so each stretch is read once."""
+    tokens: list[tuple[str, int, int]] = []
+    lows: list[str] = []
+    cases: list[str] = []
+    at = 0
+    for line in text.split("\n"):
+        if at:
+            tokens.append(("\n", at - 1, at))
+            lows.append("\n")
+            cases.append("")
+        for chunk in line.split(" "):
+            if chunk:
+                read = _readings.get(chunk)
+                for w, a, b, low, case in _reading(chunk) if read is None else read:
+                    tokens.append((w, at + a, at + b))
+                    lows.append(low)
+                    cases.append(case)
+            at += len(chunk) + 1
+    return tokens, lows, cases
 
 
 def spans(text: str, model: NameModel, everything: bool = False) -> Iterator[Span]:
@@ -90,11 +117,8 @@ def spans(text: str, model: NameModel, everything: bool = False) -> Iterator[Spa
     lower case (in scripts without case: at all); with `everything`, spans that aren't in lower case may hold both.
     """
     given, ordinary, lower = model.given, model.ordinary, model.lower
-    tokens = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    tokens, lows, cases = _tokens(text)
     n = len(tokens)
-    read = [_readings.get(w) or _reading(w) for w, _, _ in tokens]
-    lows = [low for low, _ in read]
-    cases = [case for _, case in read]
     inner: set[int] = set()  # initials after a word that is a given name or rare begin no name of their own
 
     def joined(i: int, j: int) -> bool:
@@ -254,18 +278,36 @@ def regression(slopes: Callable[[np.ndarray], np.ndarray], passes: int = PASSES)
 #: Words that stand free between spaces and punctuation; parts of addresses, paths and codes are none.
 _FREE = regex.compile(r"(?<![\p{L}\p{N}@_/\\.-])\p{L}[\p{L}\p{M}'’-]*+(?![\p{N}@_/\\]|\.\p{L})")
 
+#: The last word of a stretch without spaces, and the first one.
+_LAST = regex.compile(r"(?<![\p{L}\p{N}_@/.-])\p{L}[\p{L}\p{M}'’-]*+\Z")
+_FIRST = regex.compile(r"\p{L}[\p{L}\p{M}-]+(?![\p{L}\p{N}_@/-])")
+
 
 def least_texts(n: int) -> float:
     """The number of texts, of n, in which an ordinary word stands at least."""
     return max(LEAST, SHARE * n)
 
 
+class _Read(dict):
+    """What `read` says of a stretch without spaces, remembered for MOST_READINGS of them."""
+
+    def __init__(self, read: Callable[[str], object]) -> None:
+        self.read = read
+
+    def __missing__(self, chunk: str):
+        if len(self) >= MOST_READINGS:
+            self.clear()
+        self[chunk] = got = self.read(chunk)
+        return got
+
+
 def count_words(texts: Iterable[str]) -> Iterator[tuple[Counter, Counter]]:
     """In how many texts each word stands, and in how many in lower case, in parts of bounded size that add up."""
+    read = _Read(_FREE.findall)
     df: Counter = Counter()
     lower: Counter = Counter()
     for t in texts:
-        words = set(_FREE.findall(t))
+        words = {w for chunk in set(t.split()) for w in read[chunk]}
         df.update({w.casefold() for w in words})
         lower.update({w for w in words if w.islower()})
         if len(df) > MOST_COUNTED:
@@ -274,22 +316,49 @@ def count_words(texts: Iterable[str]) -> Iterator[tuple[Counter, Counter]]:
     yield df, lower
 
 
+def followed(text: str, firsts: _Read, seconds: _Read) -> Iterator[tuple[str, str]]:
+    """A word and the one that follows it after a space or line break, or after an initial, both written alike.
+
+    `firsts` and `seconds` read the last and the first word of a stretch and its case, or None.
+    """
+    lines = [line.split(" ") for line in text.split("\n")]
+    chunks = [c for line in lines for c in line]
+    starts = set(accumulate(map(len, lines)))  # of the lines but the first, and the end
+    for i, (a, b) in enumerate(zip(chunks, chunks[1:], strict=False)):
+        if (first := firsts[a]) is None:
+            continue
+        if len(b) == 2 and b[1] == "." and b[0].isalpha():  # an initial; a line doesn't end after it
+            second = seconds[chunks[i + 2]] if i + 2 not in starts else None
+        else:
+            second = seconds[b]
+        if second is not None and second[1] == first[1]:
+            yield first[0], second[0]
+
+
 def count_followed(texts: Iterable[str], common: set[str], lower: set[str]) -> Iterator[dict[str, tuple[int, set[str]]]]:
     """Words that rare ones (none of `common`) follow: in how many texts, and FOLLOWED of the followers, as more tell nothing.
 
     In parts of bounded size that add up. Words of `lower` (often in lower case) are no given names, hence left out.
     """
+
+    def first(chunk: str) -> tuple[str, str] | None:
+        m = _LAST.search(chunk)
+        return None if m is None or (a := m.group().casefold()) in lower else (a, _case(m.group()))
+
+    def second(chunk: str) -> tuple[str, str] | None:
+        m = _FIRST.match(chunk)
+        return None if m is None or len(b := m.group().casefold()) < 4 or b in common else (b, _case(m.group()))
+
+    firsts, seconds = _Read(first), _Read(second)
     n: Counter = Counter()
     followers: dict[str, set[str]] = {}
     for t in texts:
         here = set()
-        for u, v in _FOLLOWED.findall(t):
-            a, b = u.casefold(), v.casefold()
-            if a not in lower and b not in common and len(b) >= 4 and _case(u) == _case(v):
-                here.add(a)
-                f = followers.setdefault(a, set())
-                if len(f) < FOLLOWED:
-                    f.add(b)
+        for a, b in followed(t, firsts, seconds):
+            here.add(a)
+            f = followers.setdefault(a, set())
+            if len(f) < FOLLOWED:
+                f.add(b)
         n.update(here)
         if len(n) > MOST_COUNTED:
             yield {a: (k, followers[a]) for a, k in n.items()}
@@ -350,6 +419,3 @@ def fit_names(texts: Iterable[str], given: set[str], titles: set[str] = frozense
     parts = list(examples(texts, base))
     ones, zeros = (sum(n) for n in zip(*(p.labelled() for p in parts), strict=True)) if parts else (0, 0)
     return replace(base, weights=regression(lambda w: sum(p.slopes(w, ones, zeros) for p in parts)) if parts else plain_weights())
-
-
-_FOLLOWED = regex.compile(r"(?=\p{L})(?<![\p{L}\p{N}_@/.-])(\p{L}[\p{L}\p{M}'’-]*+)[ \n](?:\p{L}\. )?(?=(\p{L}[\p{L}\p{M}-]+)(?![\p{L}\p{N}_@/-]))")

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +58,8 @@ _AT = r"(?:[@＠﹫]|\s?[(\[{](?i:at)[)\]}]\s?|\sAT\s)"
 _AT_SIGNS = ("@", "＠", "﹫")
 #: Without one of these there is no other sign either.
 _AT_WORDS = ("AT", *(at + end for at in ("at", "At", "aT") for end in ")]}"))
+_AT_SIGN, _DOT_WORD = regex.compile(r"[@＠﹫]"), regex.compile(r"DOT|(?i:dot)[)\]}]")
+_SPACE, _LAST_SPACE = regex.compile(r"\s"), regex.compile(r"(?r)\s")
 _AT_MARK = regex.compile(r"[@＠﹫]|[(\[{](?i:at)[)\]}]|\sAT\s")
 _EMAIL = regex.compile(rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}_%+-]+(?:{_DOT}[\p{{L}}\p{{N}}_%+-]+)*{_AT}[\p{{L}}\p{{N}}-]+(?:{_DOT}[\p{{L}}\p{{N}}-]+)*{_DOT}\p{{L}}{{2,24}}(?![\p{{L}}\p{{N}}_-])")
 _NUMBER = regex.compile(rf"(?<![\p{{L}}\p{{N}}_.,:/@#-])(?!\d{{4}}-\d\d-\d\d)(?:\+\s?|\()?{_D}(?:(?:[ .\-/]|\)[ .-]?|[ ]?\()?{_D}){{6,22}}(?:,?\s(?:ext|x|extension|Durchwahl|poste|доб)\.?\s?{_D}{{1,5}})?(?![\p{{L}}\p{{N}}_])")
@@ -94,8 +97,8 @@ _ADDRESS = regex.compile(
 )
 _ADDRESS_MARK = regex.compile(r"\b(?i:street|st|ave|avenue|road|rd|lane|crescent|close|drive|court|place|square|terrace|way|gardens|hill|grove|row|park|walk|mews|boulevard|box|rue|calle|avda|avenida|plaza|paseo|postfach|bp|apartado|chemin|allée|impasse|quai|bd)\b|straße|strasse|str\.|STRASSE|weg |platz |gasse |allee |C/|ул\.|улица|пер\.|а/я|شارع|طريق|ص\.ب|صندوق")
 
-#: What every address has.
-_ADDRESS_NUMBER = regex.compile(r"\d|[гГ]\.")
+#: What every address has: a number before a name, a postcode, a box's number or (in Russian) a town.
+_ADDRESS_NUMBER = regex.compile(r"\d(?:[A-Za-z]? \p{Lu}|[،,][ \n][ء-ي])|\d{5}[ \n]\p{Lu}|[bB][oO][xX] \d|[гГ]\.")
 
 
 @dataclass
@@ -134,12 +137,20 @@ def _paragraphs(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _emails(text: str) -> Iterator[Mention]:
-    """Emails of the paragraphs that hold a sign of one; none goes over an empty line."""
-    if any(x in text for x in _AT_SIGNS) or any(x in text for x in _AT_WORDS):
-        for a, b in _paragraphs(text):
-            if _AT_MARK.search(text, a, b):
-                for m in _EMAIL.finditer(text, a, b):
-                    yield Mention(m.start(), m.end(), m.group(), {"email_format"})
+    """Emails of the stretches without spaces that hold a sign of one or, with signs in words, of such paragraphs; none goes over an empty line."""
+    signs = [x for x in _AT_SIGNS if x in text]
+    if any(x in text for x in _AT_WORDS) or signs and _DOT_WORD.search(text):
+        where = [(a, b) for a, b in _paragraphs(text) if _AT_MARK.search(text, a, b)]
+    else:
+        where, end = [], 0
+        for m in _AT_SIGN.finditer(text) if signs else ():
+            if m.start() >= end:
+                space, stop = _LAST_SPACE.search(text, 0, m.start()), _SPACE.search(text, m.start())
+                end = stop.start() if stop else len(text)
+                where.append((space.end() if space else 0, end))
+    for a, b in where:
+        for m in _EMAIL.finditer(text, a, b):
+            yield Mention(m.start(), m.end(), m.group(), {"email_format"})
 
 
 def _numbers(text: str) -> Iterator[Mention]:
@@ -191,7 +202,7 @@ def _split(t: str, at: int) -> list[Mention]:
 
 
 def _addresses(text: str) -> Iterator[Mention]:
-    """Addresses of the paragraphs that hold a number (or a Russian town) and a word of one; none goes over an empty line."""
+    """Addresses of the paragraphs that hold a number and a word of one; none goes over an empty line."""
     if _ADDRESS_NUMBER.search(text):
         for a, b in _paragraphs(text):
             if _ADDRESS_NUMBER.search(text, a, b) and _ADDRESS_MARK.search(text, a, b):
@@ -405,7 +416,7 @@ def fit_documents(texts: DataFrame, given: set[str], titles: set[str] = frozense
     features, ones, zeros = examples.agg(F.sum("features"), F.sum("ones"), F.sum("zeros")).first()
     if not features:
         return replace(base, weights=person.plain_weights())
-    parts = examples.select(*PACKED).rdd.coalesce(-(-features // TASK_FEATURES))
+    parts = examples.select(*PACKED).rdd.coalesce(-(-features // TASK_FEATURES)).map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
 
     def slopes(w: np.ndarray) -> np.ndarray:
         now = sc.broadcast(w)
@@ -413,7 +424,9 @@ def fit_documents(texts: DataFrame, given: set[str], titles: set[str] = frozense
         now.destroy()
         return total
 
-    return replace(base, weights=person.regression(slopes))
+    weights = person.regression(slopes)
+    parts.unpersist()
+    return replace(base, weights=weights)
 
 
 _ITEMS = "array<struct<start: int, end: int, kind: string, found_text: string, confidence: double>>"
