@@ -10,11 +10,13 @@ doesn't know are found by their surroundings.
 
 from __future__ import annotations
 
+import re
 from array import array
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
-from itertools import accumulate
+from itertools import accumulate, chain
 from zlib import crc32
 
 import numpy as np
@@ -46,6 +48,16 @@ class NameModel:
     lower: frozenset[str] = frozenset()  # those that are ordinary in lower case alone
     weights: np.ndarray | None = None
 
+    def kinds(self, everything: bool) -> Read:
+        """What stretches are to a name by this model (`_kind`), as far as they were met; not shipped."""
+        met = self.__dict__.setdefault("met", {})
+        if everything not in met:
+            met[everything] = Read(lambda chunk: _kind(chunk, self, everything))
+        return met[everything]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "met"}
+
 
 @dataclass
 class Span:
@@ -67,7 +79,17 @@ def _case(w: str) -> str:
     return "a" if w[0].islower() else "U" if w.isupper() else "A"
 
 
-_readings: dict[str, tuple] = {}
+class Read(dict):
+    """What `read` says of a stretch without spaces, remembered for MOST_READINGS of them."""
+
+    def __init__(self, read: Callable[[str], object]) -> None:
+        self.read = read
+
+    def __missing__(self, chunk: str):
+        if len(self) >= MOST_READINGS:
+            self.clear()
+        self[chunk] = got = self.read(chunk)
+        return got
 
 
 def _reading(chunk: str) -> tuple[tuple[str, int, int, str, str], ...]:
@@ -75,39 +97,82 @@ def _reading(chunk: str) -> tuple[tuple[str, int, int, str, str], ...]:
     got = []
     for m in _TOKEN.finditer(chunk):
         w = m.group()
-        if not w[0].isalpha():
+        if w == "\n":
+            low, case = w, ""
+        elif not w[0].isalpha():
             low, case = _MARKS.sub("0", w)[-2:], ""
         else:
             bare = w[:-2] if len(w) > 3 and w[-1] in "sS" and w[-2] in "'’" else w
             low = bare.rstrip(".").casefold()
             case = "" if low in HONORIFICS else _case(bare)
         got.append((w, m.start(), m.end(), low, case))
-    if len(_readings) >= MOST_READINGS:
-        _readings.clear()
-    _readings[chunk] = tuple(got)
-    return _readings[chunk]
-
-
-def _tokens(text: str) -> tuple[list[tuple[str, int, int]], list[str], list[str]]:
-    """The tokens of a text, in lower case, and their cases; no token goes over a space, so each stretch is read once."""
-    tokens: list[tuple[str, int, int]] = []
-    lows: list[str] = []
-    cases: list[str] = []
-    at = 0
-    for line in text.split("\n"):
-        if at:
-            tokens.append(("\n", at - 1, at))
-            lows.append("\n")
-            cases.append("")
-        for chunk in line.split(" "):
-            if chunk:
-                read = _readings.get(chunk)
-                for w, a, b, low, case in _reading(chunk) if read is None else read:
-                    tokens.append((w, at + a, at + b))
-                    lows.append(low)
-                    cases.append(case)
-            at += len(chunk) + 1
-    return tokens, lows, cases
+    return tuple(got)
+
+
+_readings = Read(_reading)
+#: How many tokens from where a name begins to the end of what is behind it, at most.
+AROUND = 9
+
+
+#: Which digits a number has tells nothing here, so stretches that differ in them alone are read once.
+_DIGITS = bytes.maketrans(b"123456789", b"000000000")
+
+
+def chunks(text: str) -> list[str]:
+    """The stretches without spaces, every digit a 0, line breaks by themselves; no token goes over a space, so each stretch is read once."""
+    same = text.encode("utf-8", "surrogatepass").translate(_DIGITS).decode("utf-8", "surrogatepass")
+    return same.replace("\n", " \n ").replace("\xa0", " ").split(" ")
+
+
+#: What a stretch is to a name, two signs each. First as its second word: by case, a letter if it may be the family name, after a comma the
+#: given one, and both, or an initial, capital or not. Then what it ends in as its first word: by case, an initial, by case before a comma.
+_SECOND = {"A": "abc", "U": "def", "a": "ghi", "n": "jkl"}
+_BEFORE, _BEFORE_COMMA = dict(zip("AUan", "ABCD", strict=True)), dict(zip("AUan", "KLMN", strict=True))
+
+
+def _kind(chunk: str, model: NameModel, everything: bool) -> str:
+    read = _readings[chunk]
+    if not read:
+        return "  "
+    if chunk == "\n":
+        return "\n\n"
+    given, ordinary, lower = model.given, model.ordinary, model.lower
+
+    def family(low: str, c: str) -> bool:
+        return low not in ordinary or everything and c != "a"
+
+    def first(low: str, c: str) -> bool:
+        return low in given or low not in (ordinary if c == "n" else lower) or everything and c != "a"
+
+    def initial(w: str) -> str:
+        return "" if w[-1] != "." else "X" if w[0].isupper() else "Y"
+
+    w, _, _, low, c = read[0]
+    if c == ".":
+        second = initial(w).lower()
+    else:
+        second = c and ("", *_SECOND[c])[family(low, c) + 2 * first(low, c)]
+    w, _, _, low, c = read[-1]
+    if w in (",", "،"):
+        _, _, _, low, c = read[-2] if len(read) > 1 else read[-1]
+        before = _BEFORE_COMMA[c] if c and c != "." and family(low, c) else ""
+    else:
+        before = initial(w) if c == "." else _BEFORE[c] if c and first(low, c) else ""
+    return (second or "-") + (before or "-")
+
+
+def _begin() -> re.Pattern:
+    """Where a name may begin in the signs of a text: before a second word that fits, over a line break and a middle initial or not."""
+    gap, gap_after = r"(?:(?:  )?\n\n(?:  )*)?", r"(?:(?:  )*\n\n(?:  )*)?"
+    family = {c: s[0] + s[2] for c, s in _SECOND.items()}
+    plain = {_BEFORE[c]: family[c] for c in "AUan"} | {"X": family["A"] + family["U"], "Y": family["a"] + family["n"]}
+    return re.compile("|".join(
+        [f"{t}(?={gap}(?:[{s}]|[xy][XY]{gap_after}[{s}]))" for t, s in plain.items()]
+        + [f"{_BEFORE_COMMA[c]}(?={gap}[{_SECOND[c][1:]}{'x' if c in 'AU' else 'y'}])" for c in "AUan"]
+    ))
+
+
+_BEGIN = _begin()
 
 
 def spans(text: str, model: NameModel, everything: bool = False) -> Iterator[Span]:
@@ -115,76 +180,103 @@ def spans(text: str, model: NameModel, everything: bool = False) -> Iterator[Spa
 
     The family name must be no ordinary word and the given name, unless it is known, none that is ordinary in
     lower case (in scripts without case: at all); with `everything`, spans that aren't in lower case may hold both.
+    The signs of the stretches (`_kind`) rule out where none begins; tokens are looked at where one may.
     """
+    pieces = chunks(text)
+    kinds = "".join(map(model.kinds(everything).__getitem__, pieces))
+    begins = [m.start() for m in _BEGIN.finditer(kinds)]
+    if not begins:
+        return
     given, ordinary, lower = model.given, model.ordinary, model.lower
-    tokens, lows, cases = _tokens(text)
-    n = len(tokens)
-    inner: set[int] = set()  # initials after a word that is a given name or rare begin no name of their own
-
-    def joined(i: int, j: int) -> bool:
-        """Whether token j follows token i as the next word of a name does."""
-        a, b = tokens[i][2], tokens[j][1]
-        return b - a == 1 and text[a] in " \n\xa0"
-
-    for i in range(n):
-        c = cases[i]
-        if not c or i in inner:
-            continue
-        j = i + 1
-        # most next words are ordinary or written otherwise, which rules out what begins here
-        if j < n and (g := cases[j]) and g != "." and (g != c and c != "." or lows[j] in ordinary and (g == "a" or not everything)):
+    inner: set[int] = set()  # where initials after a word that is a given name or rare start; they begin no name of their own
+    passed = to = base = 0
+
+    def start(x: int) -> int:
+        return offsets[bisect_right(firsts, x) - 1] + tokens[x][1]
+
+    def joined(end: int, j: int) -> bool:
+        """Whether token j follows the one that ends there as the next word of a name does."""
+        return end + 1 == start(j) and text[end] in " \n\xa0"
+
+    for nth, at in enumerate(begins):
+        if at // 2 >= to:
+            # the stretches around this place and those near it, with AROUND tokens after the last one and as many before as a context has
+            last = nth
+            while last + 1 < len(begins) and begins[last + 1] - begins[last] <= 4 * AROUND:
+                last += 1
+            lo, to = max(passed, at // 2 - 4), begins[last] // 2 + 1
+            reads = list(map(_readings.__getitem__, pieces[lo:to]))
+            while lo > passed and sum(map(len, reads[: at // 2 - lo])) < 3:
+                more = max(passed, lo - 8)
+                reads[:0] = map(_readings.__getitem__, pieces[more:lo])
+                lo = more
+            hi, behind = to, 0
+            while hi < len(pieces) and behind < AROUND:
+                reads.append(_readings[pieces[hi]])
+                behind += len(reads[-1])
+                hi += 1
+            base += len("".join(pieces[passed:lo])) + lo - passed - kinds.count("\n", 2 * passed, 2 * lo)
+            passed = lo
+            tokens = list(chain.from_iterable(reads))  # as written, start, end (in its stretch), lower case, case
+            firsts = list(accumulate(map(len, reads), initial=0))  # the number of each stretch's first token
+            offsets = list(accumulate([0 if x == "\n" else len(x) + 1 for x in pieces[lo:hi]], initial=base))  # a line break stands between two that count their own
+            n = len(tokens)
+        comma = kinds[at] in "KLMN"
+        i = firsts[at // 2 - passed + 1] - 1 - comma
+        offset = offsets[at // 2 - passed]
+        if offset + tokens[i][1] in inner:
             continue
         # the next word, over a line break token or a comma
-        comma = False
-        if j < n and tokens[j][0] in (",", "،") and tokens[j][1] == tokens[i][2]:
-            comma, j = True, j + 1
+        j, end = i + 1, offset + tokens[i][2]
+        if comma:
+            if offset + tokens[j][1] != end:
+                continue
+            j, end = j + 1, end + 1
         if j < n and tokens[j][0] == "\n":
-            if text[tokens[j - 1][2] : tokens[j][1]] not in ("", " "):
+            if text[end : text.find("\n", end)] not in ("", " "):
                 continue
             j += 1
-            gap = True
-        else:
-            gap = joined(i if not comma else i + 1, j) if j < n else False
-        if j >= n or not gap or not cases[j]:
+        elif j >= n or not joined(end, j):
             continue
-        parts = [(i, j, None)]
-        k = j + 1
-        if cases[j] == "." and tokens[j][0][-1] == "." and k < n and tokens[k][0] == "\n":
-            k += 1
-        if k < n and cases[k] and (joined(j, k) or k == j + 2):
-            if not comma and cases[j] == "." and cases[k] != "." and tokens[j][0][-1] == ".":
-                parts = [(i, k, j)]  # a middle initial
-            elif comma and cases[k] == "." and tokens[k][0][-1] == ".":
-                parts = [(i, k, j)]  # a given name and an initial after the comma
-        for a, b, mid in parts:
-            first, last = (mid if mid is not None else b, a) if comma else (a, b)
-            f, g = cases[first], cases[last]
-            if g == "." or f == "." and tokens[first][0][-1] != ".":
-                continue
-            upper = tokens[first][0][0].isupper()
-            if (g in "AU") != upper if f == "." else g != f:
-                continue
-            known = lows[first] in given
-            common = lows[last] in ordinary or f != "." and not known and lows[first] in (ordinary if f == "n" else lower)
-            if common and (not everything or g == "a"):
-                continue
-            if mid is not None and not comma and (known or lows[first] not in ordinary):
-                inner.add(mid)
-            end = tokens[b][2]
-            if cut := _POSSESSIVE.search(tokens[b][0]):
-                end -= cut.end() - cut.start()
-            s = Span(tokens[a][1], end, (lows[first], lows[last]), f + g + ("," if comma else "") + ("m" if mid is not None else ""), known, common)
-            before = [lows[x] if tokens[x][0] != "\n" else "\n" for x in range(max(0, a - 3), a)]
-            after = [lows[x] if tokens[x][0] != "\n" else "\n" for x in range(b + 1, min(n, b + 4))]
-            p1, p2, p3 = (["<"] * 3 + before)[-1:-4:-1]
-            n1, n2, n3 = (after + [">"] * 3)[:3]
-            if tokens[b][2] != end:
-                n1, n2, n3 = "'s", n1, n2
-            s.context = [f"p1={p1}", f"p2={p2} {p1}", f"p3={p3} {p2} {p1}", f"w1={p2}", f"n1={n1}", f"n2={n1} {n2}", f"n3={n1} {n2} {n3}", f"x={p1}|{n1}"]
-            path = text[max(0, s.start - 1) : s.start] == "/" or text[end : end + 1] == "/" or _ENDING.match(text, end) is not None and text.rfind("/", text.rfind("\n", 0, s.start) + 1, s.start) >= 0
-            if path:
-                s.context.append("path")
-            yield s
+        if j >= n or not tokens[j][4]:
+            continue
+        b, mid = j, None
+        if tokens[j][4] == "." and tokens[j][0][-1] == "." or comma:
+            k = j + 1
+            if tokens[j][4] == "." and tokens[j][0][-1] == "." and k < n and tokens[k][0] == "\n":
+                k += 1
+            if k < n and tokens[k][4] and (k == j + 2 or joined(start(j) + len(tokens[j][0]), k)):
+                if not comma and tokens[k][4] != ".":
+                    b, mid = k, j  # a middle initial
+                elif comma and tokens[k][4] == "." and tokens[k][0][-1] == ".":
+                    b, mid = k, j  # a given name and an initial after the comma
+        first, last = (j, i) if comma else (i, b)
+        (w, _, _, low, f), (_, _, _, family, g) = tokens[first], tokens[last]
+        if g == "." or f == "." and w[-1] != ".":
+            continue
+        if (g in "AU") != w[0].isupper() if f == "." else g != f:
+            continue
+        known = low in given
+        common = family in ordinary or f != "." and not known and low in (ordinary if f == "n" else lower)
+        if common and (not everything or g == "a"):
+            continue
+        if mid is not None and not comma and (known or low not in ordinary):
+            inner.add(start(mid))
+        w = tokens[b][0]
+        begin, end = offset + tokens[i][1], start(b) + len(w)
+        cut = _POSSESSIVE.search(w) if w[-1] in "sS" else None
+        if cut:
+            end -= cut.end() - cut.start()
+        s = Span(begin, end, (low, family), f + g + ("," if comma else "") + ("m" if mid is not None else ""), known, common)
+        p3, p2, p1 = [t[3] for t in tokens[i - 3 : i]] if i > 2 else (["<"] * 3 + [t[3] for t in tokens[:i]])[-3:]
+        n1, n2, n3 = ([t[3] for t in tokens[b + 1 : b + 4]] + [">"] * 3)[:3]
+        if cut:
+            n1, n2, n3 = "'s", n1, n2
+        s.context = [f"p1={p1}", f"p2={p2} {p1}", f"p3={p3} {p2} {p1}", f"w1={p2}", f"n1={n1}", f"n2={n1} {n2}", f"n3={n1} {n2} {n3}", f"x={p1}|{n1}"]
+        path = text[max(0, begin - 1) : begin] == "/" or text[end : end + 1] == "/" or text[end : end + 1] == "." and _ENDING.match(text, end) is not None and text.rfind("/", text.rfind("\n", 0, begin) + 1, begin) >= 0
+        if path:
+            s.context.append("path")
+        yield s
 
 
 def features(s: Span, model: NameModel, hidden: bool = False) -> list[int]:
@@ -288,35 +380,27 @@ def least_texts(n: int) -> float:
     return max(LEAST, SHARE * n)
 
 
-class _Read(dict):
-    """What `read` says of a stretch without spaces, remembered for MOST_READINGS of them."""
-
-    def __init__(self, read: Callable[[str], object]) -> None:
-        self.read = read
-
-    def __missing__(self, chunk: str):
-        if len(self) >= MOST_READINGS:
-            self.clear()
-        self[chunk] = got = self.read(chunk)
-        return got
-
-
 def count_words(texts: Iterable[str]) -> Iterator[tuple[Counter, Counter]]:
     """In how many texts each word stands, and in how many in lower case, in parts of bounded size that add up."""
-    read = _Read(_FREE.findall)
+
+    def read(chunk: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        words = _FREE.findall(chunk)
+        return tuple(w.casefold() for w in words), tuple(w for w in words if w.islower())
+
+    reads = Read(read)
     df: Counter = Counter()
     lower: Counter = Counter()
     for t in texts:
-        words = {w for chunk in set(t.split()) for w in read[chunk]}
-        df.update({w.casefold() for w in words})
-        lower.update({w for w in words if w.islower()})
+        both = list(map(reads.__getitem__, set(t.split())))
+        df.update(set(chain.from_iterable([x for x, _ in both])))
+        lower.update(set(chain.from_iterable([x for _, x in both])))
         if len(df) > MOST_COUNTED:
             yield df, lower
             df, lower = Counter(), Counter()
     yield df, lower
 
 
-def followed(text: str, firsts: _Read, seconds: _Read) -> Iterator[tuple[str, str]]:
+def followed(text: str, firsts: Read, seconds: Read) -> Iterator[tuple[str, str]]:
     """A word and the one that follows it after a space or line break, or after an initial, both written alike.
 
     `firsts` and `seconds` read the last and the first word of a stretch and its case, or None.
@@ -349,7 +433,7 @@ def count_followed(texts: Iterable[str], common: set[str], lower: set[str]) -> I
         m = _FIRST.match(chunk)
         return None if m is None or len(b := m.group().casefold()) < 4 or b in common else (b, _case(m.group()))
 
-    firsts, seconds = _Read(first), _Read(second)
+    firsts, seconds = Read(first), Read(second)
     n: Counter = Counter()
     followers: dict[str, set[str]] = {}
     for t in texts:

@@ -10,6 +10,7 @@ at one mention reaches the others. Marginals come from loopy belief propagation.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
@@ -97,6 +98,10 @@ _ADDRESS = regex.compile(
 )
 _ADDRESS_MARK = regex.compile(r"\b(?i:street|st|ave|avenue|road|rd|lane|crescent|close|drive|court|place|square|terrace|way|gardens|hill|grove|row|park|walk|mews|boulevard|box|rue|calle|avda|avenida|plaza|paseo|postfach|bp|apartado|chemin|allée|impasse|quai|bd)\b|straße|strasse|str\.|STRASSE|weg |platz |gasse |allee |C/|ул\.|улица|пер\.|а/я|شارع|طريق|ص\.ب|صندوق")
 
+#: Whether a stretch holds such a mark; a line may end after it.
+_address_marks = person.Read(lambda chunk: _ADDRESS_MARK.search(chunk + " ") is not None)
+#: The digits that every match of _NUMBER and of _CODE has.
+_DIGITS_OF = {_NUMBER: re.compile(rf"{_D}(?:[ .\-/()]{{0,2}}{_D}){{6}}"), _CODE: re.compile(rf"{_D}(?:[- ]?{_D}){{4}}")}
 #: What every address has: a number before a name, a postcode, a box's number or (in Russian) a town.
 _ADDRESS_NUMBER = regex.compile(r"\d(?:[A-Za-z]? \p{Lu}|[،,][ \n][ء-ي])|\d{5}[ \n]\p{Lu}|[bB][oO][xX] \d|[гГ]\.")
 
@@ -154,8 +159,8 @@ def _emails(text: str) -> Iterator[Mention]:
 
 
 def _numbers(text: str) -> Iterator[Mention]:
-    for pattern in (_NUMBER, _CODE):
-        for m in pattern.finditer(text):
+    for pattern, digits in _DIGITS_OF.items():
+        for m in pattern.finditer(text) if digits.search(text) else ():
             t, a, b = m.group(), m.start(), m.end()
             if t[0] == "(" and ")" not in t:
                 t, a = t[1:], a + 1
@@ -205,7 +210,7 @@ def _addresses(text: str) -> Iterator[Mention]:
     """Addresses of the paragraphs that hold a number and a word of one; none goes over an empty line."""
     if _ADDRESS_NUMBER.search(text):
         for a, b in _paragraphs(text):
-            if _ADDRESS_NUMBER.search(text, a, b) and _ADDRESS_MARK.search(text, a, b):
+            if _ADDRESS_NUMBER.search(text, a, b) and any(map(_address_marks.__getitem__, person.chunks(text[a:b]))):
                 for m in _ADDRESS.finditer(text, a, b):
                     yield Mention(m.start(), m.end(), m.group(), {"address_format"})
 

@@ -223,6 +223,36 @@ def test_items_of_any_length_are_whole():
     assert kinds("ship to 22 " + "N" + "u" * 90 + " Street,\n" + "L" + "e" * 90 + " QX12 3HN soon")[0][1].endswith("QX12 3HN")
 
 
+def test_stretches_that_differ_in_digits_are_read_once():
+    from stacksift.llm import person
+
+    person._readings.clear()
+    assert [kinds(f"{i:05}: Regards, Caswyn Balpar {i}.") for i in range(500)] == [[("person_name", "Caswyn Balpar")]] * 500
+    assert len(person._readings) < 20
+
+
+def test_names_over_spaces_breaks_and_marks():
+    from stacksift.llm import person
+
+    model = person.NameModel(frozenset({"john"}), frozenset({"the", "box"}), frozenset({"golden"}))
+    far = "12:30 \t no " * 40
+    found = {
+        "John Kalmar": ["John Kalmar"], "John\xa0Kalmar": ["John\xa0Kalmar"], "John\nKalmar": ["John\nKalmar"], "John \n   Kalmar": ["John \n   Kalmar"], "John  Kalmar": [], "John\tKalmar": [], "John\n\nKalmar": [],
+        "John K. Kalmar": ["John K. Kalmar"], "John K.\nKalmar": ["John K.\nKalmar"], "J. K. Kalmar": ["J. K. Kalmar"], "j. Kalmar": [], "Kalmar, John": ["Kalmar, John"], "Kalmar,\nJ.": ["Kalmar,\nJ."], "Kalmar, John K.": ["Kalmar, John K."],
+        "JOHN KALMAR’S": ["JOHN KALMAR"], "John KALMAR": [], "John Box": [], "Golden Kalmar": [], "Mr. John Kalmar.": ["John Kalmar"], "(John Kalmar)": ["John Kalmar"],
+    }
+    for text, names_ in found.items():
+        for before, after in (("", ""), (far, " no" + far), ("\n\n", "\n")):
+            t = before + text + after
+            assert [t[x.start : x.end] for x in person.spans(t, model)] == names_, t
+    assert [s.context[2] + " " + s.context[6] for s in person.spans("a\nb 17 John Kalmar\n, c d", model)] == ["p3=b 0 \n n3=\n , c"][:0] + [s.context[2] + " " + s.context[6] for s in person.spans("a\nb 42 John Kalmar\n, c d", model)]
+    assert [s.common for s in person.spans("John Box", model, everything=True)] == [True]
+
+
+def test_street_before_a_line_break():
+    assert kinds("ship to Birkenweg\n12, 12345 Lenor soon") == [("address", "Birkenweg\n12, 12345 Lenor")]
+
+
 def test_long_text_is_read_to_its_end():
     assert kinds("la la " * 40_000 + "mail: a.b@c.example") == [("email", "a.b@c.example")]
 
